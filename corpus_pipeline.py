@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, line_rules, minmax, mixing
+from eventloom.llm import bpe, line_rules, minmax, mixing, pii
 from eventloom.llm.common import written
 
 #: Not one SQL statement: two stages are models or hashing.
@@ -27,6 +27,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data becomes its kind in brackets; n_chars follows."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: rows are repeated or left out."""
     mixed = mixing.mix_sources(docs).filter("copies > 0")
@@ -38,7 +43,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("source mixing", mix), ("byte-level BPE", byte_bpe)]
+STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("personal data", personal_data), ("source mixing", mix), ("byte-level BPE", byte_bpe)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, line_rules, lm, minmax, mixing, substring, unigram
+from eventloom.llm import bpe, chroma, knn_quality, line_rules, lm, minmax, mixing, pii, substring, unigram
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_lm_scoring": lm.op2_lm_scoring,
+        "op3_knn_quality": knn_quality.op3_knn_quality,
+        "op4_chroma_alignment": chroma.op4_chroma_alignment,
         "op5_minmax_near_dedup": minmax.op5_minmax_near_dedup,
+        "op6_personal_data": pii.op6_personal_data,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_token_counts": unigram.op8_token_counts,
         "op9_quality_rules": line_rules.op9_quality_rules,

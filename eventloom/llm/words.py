@@ -60,7 +60,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column, and where each row starts (one more entry than rows)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
