@@ -10,7 +10,8 @@ Counts leave out the scored document's own occurrences (otherwise no n-gram woul
 elsewhere count. A document's first words have shorter contexts. c(context) counts the context as an n-gram.
 
 To keep rows few, a block of documents sends each distinct n-gram once per block with its count there (map-side combine), packed by hash
-shard; a shard adds the counts of all blocks and answers in the same order. No n-gram is dropped. Frequent
+shard; a shard adds the counts of all blocks and answers in the same order. Longer n-grams follow once pairs are
+counted: one that holds a word pair no other document has cannot occur elsewhere, its count is 0 and is not asked for. Frequent
 n-grams cost one entry per block. Hashes have 64 bits. Null and empty texts have no words, log score 0 and a null mean. Rows are scored one by
 one; repeated rows are documents of their own (each counts for the others), columns besides id and text stay out.
 """
@@ -19,114 +20,116 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import pieces, words_of
-from eventloom.llm.substring import pack, unpack
-from eventloom.llm.words import U, Words, grams
+from eventloom.llm.packing import narrow, pack, planes, shard_cuts, unpack, unplanes
+from eventloom.llm.words import Words, grams
 
 
 class Grams:
-    """N-grams of a block, by order: where each starts, its number among the block's distinct ones, and their keys."""
+    """N-grams of a block for some orders: where each starts, its number among the block's distinct ones, and their keys."""
+
+    def __init__(self, words: Words, hashes: np.ndarray, orders, keep: np.ndarray | None = None):
+        """keep: places where the n-grams of the one order asked for may start; all by default."""
+        row = words.row_of_word()
+        last = words.first[1:][row] if len(row) else np.zeros(0, np.int64)
+        self.at, self.key, self.number = {}, {}, {}
+        for n in orders:
+            fits = np.arange(len(row)) + n <= last
+            at = np.flatnonzero(fits if keep is None else fits & keep)
+            key, number = np.unique(grams(hashes, n)[at], return_inverse=True)
+            self.at[n], self.key[n], self.number[n] = at, key, number.astype(np.int32)
+
+    def messages(self, block: int, shards: int) -> pa.Table:
+        """Distinct keys with their counts here, one row per order and shard (a range of hashes)."""
+        out: dict[str, list] = {"shard": [], "order": [], "block": [], "body": []}
+        for n, key in self.key.items():
+            cut, count = shard_cuts(key, shards), np.bincount(self.number[n], minlength=len(key))
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                part = slice(cut[s], cut[s + 1])
+                for name, x in zip(out, (s, n, block, pack(planes(key[part]), narrow(count[part]))), strict=True):
+                    out[name].append(x)
+        return pa.table({"shard": pa.array(out["shard"], pa.int64()), "order": pa.array(out["order"], pa.int32()), "block": pa.array(out["block"], pa.int64()), "body": pa.array(out["body"], pa.binary())})
+
+
+def send_low(table: pa.Table, shards: int) -> pa.Table:
+    """Words and word pairs of a block."""
+    w = Words(table.column("text"))
+    return Grams(w, w.hashes(), (1, 2)).messages(table.column("block")[0].as_py(), shards)
+
+
+def count(table: pa.Table) -> pa.Table:
+    """One order of a shard: adds each n-gram's counts and answers every block with the sums, in the order it asked."""
+    parts = [unpack(x.as_py()) for x in table.column("body")]
+    keys = [unplanes(x[0]) for x in parts]
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([x[1] for x in parts]).astype(np.float64)).astype(np.int64)[inverse]
+    body = [pack(narrow(x)) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table({"shard": table.column("shard"), "order": table.column("order"), "block": table.column("block"), "body": pa.array(body, pa.binary())})
+
+
+def elsewhere(g: Grams, words: Words, answers: pa.Table, n: int) -> np.ndarray:
+    """For each word place, how often the n-gram that starts there occurs in other documents (0 where none starts)."""
+    mine = answers.filter(pc.equal(answers.column("order"), n))
+    got = [unpack(x.as_py())[0] for _, x in sorted(zip(mine.column("shard").to_pylist(), mine.column("body"), strict=True), key=lambda p: p[0])]
+    full = np.zeros(len(words.start), np.int64)
+    if got:
+        total = np.concatenate(got).astype(np.int64)
+        pair = words.row_of_word()[g.at[n]] * len(g.key[n]) + g.number[n]
+        _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
+        full[g.at[n]] = total[g.number[n]] - own[inverse]
+    return full
+
+
+def possible(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Places where an n-gram may occur elsewhere: all its word pairs do."""
+    ok = pairs > 0
+    out = ok.copy()
+    for j in range(1, n - 1):
+        out[: len(ok) - j] &= ok[j:]
+        out[max(0, len(ok) - j) :] = False
+    return out
 
-    def __init__(self, column, order: int):
-        self.words = w = Words(column)
+
+def send_high(table: pa.Table, answers: pa.Table, order: int, shards: int) -> pa.Table:
+    """Longer n-grams of a block, without those that hold a word pair no other document has: they cannot occur elsewhere."""
+    parts = []
+    if table.num_rows:
+        w = Words(table.column("text"))
         h = w.hashes()
-        self.row = w.row_of_word()
-        last = w.first[1:][self.row] if len(h) else np.zeros(0, np.int64)
-        self.at, self.key, self.number = [], [], []
-        for n in range(1, order + 1):
-            at = np.flatnonzero(np.arange(len(h)) + n <= last)
-            key, number = np.unique(grams(h, n)[at], return_inverse=True)
-            self.at.append(at), self.key.append(key), self.number.append(number)
-
-
-def planes(sorted_keys: np.ndarray) -> np.ndarray:
-    """Sorted 64-bit keys as differences in as few byte planes as they need (the number of planes comes first)."""
-    d = np.diff(sorted_keys, prepend=U(0))
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return np.concatenate([[np.uint8(width)], d.view(np.uint8).reshape(-1, 8)[:, :width].T.ravel()])
-
-
-def unplanes(raw: np.ndarray) -> np.ndarray:
-    width = int(raw[0])
-    n = (len(raw) - 1) // width
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :width] = raw[1:].reshape(width, n).T
-    return np.cumsum(d.view(U).ravel())
-
-
-def shard_cuts(key: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's stretch of the sorted keys begins: shards are equal ranges of the hash."""
-    step = (1 << 64) // shards + 1
-    return np.append(np.searchsorted(key, (np.arange(shards, dtype=object) * step).astype(U)), len(key))
-
-
-def send(table: pa.Table, order: int, shards: int) -> pa.Table:
-    g = Grams(table.column("text"), order)
-    block, to, what = table.column("block")[0].as_py(), [], []
-    cuts = [shard_cuts(k, shards) for k in g.key]
-    counts = [np.bincount(n, minlength=len(k)) for n, k in zip(g.number, g.key, strict=True)]
-    for s in range(shards):
-        parts = [(k[c[s] : c[s + 1]], n[c[s] : c[s + 1]]) for k, c, n in zip(g.key, cuts, counts, strict=True)]
-        if any(len(k) for k, _ in parts):
-            to.append(s)
-            what.append(pack(*[x for k, n in parts for x in (planes(k), n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0)))]))
-    return pa.table({"shard": pa.array(to, pa.int64()), "block": pa.array([block] * len(to), pa.int64()), "body": pa.array(what, pa.binary())})
-
-
-def count(table: pa.Table, order: int) -> pa.Table:
-    """A shard: adds each n-gram's counts and answers every block with the sums, in the order it asked."""
-    shard = table.column("shard")[0].as_py()
-    bodies = table.column("body")
-    sums: list[list[np.ndarray]] = [[] for _ in range(table.num_rows)]
-    for n in range(order):
-        parts = []
-        for b in range(table.num_rows):
-            x = unpack(bodies[b].as_py())
-            parts.append((unplanes(x[2 * n]) if len(x[2 * n]) > 1 else np.zeros(0, U), x[2 * n + 1]))
-        key = np.concatenate([k for k, _ in parts])
-        _, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([c for _, c in parts]).astype(np.float64)).astype(np.int64)[inverse] if len(key) else np.zeros(0, np.int64)
-        at = np.cumsum([0] + [len(k) for k, _ in parts])
-        for b in range(table.num_rows):
-            sums[b].append(total[at[b] : at[b + 1]])
-    body = [pack(*[x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)) for x in own]) for own in sums]
-    return pa.table({"shard": pa.array([shard] * len(body), pa.int64()), "block": table.column("block").combine_chunks(), "body": pa.array(body, pa.binary())})
+        pairs = elsewhere(Grams(w, h, (2,)), w, answers, 2)
+        parts = [Grams(w, h, (n,), possible(pairs, n)).messages(table.column("block")[0].as_py(), shards) for n in range(3, order + 1)]
+    return pa.concat_tables(parts) if parts else pa.table({"shard": pa.array([], pa.int64()), "order": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
 
 
 def score(table: pa.Table, answers: pa.Table, order: int, alpha: float) -> pa.Table:
-    g = Grams(table.column("text"), order)
-    got = dict(zip(answers.column("shard").to_pylist(), answers.column("body"), strict=True))
-    got = {s: unpack(x.as_py()) for s, x in sorted(got.items())}
-    words, n_words = len(g.row), g.words.count
-    left = []  # by order: occurrences in other documents, per n-gram occurrence
-    for n in range(order):
-        total = np.concatenate([x[n].astype(np.int64) for x in got.values()]) if got else np.zeros(0, np.int64)
-        pair = g.row[g.at[n]] * max(1, len(g.key[n])) + g.number[n]
-        _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
-        full = np.zeros(words, np.int64)
-        full[g.at[n]] = total[g.number[n]] - own[inverse]
-        left.append(full)
+    w = Words(table.column("text"))
+    h, n_words, row = w.hashes(), w.count, w.row_of_word()
     everything = int(table.column("n")[0].as_py() or 0)
-    rest = (everything - n_words)[g.row]
-    # from unigrams up: the longest context whose n-gram is known decides
-    unigram = left[0]
-    value = np.where(unigram > 0, unigram / np.maximum(rest, 1), 1.0 / (rest + 1.0)) if words else np.zeros(0)
-    place = np.arange(words) - g.words.first[:-1][g.row]
+    rest = (everything - n_words)[row]
+    g = Grams(w, h, (1,))
+    context = elsewhere(g, w, answers, 1)
+    value = np.where(context > 0, context / np.maximum(rest, 1), 1.0 / (rest + 1.0))
+    place = np.arange(len(row)) - w.first[:-1][row]
+    # from single words up: the longest context whose n-gram is known decides
+    pairs = None
     for n in range(2, order + 1):
+        whole = elsewhere(Grams(w, h, (n,), None if n == 2 else possible(pairs, n)), w, answers, n)
+        pairs = whole if n == 2 else pairs
         can = np.flatnonzero(place >= n - 1)
-        whole = left[n - 1][can - (n - 1)]
-        context = left[n - 2][can - (n - 1)]
-        value[can] = np.where(whole > 0, whole / np.maximum(context, 1), alpha * value[can])
-    logs = np.bincount(g.row, np.log(value), minlength=len(n_words)) if words else np.zeros(len(n_words))
+        start = can - (n - 1)
+        value[can] = np.where(whole[start] > 0, whole[start] / np.maximum(context[start], 1), alpha * value[can])
+        context = whole
+    logs = np.bincount(row, np.log(value), minlength=len(n_words)) if len(row) else np.zeros(len(n_words))
     mean = pa.array(logs / np.maximum(n_words, 1), mask=n_words == 0)
     known = table.column("known").to_numpy(zero_copy_only=False)
     return pa.table({"id": pa.array(table.column("id").to_numpy(), mask=~known), "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(logs), "mean_log_score": mean})
 
 
-def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 4 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score), natural logarithms; counts come from all of docs."""
     kind = dict(docs.select(doc_id).dtypes)[doc_id]
     sums = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.sum(F.size(words_of(F.col(text))).cast("long")).alias("n")).first()
@@ -134,8 +137,10 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks, shards = pieces(total, block_bytes), pieces(total, shard_bytes)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"), F.lit(n).cast("long").alias("n"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    sent = rows.groupBy("block").applyInArrow(lambda t: send(t, order, shards), "shard long, block long, body binary")
-    answers = sent.groupBy("shard").applyInArrow(lambda t: count(t, order), "shard long, block long, body binary")
+    message = "shard long, order int, block long, body binary"
+    low = rows.groupBy("block").applyInArrow(lambda t: send_low(t, shards), message).groupBy("shard", "order").applyInArrow(count, message)
+    high = rows.groupBy("block").cogroup(low.groupBy("block")).applyInArrow(lambda t, a: send_high(t, a, order, shards), message)
+    answers = low.unionByName(high.groupBy("shard", "order").applyInArrow(count, message))
     out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: score(t, a, order, alpha), "id long, n_words long, log_score double, mean_log_score double")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)
 

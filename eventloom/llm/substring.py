@@ -6,7 +6,8 @@ also starts in a document with a smaller id is removed; windows are judged on th
 Documents are dealt into blocks of bounded size. A block cuts each document into runs: maximal stretches
 of windows with the same minimizer (the smallest hash of `seed` consecutive words in a window), so equal
 windows always fall into runs with equal minimizers, and a run goes to the one shard its minimizer names. The work
-is linear in the input: no document is matched against every shard. Equal runs of a block travel once, with the smallest
+is linear in the input: no document is matched against every shard. Blocks first ask which of their minimizers occur in
+other blocks; runs that share theirs with no other run are not sent. Equal runs of a block travel once, with the smallest
 and largest id that hold them, so a passage shared by a third of all documents is sent at most once per block.
 
 A shard drops runs whose minimizer nothing else shares, indexes the distinct rest (BWT of word numbers, wavelet
@@ -22,40 +23,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import pieces, text_total
 from eventloom.llm.fm_index import FmIndex, shared_windows
+from eventloom.llm.packing import narrow, pack, planes, shard_cuts, unpack, unplanes
 from eventloom.llm.words import U, Words, grams, mix, span_hashes
 
 LAST = np.iinfo(np.int64).max
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value."""
-    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays))
-
-
-def unpack(raw: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    at = 4 + int.from_bytes(raw[:4], "little")
-    out = []
-    for part in raw[4:at].decode().split(";"):
-        kind, n = part.split(",")
-        out.append(np.frombuffer(raw, kind, int(n), at))
-        at += out[-1].nbytes
-    return out
-
-
-def narrow(a: np.ndarray) -> np.ndarray:
-    """Non-negative integers in as few bytes as hold them."""
-    top = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[i], first[i] + 1, ... for n[i] entries each."""
     total = np.cumsum(n)
@@ -73,7 +51,7 @@ class Runs:
         self.hashes = h
         if not len(at):
             self.start = self.end = self.row = self.number = np.zeros(0, np.int64)
-            self.key, self.of, self.shard_hash = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U)
+            self.key, self.of, self.seed = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U)
             return
         least = window_minimum(grams(h, seed), k - seed + 1)[at]
         new = np.ones(len(at), bool)
@@ -82,7 +60,7 @@ class Runs:
         self.start, self.row = at[first], row[first]
         self.end = at[np.append(first[1:], len(at)) - 1] + k
         self.key, self.of, self.number = np.unique(span_hashes(h, self.start, self.end), return_index=True, return_inverse=True)
-        self.shard_hash = mix(least[first][self.of])  # by distinct run
+        self.seed = mix(least[first][self.of])  # by distinct run
 
 
 def window_minimum(g: np.ndarray, w: int) -> np.ndarray:
@@ -94,19 +72,42 @@ def window_minimum(g: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - span)], m[w - span :]) if w > span else m
 
 
-def send(table: pa.Table, k: int, seed: int, shards: int) -> pa.Table:
-    """A block's distinct runs, one row per shard."""
+def send_seeds(table: pa.Table, k: int, seed: int, shards: int) -> pa.Table:
+    """A block's distinct minimizers, one row per shard (a range of hashes)."""
+    key = np.unique(Runs(Words(table.column("text")), k, seed).seed)
+    cut = shard_cuts(key, shards)
+    full = np.flatnonzero(np.diff(cut))
+    block = table.column("block")[0].as_py()
+    return pa.table({"shard": pa.array(full), "block": pa.array([block] * len(full), pa.int64()), "body": pa.array([pack(planes(key[cut[i] : cut[i + 1]])) for i in full], pa.binary())})
+
+
+def shared_seeds(table: pa.Table) -> pa.Table:
+    """A shard: answers each block which of its minimizers another block has too, one bit each."""
+    keys = [unplanes(unpack(x.as_py())[0]) for x in table.column("body")]
+    _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    shared = np.split(count[inverse] > 1, np.cumsum([len(k) for k in keys])[:-1])
+    body = [pack(np.array([len(x)]), np.packbits(x)) for x in shared]
+    return pa.table({"shard": table.column("shard"), "block": table.column("block"), "body": pa.array(body, pa.binary())})
+
+
+def send(table: pa.Table, answers: pa.Table, k: int, seed: int, shards: int) -> pa.Table:
+    """A block's distinct runs that may have a partner, one row per shard."""
+    if not table.num_rows:
+        return pa.table({"shard": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
     ids = table.column("id").to_numpy()
     runs = Runs(Words(table.column("text")), k, seed)
     n = len(runs.key)
     low, high = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min)
     np.minimum.at(low, runs.number, ids[runs.row])
     np.maximum.at(high, runs.number, ids[runs.row])
-    shard = (runs.shard_hash % U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)) if n else np.zeros(0, np.int64)
+    _, seed_of, count = np.unique(runs.seed, return_inverse=True, return_counts=True)
+    bits = [unpack(x.as_py()) for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("body"), strict=True), key=lambda p: p[0])]
+    shared = np.concatenate([np.unpackbits(x, count=int(m[0])) for m, x in bits]).astype(bool) if bits else np.zeros(0, bool)
+    live = np.flatnonzero(shared[seed_of] | (count[seed_of] > 1) | (low < high)) if n else np.zeros(0, np.int64)
+    shard = (runs.seed % U(shards)).astype(np.int64)
+    live = live[np.argsort(shard[live], kind="stable")]
     to, what = [], []
-    for part in np.split(order, cuts[1:]) if n else []:
+    for part in np.split(live, np.flatnonzero(np.diff(shard[live])) + 1) if len(live) else []:
         a, b = runs.start[runs.of[part]], runs.end[runs.of[part]]
         book, code = np.unique(runs.hashes[spread(a, b - a)], return_inverse=True)
         to.append(int(shard[part[0]]))
@@ -209,7 +210,10 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks, shards = pieces(total, block_bytes), pieces(total, shard_bytes)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    sent = rows.groupBy("block").applyInArrow(lambda t: send(t, k, seed, shards), "shard long, block long, body binary")
+    message = "shard long, block long, body binary"
+    seeds = rows.groupBy("block").applyInArrow(lambda t: send_seeds(t, k, seed, shards), message)
+    shared = seeds.groupBy("shard").applyInArrow(shared_seeds, message)
+    sent = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda t, a: send(t, a, k, seed, shards), message)
     answers = sent.groupBy("shard").applyInArrow(lambda t: search(t, k, seed), "block long, body binary")
     both = rows.groupBy("block").cogroup(answers.groupBy("block"))
     out = both.applyInArrow(lambda t, a: remove(t, a, k, seed), "id long, n_words long, n_removed long, kept_text string")
