@@ -12,7 +12,8 @@ elsewhere count. A document's first words have shorter contexts. c(context) coun
 To keep rows few, a block of documents sends each distinct n-gram once per block with its count there (map-side combine), packed by hash
 shard; a shard adds the counts of all blocks and answers in the same order. Longer n-grams follow once pairs are
 counted: one that holds a word pair no other document has cannot occur elsewhere, its count is 0 and is not asked for. Frequent
-n-grams cost one entry per block. Hashes have 64 bits. Null and empty texts have no words, log score 0 and a null mean. Rows are scored one by
+n-grams cost one entry per block. N-grams are compared by hashes of 28 bits more than the number of words has (64 at most): one shares
+its hash with another with a chance of about 1e-8. Null and empty texts have no words, log score 0 and a null mean. Rows are scored one by
 one; repeated rows are documents of their own (each counts for the others), columns besides id and text stay out.
 """
 
@@ -26,28 +27,28 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import pieces, words_of
 from eventloom.llm.packing import narrow, pack, planes, shard_cuts, unpack, unplanes
-from eventloom.llm.words import Words, grams
+from eventloom.llm.words import U, Words, grams
 
 
 class Grams:
     """N-grams of a block for some orders: where each starts, its number among the block's distinct ones, and their keys."""
 
-    def __init__(self, words: Words, hashes: np.ndarray, orders, keep: np.ndarray | None = None):
+    def __init__(self, words: Words, hashes: np.ndarray, orders, bits: int, keep: np.ndarray | None = None):
         """keep: places where the n-grams of the one order asked for may start; all by default."""
         row = words.row_of_word()
         last = words.first[1:][row] if len(row) else np.zeros(0, np.int64)
-        self.at, self.key, self.number = {}, {}, {}
+        self.at, self.key, self.number, self.bits = {}, {}, {}, bits
         for n in orders:
             fits = np.arange(len(row)) + n <= last
             at = np.flatnonzero(fits if keep is None else fits & keep)
-            key, number = np.unique(grams(hashes, n)[at], return_inverse=True)
+            key, number = np.unique(grams(hashes, n)[at] >> U(64 - bits), return_inverse=True)
             self.at[n], self.key[n], self.number[n] = at, key, number.astype(np.int32)
 
     def messages(self, block: int, shards: int) -> pa.Table:
         """Distinct keys with their counts here, one row per order and shard (a range of hashes)."""
         out: dict[str, list] = {"shard": [], "order": [], "block": [], "body": []}
         for n, key in self.key.items():
-            cut, count = shard_cuts(key, shards), np.bincount(self.number[n], minlength=len(key))
+            cut, count = shard_cuts(key, shards, self.bits), np.bincount(self.number[n], minlength=len(key))
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[s], cut[s + 1])
                 for name, x in zip(out, (s, n, block, pack(planes(key[part]), narrow(count[part]))), strict=True):
@@ -55,10 +56,10 @@ class Grams:
         return pa.table({"shard": pa.array(out["shard"], pa.int64()), "order": pa.array(out["order"], pa.int32()), "block": pa.array(out["block"], pa.int64()), "body": pa.array(out["body"], pa.binary())})
 
 
-def send_low(table: pa.Table, shards: int) -> pa.Table:
+def send_low(table: pa.Table, shards: int, bits: int) -> pa.Table:
     """Words and word pairs of a block."""
     w = Words(table.column("text"))
-    return Grams(w, w.hashes(), (1, 2)).messages(table.column("block")[0].as_py(), shards)
+    return Grams(w, w.hashes(), (1, 2), bits).messages(table.column("block")[0].as_py(), shards)
 
 
 def count(table: pa.Table) -> pa.Table:
@@ -94,30 +95,30 @@ def possible(pairs: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def send_high(table: pa.Table, answers: pa.Table, order: int, shards: int) -> pa.Table:
+def send_high(table: pa.Table, answers: pa.Table, order: int, shards: int, bits: int) -> pa.Table:
     """Longer n-grams of a block, without those that hold a word pair no other document has: they cannot occur elsewhere."""
     parts = []
     if table.num_rows:
         w = Words(table.column("text"))
         h = w.hashes()
-        pairs = elsewhere(Grams(w, h, (2,)), w, answers, 2)
-        parts = [Grams(w, h, (n,), possible(pairs, n)).messages(table.column("block")[0].as_py(), shards) for n in range(3, order + 1)]
+        pairs = elsewhere(Grams(w, h, (2,), bits), w, answers, 2)
+        parts = [Grams(w, h, (n,), bits, possible(pairs, n)).messages(table.column("block")[0].as_py(), shards) for n in range(3, order + 1)]
     return pa.concat_tables(parts) if parts else pa.table({"shard": pa.array([], pa.int64()), "order": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
 
 
-def score(table: pa.Table, answers: pa.Table, order: int, alpha: float) -> pa.Table:
+def score(table: pa.Table, answers: pa.Table, order: int, alpha: float, bits: int) -> pa.Table:
     w = Words(table.column("text"))
     h, n_words, row = w.hashes(), w.count, w.row_of_word()
     everything = int(table.column("n")[0].as_py() or 0)
     rest = (everything - n_words)[row]
-    g = Grams(w, h, (1,))
+    g = Grams(w, h, (1,), bits)
     context = elsewhere(g, w, answers, 1)
     value = np.where(context > 0, context / np.maximum(rest, 1), 1.0 / (rest + 1.0))
     place = np.arange(len(row)) - w.first[:-1][row]
     # from single words up: the longest context whose n-gram is known decides
     pairs = None
     for n in range(2, order + 1):
-        whole = elsewhere(Grams(w, h, (n,), None if n == 2 else possible(pairs, n)), w, answers, n)
+        whole = elsewhere(Grams(w, h, (n,), bits, None if n == 2 else possible(pairs, n)), w, answers, n)
         pairs = whole if n == 2 else pairs
         can = np.flatnonzero(place >= n - 1)
         start = can - (n - 1)
@@ -129,19 +130,20 @@ def score(table: pa.Table, answers: pa.Table, order: int, alpha: float) -> pa.Ta
     return pa.table({"id": pa.array(table.column("id").to_numpy(), mask=~known), "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(logs), "mean_log_score": mean})
 
 
-def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 4 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score), natural logarithms; counts come from all of docs."""
     kind = dict(docs.select(doc_id).dtypes)[doc_id]
     sums = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.sum(F.size(words_of(F.col(text))).cast("long")).alias("n")).first()
     total, n = sums["b"] or 0, sums["n"] or 0
+    bits = min(64, n.bit_length() + 28)
     blocks, shards = pieces(total, block_bytes), pieces(total, shard_bytes)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"), F.lit(n).cast("long").alias("n"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     message = "shard long, order int, block long, body binary"
-    low = rows.groupBy("block").applyInArrow(lambda t: send_low(t, shards), message).groupBy("shard", "order").applyInArrow(count, message)
-    high = rows.groupBy("block").cogroup(low.groupBy("block")).applyInArrow(lambda t, a: send_high(t, a, order, shards), message)
+    low = rows.groupBy("block").applyInArrow(lambda t: send_low(t, shards, bits), message).groupBy("shard", "order").applyInArrow(count, message)
+    high = rows.groupBy("block").cogroup(low.groupBy("block")).applyInArrow(lambda t, a: send_high(t, a, order, shards, bits), message)
     answers = low.unionByName(high.groupBy("shard", "order").applyInArrow(count, message))
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: score(t, a, order, alpha), "id long, n_words long, log_score double, mean_log_score double")
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: score(t, a, order, alpha, bits), "id long, n_words long, log_score double, mean_log_score double")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)
 
 

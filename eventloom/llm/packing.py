@@ -46,7 +46,7 @@ def unplanes(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(d.view(U).ravel())
 
 
-def shard_cuts(key: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's stretch of the sorted keys begins: shards are equal ranges of the hash."""
-    step = (1 << 64) // shards + 1
+def shard_cuts(key: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
+    """Where each shard's stretch of the sorted keys begins: shards are equal ranges of the hash of so many bits."""
+    step = (1 << bits) // shards + 1
     return np.append(np.searchsorted(key, (np.arange(shards, dtype=object) * step).astype(U)), len(key))
