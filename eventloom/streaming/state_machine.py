@@ -1,82 +1,208 @@
-"""The interaction state machine: five states per stream key, one event per completed cycle.
+"""The interaction state machine: per stream key, an event for each completed hand-and-shelf transfer.
 
-outside -> approaching (near the region) -> contact (inside) -> withdrawing (left it) -> event, if the hand changed between empty and
-carrying and the shelf changed to match. A gap between rows over max_gap, or a state held longer than
-timeout, starts over. Rows are fed in time order; state is a fixed-size record, so batch and stream share it.
+A wrist comes near a region (approach), stays (contact), its hand changes between empty and carrying while the shelf
+changes to match (transfer), and leaves (withdrawal). Means of the evidence before and after the transfer decide the type and
+the confidence. The state is a record of fixed size - phase, times, running sums - so that batch and stream share it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
 KEY = ["clip_id", "actor_id", "hand_side", "region_id"]
-OUT = "clip_id string, actor_id string, hand_side string, region_id string, cycle long, type string, t_start double, transfer_s double, t_end double"
-
-
-class Machine:
-    def __init__(self, near: float = 50.0, max_gap: float = 0.5, timeout: float = 3.0, hand: float = 0.55, shelf: float = 0.5, separation: float = 0.5):
-        self.near, self.max_gap, self.timeout, self.hand, self.shelf, self.separation = near, max_gap, timeout, hand, shelf, separation
-        self.last = self.last_event = None
-        self.cycle = 0
-        self.reset()
-
-    def reset(self, t: float | None = None) -> None:
-        self.state, self.since, self.start, self.transfer, self.before, self.after, self.moved = "outside", t, None, None, None, None, None
-
-    def enter(self, state: str, t: float) -> None:
-        self.state, self.since = state, t
-
-    def feed(self, r) -> dict | None:
-        """One observation; the event that it completes, if any."""
-        t = r.timestamp_s
-        if self.last is not None and t - self.last > self.max_gap + 1e-9:
-            self.reset(t)
-        self.last = t
-        if self.state != "outside" and t - self.since > self.timeout + 1e-9:
-            self.reset(t)
-        if self.state == "outside":
-            if r.inside_region or r.distance_px <= self.near:
-                self.start = t
-                self.enter("contact" if r.inside_region else "approaching", t)
-        elif self.state == "approaching":
-            if r.inside_region:
-                self.enter("contact", t)
-            elif r.distance_px > self.near:
-                self.reset(t)
-        if self.state in ("contact", "transfer"):
-            if not r.inside_region:
-                return self.leave(t)
-            held = "empty" if r.hand_empty >= self.hand else "carrying" if r.hand_carrying >= self.hand else None
-            moved = "removed" if r.shelf_removed >= self.shelf else "placed" if r.shelf_placed >= self.shelf else None
-            self.moved = moved or self.moved
-            if held and self.before is None:
-                self.before = held
-            elif held and held != self.before and self.after is None:
-                self.after, self.transfer = held, t
-                self.enter("transfer", t)
+OUT = "clip_id string, actor_id string, hand_side string, region_id string, cycle long, type string, t_start double, transfer_s double, t_end double, confidence double"
+EPS = 1e-9
+#: The two transfers: hand before, hand after, shelf change.
+TRANSFERS = {"pickup": ("empty", "carrying", "removed"), "putdown": ("carrying", "empty", "placed")}
+
+
+@dataclass(frozen=True)
+class Config:
+    near_px: float = 40.0
+    approach_s: float = 0.10
+    contact_s: float = 0.15
+    transfer_s: float = 0.20
+    withdrawal_s: float = 0.10
+    gap_s: float = 0.50
+    timeout_s: float = 3.00
+    separation_s: float = 0.30
+    hand: float = 0.55
+    shelf: float = 0.50
+    uncertainty: float = 0.50
+    confidence: float = 0.50
+    weights: tuple[float, float, float] = (0.40, 0.40, 0.20)
+
+
+@dataclass
+class Mean:
+    """Sums of named values and how often they were added; the mean of nothing is 0."""
+
+    n: int = 0
+    sums: dict = field(default_factory=dict)
+
+    def add(self, **values: float) -> None:
+        self.n += 1
+        for k, v in values.items():
+            self.sums[k] = self.sums.get(k, 0.0) + v
+
+    def __getitem__(self, k: str) -> float:
+        return self.sums.get(k, 0.0) / self.n if self.n else 0.0
+
+
+@dataclass
+class State:
+    """All that is kept between two rows of a key."""
+
+    phase: str = "outside"
+    since: float | None = None
+    start: float | None = None
+    emitted: bool = False
+    cycle: int = 0
+    last_seen: float | None = None
+    last_event: float | None = None
+    before: Mean = field(default_factory=Mean)
+    after: Mean = field(default_factory=Mean)
+
+    def go(self, phase: str, t: float) -> None:
+        self.phase, self.since = phase, t
+
+    def restart(self) -> None:
+        """A new cycle; the times of the last row and the last event survive."""
+        self.phase, self.since, self.start, self.emitted = "outside", None, None, False
+        self.before, self.after = Mean(), Mean()
+        self.cycle += 1
+
+
+def hand(r) -> dict:
+    return {"empty": r.hand_empty, "carrying": r.hand_carrying, "hand_unsure": r.hand_uncertain}
+
+
+def all_evidence(r) -> dict:
+    return hand(r) | {"removed": r.shelf_removed, "placed": r.shelf_placed, "shelf_unsure": r.shelf_uncertain, "track": r.trajectory_confidence}
+
+
+def transfer_type(before: Mean, now, unsure: float, c: Config) -> str | None:
+    if unsure > c.uncertainty:
         return None
+    return next((k for k, (a, b, s) in TRANSFERS.items() if before[a] >= c.hand and now[b] >= c.hand and now[s] >= c.shelf), None)
+
+
+def decided(s: State, c: Config) -> str | None:
+    """The type that the means before and after the transfer agree on."""
+    if not s.before.n or not s.after.n:
+        return None
+    return transfer_type(s.before, s.after, (s.before["hand_unsure"] + s.after["hand_unsure"] + s.after["shelf_unsure"]) / 3, c)
+
+
+def emit(s: State, t: float, c: Config) -> dict | None:
+    """The event of this cycle, unless one was emitted, it is too close to the last, or too uncertain."""
+    kind = None if s.emitted else decided(s, c)
+    if kind is None or (s.last_event is not None and t - s.last_event < c.separation_s - EPS):
+        return None
+    a, b, shelf = TRANSFERS[kind]
+    unsure = round((s.before["hand_unsure"] + s.after["hand_unsure"] + s.after["shelf_unsure"]) / 3, 4)
+    parts = min(round(s.before[a], 4), round(s.after[b], 4)), round(s.after[shelf], 4), round(s.after["track"], 4)
+    sure = round(sum(w * x for w, x in zip(c.weights, parts, strict=True)) * (1 - 0.5 * unsure), 4)
+    sure = max(0.0, min(1.0, sure))
+    if sure < c.confidence:
+        return None
+    s.emitted, s.last_event = True, t
+    return {"cycle": s.cycle, "type": kind, "t_start": s.start or t, "transfer_s": s.since or t, "t_end": t, "confidence": sure}
 
-    def leave(self, t: float) -> dict | None:
-        want = {("empty", "carrying", "removed"): "pickup", ("carrying", "empty", "placed"): "putdown"}.get((self.before, self.after, self.moved))
-        out = None
-        if want and (self.last_event is None or t - self.last_event >= self.separation):
-            out = {"cycle": self.cycle, "type": want, "t_start": self.start, "transfer_s": self.transfer, "t_end": t}
-            self.cycle += 1
-            self.last_event = t
-        self.reset(t)
-        return out
 
+def feed(s: State, r, c: Config) -> dict | None:
+    """One observation, in time order; changes s and returns the event that it completes, if any."""
+    t, d = r.timestamp_s, r.distance_px
+    d = None if d is None or d != d else d
+    if s.last_seen is not None and t - s.last_seen > c.gap_s:
+        s.restart()
+    if s.since is not None and t - s.since > c.timeout_s and s.phase != "outside":
+        s.restart()
+    s.last_seen = t
+    near = bool(r.inside_region) or (d is not None and d <= c.near_px)
+    left = not r.inside_region and d is not None and d > c.near_px
+    held = t - s.since if s.since is not None else 0.0
+    if s.phase == "outside":
+        if near:
+            s.go("approach", t)
+            s.start = t
+    elif s.phase == "approach":
+        if left and d > 2 * c.near_px:
+            s.restart()
+        elif held >= c.approach_s - EPS:
+            s.go("contact", t)
+            s.before = Mean()
+            s.before.add(**hand(r))
+    elif s.phase == "contact":
+        if left:
+            if held < c.contact_s - EPS:
+                s.restart()
+            else:
+                s.go("withdrawal", t)
+        elif transfer_type(s.before, now := all_evidence(r), (now["hand_unsure"] + now["shelf_unsure"]) / 2, c):
+            s.go("transfer", t)
+            s.after = Mean()
+            s.after.add(**now)
+        else:
+            s.before.add(**hand(r))
+    elif s.phase == "transfer":
+        if left:
+            event = emit(s, t, c) if held >= c.transfer_s - EPS else None
+            s.go("withdrawal", t)
+            return event
+        s.after.add(**all_evidence(r))
+        if held >= c.transfer_s - EPS:
+            if decided(s, c) is None:
+                s.go("withdrawal", t)
+            else:
+                return emit(s, t, c)
+    elif near:  # back from withdrawal: evidence and the emitted mark stay
+        s.go("contact", t)
+    elif held >= c.withdrawal_s - EPS:
+        event = emit(s, t, c)
+        s.restart()
+        return event
+    return None
 
-def interaction_events(obs: DataFrame, **config) -> DataFrame:
-    """Events of every stream key in a bounded table, one key at a time per task."""
 
-    def run(key, df: pd.DataFrame) -> pd.DataFrame:
-        m = Machine(**config)
-        found = [e for r in df.sort_values("timestamp_s", kind="stable").itertuples(index=False) if (e := m.feed(r))]
-        out = pd.DataFrame(found, columns=["cycle", "type", "t_start", "transfer_s", "t_end"])
+def interaction_events(obs: DataFrame, config: Config | None = None) -> DataFrame:
+    """Events of every stream key in a bounded table; a key's rows meet in one task, in time order."""
+    c = config or Config()
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        s = State()
+        found = [e for r in df.sort_values("timestamp_s", kind="stable").itertuples(index=False) if (e := feed(s, r, c))]
+        out = pd.DataFrame(found, columns=["cycle", "type", "t_start", "transfer_s", "t_end", "confidence"])
         for i, k in enumerate(KEY):
-            out.insert(i, k, key[i])
+            out.insert(i, k, df[k].iloc[0])
         return out
 
     return obs.groupBy(*KEY).applyInPandas(run, OUT)
+
+
+def stream_interactions(obs: DataFrame, config: Config | None = None) -> DataFrame:
+    """The same machine over a stream with a watermarked column event_time; state is a pickled record of fixed size.
+
+    Rows of a micro-batch are sorted per key; a row older than the key's last one is skipped.
+    """
+    import pickle
+
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    c = config or Config()
+
+    def run(key: tuple, batches, state: GroupState):
+        s = pickle.loads(state.get[0]) if state.exists else State()
+        rows = pd.concat(list(batches)).sort_values("timestamp_s", kind="stable")
+        rows = rows[rows["timestamp_s"] >= s.last_seen] if s.last_seen is not None else rows
+        found = [e for r in rows.itertuples(index=False) if (e := feed(s, r, c))]
+        state.update((pickle.dumps(s),))
+        out = pd.DataFrame(found, columns=["cycle", "type", "t_start", "transfer_s", "t_end", "confidence"])
+        for i, k in enumerate(KEY):
+            out.insert(i, k, key[i])
+        yield out
+
+    return obs.groupBy(*KEY).applyInPandasWithState(run, OUT, "record binary", "append", GroupStateTimeout.NoTimeout)
