@@ -214,12 +214,15 @@ def test_chroma_aligns_shifted_copies(spark, nothing):
     rng = np.random.default_rng(3)
     tone = (128 + 50 * np.sin(np.cumsum(rng.choice([0.2, 0.35, 0.5, 0.8], 40).repeat(150))) + rng.normal(0, 1, 6000)).clip(0, 255).astype(np.uint8)
     other = (128 + 50 * np.sin(np.cumsum(rng.choice([0.25, 0.4, 0.6, 0.9], 40).repeat(150)))).clip(0, 255).astype(np.uint8)
-    audio = [(50, tone.tobytes()), (3, tone.tobytes()), (4, tone[1600:].tobytes()), (5, other.tobytes()), (6, b""), (7, None), (8, b"x" * 100), (None, tone.tobytes())]
+    audio = [(50, tone.tobytes()), (3, tone.tobytes()), (4, tone[1600:].tobytes()), (5, other.tobytes()), (6, b""), (7, None), (8, b"x" * 100), (None, tone.tobytes()), (9, np.where(np.arange(6000) > 4500, other, tone).tobytes())]
     prints = chroma.fingerprint_table(spark.createDataFrame(audio, "doc_id long, audio binary"), audio="audio").cache()
     members, pairs = chroma.align(prints, chroma.F.col("doc_id") % 50 == 0)
-    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {50: 3, 3: 3, None: 3, 4: 4, 5: 5, 6: None, 7: None, 8: None}
-    got = pairs.collect()
-    assert [(r["query_class"], r["class_id"], r["offset"], r["bit_errors"]) for r in got] == [(3, 4, -50, 0)]
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {50: 3, 3: 3, None: 3, 4: 4, 5: 5, 6: None, 7: None, 8: None, 9: 9}
+    assert [(r["query_class"], r["class_id"], r["offset"], r["bit_errors"]) for r in pairs.filter("class_id = 4").collect()] == [(3, 4, -50, 0)]
+    fp = {r["doc_id"]: np.array(r["fp"], np.int32).view(np.uint32) for r in prints.collect()}
+    _, loose = chroma.align(prints, chroma.F.col("doc_id") % 50 == 0, max_ber=1.0)
+    (far,) = loose.filter("class_id = 9").collect()
+    assert far["offset"] == 0 and far["bit_errors"] == np.bitwise_count(fp[3] ^ fp[9]).sum() > 0
     assert chroma.fingerprint_table(nothing).collect() == []
 
 
