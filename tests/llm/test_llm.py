@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -226,6 +227,16 @@ def test_chroma_aligns_shifted_copies(spark, nothing):
     assert chroma.fingerprint_table(nothing).collect() == []
 
 
+def test_fingerprints_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(5)
+    audio = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 255, 256, 479, 480, 700, 5000)] + [b"\x90" * 2000]
+    for a, b in zip(chroma.fingerprints(pa.array(audio, pa.binary())), audio, strict=True):
+        (alone,) = chroma.fingerprints(pa.array([b], pa.binary()))
+        assert a.tolist() == alone.tolist()
+        assert len(a) == max(0, (len(b) - chroma.FRAME) // chroma.HOP + 2 - chroma.SPAN)
+    assert not chroma.chroma(np.full(600, 144, np.uint8), np.array([0, 32])).any()
+
+
 def test_quality_classifier_holds_out(spark, docs, nothing):
     sf = SF.replace("0.001", "0.01")
     scored = knn_quality.op3_knn_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
