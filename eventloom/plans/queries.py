@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.geometry import point_in_polygon, point_polygon_distance
 from eventloom.functions.intervals import bounded_context, midpoint_distance, tiou
-from eventloom.operators import dataset, decode, evaluate, intervals, windows
+from eventloom.operators import dataset, decode, evaluate, intervals, precision, sampling, trajectories, windows
 from eventloom.plans.fixtures import REGIONS, regions, view, with_views
+from eventloom.sources import tables
 from eventloom.streaming.state_machine import interaction_events
 
 _QUERIES: dict = {}
@@ -302,6 +303,79 @@ def clip_universe(spark, sf):
     return both.groupBy("clip_id").agg(F.bool_or(F.col("src") == "gt").alias("in_gt"), F.bool_or(F.col("src") == "pred").alias("in_pred"))
 
 
+_POSE = """, o AS (SELECT *, wrist_x < 700 AS inside FROM fx_pose) """
+_TRACK = ["clip_id", "actor_id"]
+
+
+def _pose(spark, sf):
+    return view(spark, sf, "fx_pose").withColumn("inside", F.col("wrist_x") < 700)
+
+
+@query(_POSE + """, l AS (SELECT *, lag(inside) OVER w li, lag(t_h) OVER w lt, lag(wrist_x) OVER w x1, lag(wrist_y) OVER w y1, lag(wrist_x, 2) OVER w x2, lag(wrist_y, 2) OVER w y2, lag(wrist_x, 4) OVER w x4, lag(wrist_y, 4) OVER w y4 FROM o WINDOW w AS (PARTITION BY clip_id, actor_id ORDER BY t_h, sample_index)),
+ e AS (SELECT *, inside AND NOT coalesce(li, false) entered, sqrt((x2 - x4) * (x2 - x4) + (y2 - y4) * (y2 - y4)) m1, sqrt((wrist_x - x2) * (wrist_x - x2) + (wrist_y - y2) * (wrist_y - y2)) m2 FROM l),
+ g AS (SELECT *, max(CASE WHEN entered THEN t_h END) OVER (PARTITION BY clip_id, actor_id ORDER BY t_h, sample_index ROWS UNBOUNDED PRECEDING) entry FROM e)
+ SELECT sample_index, clip_id, entered, CASE WHEN inside THEN t_h - entry ELSE 0 END AS dwell_s, round(CASE WHEN t_h > lt THEN sqrt((wrist_x - x1) * (wrist_x - x1) + (wrist_y - y1) * (wrist_y - y1)) / (t_h - lt) ELSE 0 END, 6) AS speed, coalesce(m1 > 1e-9 AND m2 > 1e-9 AND ((x2 - x4) * (wrist_x - x2) + (y2 - y4) * (wrist_y - y2)) / CASE WHEN m1 * m2 > 0 THEN m1 * m2 END < -0.5, false) AS reversal FROM g""")
+def region_measurements(spark, sf):
+    return trajectories.region_measurements(_pose(spark, sf), _TRACK).select("sample_index", "clip_id", "entered", "dwell_s", F.round("speed", 6).alias("speed"), "reversal")
+
+
+@query(""", d AS (SELECT clip_id, actor_id, t_h - lag(t_h) OVER (PARTITION BY clip_id, actor_id ORDER BY t_h) x FROM fx_pose), s AS (SELECT clip_id, actor_id, list(x ORDER BY x) FILTER (WHERE x > 0) xs FROM d GROUP BY ALL)
+ SELECT clip_id, actor_id, greatest(0.75e0, least(40e0, 1.5e0 * xs[len(xs) // 2 + 1])) AS gap FROM s""")
+def cadence_gap(spark, sf):
+    return trajectories.cadence_gap(view(spark, sf, "fx_pose"), _TRACK, most=40.0)
+
+
+@query(_POSE + """, c AS (SELECT clip_id, actor_id, t_h, bool_or(inside AND wrist_confidence >= 0.1) ok, max(wrist_confidence) confidence FROM o GROUP BY ALL),
+ a AS (SELECT *, lag(t_h) OVER w bt, lag(ok) OVER w bok FROM c WINDOW w AS (PARTITION BY clip_id, actor_id ORDER BY t_h)),
+ b AS (SELECT *, sum(CASE WHEN t_h - bt > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, actor_id ORDER BY t_h ROWS UNBOUNDED PRECEDING) st FROM a),
+ q AS (SELECT *, lag(t_h) OVER w lt, lag(st) OVER w ls FROM b WHERE ok WINDOW w AS (PARTITION BY clip_id, actor_id ORDER BY t_h)),
+ i AS (SELECT *, sum(CASE WHEN lt IS NULL OR ls <> st OR (NOT bok AND bt - lt > 8) THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, actor_id ORDER BY t_h ROWS UNBOUNDED PRECEDING) isl FROM q)
+ SELECT clip_id, actor_id, min(t_h) t_start, max(t_h) t_end, count(*) n_rows, round(avg(confidence), 9) mean_confidence FROM i GROUP BY clip_id, actor_id, isl HAVING max(t_h) - min(t_h) >= 2""")
+def raw_interactions(spark, sf):
+    obs = _pose(spark, sf).withColumnRenamed("wrist_confidence", "confidence")
+    return trajectories.raw_interactions(obs, _TRACK, max_gap=60.0, tolerance=8.0, min_duration=2.0).withColumn("mean_confidence", F.round("mean_confidence", 9))
+
+
+@query(""", o AS (SELECT *, wrist_x < 300 AND wrist_y < 300 AS inside, abs(wrist_x - 150) + abs(wrist_y - 150) AS distance FROM fx_pose), l AS (SELECT *, lag(inside) OVER (PARTITION BY clip_id, actor_id ORDER BY t_h, sample_index) li FROM o)
+ SELECT clip_id, actor_id, coalesce(min(t_h) FILTER (WHERE inside AND NOT li), min(t_h) FILTER (WHERE inside), first(t_h ORDER BY distance, t_h)) AS contact_s FROM l GROUP BY clip_id, actor_id""")
+def contact_time(spark, sf):
+    x, y = F.col("wrist_x"), F.col("wrist_y")
+    obs = view(spark, sf, "fx_pose").withColumns({"inside": (x < 300) & (y < 300), "distance": F.abs(x - 150) + F.abs(y - 150)})
+    return trajectories.contact_time(obs, _TRACK)
+
+
+@query(_MATCH + """, h AS (SELECT p.*, p.pred_id IN (SELECT pred_id FROM m) hit FROM fx_pred p), r AS (SELECT *, row_number() OVER w rk, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) tp FROM h WINDOW w AS (PARTITION BY type ORDER BY score DESC, t_start, t_end, clip_id, pred_id)),
+ e AS (SELECT *, max(tp / CAST(rk AS DOUBLE)) OVER (PARTITION BY type ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) env FROM r), s AS (SELECT type, count(*) n_pred, sum(env) FILTER (WHERE hit) area FROM e GROUP BY type)
+ SELECT s.type, n_gt, n_pred, round(area / n_gt, 9) AS ap FROM s JOIN (SELECT type, count(*) n_gt FROM fx_gt GROUP BY type) g ON g.type = s.type""")
+def average_precision(spark, sf):
+    return precision.average_precision(view(spark, sf, "fx_gt"), view(spark, sf, "fx_pred")).withColumn("ap", F.round("ap", 9))
+
+
+@query(""", b AS (SELECT crop_id, list_reduce(list_prepend(0, list_transform(string_split(sha256(concat('42:', crop_id)), ''), lambda c: instr('0123456789abcdef', c) - 1)), lambda a, d: (a * 16 + d) % 10000) AS bucket FROM fx_features WHERE label = 'negative'),
+ r AS (SELECT *, row_number() OVER (ORDER BY bucket, crop_id) n, count(*) OVER () c FROM b) SELECT crop_id, CAST(bucket AS BIGINT) AS bucket FROM r WHERE n <= greatest(1, ceil(0.1 * c))""")
+def qa_sample(spark, sf):
+    return sampling.qa_sample(view(spark, sf, "fx_features").filter("label = 'negative'").select("crop_id"), "crop_id", 0.1)
+
+
+@query(""", o AS (SELECT sample_index, clip_id, CAST(CAST(floor(t_h / 24) AS BIGINT) AS VARCHAR) AS day FROM fx_obs), d AS (SELECT day, row_number() OVER (ORDER BY sha256(concat('42:', day))) r, count(*) OVER () n FROM (SELECT DISTINCT day FROM o))
+ SELECT sample_index, clip_id, o.day, CASE WHEN r <= greatest(1, round_even(n * 0.7, 0)) THEN 'train' WHEN r <= greatest(1, round_even(n * 0.7, 0)) + round_even(n * 0.15, 0) THEN 'val' ELSE 'test' END AS split FROM o JOIN d ON o.day = d.day""")
+def split_by_day(spark, sf):
+    obs = view(spark, sf, "fx_obs").select("sample_index", "clip_id", F.floor(F.col("t_h") / 24).cast("string").alias("day"))
+    return sampling.split_by_day(obs, "day")
+
+
+@query(" SELECT crop_id, label FROM fx_features WHERE vec_id % 3 = 0 UNION ALL SELECT crop_id, label FROM fx_features WHERE vec_id % 3 <> 0 AND label <> 'negative'")
+def append_manifest(spark, sf):
+    f = view(spark, sf, "fx_features")
+    old = f.filter("vec_id % 3 = 0").select("crop_id", "label")
+    return old.unionByName(tables.append_unseen(f.filter("vec_id % 3 = 0 or label <> 'negative'").select("crop_id", "label"), old))
+
+
+@query(" SELECT crop_id FROM fx_features WHERE split = 'train' AND label IN ('pickup', 'putdown') AND clip_id IN (SELECT clip_id FROM fx_clips)")
+def filter_manifest(spark, sf):
+    return tables.filter_manifest(view(spark, sf, "fx_features"), view(spark, sf, "fx_clips"), split="train", label=["pickup", "putdown"]).select("crop_id")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from eventloom.operators import decode, evaluate, intervals
+from eventloom.operators import decode, evaluate, intervals, precision, trajectories
 from eventloom.operators.evaluate import solve
 from eventloom.streaming.state_machine import Config, State, feed
 
@@ -73,3 +73,40 @@ def test_state_machine_cycle():
     assert run(observations(20, shelf_removed=0.1)) == []
     assert run(observations(20, hand_carrying=0.1)) == []
     assert run(observations(9)) == []
+
+
+def ap(spark, gt, pred):
+    g, p = frames(spark, gt, [x[:3] for x in pred])
+    scores = spark.createDataFrame([(f"p{i}", x[3]) for i, x in enumerate(pred)], "pred_id string, score double")
+    return {r["type"]: r["ap"] for r in precision.average_precision(g, p.drop("score").join(scores, "pred_id")).collect()}
+
+
+def test_average_precision_golden_cases(spark):
+    one = [("pickup", 0, 10)]
+    assert ap(spark, one, [("pickup", 0, 10, 0.9), ("pickup", 0, 10, 0.8)]) == {"pickup": 1.0}
+    assert ap(spark, one, [("pickup", 50, 60, 0.9), ("pickup", 0, 10, 0.8), ("putdown", 0, 10, 0.5)]) == {"pickup": 0.5, "putdown": None}
+    assert ap(spark, [*one, ("pickup", 1, 11)], [("pickup", 1, 11, 0.8), ("pickup", 0, 10, 0.9), ("pickup", 1, 11, 0.1)]) == {"pickup": 1.0}
+
+
+def test_raw_interactions_equal_a_loop(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for k in range(60):
+        t, last, start, missed = 0.0, None, None, False
+        steps = []
+        for _ in range(rng.randint(1, 25)):
+            t += rng.choice([0.5, 1.0, 1.5, 4.0])
+            steps.append((t, rng.random() < 0.6))
+        for j, (t, ok) in enumerate(steps):
+            rows.append((k, t, ok, 0.9))
+            before = steps[j - 1][0] if j else None
+            if start is not None and (t - before > 3 or (not ok and t - last > 1.0)):
+                want.append((k, start, last))
+                start = None
+            if ok:
+                start, last = (t if start is None else start), t
+        if start is not None:
+            want.append((k, start, last))
+    df = spark.createDataFrame(rows, "k int, t_h double, inside boolean, confidence double")
+    got = trajectories.raw_interactions(df, ["k"], max_gap=3.0, tolerance=1.0)
+    assert sorted((r["k"], r["t_start"], r["t_end"]) for r in got.collect()) == sorted(want)
