@@ -227,6 +227,47 @@ def test_chroma_aligns_shifted_copies(spark, nothing):
     assert chroma.fingerprint_table(nothing).collect() == []
 
 
+def brute_alignments(qs, ds, least=12, max_ber=0.1):
+    """(query, recording) with their passing offsets, over all pairs and offsets."""
+    out = {}
+    for i, q in qs.items():
+        for j, d in ds.items():
+            for o in range(least - len(q), len(d) - least + 1) if i != j else ():
+                a, b = q[max(0, -o) :], d[max(0, o) :]
+                n = min(len(a), len(b))
+                if n >= least and round((e := int(np.bitwise_count(a[:n] ^ b[:n]).sum())) / (32 * n), 6) <= max_ber:
+                    out.setdefault((i, j), set()).add((o, n, e))
+    return out
+
+
+def test_chroma_finds_pairs_without_equal_integers(spark):
+    rng = np.random.default_rng(11)
+
+    def noise(n):
+        return rng.integers(0, 1 << 32, n, dtype=np.uint32)
+
+    a, frame, long = noise(40), noise(12), noise(1500)
+    flip = np.uint32(1) << rng.integers(0, 32, 40).astype(np.uint32)
+    fps = {50: a, 1: a ^ flip, 2: (a ^ flip)[20:], 3: np.append((a ^ flip)[28:], noise(30)), 100: np.concatenate([frame, noise(20), frame]), 4: np.append(frame, noise(25)), 150: long, 5: long[700:] ^ np.uint32(5), 6: noise(11), 7: noise(60), 8: np.append(noise(9), a[:12])}
+    rows = [(k, [int(x) for x in v.view(np.int32)], k, len(v)) for k, v in fps.items()]
+    prints = spark.createDataFrame(rows, "doc_id long, fp array<int>, k1 long, k2 long")
+    want = brute_alignments({k: fps[k] for k in (50, 100, 150)}, fps)
+    assert {(50, 1), (50, 2), (50, 3), (50, 8), (100, 4), (150, 5)} <= set(want)
+    for side in (1 << 21, 30):
+        got = {(r["query_class"], r["class_id"]): (r["offset"], r["overlap"], r["bit_errors"]) for r in chroma.align(prints, chroma.F.col("doc_id") % 50 == 0, side=side)[1].collect()}
+        assert got.keys() == want.keys() and all(got[k] in want[k] for k in want)
+
+
+def test_chroma_query_equals_brute_force(spark):
+    fp = {r["doc_id"]: np.array(r["fp"], np.int32).view(np.uint32) for r in chroma.fingerprint_table(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    rows = chroma.op4_chroma_alignment(spark, SF).collect()
+    of = {r["doc_id"]: r["class_id"] for r in rows if r["match_id"] is None}
+    asked = {c for d, c in of.items() if d % 50 == 0 and c is not None}
+    want = brute_alignments({c: fp[c] for c in asked}, {c: fp[c] for c in of.values() if c is not None})
+    got = {(r["doc_id"], r["match_id"]): (r["offset"], r["overlap"], r["bit_errors"]) for r in rows if r["match_id"] is not None}
+    assert got.keys() == want.keys() and all(got[k] in want[k] for k in want)
+
+
 def test_fingerprints_do_not_depend_on_the_batch():
     rng = np.random.default_rng(5)
     audio = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 255, 256, 479, 480, 700, 5000)] + [b"\x90" * 2000]
