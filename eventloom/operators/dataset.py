@@ -80,3 +80,9 @@ def track_summaries(obs: DataFrame, max_gap: float, min_obs: int, min_duration:
     runs = rows.groupBy("clip_id", "track_key", "run").agg(F.min("t_h").alias("first_seen"), F.max("t_h").alias("last_seen"), F.count("*").alias("n_observations"), F.coalesce(F.max(inside), F.lit(0.0)).alias("max_gap"), F.min("confidence").alias("least"))
     ok = (F.col("n_observations") >= min_obs) & (F.col("last_seen") - F.col("first_seen") >= min_duration) & (F.col("least") >= min_confidence)
     return runs.withColumn("is_stable", F.bool_or(ok).over(Window.partitionBy("clip_id", "track_key"))).drop("least")
+
+
+def with_stability(obs: DataFrame, max_gap: float, min_obs: int, min_duration: float, min_confidence: float) -> DataFrame:
+    """obs with is_stable of their track, as track_summaries has it."""
+    tracks = track_summaries(obs, max_gap, min_obs, min_duration, min_confidence).select(F.col("clip_id").alias("__c"), F.col("track_key").alias("__t"), "is_stable").distinct()
+    return obs.join(tracks, F.col("clip_id").eqNullSafe(F.col("__c")) & F.col("track_key").eqNullSafe(F.col("__t"))).drop("__c", "__t")

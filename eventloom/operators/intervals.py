@@ -49,13 +49,24 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: f
 
 
 def active_spans(obs: DataFrame, time: str = "t_h", radius: float = 0.5, gap: float = 6.0, length: float = 720.0) -> DataFrame:
-    """Observations widened by radius, clamped to the clip, merged and numbered."""
+    """Observations widened by radius, clamped to the clip, merged and numbered. Where obs has is_stable, only stable ones count."""
+    if "is_stable" in obs.columns:
+        obs = obs.filter("is_stable")
     lo, hi = F.greatest(F.lit(0.0), F.col(time) - radius), F.least(F.lit(length), F.col(time) + radius)
     spread = obs.select("clip_id", lo.alias("t_start"), hi.alias("t_end")).filter("t_start < t_end")
     spans = merge_intervals(spread, ["clip_id"], "t_start", "t_end", gap)
     return spans.select("clip_id", F.concat_ws(":", "clip_id", F.lit("active"), F.format_string("%03d", F.col("island"))).alias("active_span_id"), "t_start", "t_end", F.lit(0).alias("n_person_tracks"))
 
 
+def clip_summary(clips: DataFrame, obs: DataFrame, spans: DataFrame) -> DataFrame:
+    """One row per clip, also without spans: distinct stable tracks of obs (clip_id, track_key, is_stable), and the spans' extent."""
+    tracks = obs.filter("is_stable").groupBy("clip_id").agg(F.count_distinct("track_key").alias("n_person_tracks"))
+    extent = spans.groupBy("clip_id").agg(F.count("*").alias("n_spans"), F.min("t_start").alias("active_start_s"), F.max("t_end").alias("active_end_s"), F.sum(F.col("t_end") - F.col("t_start")).alias("active_s"))
+    every = clips.select("clip_id").union(obs.select("clip_id")).distinct()
+    out = every.join(tracks, "clip_id", "left").join(extent, "clip_id", "left")
+    return out.select("clip_id", F.coalesce("n_person_tracks", F.lit(0)).alias("n_person_tracks"), F.col("n_spans").isNotNull().alias("has_person"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "active_start_s", "active_end_s", F.coalesce("active_s", F.lit(0.0)).alias("active_s"))
+
+
 def assign_label(candidates: DataFrame, events: DataFrame, ratio: float = 0.5) -> DataFrame:
     """Best-overlapping event per candidate, overlap as a share of the candidate; negative below ratio. Ties: (t_start, event_id)."""
     pairs = overlap_join(candidates.select("candidate_id", "clip_id", "raw_start_s", "raw_end_s"), events.select("clip_id", "event_id", "type", "t_start", "t_end"), ["clip_id"], "raw_start_s", "raw_end_s", "t_start", "t_end")

@@ -59,6 +59,37 @@ def track_summaries(spark, sf):
     return dataset.track_summaries(view(spark, sf, "fx_obs"), 48.0, 2, 10.0, 0.2)
 
 
+_STABLE = """, sg AS (SELECT *, t_h - lag(t_h) OVER w gap FROM fx_obs WINDOW w AS (PARTITION BY clip_id, track_key ORDER BY t_h, sample_index)),
+ sr AS (SELECT *, sum(CASE WHEN gap > 48 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, track_key ORDER BY t_h, sample_index ROWS UNBOUNDED PRECEDING) run FROM sg),
+ sa AS (SELECT clip_id, track_key, run FROM sr GROUP BY ALL HAVING count(*) >= 2 AND max(t_h) - min(t_h) >= 10 AND min(confidence) >= 0.2),
+ stable AS (SELECT * FROM fx_obs o WHERE EXISTS (SELECT 1 FROM sa WHERE sa.clip_id = o.clip_id AND sa.track_key = o.track_key))"""
+_STABLE_ISLANDS = _STABLE + _ISLANDS.replace("FROM fx_obs", "FROM stable")
+
+
+def _stable_obs(spark, sf):
+    return dataset.with_stability(view(spark, sf, "fx_obs"), 48.0, 2, 10.0, 0.2)
+
+
+@query(_STABLE_ISLANDS + "SELECT * FROM spans")
+def stable_active_spans(spark, sf):
+    return intervals.active_spans(_stable_obs(spark, sf))
+
+
+@query(_STABLE_ISLANDS + """, e AS (SELECT clip_id, count(*) n, min(t_start) lo, max(t_end) hi, sum(t_end - t_start) s FROM spans GROUP BY clip_id),
+ k AS (SELECT clip_id, count(DISTINCT track_key) n FROM stable GROUP BY clip_id), c AS (SELECT clip_id FROM fx_clips UNION SELECT clip_id FROM fx_obs)
+ SELECT c.clip_id, coalesce(k.n, 0) n_person_tracks, e.n IS NOT NULL has_person, coalesce(e.n, 0) n_spans, e.lo active_start_s, e.hi active_end_s, coalesce(e.s, 0) active_s FROM c LEFT JOIN k ON k.clip_id = c.clip_id LEFT JOIN e ON e.clip_id = c.clip_id""")
+def stable_clip_summary(spark, sf):
+    obs = _stable_obs(spark, sf)
+    return intervals.clip_summary(view(spark, sf, "fx_clips"), obs, intervals.active_spans(obs))
+
+
+@query(_STABLE_ISLANDS + "SELECT o.clip_id, o.sample_index FROM fx_obs o WHERE EXISTS (SELECT 1 FROM spans s WHERE s.clip_id = o.clip_id AND o.t_h BETWEEN s.t_start AND s.t_end AND s.t_end - s.t_start > 24)")
+def frames_in_stable_spans(spark, sf):
+    obs = _stable_obs(spark, sf)
+    spans = intervals.active_spans(obs).filter("t_end - t_start > 24")
+    return intervals.overlap_filter(obs, spans, "clip_id", "t_h", "t_h", "t_start", "t_end", keep=True, closed=True).select("clip_id", "sample_index")
+
+
 @query(" SELECT g.event_id, g.clip_id, g.type FROM fx_gt g WHERE NOT EXISTS (SELECT 1 FROM fx_ignore i WHERE i.clip_id = g.clip_id AND g.t_start < i.t_end AND i.t_start < g.t_end)")
 def drop_ignored(spark, sf):
     return intervals.drop_ignored(view(spark, sf, "fx_gt"), view(spark, sf, "fx_ignore")).select("event_id", "clip_id", "type")

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from eventloom.operators import decode, evaluate, intervals, precision, trajectories
+from eventloom.operators import dataset, decode, evaluate, intervals, precision, trajectories
 from eventloom.operators.evaluate import solve
 from eventloom.streaming.state_machine import Config, State, feed
 
@@ -110,3 +110,14 @@ def test_raw_interactions_equal_a_loop(spark):
     df = spark.createDataFrame(rows, "k int, t_h double, inside boolean, confidence double")
     got = trajectories.raw_interactions(df, ["k"], max_gap=3.0, tolerance=1.0)
     assert sorted((r["k"], r["t_start"], r["t_end"]) for r in got.collect()) == sorted(want)
+
+
+def test_spans_and_summaries_are_of_stable_tracks(spark):
+    times = {("a", "x"): [10.0, 15.0, 23.0], ("a", "y"): [2.0, 40.0], ("b", "x"): [5.0], ("c", "x"): [730.0, 745.0]}
+    rows = [(c, k, i, t, 0.1 if k == "y" else 0.9) for (c, k), ts in times.items() for i, t in enumerate(ts)]
+    obs = dataset.with_stability(spark.createDataFrame(rows, "clip_id string, track_key string, sample_index int, t_h double, confidence double"), 48.0, 2, 10.0, 0.2)
+    spans = intervals.active_spans(obs)
+    assert [(r["clip_id"], r["t_start"], r["t_end"]) for r in spans.orderBy("clip_id", "t_start").collect()] == [("a", 9.5, 15.5), ("a", 22.5, 23.5)]
+    clips = spark.createDataFrame([("a",), ("d",)], "clip_id string")
+    got = {r["clip_id"]: tuple(r)[1:] for r in intervals.clip_summary(clips, obs, spans).collect()}
+    assert got == {"a": (1, True, 2, 9.5, 23.5, 7.0), "b": (0, False, 0, None, None, 0.0), "c": (1, False, 0, None, None, 0.0), "d": (0, False, 0, None, None, 0.0)}
