@@ -35,8 +35,8 @@ def source_targets(sized: DataFrame, source: str = "source") -> DataFrame:
     by_ratio = Window.orderBy(F.col("source_size") / F.col("w"), F.col("__src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumns({"t": F.sum("source_size").over(everything), "wt": F.sum("w").over(everything), "sb": F.coalesce(F.sum("source_size").over(by_ratio), F.lit(0)), "wb": F.coalesce(F.sum("w").over(by_ratio), F.lit(0))})
     s = s.withColumn("free", (F.col("t") - CAP * F.col("sb")).cast("double") / (F.col("wt") - F.col("wb")))
-    # the first source, by ratio, that its share does not overfill sets the level for itself and all after it
-    s = s.withColumn("level", F.min(F.when(F.col("free") * F.col("w") <= CAP * F.col("source_size"), F.struct((F.col("source_size") / F.col("w")).alias("r"), F.col("free")))).over(everything)["free"])
+    # the first source, by ratio, that its share does not overfill sets the level for itself and all after it; of equal ratios the first has the largest free
+    s = s.withColumn("level", F.min(F.when(F.col("free") * F.col("w") <= CAP * F.col("source_size"), F.struct((F.col("source_size") / F.col("w")).alias("r"), (-F.col("free")).alias("f")))).over(everything)["f"] * -1)
     s = s.withColumn("target", F.least((CAP * F.col("source_size")).cast("double"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")))
     s = s.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(float(CAP)), F.col("target") / F.col("source_size"))).otherwise(0.0))
     digest = F.substring(F.md5(F.coalesce(F.concat(F.lit("s:"), F.col("__src")), F.lit("null"))), 1, 6)

@@ -211,6 +211,16 @@ def test_mixing_comes_near_targets(docs, nothing, spark):
         assert abs(per[r["source"]] - r["target"]) < 0.02 * r["target"] + 97
 
 
+def test_mixing_level_of_equal_ratios(spark):
+    sizes = {"A": 20, "B": 100, "C": 100, "D": 20}
+    sized = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r["__src"]: r["target"] for r in mixing.source_targets(sized).collect()}
+    level = 240 / 7  # no source is capped: weights 1, 2, 3, 1
+    assert got == pytest.approx({"A": level, "B": 2 * level, "C": 3 * level, "D": level})
+    capped = spark.createDataFrame([("A", 10), ("B", 500), ("C", 500), ("D", 10)], "source string, size long")
+    assert {r["__src"]: r["target"] for r in mixing.source_targets(capped).collect()} == pytest.approx({"A": 30, "B": 384, "C": 576, "D": 30})
+
+
 def test_chroma_aligns_shifted_copies(spark, nothing):
     rng = np.random.default_rng(3)
     tone = (128 + 50 * np.sin(np.cumsum(rng.choice([0.2, 0.35, 0.5, 0.8], 40).repeat(150))) + rng.normal(0, 1, 6000)).clip(0, 255).astype(np.uint8)
