@@ -16,9 +16,20 @@ def hash_bucket(seed: int, key: Column, buckets: int = 10000) -> Column:
 
 
 def qa_sample(negatives: DataFrame, key: str, rate: float, seed: int = 42) -> DataFrame:
-    """ceil(rate x n) rows, at least one, in the order of their hash; a top-k, so no task sorts all rows."""
-    n = max(1, math.ceil(rate * negatives.count()))
-    return negatives.withColumn("bucket", hash_bucket(seed, F.col(key))).orderBy("bucket", key).limit(n)
+    """ceil(rate x n) rows, at least one, in the order of their hash. Buckets below the cut are kept whole, only the cut bucket is ranked."""
+    rows = negatives.withColumn("bucket", hash_bucket(seed, F.col(key)))
+    # at most 10,000 counts; no row but those of the cut bucket is sorted
+    sizes = sorted((r["bucket"], r["count"]) for r in rows.groupBy("bucket").count().collect())
+    take = max(1, math.ceil(rate * sum(n for _, n in sizes)))
+    for cut, n in sizes:
+        if n >= take:
+            break
+        take -= n
+    else:
+        return rows
+    whole = rows.filter(F.col("bucket") < cut)
+    cut = rows.filter(F.col("bucket") == cut).withColumn("__r", F.row_number().over(Window.partitionBy("bucket").orderBy(key))).filter(F.col("__r") <= take)
+    return whole.unionByName(cut.select(*whole.columns))
 
 
 def recording_day(clip: Column) -> Column:

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from eventloom.operators import dataset, decode, evaluate, intervals, precision, trajectories
+from eventloom.operators import dataset, decode, evaluate, intervals, precision, sampling, trajectories
 from eventloom.operators.evaluate import solve
 from eventloom.streaming.state_machine import Config, State, feed
 
@@ -121,3 +121,13 @@ def test_spans_and_summaries_are_of_stable_tracks(spark):
     clips = spark.createDataFrame([("a",), ("d",)], "clip_id string")
     got = {r["clip_id"]: tuple(r)[1:] for r in intervals.clip_summary(clips, obs, spans).collect()}
     assert got == {"a": (1, True, 2, 9.5, 23.5, 7.0), "b": (0, False, 0, None, None, 0.0), "c": (1, False, 0, None, None, 0.0), "d": (0, False, 0, None, None, 0.0)}
+
+
+def test_qa_sample_ranks_only_the_cut_bucket(spark):
+    rows = spark.range(3000).selectExpr("concat('n', id % 2900) k", "id")
+    ranked = [tuple(r) for r in rows.select(sampling.hash_bucket(42, F.col("k")), "k").collect()]
+    for rate, n in ((0.0, 1), (0.1, 300), (0.3337, 1002), (1.0, 3000)):
+        out = sampling.qa_sample(rows, "k", rate)
+        assert sorted((r["bucket"], r["k"]) for r in out.collect()) == sorted(ranked)[:n]
+        assert "TakeOrdered" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "GlobalLimit" not in plan
+    assert sampling.qa_sample(rows.limit(0), "k", 0.1).collect() == []
