@@ -263,19 +263,24 @@ def test_chroma_finds_pairs_without_equal_integers(spark):
     prints = spark.createDataFrame(rows, "doc_id long, fp array<int>, k1 long, k2 long")
     want = brute_alignments({k: fps[k] for k in (50, 100, 150)}, fps)
     assert {(50, 1), (50, 2), (50, 3), (50, 8), (100, 4), (150, 5)} <= set(want)
-    for side in (1 << 21, 30):
+    for side in (1 << 19, 30):
         got = {(r["query_class"], r["class_id"]): (r["offset"], r["overlap"], r["bit_errors"]) for r in chroma.align(prints, chroma.F.col("doc_id") % 50 == 0, side=side)[1].collect()}
         assert got.keys() == want.keys() and all(got[k] in want[k] for k in want)
 
 
-def test_chroma_query_equals_brute_force(spark):
-    fp = {r["doc_id"]: np.array(r["fp"], np.int32).view(np.uint32) for r in chroma.fingerprint_table(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
-    rows = chroma.op4_chroma_alignment(spark, SF).collect()
-    of = {r["doc_id"]: r["class_id"] for r in rows if r["match_id"] is None}
-    asked = {c for d, c in of.items() if d % 50 == 0 and c is not None}
+def test_chroma_recall_against_all_offsets(spark):
+    prints = chroma.fingerprint_table(spark.read.parquet(f"{SF}/documents.parquet")).cache()
+    fp = {r["doc_id"]: np.array(r["fp"], np.int32).view(np.uint32) for r in prints.collect()}
+    members, pairs = chroma.align(prints, chroma.F.col("doc_id") % 10 == 0)
+    of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    asked = {c for d, c in of.items() if d % 10 == 0 and c is not None}
     want = brute_alignments({c: fp[c] for c in asked}, {c: fp[c] for c in of.values() if c is not None})
-    got = {(r["doc_id"], r["match_id"]): (r["offset"], r["overlap"], r["bit_errors"]) for r in rows if r["match_id"] is not None}
-    assert got.keys() == want.keys() and all(got[k] in want[k] for k in want)
+    got = {(r["query_class"], r["class_id"]): (r["offset"], r["overlap"], r["bit_errors"]) for r in pairs.collect()}
+    assert all(got[k] in want[k] for k in got) and len(got) >= 0.9 * len(want)
+    rows = chroma.op4_chroma_alignment(spark, SF).collect()
+    found = {(r["doc_id"], r["match_id"]): (r["offset"], r["overlap"], r["bit_errors"]) for r in rows if r["match_id"] is not None}
+    fifty = {c for d, c in of.items() if d % 50 == 0}
+    assert found == {k: v for k, v in got.items() if k[0] in fifty} and sum(r["match_id"] is None for r in rows) == len(of)
 
 
 def test_fingerprints_do_not_depend_on_the_batch():
