@@ -4,7 +4,8 @@ A text is cut by a pattern; each piece is encoded on its own. A piece that is a
 that token. All others start as single bytes, one row of a matrix each, in buckets of like length. Every
 round looks up the rank of all neighbouring pairs in a hash table, merges the leftmost pair of the
 smallest rank in every row and closes the gap; rows without a mergeable pair leave the matrix. Pieces are
-encoded once per batch and kept in a bounded table of the worker.
+encoded once per batch and kept in a bounded table of the worker. A piece of over LONG bytes would need as many rounds over as
+long a row; it is merged in the same order from a heap of its pairs, so that time stays near linear in its length.
 
 Decoding concatenates the bytes of the ids. Nulls are empty texts and give no ids; rows are encoded one
 by one, so ties and repeated rows need no care. Extra columns stay out of the result. Special tokens
@@ -14,6 +15,7 @@ are never produced: their strings are ordinary text.
 from __future__ import annotations
 
 import base64
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from eventloom.llm.words import slices
 
 NONE = np.int32(1 << 30)  # the rank of what is no token
 _EMPTY = np.int64(-1)
+#: Bytes of the longest row of a matrix.
+LONG = 1 << 12
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -87,6 +91,7 @@ class ByteBpe:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), whole.append(r)
         self.pairs = PairTable((np.array(left, np.int64) << 24) | np.array(right, np.int64), np.array(whole, np.int64))
+        self.rank_of: dict[int, int] = {}
         self.kept: dict[str, bytes] = {}
         self.cached, self.cells = cached, cells
 
@@ -130,6 +135,38 @@ class ByteBpe:
             has = np.flatnonzero(at > 0)
             rank[has, at[has] - 1] = self.pairs.get(ids[has, at[has] - 1], ids[has, at[has]])
 
+    def merge_long(self, raw: bytes) -> bytes:
+        """Ids, as bytes, of one piece: a heap of (rank, place) gives the leftmost pair of the smallest rank, stale entries are passed over."""
+        if not self.rank_of:
+            used = self.pairs.keys != _EMPTY
+            self.rank_of = dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist(), strict=True))
+        flat = self.byte[np.frombuffer(raw, np.uint8)]
+        ranks = self.pairs.get(flat[:-1], flat[1:])
+        rank, ids, n = [*ranks.tolist(), int(NONE)], flat.tolist(), len(raw)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r << 32) | i for i, r in enumerate(rank) if r != NONE]
+        heapq.heapify(heap)
+
+        def look(i: int) -> None:
+            j = after[i]
+            rank[i] = r = self.rank_of.get((ids[i] << 24) | ids[j], int(NONE)) if j < n else int(NONE)
+            if r != NONE:
+                heapq.heappush(heap, (r << 32) | i)
+
+        while heap:
+            top = heapq.heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            if rank[i] != r:
+                continue
+            gone = after[i]
+            ids[i], after[i], rank[gone], ids[gone] = r, after[gone], -1, -1
+            if after[i] < n:
+                before[after[i]] = i
+            look(i)
+            if before[i] >= 0:
+                look(before[i])
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
     def learn(self, pieces: list[str]) -> None:
         """Encodes distinct pieces into self.kept."""
         buckets: dict[int, list[tuple[str, bytes]]] = {}
@@ -138,6 +175,8 @@ class ByteBpe:
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.kept[p] = whole.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                self.kept[p] = self.merge_long(raw)
             else:
                 buckets.setdefault((len(raw) - 1).bit_length(), []).append((p, raw))
         for bits, group in buckets.items():

@@ -2,13 +2,15 @@
 
 Base spans per kind (email, ip, card, phone) are the leftmost non-overlapping matches of a pattern that pass its check.
 
-The field labels regions: runs of neighbouring tokens (no white space inside) with a digit or an at sign.
-Candidate segments are 1 to `max_tokens` neighbouring tokens, stripped of outer punctuation; whole-span features
-(shape, counts, checks, length, the word before) score each with each kind, tokens outside score 0, and
+The field labels regions: runs of neighbouring tokens (no white space inside) with a digit or an at sign, also one spelt (at) or [at].
+Candidate segments are 1 to `max_tokens` neighbouring tokens, stripped of outer punctuation, of 6 to `max_chars` characters: the bound on an
+entity. Whole-span features (shape, counts, checks, length, the word before) score each with each kind, tokens outside score 0, and
 dynamic programming over bounded segments chooses boundaries and kinds jointly. Weights are fitted by gradient ascent
-on the exact semi-Markov likelihood, over at most `sample` regions of the input (those with the smallest hashes of
-their text; the bound is a parameter), labelled by the base spans. Spans of the best labelling
-that overlap no base span and lie `margin` above the outside score are added; base spans always stay.
+on the exact semi-Markov likelihood, over two bounded sets: at most `sample` regions of the input (those with the smallest hashes of
+their text, of at most `region_chars` characters), labelled by the base spans, and `made` regions of examples(), which writes what the base patterns
+miss: numbers of cards side by side or with dots, phones without a plus sign, defanged or spelt-out addresses, and numbers that
+are none of these. Spans of the best labelling that overlap no base span and lie `margin` above the outside score are added; base spans
+always stay. Every step is linear in the text, in tokens and in spans (but for sorting).
 
 Nulls and empty texts have no spans. Offsets are code points, end exclusive. Repeated rows are searched one by one.
 On an empty table the weights are 0 and nothing is added. redact() keeps all columns of its input.
@@ -17,7 +19,9 @@ On an empty table the weights are 0 and nothing is added. redact() keeps all col
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
-REGION = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@+()][^\s]*)*")
+#: What makes a token begin a region, and what lets the next one go on with it.
+TRIGGER = r"[0-9@]|[\[(]at[\])]"
+BEGINS, GOES_ON = re.compile(TRIGGER), re.compile(r"[0-9@+()\[\]]")
+SPELT = re.compile(r"[\[(]at[\])]")
+SPACE = re.compile(r"\s")
 TOKEN = re.compile(r"[^\s]+")
 OUTER = "\"'()<>[]{},.;:!?*#$%&|"
 FEATURES = 1 << 12
@@ -79,24 +87,95 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def segments(text: str, a: int, b: int, max_tokens: int) -> tuple[int, list[tuple[int, int, int, int]]]:
+def regions(text: str):
+    """(start, end) of each region. A token that is only (at) takes its neighbours along."""
+    free, m = 0, BEGINS.search(text)
+    while m:
+        a = m.start()
+        while a > free and not text[a - 1].isspace():
+            a -= 1
+        b = token_end(text, m.start())
+        if SPELT.fullmatch(text, a, b):
+            if a - 1 > free and text[a - 1] == " ":
+                a -= 1
+                while a > free and not text[a - 1].isspace():
+                    a -= 1
+            b = token_end(text, b + 1) if text[b : b + 1] == " " else b
+        while text[b : b + 1] == " " and b + 1 < len(text) and (GOES_ON.search(text, b + 1, to := token_end(text, b + 1)) or 0):
+            b = to
+        yield a, b
+        free = b
+        m = BEGINS.search(text, b)
+
+
+def token_end(text: str, at: int) -> int:
+    m = SPACE.search(text, at)
+    return m.start() if m else len(text)
+
+
+def segments(text: str, a: int, b: int, max_tokens: int, max_chars: int = 80) -> tuple[int, list[tuple[int, int, int, int]]]:
     """Tokens of the region text[a:b], and candidates (first token, last token + 1, start, end)."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
     out = []
     for i in range(len(tokens)):
         for j in range(i + 1, min(i + max_tokens, len(tokens)) + 1):
             s, e = tokens[i][0], tokens[j - 1][1]
-            if e - s > 80:
+            if e - s > max_chars + 16:  # outer punctuation may still go
                 break
             while s < e and text[s] in OUTER and not (text[s] == "(" and j > i + 1):
                 s += 1
             while e > s and text[e - 1] in OUTER:
                 e -= 1
-            if e - s >= 6:
+            if 6 <= e - s <= max_chars:
                 out.append((i, j, s, e))
     return len(tokens), out
 
 
+def luhn_number(rng: random.Random, n: int) -> str:
+    body = "".join(rng.choice("0123456789") for _ in range(n - 1))
+    return body + next(c for c in "0123456789" if luhn(body + c))
+
+
+def examples(n: int, seed: int = 1) -> list[tuple[str, list[Span]]]:
+    """n made regions with their labels: entities in forms that the base patterns miss, next to numbers that are no entities."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(3, 8)))
+
+    def card(sep: str) -> str:
+        x = luhn_number(rng, 16)
+        return sep.join(x[i : i + 4] for i in range(0, 16, 4))
+
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a} {b} {c}", f"00{digits(2)} {a} {b} {c}", f"({a}) {b} {c}"])
+
+    def ip() -> str:
+        return rng.choice(["[.]", "(.)", "[dot]"]).join(str(rng.randint(0, 255)) for _ in range(4))
+
+    def email() -> str:
+        at, dot = rng.choice([("(at)", "."), ("[at]", "."), ("[at]", "[dot]"), ("(at)", "(dot)"), (" (at) ", "."), (" [at] ", ".")])
+        return f"{name()}{rng.choice(['', '.' + name(), digits(2)])}{at}{name()}{dot}{rng.choice(['org', 'com', 'net', 'de'])}"
+
+    def other() -> str:
+        return rng.choice([digits(rng.randint(1, 9)), f"{rng.randint(1900, 2090)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"v{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"{digits(1)}.{digits(2)}", f"x{digits(6)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{name()}_{digits(3)}@", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", "".join(rng.choice("0123456789abcdef") for _ in range(32)), f"({digits(2)})", f"{digits(4)} {digits(4)}"])
+
+    leads = {"email": ["mail", "contact", "write to", ""], "ip": ["host", "from", "server", ""], "card": ["card", "cards", "paid with", ""], "phone": ["call", "tel", "phone", ""], "": ["in", "order", "no", "page", "on", ""]}
+    out = []
+    for _ in range(n):
+        kind = rng.choice([*KINDS, "", ""])
+        lead = rng.choice(leads[kind])
+        text, spans = f"{lead}: " if lead and rng.random() < 0.4 else f"{lead} " if lead else "", []
+        parts = {"email": [email()], "ip": [ip()], "phone": [phone()], "card": [card(""), card("")] if rng.random() < 0.5 else [card(".")], "": [other() for _ in range(rng.randint(1, 3))]}[kind]
+        for k, x in enumerate(parts):
+            text += " " * (k > 0)
+            if kind:
+                spans.append((len(text), kind, len(text) + len(x)))
+            text += x
+        out.append((text + rng.choice(["", ".", ","]), spans))
+    return out
+
+
 def features(text: str, s: int, e: int) -> list[int]:
     """Hashed whole-span features of text[s:e], the same for every process."""
     x = text[s:e]
@@ -156,17 +235,14 @@ def gradient(n: int, found: list, score: np.ndarray) -> np.ndarray:
     return np.exp(p[:, None] + score)
 
 
-def fit(regions: list[str], max_tokens: int = 4, rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
-    """Weights (kind x feature) from texts of regions, each with up to 24 characters before it."""
+def fit(labelled: list[tuple[str, int, list[Span]]], max_tokens: int = 4, max_chars: int = 80, rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
+    """Weights (kind x feature) from (text, where its region begins, spans)."""
     weights = np.zeros((len(KINDS), FEATURES))
     data = []
-    for raw in regions:
-        lead, text = int(raw[:2]), raw[2:]
-        if any(len(DIGITS.sub("", m.group())) > 19 for m in CARD.finditer(text)):
-            continue  # several numbers in a row: the base patterns cannot label them
-        n, found = segments(text, lead, len(text), max_tokens)
+    for text, lead, spans in labelled:
+        n, found = segments(text, lead, len(text), max_tokens, max_chars)
         if found:
-            gold = {(s, e): KINDS.index(k) for s, k, e in base_spans(text) if s >= lead}
+            gold = {(s, e): KINDS.index(k) for s, k, e in spans}
             feats = np.array([features(text, s, e) for _, _, s, e in found])
             want = np.zeros((len(found), len(KINDS)))
             for c, (_, _, s, e) in enumerate(found):
@@ -184,58 +260,72 @@ def fit(regions: list[str], max_tokens: int = 4, rounds: int = 12, rate: float =
     return weights
 
 
-def all_spans(text: str, weights: np.ndarray, max_tokens: int, margin: float) -> list[tuple[int, str, int, bool]]:
+def all_spans(text: str, weights: np.ndarray, max_tokens: int, margin: float, max_chars: int = 80) -> list[tuple[int, str, int, bool]]:
     base = base_spans(text)
     out = [(s, k, e, True) for s, k, e in base]
     if weights.any():
-        for m in REGION.finditer(text):
-            n, found = segments(text, m.start(), m.end(), max_tokens)
-            found = [c for c in found if not any(s < c[3] and c[2] < e for s, _, e in base)]
+        starts, ends = [s for s, _, _ in base], []
+        for _, _, e in base:
+            ends.append(max(e, ends[-1]) if ends else e)
+        for a, b in regions(text):
+            n, found = segments(text, a, b, max_tokens, max_chars)
+            # of the base spans that begin before a candidate ends, the furthest end must not lie in it
+            found = [c for c in found if not (i := bisect_left(starts, c[3])) or ends[i - 1] <= c[2]]
             if found:
                 out += [(found[c][2], KINDS[k], found[c][3], False) for c, k in best_segments(n, found, score_table(text, found, weights), margin)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def train(docs: DataFrame, text: str = "text", sample: int = 1500, max_tokens: int = 4) -> np.ndarray:
-    """Weights from at most `sample` regions of docs."""
+def by_base(text: str, lead: int) -> tuple[str, int, list[Span]] | None:
+    """A region with the labels of the base patterns; None where several numbers in a row may hide some from them."""
+    if any(len(DIGITS.sub("", m.group())) > 19 for m in CARD.finditer(text)):
+        return None
+    return text, lead, [s for s in base_spans(text) if s[0] >= lead]
+
+
+def train(docs: DataFrame, text: str = "text", sample: int = 1500, made: int = 1200, max_tokens: int = 4, max_chars: int = 80, region_chars: int = 300) -> np.ndarray:
+    """Weights from at most `sample` regions of docs and `made` examples; all 0 where docs has no region."""
 
-    def regions(batches):
+    def cut(batches):
         for b in slices(batches, "text"):
             out = []
-            for t in b.column(0).filter(pc.fill_null(pc.match_substring_regex(b.column(0), "[0-9@]"), False)).to_pylist():
-                for m in REGION.finditer(t):
-                    if m.end() - m.start() <= 300:
-                        lead = t[max(0, m.start() - 24) : m.start()]
-                        out.append(f"{len(lead):02d}{lead}{m.group()}")
+            for t in b.column(0).filter(pc.fill_null(pc.match_substring_regex(b.column(0), TRIGGER), False)).to_pylist():
+                for a, z in regions(t):
+                    if z - a <= region_chars:
+                        lead = t[max(0, a - 24) : a]
+                        out.append(f"{len(lead):02d}{lead}{t[a:z]}")
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["region"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(regions, "region string").orderBy(F.xxhash64("region"), "region").limit(sample)
-    return fit(sorted(r["region"] for r in found.collect()), max_tokens)
+    found = docs.select(F.col(text).alias("text")).mapInArrow(cut, "region string").orderBy(F.xxhash64("region"), "region").limit(sample)
+    raw = sorted(r["region"] for r in found.collect())
+    labelled = [x for r in raw if (x := by_base(r[2:], int(r[:2])))]
+    more = [(t, next(iter(regions(t)), (0, 0))[0], spans) for t, spans in examples(made)] if raw else []
+    return fit(labelled + more, max_tokens, max_chars)
 
 
-def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 1500, max_tokens: int = 4, margin: float = 2.0) -> DataFrame:
+def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 1500, max_tokens: int = 4, max_chars: int = 80, margin: float = 2.0) -> DataFrame:
     """(doc_id, spans): array of (kind, start, end, base) by start, then kind as listed in KINDS."""
-    weights = train(docs, text, sample, max_tokens)
+    weights = train(docs, text, sample, max_tokens=max_tokens, max_chars=max_chars)
     kind = dict(docs.select(doc_id).dtypes)[doc_id]
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(batches):
         for b in slices(batches, "text"):
-            likely = pc.fill_null(pc.match_substring_regex(b.column(1), "[0-9@]"), False).to_pylist()
-            spans = [[{"kind": k, "start": s, "end": e, "base": o} for s, k, e, o in all_spans(t.as_py(), weights, max_tokens, margin)] if yes else [] for t, yes in zip(b.column(1), likely, strict=True)]
+            likely = pc.fill_null(pc.match_substring_regex(b.column(1), TRIGGER), False).to_pylist()
+            spans = [[{"kind": k, "start": s, "end": e, "base": o} for s, k, e, o in all_spans(t.as_py(), weights, max_tokens, margin, max_chars)] if yes else [] for t, yes in zip(b.column(1), likely, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(item))], ["doc_id", "spans"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int,base:boolean>>").withColumnRenamed("doc_id", doc_id)
 
 
-def redact(docs: DataFrame, text: str = "text", sample: int = 1500, max_tokens: int = 4, margin: float = 2.0) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", sample: int = 1500, max_tokens: int = 4, max_chars: int = 80, margin: float = 2.0) -> DataFrame:
     """docs with each span, overlapping ones as one, replaced by its kind in brackets; other columns and rows stay."""
-    weights = train(docs, text, sample, max_tokens)
+    weights = train(docs, text, sample, max_tokens=max_tokens, max_chars=max_chars)
 
     def clean(t: str) -> str:
         out, at = [], 0
-        for s, k, e, _ in all_spans(t, weights, max_tokens, margin):
+        for s, k, e, _ in all_spans(t, weights, max_tokens, margin, max_chars):
             if s >= at:
                 out += [t[at:s], f"[{k}]"]
             at = max(at, e)
@@ -244,7 +334,7 @@ def redact(docs: DataFrame, text: str = "text", sample: int = 1500, max_tokens:
     def run(batches):
         for b in slices(batches, text):
             i = b.schema.get_field_index(text)
-            likely = pc.fill_null(pc.match_substring_regex(b.column(i), "[0-9@]"), False).to_pylist()
+            likely = pc.fill_null(pc.match_substring_regex(b.column(i), TRIGGER), False).to_pylist()
             texts = [clean(t.as_py()) if yes else t.as_py() for t, yes in zip(b.column(i), likely, strict=True)]
             yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
 

@@ -4,7 +4,7 @@ Text is cut before each space; a space becomes the mark U+2581, and one is put b
 begins with one. Within a cut, an Aho-Corasick automaton enumerates all vocabulary pieces by their end; dynamic programming keeps, per
 position, the best score and its piece count. Tie rules are those of the Unigram encoder of the public
 `tokenizers` library: only a strictly better score replaces another, and candidates that end at a
-position are met in order of their start. A character that no one-character piece covers may be taken as
+position are met in order of their start. Work is linear in the text. A character that no one-character piece covers may be taken as
 unknown, at the smallest score of the vocabulary less 10; neighbouring unknowns fuse into one, which is then
 written as its bytes where the vocabulary has all of them.
 
@@ -76,7 +76,8 @@ class UnigramCounter:
         score = [0.0] * (n + 1)
         back: list[tuple[int, bool]] = [(0, False)] * (n + 1)
         number = [0] * (n + 1)
-        open_at = [-1] * (n + 1)  # where the run of unknowns that ends here began
+        before = [-1] * (n + 1)  # pieces before the run of unknowns that ends here, -1 where none does
+        size = [0] * (n + 1)  # bytes of that run
         for e in range(1, n + 1):
             best = None
             for a, s in sorted(ends[e]):
@@ -89,8 +90,9 @@ class UnigramCounter:
             if not strange:
                 number[e] = number[a] + 1
             else:
-                open_at[e] = a if open_at[a] < 0 else open_at[a]
-                number[e] = number[open_at[e]] + (len(cut[open_at[e] : e].encode()) if self.byte else 1)
+                before[e] = number[a] if before[a] < 0 else before[a]
+                size[e] = size[a] + len(cut[a].encode())
+                number[e] = before[e] + (size[e] if self.byte else 1)
         return number[n]
 
     def total(self, text: str) -> int:
