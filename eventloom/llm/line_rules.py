@@ -2,10 +2,10 @@
 
 Every line with a word is judged by three rules; a line that breaks one is removed:
 
-* punctuation - it ends without closing punctuation (an optional quote or bracket may follow), or runs of
+* punctuation - it ends without closing punctuation of any of several scripts (quotes or brackets may follow), or runs of
   two or more symbols are at least half as many as its words;
 * navigation - bars, guillemets and angle brackets are at least a third of its words;
-* boilerplate - it names one of BOILERPLATE.
+* boilerplate - it names one of PHRASES, in whatever language the text is.
 
 A document that keeps less than `min_kept` of its words' characters is rejected. The contract's base
 rules (under 50 words; more than half of the words inside repeated 3-word windows) reject as well.
@@ -27,10 +27,19 @@ from eventloom.llm.common import words_of
 from eventloom.llm.words import SEPARATORS
 
 SYMBOLS = "#*$%&|<>"
-CLOSED = r"""[.!?\x{2026}]["')\]\x{BB}\x{201D}]*[\x20\x09-\x0D]*\z"""
+#: Marks that close a sentence, also full-width, Arabic, Urdu, Devanagari, Armenian, Ethiopic, Burmese, Khmer and Tibetan ones, and what may follow them.
+MARKS = ".!?\u2026\u3002\uff01\uff1f\uff0e\uff61\u061f\u06d4\u0964\u0965\u0589\u1362\u104b\u17d4\u0f0d\u037e"
+CLOSERS = "\"')]\xbb\u201d\u2019\u300d\u300f\uff09\u3011"
 RUNS = r"[!?#*$%&|<>=_~-]{2,}"
 BARS = "|<>\xab\xbb\u203a"
-BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "javascript", "click here", "subscribe now", "licensed under", "public license", "copyright (c)")
+#: By language: English, German, French, Spanish. Lower case.
+PHRASES = {
+    "en": ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "javascript", "click here", "subscribe now", "licensed under", "public license", "copyright (c)", "sign up for our newsletter"),
+    "de": ("alle rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "impressum", "hier klicken", "jetzt abonnieren", "newsletter abonnieren"),
+    "fr": ("tous droits r\xe9serv\xe9s", "politique de confidentialit\xe9", "conditions d'utilisation", "mentions l\xe9gales", "cliquez ici", "abonnez-vous"),
+    "es": ("todos los derechos reservados", "pol\xedtica de privacidad", "t\xe9rminos de uso", "aviso legal", "haga clic aqu\xed", "suscr\xedbete"),
+}
+BOILERPLATE = tuple(p for group in PHRASES.values() for p in group)
 
 
 def let(value: Column, use) -> Column:
@@ -42,10 +51,6 @@ def word_chars(text: Column) -> Column:
     return F.length(F.translate(text, SEPARATORS, ""))
 
 
-def has_word(line: Column) -> Column:
-    return word_chars(line) > 0
-
-
 def repeat_words(words: Column, k: int = 3) -> Column:
     """How many words lie in windows of k words that are found twice or more, the first find included."""
 
@@ -70,7 +75,9 @@ def line_fails(line: Column) -> Column:
         return (2 * F.regexp_count(line, F.lit(RUNS)) >= n) | (3 * (F.length(line) - F.length(F.translate(line, BARS, ""))) >= n)
 
     boiler = let(F.lower(line), lambda x: reduce(or_, (F.contains(x, F.lit(p)) for p in BOILERPLATE)))
-    return ~line.rlike(CLOSED) | let(F.size(words_of(line)), noisy) | boiler
+    # the last character before quotes, brackets and blanks closes the line
+    last = F.right(F.rtrim(F.rtrim(line, F.lit(SEPARATORS)), F.lit(CLOSERS)), F.lit(1))
+    return ~F.contains(F.lit(MARKS), last) | let(F.size(words_of(line)), noisy) | boiler
 
 
 def quality(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat: int = 50, min_kept: float = 0.5) -> DataFrame:
@@ -79,18 +86,21 @@ def quality(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat
     cleaned is the text without the lines that fail (lines without words stay); kept is the verdict.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(t, "\n")
-    spoken = let(F.filter(lines, has_word), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    lines = F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), word_chars(x).cast("long").alias("chars")))
     out = docs.withColumns({
-        "word_chars": word_chars(t).cast("long"),
+        "__lines": lines,
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": spoken.cast("long"),
         "__counts": let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r"))),
-        "cleaned": F.array_join(F.filter(lines, lambda x: ~has_word(x) | ~line_fails(x)), "\n"),
     })
-    out = out.withColumns({"n_words": F.col("__counts.n"), "n_repeat_words": F.col("__counts.r"), "kept_chars": word_chars(F.col("cleaned")).cast("long")})
+    chars = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y["chars"])
+    texts = lambda x: F.transform(x, lambda y: y["line"])
+    judged = let(F.col("__lines"), lambda x: F.struct(
+        chars(x).alias("word_chars"), let(texts(F.filter(x, lambda y: y["chars"] > 0)), lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
+        F.filter(x, lambda y: (y["chars"] == 0) | ~line_fails(y["line"])).alias("kept")))
+    out = out.withColumn("__judged", judged).withColumns({"word_chars": F.col("__judged.word_chars"), "n_dup_lines": F.col("__judged.n_dup_lines"), "cleaned": F.array_join(texts(F.col("__judged.kept")), "\n"), "kept_chars": chars(F.col("__judged.kept"))})
+    out = out.withColumns({"n_words": F.col("__counts.n"), "n_repeat_words": F.col("__counts.r")})
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= min_kept * F.col("word_chars"))).drop("__counts")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= min_kept * F.col("word_chars"))).drop("__counts", "__lines", "__judged")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -98,6 +108,8 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: CLOSED of a line, as a pattern: marks, then closers, then blanks.
+CLOSED = rf"[{MARKS}][{CLOSERS.replace(']', chr(92) + ']')}]*[\x20\x09-\x0D]*\z"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 #: The same rows in DuckDB.
 ORACLE = rf"""
@@ -118,7 +130,7 @@ k AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
    NOT regexp_matches(l, '{CLOSED.replace("'", "''")}')
    OR 2 * len(regexp_extract_all(l, '{RUNS}')) >= len({_WORDS.format('l')})
    OR 3 * len(regexp_extract_all(l, '[{BARS}]')) >= len({_WORDS.format('l')})
-   OR {' OR '.join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)})),
+   OR {' OR '.join(f"contains(lower(l), '{p.replace(chr(39), chr(39) * 2)}')" for p in BOILERPLATE)})),
    lambda l: length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')))), 0) AS kept_chars
  FROM g LEFT JOIN c ON g.doc_id = c.d),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM k)
