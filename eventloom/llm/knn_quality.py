@@ -10,7 +10,8 @@ cosine^`power`, each label's votes divided by its share among the sample so that
 
 score is in 0..1, higher where label 1 is likelier. Null and empty texts have a zero vector and get the
 neutral score 0.5, as has every text when no labels are given. Only the text enters the score. Repeated rows score alike.
-Columns besides id and text stay out of the result. Labelled ids that documents lack are ignored, null labels too.
+Columns besides id and text stay out of the result. Labelled ids that documents lack are ignored, null labels and ids with both labels too. Of
+equally near labelled rows at the k-th place those of the smallest ids vote.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def rows_of(batches, column: str, rows: int = 1024):
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int, rank: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(projection, labelled unit vectors, their labels); labels has only rows to learn from."""
-    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").select("id", "y")
     chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 x sample rows
 
@@ -93,6 +94,9 @@ def vote(z: np.ndarray, labelled: np.ndarray, y: np.ndarray, k: int, power: floa
     near = z @ labelled.T
     k = min(k, len(y))
     top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(near, top, 1).min(1)
+    for i in np.flatnonzero((near >= last[:, None]).sum(1) > k):  # ties at the last place go to the first labelled ids
+        top[i] = np.argsort(-near[i], kind="stable")[:k]
     weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** power
     share = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())], np.float64)
     weight /= share[y[top]]

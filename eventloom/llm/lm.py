@@ -12,8 +12,8 @@ elsewhere count. A document's first words have shorter contexts. c(context) coun
 To keep rows few, a block of documents sends each distinct n-gram once per block with its count there (map-side combine), packed by hash
 shard; a shard adds the counts of all blocks and answers in the same order. Longer n-grams follow once pairs are
 counted: one that holds a word pair no other document has cannot occur elsewhere, its count is 0 and is not asked for. Frequent
-n-grams cost one entry per block. N-grams are compared by hashes of 28 bits more than the number of words has (64 at most): one shares
-its hash with another with a chance of about 1e-8. Null and empty texts have no words, log score 0 and a null mean. Rows are scored one by
+n-grams cost one entry per block. N-grams are compared by hashes of 28 bits more than the number of words has, 64 at most: up to 2^36 words
+one shares its hash with another with a chance of under 1e-8, at 2^44 words (about 100 TB) of 1e-6. Null and empty texts have no words, log score 0 and a null mean. Rows are scored one by
 one; repeated rows are documents of their own (each counts for the others), columns besides id and text stay out.
 """
 
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import pieces, words_of
+from eventloom.llm.common import integer_id, pieces, words_of
 from eventloom.llm.packing import narrow, pack, planes, shard_cuts, unpack, unplanes
 from eventloom.llm.words import U, Words, grams
 
@@ -132,13 +132,13 @@ def score(table: pa.Table, answers: pa.Table, order: int, alpha: float, bits: in
 
 def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score), natural logarithms; counts come from all of docs."""
-    kind = dict(docs.select(doc_id).dtypes)[doc_id]
+    kind = integer_id(docs, doc_id)
     sums = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.sum(F.size(words_of(F.col(text))).cast("long")).alias("n")).first()
     total, n = sums["b"] or 0, sums["n"] or 0
     bits = min(64, n.bit_length() + 28)
     blocks, shards = pieces(total, block_bytes), pieces(total, shard_bytes)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"), F.lit(n).cast("long").alias("n"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.when(F.col("known"), F.xxhash64("id")).otherwise(F.xxhash64("text")), F.lit(blocks)))
     message = "shard long, order int, block long, body binary"
     low = rows.groupBy("block").applyInArrow(lambda t: send_low(t, shards, bits), message).groupBy("shard", "order").applyInArrow(count, message)
     high = rows.groupBy("block").cogroup(low.groupBy("block")).applyInArrow(lambda t, a: send_high(t, a, order, shards, bits), message)

@@ -14,7 +14,7 @@ so no link between different texts is lost and rows stay linear. Components of t
 
 Words are runs without white space, A-Z lower-cased; a text of 1 to k-1 words is one shingle; a null or
 empty text has no shingle and is a class of its own. Repeated rows are equal sets, and rows that share a doc_id
-are one document in the result's links. A null doc_id ranks after all others: a class of such rows alone
+are one document in the result's links. Ids are integers; another type raises ValueError. A null doc_id ranks after all others: a class of such rows alone
 has a null component_id and its rows are kept. Columns besides id and text stay out of the result.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import components, written
+from eventloom.llm.common import components, integer_id, written
 from eventloom.llm.words import U, Words, grams, mix, slices, span_hashes
 
 
@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     chunk: shingles of a chunk, about; a tile holds two. kept: doc_id = component_id, or the class has no id.
     """
-    kind = dict(docs.select(doc_id).dtypes)[doc_id]
+    kind = integer_id(docs, doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     # rows without an id get one of their own from the text, below all likely ids
     rows = rows.select("id", F.coalesce("id", F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))).alias("key"), "text")

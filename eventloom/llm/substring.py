@@ -15,7 +15,7 @@ matrix, smallest document per suffix range) and streams the runs through backwar
 reported with the smallest id that holds them. Blocks get back what concerns their runs and mark words.
 
 Words are compared by 64-bit hashes. Null and empty texts have no words. Documents with fewer than k words keep all.
-A null id ranks after all others (several such rows do not remove each other's words). Repeated rows with
+Ids are integers; another type raises ValueError. A null id ranks after all others (several such rows do not remove each other's words). Repeated rows with
 one id are judged alike. Columns besides id and text stay out of the result.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import pieces, text_total
+from eventloom.llm.common import integer_id, pieces, text_total
 from eventloom.llm.fm_index import FmIndex, shared_windows
 from eventloom.llm.packing import narrow, pack, planes, shard_cuts, unpack, unplanes
 from eventloom.llm.words import U, Words, grams, mix, span_hashes
@@ -205,11 +205,11 @@ def remove(table: pa.Table, answers: pa.Table, k: int, seed: int) -> pa.Table:
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 13, seed: int = 4, block_bytes: int = 4 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text), one row per document."""
-    kind = dict(docs.select(doc_id).dtypes)[doc_id]
+    kind = integer_id(docs, doc_id)
     total = text_total(docs, text)
     blocks, shards = pieces(total, block_bytes), pieces(total, shard_bytes)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.when(F.col("known"), F.xxhash64("id")).otherwise(F.xxhash64("text")), F.lit(blocks)))
     message = "shard long, block long, body binary"
     seeds = rows.groupBy("block").applyInArrow(lambda t: send_seeds(t, k, seed, shards), message)
     shared = seeds.groupBy("shard").applyInArrow(shared_seeds, message)
