@@ -1,7 +1,8 @@
 """Corpus pipeline: quality rules, near-dedup, personal data, source mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next
-stage's docs. All but the last return the columns of `documents`.
+stage's docs. All but the last return the columns of docs, which needs doc_id, text and source; others, such as lang and n_chars, may be missing
+or more. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,30 +17,37 @@ from eventloom.llm.common import written
 ORACLE_SQL = None
 
 
+def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows in the columns of docs; n_chars, where docs has it, follows the text."""
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the rules keep; texts stay as they are."""
-    return line_rules.quality(docs).filter("kept").select(*docs.columns)
+    """The documents that the rules keep, without the lines that fail. Null and empty texts go."""
+    return _with_text(line_rules.quality(docs).filter("kept").withColumn("text", F.col("cleaned")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one with the smallest id."""
-    gone = minmax.near_duplicates(docs).filter("not kept").select("doc_id")
+    """One document of each near-duplicate class stays, the one with the smallest id; rows without an id or without words stay."""
+    gone = minmax.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data becomes its kind in brackets; n_chars follows."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    """Every span of personal data becomes its kind in brackets. Null texts stay null."""
+    return _with_text(pii.redact(docs), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: rows are repeated or left out."""
+    """Each document as often as the mix takes it: rows are repeated or left out. A null source is a source of its own."""
     mixed = mixing.mix_sources(docs).filter("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row."""
+    """(doc_id, n_tokens, ids) of every row; a null text has no ids."""
     return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
