@@ -18,40 +18,45 @@ def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, b
     return F.sqrt((x - ax - t * dx) * (x - ax - t * dx) + (y - ay - t * dy) * (y - ay - t * dy))
 
 
-def boundary_distance(x: Column, y: Column, polygon: Column) -> Column:
-    return F.array_min(F.transform(edges(polygon), lambda e: segment_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
+def against(x: Column, y: Column, edge_list: Column) -> Column:
+    """struct(d, odd) from one pass over edges(): the distance to the boundary (infinite without edges), and whether a ray to the right crosses an odd number of edges."""
 
+    def step(acc: Column, e: Column) -> Column:
+        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+        crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.when(by != ay, by - ay).otherwise(1e-30) + ax)
+        return F.struct(F.least(acc["d"], segment_distance(x, y, ax, ay, bx, by)).alias("d"), (acc["odd"] != crossed).alias("odd"))
 
-def crosses(x: Column, y: Column, polygon: Column) -> Column:
-    """Even-odd rule: whether a ray to the right crosses an odd number of edges."""
+    return F.aggregate(edge_list, F.struct(F.lit(float("inf")).alias("d"), F.lit(False).alias("odd")), step)
 
-    def hit(e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        return ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.when(by != ay, by - ay).otherwise(1e-30) + ax)
 
-    return F.size(F.filter(edges(polygon), hit)) % 2 == 1
+def inside_and_distance(x: Column, y: Column, edge_list: Column) -> Column:
+    """struct(inside, distance) of a polygon of 3 or more edges: the boundary (within 1e-9) is inside, the distance is 0 there."""
+    inside = lambda s: s["odd"] | (s["d"] <= 1e-9)
+    return F.transform(F.array(against(x, y, edge_list)), lambda s: F.struct(inside(s).alias("inside"), F.when(inside(s), 0.0).otherwise(s["d"]).alias("distance")))[0]
 
 
 def point_in_polygon(x: Column, y: Column, polygon: Column, inclusive: bool = True) -> Column:
     """False for fewer than 3 vertices; inclusive takes points within 1e-9 of the boundary as inside."""
-    inside = crosses(x, y, polygon)
-    return (F.size(polygon) >= 3) & ((inside | (boundary_distance(x, y, polygon) <= 1e-9)) if inclusive else inside)
+    inside = F.transform(F.array(against(x, y, edges(polygon))), lambda s: (s["odd"] | (s["d"] <= 1e-9)) if inclusive else s["odd"])[0]
+    return (F.size(polygon) >= 3) & inside
 
 
 def point_polygon_distance(x: Column, y: Column, polygon: Column) -> Column:
     """0 inside, else the distance to the boundary; infinite for an empty polygon."""
-    return F.when(F.size(polygon) == 0, float("inf")).when(point_in_polygon(x, y, polygon), 0.0).otherwise(boundary_distance(x, y, polygon))
+    distance = F.transform(F.array(against(x, y, edges(polygon))), lambda s: F.when((F.size(polygon) >= 3) & (s["odd"] | (s["d"] <= 1e-9)), 0.0).otherwise(s["d"]))[0]
+    return F.when(F.size(polygon) == 0, float("inf")).otherwise(distance)
 
 
-def expand_polygon(polygon: Column, margin: float) -> Column:
-    """Every vertex moved away from the vertex mean by margin."""
+def expand_polygon(polygon: Column, margin: float, width: float | None = None, height: float | None = None) -> Column:
+    """Every vertex moved away from the vertex mean by margin; with a frame size, vertices stay in the frame."""
     n = F.size(polygon)
     cx = F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p["x"]) / n
     cy = F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p["y"]) / n
+    hold = lambda c, top: c if top is None else F.greatest(F.lit(0.0), F.least(c, F.lit(float(top))))
 
     def moved(p: Column) -> Column:
         d = F.sqrt((p["x"] - cx) * (p["x"] - cx) + (p["y"] - cy) * (p["y"] - cy))
         f = F.when(d > 0, (d + margin) / d).otherwise(1.0)
-        return F.struct((cx + (p["x"] - cx) * f).alias("x"), (cy + (p["y"] - cy) * f).alias("y"))
+        return F.struct(hold(cx + (p["x"] - cx) * f, width).alias("x"), hold(cy + (p["y"] - cy) * f, height).alias("y"))
 
     return F.transform(polygon, moved)

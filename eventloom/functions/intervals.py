@@ -48,3 +48,17 @@ def bounded_context(raw_start: Column, raw_end: Column, before: float, after: fl
     fits = a + b <= budget
     first = F.when(fits, b).otherwise(F.least(b, share))
     return raw_start - first, raw_end + F.when(fits, a).otherwise(F.least(a, budget - first))
+
+
+def frame_to_time(frame: Column, fps: float) -> Column:
+    return frame / F.lit(float(fps))
+
+
+def time_to_frame(seconds: Column, fps: float) -> Column:
+    """Truncated."""
+    return (seconds * fps).cast("int")
+
+
+def inclusive_end(frame: Column, fps: float) -> Column:
+    """The time at which an inclusive last frame ends."""
+    return (frame + 1) / F.lit(float(fps))

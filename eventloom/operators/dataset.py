@@ -86,3 +86,59 @@ def with_stability(obs: DataFrame, max_gap: float, min_obs: int, min_duration: f
     """obs with is_stable of their track, as track_summaries has it."""
     tracks = track_summaries(obs, max_gap, min_obs, min_duration, min_confidence).select(F.col("clip_id").alias("__c"), F.col("track_key").alias("__t"), "is_stable").distinct()
     return obs.join(tracks, F.col("clip_id").eqNullSafe(F.col("__c")) & F.col("track_key").eqNullSafe(F.col("__t"))).drop("__c", "__t")
+
+
+def list_batches(records: DataFrame) -> DataFrame:
+    """Rows per batch, null as unknown, with the first created_at where there is such a column."""
+    first = [F.min("created_at").alias("created_at")] * ("created_at" in records.columns)
+    return records.groupBy(F.coalesce("batch_id", F.lit("unknown")).alias("batch_id")).agg(F.count("*").alias("n"), *first)
+
+
+def ledger_counts(ledger: DataFrame) -> DataFrame:
+    return ledger.agg(*[F.count_if(F.col(c)).alias(c) for c in ("downloaded", "generated", "uploaded")], F.count("*").alias("total"))
+
+
+def select_ready(ledger: DataFrame, stage: str, limit: int, skip: DataFrame | None = None) -> DataFrame:
+    """The first `limit` files, by name, that a stage (download, generation, upload) may take: the flag before it is set, its own is not, and skip lacks them."""
+    ready = {"download": "not downloaded", "generation": "downloaded and not generated", "upload": "generated and not uploaded"}[stage]
+    rows = ledger.filter(ready)
+    rows = rows if skip is None else rows.join(skip.select("file_name"), "file_name", "left_anti")
+    return rows.select("file_name").orderBy("file_name").limit(limit)
+
+
+def rewritten(column: str, old: str, new: str) -> tuple[Column, Column]:
+    """A path with every occurrence of a prefix replaced, and how many there were."""
+    left = F.length(F.replace(F.col(column), F.lit(old), F.lit("")))
+    return F.replace(F.col(column), F.lit(old), F.lit(new)), ((F.length(column) - left) / len(old)).cast("int")
+
+
+def milliseconds(column: str) -> Column:
+    return F.round(F.col(column) * 1000).cast("long").cast("string")
+
+
+def stable_id(prefix: str, digits: int, *parts) -> Column:
+    """A name from the SHA-256 of the parts joined by bars."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, digits))
+
+
+def clip_universe(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Clips of either side, and in which they are."""
+    both = gt.select("clip_id", F.lit("gt").alias("src")).unionByName(pred.select("clip_id", F.lit("pred").alias("src")))
+    return both.groupBy("clip_id").agg(F.bool_or(F.col("src") == "gt").alias("in_gt"), F.bool_or(F.col("src") == "pred").alias("in_pred"))
+
+
+def report_summary(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: n, accuracy, balanced accuracy, macro precision, recall and f1 over the classes of truth, and the share of uncertain predictions."""
+    macro = classification_report(rows, truth, predicted).agg(F.avg("recall").alias("balanced_accuracy"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"))
+    whole = rows.agg(F.count("*").alias("n"), F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"), F.avg((F.col(predicted) == "uncertain").cast("double")).alias("uncertain_share"))
+    return whole.crossJoin(macro)  # two single rows
+
+
+def confusion_counts(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    return rows.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def row_weights(records: DataFrame, label: str = "label", confidence: str = "confidence") -> DataFrame:
+    """records with weight: its label's class weight times 1 for high and med, 0.5 for low confidence."""
+    w = class_weights(records, label).select(label, F.col("weight").alias("__w"))
+    return records.join(F.broadcast(w), label).withColumn("weight", F.col("__w") * F.when(F.col(confidence) == "low", 0.5).otherwise(1.0)).drop("__w")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.intervals import tiou
+
 CLASSES = ("background", "pickup", "putdown")
 
 
@@ -36,7 +38,7 @@ def merge_window_predictions(rows: DataFrame, threshold: float = 0.5) -> DataFra
     gap = F.col("t_start") - F.lag("t_end").over(by)
     goes_on = (F.col("t_start") < top) | ((gap > 0) & (gap <= threshold))
     rows = rows.withColumn("__new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("__g", F.sum("__new").over(by))
-    return rows.groupBy("clip_id", "type", "__g").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max("score").alias("score"), F.array_sort(F.collect_set("pred_id")).alias("pred_ids")).drop("__g")
+    return rows.groupBy("clip_id", "type", "__g").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max("score").alias("score"), F.array_sort(F.collect_set("pred_id")).alias("pred_ids"), *[F.max("items").alias("items")] * ("items" in rows.columns)).drop("__g")
 
 
 def greedy_keep(items: DataFrame, keys: list[str], fields: list[str], order: list, suppresses) -> DataFrame:
@@ -48,3 +50,51 @@ def greedy_keep(items: DataFrame, keys: list[str], fields: list[str], order: lis
     empty = F.expr("cast(array() as array<struct<" + ",".join(f"{f}:{dict(items.dtypes)[f]}" for f in fields) + ">>)")
     kept = F.aggregate(F.transform("a", lambda x: x["v"]), empty, lambda acc, x: F.when(F.exists(acc, lambda k: suppresses(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
     return ranked.select(*keys, F.explode(kept).alias("v")).select(*keys, "v.*")
+
+
+def merge_same_type_regions(regions: DataFrame, gap: float = 0.75, least: float = 0.3, key: str = "clip_id") -> DataFrame:
+    """Regions (key, type, t_start, t_end, peak, mean) of one type that lie at most gap apart become one; its mean is folded pairwise in order. Shorter than least: left out."""
+    by = Window.partitionBy(key, "type").orderBy("t_start", "t_end")
+    so_far = F.max("t_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = regions.withColumn("__g", F.sum(F.when(so_far.isNull() | (F.col("t_start") - so_far > gap), 1).otherwise(0)).over(by))
+    found = rows.groupBy(key, "type", "__g").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max("peak").alias("peak"), F.array_sort(F.collect_list(F.struct("t_start", "t_end", "mean"))).alias("a"))
+    mean = F.aggregate(F.slice("a", 2, F.greatest(F.size("a"), F.lit(1))), F.get("a", F.lit(0))["mean"], lambda m, x: (m + x["mean"]) / 2)
+    return found.withColumn("mean", mean).filter(F.col("t_end") - F.col("t_start") >= least).drop("__g", "a")
+
+
+def refine_boundaries(start: Column, end: Column, transfer: Column, window: tuple[Column, Column], clip: tuple[Column, Column], extension: float = 0.5, least: float = 0.1) -> tuple[Column, Column]:
+    """Event bounds held to the candidate window (give or take extension) and the clip, around the transfer, at least `least` long, to 4 digits."""
+    s = F.least(F.greatest(start, clip[0], window[0] - extension), transfer)
+    e = F.greatest(F.least(end, window[1] + extension, clip[1]), transfer)
+    middle, tight = (s + e) / 2, e - s < least
+    s, e = F.when(tight, middle - least / 2).otherwise(s), F.when(tight, middle + least / 2).otherwise(e)
+    s, e = F.greatest(s, clip[0]), F.least(e, clip[1])
+    broken = s >= e
+    return F.bround(F.when(broken, transfer - least / 2).otherwise(s), 4), F.bround(F.when(broken, transfer + least / 2).otherwise(e), 4)
+
+
+def temporal_nms(preds: DataFrame, keys: tuple[str, ...] = ("clip_id", "type"), threshold: float = 0.5, transfer: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(kept, audit) of predictions (keys, pred_id, t_start, t_end, transfer_s, score): best score first, one is dropped if a kept one of its keys overlaps it by
+    an IoU of threshold with a transfer at most `transfer` away. The audit names the first such kept one. Blocks are split into islands of overlapping intervals."""
+    by = Window.partitionBy(*keys).orderBy("t_start", "t_end", "pred_id")
+    top = F.max("t_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = preds.withColumn("__island", F.sum(F.when(top.isNull() | (F.col("t_start") > top), 1).otherwise(0)).over(by))
+
+    def hits(k: Column, x: Column) -> Column:
+        return (tiou(k["t_start"], k["t_end"], x["t_start"], x["t_end"]) >= threshold) & (F.abs(k["transfer_s"] - x["transfer_s"]) <= transfer)
+
+    block = [*keys, "__island"]
+    fields = ["t_start", "t_end", "transfer_s", "score", "pred_id"]
+    kept = greedy_keep(rows.select(*block, *fields), block, fields, [-F.col("score"), F.col("t_start"), F.col("pred_id")], hits)
+    k = kept.select(*block, F.struct(*fields).alias("k"))
+    lost = rows.select(*block, F.struct(*fields).alias("x")).join(kept.select("pred_id"), F.col("x.pred_id") == F.col("pred_id"), "left_anti")
+    pairs = lost.join(k, block).filter(hits(F.col("k"), F.col("x")))
+    audit = pairs.groupBy(F.col("x.pred_id").alias("dropped")).agg(F.min_by(F.col("k.pred_id"), F.struct(-F.col("k.score"), F.col("k.t_start"), F.col("k.pred_id"))).alias("kept"))
+    return preds.join(kept.select("pred_id"), "pred_id", "left_semi").select(*preds.columns), audit
+
+
+def decode_events(scores: DataFrame, threshold: float = 0.4, size: int = 3, gap: float = 0.75, least: float = 0.3) -> DataFrame:
+    """Window scores (clip_id, k, window_start_s, window_end_s, p_...) to events: smoothed, cut into regions above threshold per type, merged."""
+    smooth = smooth_scores(scores, size).drop("label").join(scores.select("clip_id", "k", "window_start_s", "window_end_s"), ["clip_id", "k"])
+    regions = threshold_regions(smooth, "pickup", threshold).unionByName(threshold_regions(smooth, "putdown", threshold))
+    return merge_same_type_regions(regions.drop("n_windows"), gap, least)

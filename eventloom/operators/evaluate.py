@@ -1,7 +1,7 @@
 """Detection metrics: one-to-one matching of events and predictions, counts and rates.
 
 Accepted pairs come from one bucketed interval join. Pairs whose both ends have no other accepted pair match natively;
-the rest is solved per block (clip, type) in a grouped map by augmenting paths, count first.
+the rest is solved per block (clip, type) and island of overlapping pairs in a grouped map by augmenting paths, count first.
 """
 
 from __future__ import annotations
@@ -12,11 +12,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.intervals import midpoint_distance, tiou
-from eventloom.operators.intervals import overlap_join
-
-
-def accepted_pairs(gt: DataFrame, pred: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    """(on..., event_id, pred_id, quality) with temporal IoU of threshold or more."""
+from eventloom.operators.decode import merge_window_predictions
+from eventloom.operators.intervals import drop_ignored, overlap_join
+from eventloom.operators.windows import expand_items
+
+TYPES = ("pickup", "putdown")
+
+
+def accepted_pairs(gt: DataFrame, pred: DataFrame, on: list[str], threshold: float, criterion: str = "tiou") -> DataFrame:
+    """(on..., event_id, pred_id, quality) with a temporal IoU of threshold or more, or (midpoint) with midpoints at most threshold seconds apart, quality 1 / (1 + distance)."""
+    if criterion == "midpoint":
+        mid = (F.col("t_start") + F.col("t_end")) / 2
+        e = gt.select(*on, "event_id", "t_start", "t_end", mid.alias("__m"))
+        p = pred.select(*on, "pred_id", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"), "score", (mid - threshold).alias("__lo"), (mid + threshold).alias("__hi"))
+        d = midpoint_distance(F.col("t_start"), F.col("t_end"), F.col("p_start"), F.col("p_end"))
+        pairs = overlap_join(e, p, on, "__m", "__m", "__lo", "__hi", closed=True).filter(d <= threshold)
+        return pairs.withColumn("quality", 1 / (1 + d)).drop("__m", "__lo", "__hi")
     p = pred.select(*on, "pred_id", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"), "score")
     e = gt.select(*on, "event_id", "t_start", "t_end")
     pairs = overlap_join(e, p, on, "t_start", "t_end", "p_start", "p_end")
@@ -61,7 +72,11 @@ def match_one_to_one(pairs: DataFrame, on: list[str]) -> DataFrame:
     """A largest one-to-one subset of accepted pairs per block, best total quality among those."""
     alone = (F.count("*").over(Window.partitionBy("event_id")) == 1) & (F.count("*").over(Window.partitionBy("pred_id")) == 1)
     cols = [*on, "event_id", "pred_id", "quality"]
-    marked = pairs.select(*cols).withColumn("alone", alone)
+    # pairs that share a row overlap, so that islands of the pairs' hulls hold whole components of the block
+    by = Window.partitionBy(*on).orderBy("lo", "hi")
+    top = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    hull = pairs.select(*cols, F.least("t_start", "p_start").alias("lo"), F.greatest("t_end", "p_end").alias("hi")).withColumn("alone", alone)
+    marked = hull.withColumn("island", F.sum(F.when(top.isNull() | (F.col("lo") > top), 1).otherwise(0)).over(by)).drop("lo", "hi")
 
     def block(df: pd.DataFrame) -> pd.DataFrame:
         e, p = df["event_id"].unique(), df["pred_id"].unique()
@@ -71,20 +86,51 @@ def match_one_to_one(pairs: DataFrame, on: list[str]) -> DataFrame:
         got = pd.DataFrame({"event_id": e[got["i"]], "pred_id": p[got["j"]]})
         return got.merge(df, on=["event_id", "pred_id"])[cols]
 
-    schema = marked.drop("alone").schema
-    return marked.filter("alone").drop("alone").unionByName(marked.filter("not alone").drop("alone").groupBy(*on).applyInPandas(block, schema))
+    rest = marked.filter("not alone").drop("alone")
+    return marked.filter("alone").select(*cols).unionByName(rest.groupBy(*on, "island").applyInPandas(block, rest.drop("island").schema))
+
 
+def class_aware(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, on: tuple[str, ...] = ("clip_id", "type"), criterion: str = "tiou", matcher: str = "best", ignores: DataFrame | None = None) -> DataFrame:
+    """(status, clip_id, type, event_id, pred_id): tp pairs, fn events, fp predictions. Rows that overlap ignores are left out first; other types raise an error.
 
-def class_aware(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, on: tuple[str, ...] = ("clip_id", "type")) -> DataFrame:
-    """(status, clip_id, type, event_id, pred_id): tp pairs, fn events, fp predictions."""
+    matcher: best (most pairs, then best quality) or ranked (best score first, each takes the free event of highest quality, the first on ties).
+    """
     keys = list(on)
-    hits = match_one_to_one(accepted_pairs(gt, pred, keys, threshold), keys).select("event_id", "pred_id")
+    gt, pred = (checked(x if ignores is None else drop_ignored(x, ignores)) for x in (gt, pred))
+    pairs = accepted_pairs(gt, pred, keys, threshold, criterion)
+    hits = match_ranked(pairs, keys) if matcher == "ranked" else match_one_to_one(pairs, keys).select("event_id", "pred_id")
     e = gt.select("clip_id", "type", "event_id").join(hits, "event_id", "left")
     found = e.select(F.when(F.col("pred_id").isNull(), "fn").otherwise("tp").alias("status"), "clip_id", "type", "event_id", "pred_id")
     lost = pred.select("clip_id", "type", "pred_id").join(hits, "pred_id", "left_anti").select(F.lit("fp").alias("status"), "clip_id", "type", F.lit(None).cast("string").alias("event_id"), "pred_id")
     return found.unionByName(lost)
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """rows, with an error for any type that is none of TYPES."""
+    wrong = F.raise_error(F.concat(F.lit("not an event type: "), F.coalesce(F.col("type"), F.lit("null")))).cast("string")
+    return rows.withColumn("type", F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise(wrong))
+
+
+def match_ranked(pairs: DataFrame, on: list[str]) -> DataFrame:
+    """(event_id, pred_id): predictions by falling score (then start, end, id) each take the free event of highest quality, the first by (start, end, id) on ties.
+
+    The fold runs in the JVM over the contested predictions of one block.
+    """
+    alone = (F.count("*").over(Window.partitionBy("event_id")) == 1) & (F.count("*").over(Window.partitionBy("pred_id")) == 1)
+    pairs = pairs.withColumn("alone", alone)
+    events = F.array_sort(F.collect_list(F.struct((-F.col("quality")).alias("q"), "t_start", "t_end", "event_id")))
+    rest = pairs.filter("not alone").groupBy(*on, "pred_id").agg((-F.max("score")).alias("o"), F.min("p_start").alias("s"), F.min("p_end").alias("e"), events.alias("events"))
+    ranked = rest.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("o", "s", "e", "pred_id", "events"))).alias("a"))
+    none = F.expr("cast(array() as array<struct<event_id:string,pred_id:string>>)")
+
+    def take(acc, p):
+        free = F.get(F.filter(p["events"], lambda e: ~F.exists(acc, lambda k: k["event_id"] == e["event_id"])), F.lit(0))
+        return F.when(free.isNull(), acc).otherwise(F.array_append(acc, F.struct(free["event_id"].alias("event_id"), p["pred_id"].alias("pred_id"))))
+
+    folded = ranked.select(F.explode(F.aggregate("a", none, take)).alias("k")).select("k.event_id", "k.pred_id")
+    return pairs.filter("alone").select("event_id", "pred_id").unionByName(folded)
+
+
 def rates(tp, fp, fn) -> dict:
     """precision, recall and f1 of count columns; 0 where a denominator is 0."""
     p = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
@@ -114,7 +160,63 @@ def confusion(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFra
     """Class-agnostic matching per clip, counted by (type, predicted type)."""
     hits = match_one_to_one(accepted_pairs(gt, pred, ["clip_id"], threshold), ["clip_id"])
     typed = hits.join(gt.select("event_id", "type"), "event_id").join(pred.select("pred_id", F.col("type").alias("predicted")), "pred_id")
-    return typed.groupBy("type").pivot("predicted", ["pickup", "putdown"]).count().fillna(0)
+    counts = typed.groupBy("type").pivot("predicted", list(TYPES)).count()
+    every = gt.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TYPES))).alias("type"))
+    return every.join(counts, "type", "left").fillna(0)
+
+
+def metric_bundle(gt: DataFrame, pred: DataFrame, clips: DataFrame, ignores: DataFrame | None = None, thresholds: tuple[float, ...] = (0.3, 0.5), tolerance: float = 1.0) -> DataFrame:
+    """(metric, value) rows: rates at each IoU threshold and by midpoint, start and end errors of the midpoint matches, false positives an hour,
+    event count errors, recall of multi-item events. Values of empty sides are null or 0, as in rates()."""
+    if ignores is not None:
+        gt, pred = drop_ignored(gt, ignores), drop_ignored(pred, ignores)
+    base = 0.5 if 0.5 in thresholds else min(thresholds)
+    at = metrics_at(gt, pred, list(thresholds)).withColumn("name", F.concat(F.lit("tiou@"), F.col("threshold").cast("string")))
+    close = class_aware(gt, pred, tolerance, criterion="midpoint")
+    counts = close.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("tp", "fp", "fn")]).withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn")))
+    both = at.select("name", "tp", "fp", "fn", "precision", "recall", "f1").unionByName(counts.withColumn("name", F.lit(f"midpoint@{tolerance}s")))
+    each = [F.struct(F.concat_ws(" ", "name", F.lit(c)).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("tp", "fp", "fn", "precision", "recall", "f1")]
+    out = both.select(F.explode(F.array(*each)).alias("m")).select("m.*")
+
+    def rows(df: DataFrame, **values) -> DataFrame:
+        cells = [F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()]
+        return df.select(F.explode(F.array(*cells)).alias("m")).select("m.*")
+
+    matched = close.filter("status = 'tp'").select("event_id", "pred_id").join(gt.select("event_id", "t_start", "t_end"), "event_id").join(pred.select("pred_id", F.col("t_start").alias("ps"), F.col("t_end").alias("pe")), "pred_id")
+    errors = matched.agg(F.avg(F.abs(F.col("t_start") - F.col("ps"))).alias("s"), F.avg(F.abs(F.col("t_end") - F.col("pe"))).alias("e"))
+    seconds = clips.agg(F.sum("duration_s").alias("seconds"))
+    hours = at.filter(F.col("threshold") == base).select("fp").crossJoin(seconds)  # two single rows
+    n = gt.select("clip_id", F.lit(1).alias("d")).unionByName(pred.select("clip_id", F.lit(-1).alias("d"))).groupBy("clip_id").agg(F.sum("d").alias("d"))
+    several = multi_item_events(gt)
+    found = several.select("event_id").join(class_aware(several, pred, base).filter("status = 'tp'").select("event_id", F.lit(1).alias("hit")), "event_id", "left")
+    multi = found.agg(F.count("*").alias("n"), F.count("hit").alias("h"))
+    out = out.unionByName(rows(errors, start_mae_s=F.col("s"), end_mae_s=F.col("e"))).unionByName(rows(hours, fp_per_hour=F.when(F.col("seconds") > 0, F.col("fp") / (F.col("seconds") / 3600))))
+    out = out.unionByName(rows(n.agg(F.sum(F.abs("d")).alias("c"), F.abs(F.sum("d")).alias("a")), event_count_error_per_clip=F.coalesce("c", F.lit(0)), event_count_error_absolute=F.coalesce("a", F.lit(0))))
+    return out.unionByName(rows(multi, multi_item_recall=F.when(F.col("n") > 0, F.col("h") / F.col("n")), multi_item_support=F.col("n")))
+
+
+def multi_item_events(events: DataFrame, group: str = "event_group_id", overlap: float | None = None) -> DataFrame:
+    """Events that share a group id, or without one clip, type and times to 6 digits, with another event; with overlap, instead, all of which another event
+    of clip and type has an IoU of overlap or more (a cluster of linked events has at least two members exactly then)."""
+    if overlap is not None:
+        other = events.select("clip_id", "type", F.col("event_id").alias("other_id"), F.col("t_start").alias("os"), F.col("t_end").alias("oe"))
+        pairs = overlap_join(events.select("clip_id", "type", "event_id", "t_start", "t_end"), other, ["clip_id", "type"], "t_start", "t_end", "os", "oe").filter("event_id <> other_id")
+        linked = pairs.filter(tiou(F.col("t_start"), F.col("t_end"), F.col("os"), F.col("oe")) >= overlap)
+        return events.join(linked.select("event_id").distinct(), "event_id", "left_semi").select(*events.columns)
+    own = F.coalesce(F.col(group), F.lit("")) if group in events.columns else F.lit("")
+    same = [F.when(own == "", F.round(c, 6)) for c in ("t_start", "t_end")]
+    n = F.count("*").over(Window.partitionBy("clip_id", "type", own, *same))
+    return events.withColumn("__n", n).filter("__n > 1").drop("__n")
+
+
+def evaluate_merged(responses: DataFrame, gt: DataFrame, gap: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """Rates (to 4 digits) per type of window responses (clip_id, type, t_start, t_end, score, pred_id, items): merged across windows, one prediction per item, matched."""
+    merged = merge_window_predictions(responses, gap)
+    preds = merged.withColumn("pred_id", F.array_join("pred_ids", "+")).drop("pred_ids")
+    preds = expand_items(preds, "items", "pred_id") if "items" in responses.columns else preds
+    found = metrics_by_type(class_aware(gt, preds, threshold))
+    every = gt.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TYPES))).alias("type"))
+    return every.join(found, "type", "left").fillna(0).select("type", "tp", "fp", "fn", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def slice_recall(gt: DataFrame, matches: DataFrame, short: float = 1.0) -> DataFrame:

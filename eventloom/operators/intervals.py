@@ -1,7 +1,7 @@
 """Joins and merges of intervals that share an equality key.
 
-Interval joins add a time bucket to the key, so a clip with many intervals is not compared pair by pair and a hot clip spreads over
-tasks: both sides are repeated for each bucket they touch, and a pair counts in the bucket of its later start only.
+Interval joins, also semi and anti joins, add a time bucket to the key, so a clip with many intervals is not compared pair by pair and a hot clip spreads over
+tasks. Inner joins: both sides are repeated for each bucket they touch, and a pair counts in the bucket of its later start only.
 """
 
 from __future__ import annotations
@@ -12,21 +12,68 @@ from pyspark.sql import functions as F
 from eventloom.functions.intervals import overlap_seconds, overlaps
 
 
+#: How many buckets an interval may touch.
+REACH = 64
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], ls: str, le: str, rs: str, re: str, closed: bool = False, bucket: float = 60.0) -> DataFrame:
-    """Inner join where the intervals overlap; right's columns other than the key must have names of their own."""
+    """Inner join where the intervals overlap; right's columns other than the key must have names of their own.
+
+    Two levels of buckets: pairs of which one is longer than REACH buckets meet in buckets REACH x REACH times as wide, so that no interval is repeated without bound.
+    """
 
-    def cells(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor(F.greatest(F.col(s), F.col(e)) / bucket))))
+    def cells(df: DataFrame, s: str, e: str, width: float) -> DataFrame:
+        return df.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.greatest(F.col(s), F.col(e)) / width))))
 
-    hit = overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re), closed) & (F.floor(F.greatest(F.col(ls), F.col(rs)) / bucket) == F.col("__cell"))
-    return cells(left, ls, le).join(cells(right, rs, re), [*on, "__cell"]).filter(hit).drop("__cell")
+    def joined(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
+        hit = overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re), closed) & (F.floor(F.greatest(F.col(ls), F.col(rs)) / width) == F.col("__cell"))
+        return cells(a, ls, le, width).join(cells(b, rs, re, width), [*on, "__cell"]).filter(hit).drop("__cell")
 
+    long_left, long_right = (F.col(e) - F.col(s) > REACH * bucket for s, e in ((ls, le), (rs, re)))
+    near = joined(left.filter(~long_left), right.filter(~long_right), bucket)
+    wide = bucket * REACH * REACH
+    return near.unionByName(joined(left.filter(long_left), right, wide)).unionByName(joined(left.filter(~long_left), right.filter(long_right), wide))
 
-def overlap_filter(left: DataFrame, right: DataFrame, on: str, ls: str, le: str, rs: str, re: str, keep: bool, closed: bool = False) -> DataFrame:
-    """Semi (keep) or anti join on the key and an overlap; Spark stops at the first partner and needs no row ids."""
-    r = right.select(F.col(on).alias("__k"), F.col(rs).alias("__s"), F.col(re).alias("__e"))
+
+def overlap_filter(left: DataFrame, right: DataFrame, on: str, ls: str, le: str, rs: str, re: str, keep: bool, closed: bool = False, bucket: float = 60.0) -> DataFrame:
+    """Semi (keep) or anti join on the key and an overlap; left rows are neither repeated nor named.
+
+    Right's intervals are merged first, so that those of a key are disjoint. A left row of up to one bucket touches two buckets at most and asks each with a
+    semi or anti join; right is repeated over the buckets it touches. Longer intervals of either side, few once merged, are compared by key alone.
+    """
+    r = merge_intervals(right.select(F.col(on).alias("__k"), F.col(rs).alias("__s"), F.col(re).alias("__e")).filter(F.col("__s") <= F.col("__e")), ["__k"], "__s", "__e", touching=closed).select("__k", "__s", "__e")
+    far = F.col("__e") - F.col("__s") > REACH * bucket
+    cells = r.filter(~far).withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__s") / bucket), F.floor(F.col("__e") / bucket))))
     hit = (F.col(on) == F.col("__k")) & overlaps(F.col(ls), F.col(le), F.col("__s"), F.col("__e"), closed)
-    return left.join(r, hit, "left_semi" if keep else "left_anti")
+
+    def without(rows: DataFrame, others: DataFrame, condition) -> DataFrame:
+        return rows.join(others, condition, "left_anti")
+
+    def within(rows: DataFrame, tests: list) -> DataFrame:
+        """Rows that pass any test: each test keeps its own and hands on the rest."""
+        found, rest = [], rows
+        for others, condition in tests:
+            found.append(rest.join(others, condition, "left_semi"))
+            rest = without(rest, others, condition)
+        return union(found)
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    short = F.coalesce(F.col(le) - F.col(ls) <= bucket, F.lit(True))
+    tests = [(r.filter(far), hit), *[(cells, hit & (F.floor(F.col(c) / bucket) == F.col("__cell"))) for c in dict.fromkeys((ls, le))]]
+    parts = []
+    for rows, own in ((left.filter(short), tests), (left.filter(~short), [(r, hit)])):
+        if keep:
+            parts.append(within(rows, own))
+        else:
+            for others, condition in own:
+                rows = without(rows, others, condition)
+            parts.append(rows)
+    return union(parts)
 
 
 def drop_ignored(items: DataFrame, ignores: DataFrame, start: str = "t_start", end: str = "t_end") -> DataFrame:
@@ -39,11 +86,11 @@ def center_not_ignored(items: DataFrame, ignores: DataFrame, center: str) -> Dat
     return overlap_filter(items, ignores, "clip_id", center, center, "t_start", "t_end", keep=False, closed=True)
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0.0) -> DataFrame:
-    """Gaps and islands: an interval joins the island while it starts within gap of the running end (inclusive)."""
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0.0, touching: bool = True) -> DataFrame:
+    """Gaps and islands: an interval joins the island while it starts within gap of the running end (inclusive, or exclusive without touching)."""
     order = Window.partitionBy(*keys).orderBy(start, end)
     so_far = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", F.when(so_far.isNull() | (F.col(start) > so_far + gap), 1).otherwise(0))
+    marked = df.withColumn("__new", F.when(so_far.isNull() | ((F.col(start) > so_far + gap) if touching else (F.col(start) >= so_far + gap)), 1).otherwise(0))
     islands = marked.withColumn("__island", F.sum("__new").over(order))
     return islands.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")).withColumn("island", F.col("__island") - 1).drop("__island")
 
@@ -94,7 +141,18 @@ def nearest_observation(left: DataFrame, right: DataFrame, key: str, left_time:
     """
     # any bound on the distance lets the right side be repeated three times instead of comparing all pairs of a clip
     near = right.select(F.col(key), F.col(right_time).alias("__t"), F.struct(*values).alias("__v"), F.explode(F.array(*[F.floor(F.col(right_time) / tolerance) + d for d in (-1, 0, 1)])).alias("__cell"))
-    a = left.withColumn("__cell", F.floor(F.col(left_time) / tolerance)).withColumn("__row", F.monotonically_increasing_id())
+    rows = left.groupBy(*left.columns).agg(F.count("*").alias("__n")).withColumn("__cell", F.floor(F.col(left_time) / tolerance))
     gap = F.abs(F.col("__t") - F.col(left_time))
-    best = a.join(near, [key, "__cell"]).filter(gap <= tolerance).groupBy("__row").agg(F.min_by(F.struct("__t", "__v"), F.struct(gap, "__t", "__v")).alias("__b"))
-    return a.join(best, "__row", "left").select(*left.columns, F.col("__b.__t").alias("observed_at"), *[F.col(f"__b.__v.{v}").alias(v) for v in values])
+    best = F.min(F.when(gap <= tolerance, F.struct(gap.alias("gap"), F.col("__t").alias("t"), F.col("__v").alias("v"))))
+    out = rows.join(near, [key, "__cell"], "left").groupBy(*left.columns, "__n").agg(best.alias("__b"))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))  # equal rows come back as often as they were
+    return out.select(*left.columns, F.col("__b.t").alias("observed_at"), *[F.col(f"__b.v.{v}").alias(v) for v in values])
+
+
+def match_events_to_candidate(candidates: DataFrame, events: DataFrame, ratio: float = 0.1) -> DataFrame:
+    """(candidate_id, event_ids, n_events): events whose own length overlaps the candidate by ratio or more, the best first (ties by id)."""
+    pairs = overlap_join(candidates.select("candidate_id", "clip_id", "raw_start_s", "raw_end_s"), events.select("clip_id", "event_id", "t_start", "t_end"), ["clip_id"], "raw_start_s", "raw_end_s", "t_start", "t_end")
+    share = overlap_seconds(F.col("raw_start_s"), F.col("raw_end_s"), F.col("t_start"), F.col("t_end")) / (F.col("t_end") - F.col("t_start"))
+    pairs = pairs.withColumn("r", share).filter(F.col("r") >= ratio)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("r"), "event_id")))
+    return pairs.groupBy("candidate_id").agg(F.transform(ranked, lambda x: x["event_id"]).alias("event_ids"), F.count("*").alias("n_events"))

@@ -52,3 +52,12 @@ def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) ->
     area = curve.join(F.broadcast(tops), ["type", "bucket"]).withColumn("envelope", envelope).groupBy("type").agg(F.sum(F.when(F.col("hit") == 1, F.col("envelope")).otherwise(0.0)).alias("area"), F.count("*").alias("n_pred"))
     out = gt.groupBy("type").agg(F.count("*").alias("n_gt")).join(area, "type", "full_outer").fillna(0, ["n_gt", "n_pred", "area"])
     return out.select("type", "n_gt", "n_pred", F.when(F.col("n_gt") > 0, F.col("area") / F.col("n_gt")).alias("ap"))
+
+
+def mean_precision(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
+    """(threshold, map): the mean over types with events; null where none has."""
+    parts = [average_precision(gt, pred, t).withColumn("threshold", F.lit(t)) for t in thresholds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("threshold").agg(F.avg("ap").alias("map"))

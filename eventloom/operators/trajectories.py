@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.geometry import edges, inside_and_distance
+
 
 def region_measurements(obs: DataFrame, keys: list[str], time: str = "t_h", x: str = "wrist_x", y: str = "wrist_y", inside: str = "inside", order: str = "sample_index", reach: int = 2, cosine: float = 0.5) -> DataFrame:
     """obs with entered, dwell_s, speed and reversal.
@@ -66,3 +68,10 @@ def contact_time(obs: DataFrame, keys: list[str], time: str = "t_h", order: str
     t = F.col(time)
     near = F.min_by(F.when(F.col("distance").isNotNull(), t), F.struct(F.coalesce("distance", F.lit(float("inf"))), time))
     return rows.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__enters"), t)), F.min(F.when(F.col("inside"), t)), near, (F.min(t) + F.max(t)) / 2).alias("contact_s"))
+
+
+def pose_regions(poses: DataFrame, regions: DataFrame, x: str = "wrist_x", y: str = "wrist_y") -> DataFrame:
+    """Every observation with every region (region_id, polygon of 3 or more vertices): inside and distance. Regions are a configuration table, broadcast with their edges."""
+    table = F.broadcast(regions.select("region_id", edges(F.col("polygon")).alias("__edges")))
+    pairs = poses.crossJoin(table).withColumn("__m", inside_and_distance(F.col(x), F.col(y), F.col("__edges")))
+    return pairs.select(*poses.columns, "region_id", F.col("__m.inside").alias("inside"), F.col("__m.distance").alias("distance"))

@@ -34,3 +34,64 @@ def window_manifest(candidates: DataFrame, events: DataFrame, duration: float =
     hit = w.withColumn("cell", F.floor(F.col("center") / cell)).join(ev, ["clip_id", "cell"]).filter("center between t_start and t_end")
     first = hit.groupBy("candidate_id", "k").agg(F.min_by("type", F.struct("t_start", "event_id")).alias("label"))
     return w.join(first, ["candidate_id", "k"], "left").withColumn("label", F.coalesce("label", F.lit("background")))
+
+
+def span_windows(start: Column, end: Column, duration: float = 10.0, step: float = 5.0, least: float = 2.0, cap: int = 50) -> Column:
+    """Array of (s, e): overlapping windows of a span. Where the last one would be shorter than `least`, the one before is cut to `least` and
+    a window from there to the end follows; none for a span under `least`, at most cap."""
+    span = end - start
+    # the first window that starts at T with less than `least` left, or reaches the end
+    regular = F.ceil(span / step - 1e-12).cast("int")  # starts before the end
+    n = F.greatest(regular, F.lit(1))
+    short = end - (start + (n - 1) * step) < least  # only the last start can leave so little, as step >= least
+    keep = F.least(F.when(short, n - 1).otherwise(n), F.lit(cap))
+    full = F.transform(F.sequence(F.lit(0), keep - 1), lambda i: F.struct((start + i * step).alias("s"), F.least(start + i * step + duration, end).alias("e")))
+    last = start + (n - 2) * step
+    cut = F.array(F.struct(last.alias("s"), (last + least).alias("e")))
+    rest = F.when(end - (last + least) >= least, F.array(F.struct((last + least).alias("s"), F.least(last + least + duration, end).alias("e")))).otherwise(F.array().cast("array<struct<s:double,e:double>>"))
+    none = F.array().cast("array<struct<s:double,e:double>>")
+    shrunk = F.concat(F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0))), cut, rest)
+    can = short & (n > 1) & (n - 1 <= cap) & (F.least(last + duration, end) - last > least)
+    return F.when((span < least) | (span <= 0), none).when(can, F.slice(shrunk, 1, cap)).otherwise(full)
+
+
+def adaptive_times(start: Column, end: Column, contact: Column, most: float = 1.0) -> Column:
+    """Array of (t, position): pre, contact and post, with mids between them so that no gap is longer than `most`. A contact at either end is not repeated."""
+
+    def mids(a: Column, b: Column) -> Column:
+        n = F.ceil((b - a) / most).cast("int")
+        return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: point(a + i * ((b - a) / n), "mid"))).otherwise(F.array().cast("array<struct<t:double,position:string>>"))
+
+    def point(t: Column, position: str) -> Column:
+        return F.struct(t.cast("double").alias("t"), F.lit(position).alias("position"))
+
+    none = F.array().cast("array<struct<t:double,position:string>>")
+    at = F.when(F.abs(contact - start) <= 1e-6, none).otherwise(F.array(point(contact, "contact")))
+    post = F.when(F.abs(contact - end) <= 1e-6, none).otherwise(F.array(point(end, "post")))
+    return F.concat(F.array(point(start, "pre")), mids(start, contact), at, mids(contact, end), post)
+
+
+def frames_at_rate(total: Column, fps: float, target: float) -> Column:
+    """Frame numbers at a target rate: half-even rounding of i x fps / min(target, fps), each once, all below total."""
+    step = fps / min(target, fps)
+    n = F.ceil(total / step).cast("int")
+    frames = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.bround(i * F.lit(step)).cast("long")))
+    return F.filter(frames, lambda f: f < total)
+
+
+def frames_by_stride(total: Column, stride: int) -> Column:
+    return F.when(total > 0, F.sequence(F.lit(0).cast("long"), total.cast("long") - 1, F.lit(stride).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def frames_between(start: Column, end: Column, n: int, fps: float) -> Column:
+    """n frame numbers evenly spaced from the first to the last frame of an interval, rounded down."""
+    a = (start * fps).cast("int")
+    b = F.greatest((end * fps).cast("int"), a + 1) - 1
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(a + i * ((b - a) / F.lit(max(1, n - 1)))).cast("int"))
+
+
+def expand_items(rows: DataFrame, count: str, key: str) -> DataFrame:
+    """One row per item (at least one); with several items the key ends in _item0, _item1, ..."""
+    n = F.greatest(F.coalesce(count, F.lit(1)), F.lit(1)).cast("int")
+    out = rows.withColumn("__n", n).withColumn("item", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return out.withColumn(key, F.when(F.col("__n") > 1, F.concat(F.col(key), F.lit("_item"), F.col("item").cast("string"))).otherwise(F.col(key))).drop("__n")

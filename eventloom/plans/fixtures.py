@@ -21,6 +21,13 @@ VIEWS = {
     "fx_ledger": "select concat('f_', cast(p_partkey as string), '.mp4') file_name, p_partkey % 2 = 0 downloaded, p_partkey % 4 = 0 generated, p_partkey % 8 = 0 uploaded, cast(p_partkey as string) source_etag, cast(p_size as string) source_size_bytes from {part} where p_partkey % 9 <> 0",
     "fx_listing": "select concat('f_', cast(p_partkey as string), '.mp4') file_name, cast(case when p_partkey % 7 = 0 then -p_partkey else p_partkey end as string) etag, cast(p_size as string) size from {part} where p_partkey % 10 <> 0",
     "fx_sm_obs": "select clip_id, 'actor_0' actor_id, 'right' hand_side, 'region_0' region_id, k*0.1e0 timestamp_s, (k % 20) between 4 and 15 inside_region, case when (k % 20) between 4 and 15 then 0.0e0 when k % 20 in (2,3) then 30.0e0 else 100.0e0 end distance_px, 0.8e0 trajectory_confidence, case when ((k % 20) < 9) = (k % 40 < 20) then 0.9e0 else 0.05e0 end hand_empty, case when ((k % 20) < 9) = (k % 40 < 20) then 0.05e0 else 0.9e0 end hand_carrying, 0.05e0 hand_uncertain, case when k % 20 >= 9 and k % 40 < 20 then 0.8e0 else 0.1e0 end shelf_removed, case when k % 20 >= 9 and k % 40 >= 20 then 0.8e0 else 0.1e0 end shelf_placed, 0.05e0 shelf_uncertain from (select concat('clip_', cast(user_id as string)) clip_id, row_number() over (partition by user_id order by event_id) - 1 k from {events}) z",
+    "fx_pred_dense": "select concat('pred_', cast(o_orderkey as string)) pred_id, concat('clip_', cast(o_custkey as string)) clip_id, case when (o_orderkey % 2 = 0) <> (o_orderkey % 13 = 0) then 'pickup' else 'putdown' end type, cast((o_orderkey * 37) % 3600 as double) + cast((o_orderkey*31) % 9 as double)*0.25e0 t_start, cast((o_orderkey * 37) % 3600 as double) + cast((o_orderkey*31) % 9 as double)*0.25e0 + 1.0e0 + cast(o_orderkey % 7 as double)*0.5e0 t_end, cast((o_orderkey*53) % 1000 as double)/1000.0e0 score, 'm1' model from {orders} where o_orderkey % 5 <> 0",
+    "fx_gt_dense": "select concat('evt_', cast(o_orderkey as string)) event_id, concat('clip_', cast(o_custkey as string)) clip_id, case when o_orderkey % 2 = 0 then 'pickup' else 'putdown' end type, cast((o_orderkey * 37) % 3600 as double) t_start, cast((o_orderkey * 37) % 3600 as double) + 1.0e0 + cast(o_orderkey % 7 as double)*0.5e0 t_end from {orders}",
+    "fx_review": "select concat('cand_', cast(o_orderkey as string)) candidate_id, cast(o_orderkey % 3 as int) pos, concat('clip_', cast((o_orderkey - o_orderkey % 2) % 40 + 1 as string)) clip_id, case when o_orderkey % 10 = 0 then 'pending' else 'complete' end review_status, case when o_orderkey % 7 = 0 then 'failed' else 'success' end vlm_status, cast((o_orderkey - o_orderkey % 2) * 10 as double) source_start_s, case (o_orderkey - o_orderkey % 2) % 12 when 0 then ' Pickup' when 4 then 'restocking' when 6 then 'pickup' else 'putdown' end label, 0.5e0 start_s, case when o_orderkey % 13 = 0 then 0.25e0 else 1.5e0 end end_s, cast(o_orderkey % 4 as int) item_count, case o_orderkey % 3 when 0 then 'Medium' when 1 then 'HIGH' else 'bad' end confidence, o_orderkey % 11 = 0 hard_case, o_orderpriority notes from {orders}",
+    "fx_registry": "select case when c_custkey % 37 = 0 then 'clip_1' else concat('clip_', cast(c_custkey as string)) end clip_id, case when c_custkey % 31 = 0 then '' else concat('store_', cast(c_custkey % 3 as string), '/clip_', cast(c_custkey as string), case when c_custkey % 5 = 0 then '.TXT' else '.Mp4' end) end s3_key, case when c_custkey % 29 = 0 then 0e0 else 300000e0 end duration_s, case when c_custkey % 43 = 0 then -1e0 else 20e0 end fps, 3840 width, 2160 height, case when c_custkey % 41 = 0 then -1 else 2 end n_person_tracks, case when c_custkey % 23 = 0 then 'dev' when c_custkey % 10 < 7 then 'train' else 'test' end split, case when c_custkey % 4 = 0 then null else cast(c_custkey % 50 as double) end active_start_s, case when c_custkey % 8 = 0 then null when c_custkey % 4 = 0 then 9e0 else 25e0 end active_end_s, c_custkey % 19 <> 0 decode_ok, case when c_custkey % 17 = 0 then 'clip_2' end duplicate_of, c_custkey * 1000 size_bytes, c_custkey from {customer}",
+    "fx_boxes": "select concat('clip_', cast(user_id as string)) clip_id, event_id sample_index, cast(event_id % 5 as bigint) frame, ({US} - 1704067200000000) / 3.6e9 t_h, concat('actor_', cast(event_id % 3 as string)) actor_id, concat('person_', cast(event_id % 4 as string)) person_id, cast((event_id * 7919) % 1000 as double) x1, cast((event_id * 104729) % 1000 as double) y1, cast((event_id * 7919) % 1000 + 200 as double) x2, cast((event_id * 104729) % 1000 + 400 as double) y2 from {events}",
+    "fx_raw": "select concat('clip_', cast(o_custkey as string)) clip_id, concat('actor_', cast(o_orderkey % 2 as string)) actor_id, 'left' hand_side, concat('region_', cast(o_orderkey % 2 as string)) region_id, cast(o_orderkey % 500 as double) + cast(o_orderkey % 4 as double) * 0.25e0 start_s, cast(o_orderkey % 500 as double) + cast(o_orderkey % 4 as double) * 0.25e0 + cast(o_orderkey % 9 as double) * 0.5e0 end_s, cast((o_orderkey * 53) % 1000 as double) / 1000e0 mean_confidence, cast((o_orderkey * 31) % 100 as double) / 4e0 mean_distance from {orders}",
+    "fx_text": "select l_orderkey, l_linenumber, case l_orderkey % 5 when 0 then ' TRUE ' when 1 then 'no' when 2 then '1' when 3 then '' else null end flag, case l_orderkey % 4 when 0 then '0.0' when 1 then ' ' when 2 then 'x' else cast(l_linenumber as string) end amount, case l_orderkey % 6 when 0 then '2.0' when 1 then '2.5' when 2 then '0' when 3 then '-1' else '3' end items, case l_orderkey % 5 when 0 then '30000/1001' when 1 then '25/0' when 2 then '20' when 3 then 'x/y' else null end rate, case l_orderkey % 3 when 0 then concat('S2024', lpad(cast(l_linenumber as string), 2, '0'), '15_x') else concat('clip_', cast(l_linenumber as string)) end name from {lineitem}",
 }
 REGIONS = {"region_0": [(100.0, 100.0), (500.0, 100.0), (500.0, 500.0), (100.0, 500.0)], "region_1": [(400.0, 400.0), (900.0, 450.0), (650.0, 900.0)], "region_2": [(50.0, 600.0), (300.0, 650.0), (200.0, 700.0), (320.0, 900.0), (60.0, 950.0)]}
 

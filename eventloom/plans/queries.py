@@ -4,29 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.functions.geometry import point_in_polygon, point_polygon_distance
 from eventloom.functions.intervals import bounded_context, midpoint_distance, tiou
 from eventloom.operators import dataset, decode, evaluate, intervals, precision, sampling, trajectories, windows
-from eventloom.plans.fixtures import REGIONS, regions, view, with_views
+from eventloom.plans import queries_data, queries_events  # noqa: F401
+from eventloom.plans.fixtures import REGIONS, regions, view
+from eventloom.plans.registry import ORACLES, QUERIES, query
 from eventloom.sources import tables
 from eventloom.streaming.state_machine import interaction_events
 
-_QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its oracle."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = with_views(sql)
-        return f
-
-    return add
-
-
 _ISLANDS = """, w AS (SELECT clip_id, greatest(0e0, t_h - 0.5e0) lo, least(720e0, t_h + 0.5e0) hi FROM fx_obs),
  b AS (SELECT *, CASE WHEN max(hi) OVER p IS NULL OR lo > max(hi) OVER p + 6 THEN 1 ELSE 0 END br FROM w WHERE lo < hi WINDOW p AS (PARTITION BY clip_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  i AS (SELECT *, sum(br) OVER (PARTITION BY clip_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) isl FROM b),
@@ -116,11 +101,8 @@ def assign_label(spark, sf):
 @query(""", p AS (SELECT candidate_id, event_id, (least(raw_end_s, t_end) - greatest(raw_start_s, t_start)) / (t_end - t_start) r FROM fx_candidates c JOIN fx_gt g ON c.clip_id = g.clip_id AND raw_start_s < t_end AND t_start < raw_end_s)
  SELECT candidate_id, string_agg(event_id, ',' ORDER BY r DESC, event_id) event_ids, count(*) n_events FROM p WHERE r >= 0.1 GROUP BY candidate_id""")
 def match_events_to_candidate(spark, sf):
-    c, g = view(spark, sf, "fx_candidates"), view(spark, sf, "fx_gt")
-    p = intervals.overlap_join(c.select("candidate_id", "clip_id", "raw_start_s", "raw_end_s"), g.select("clip_id", "event_id", "t_start", "t_end"), ["clip_id"], "raw_start_s", "raw_end_s", "t_start", "t_end")
-    p = p.withColumn("r", (F.least("raw_end_s", "t_end") - F.greatest("raw_start_s", "t_start")) / (F.col("t_end") - F.col("t_start"))).filter("r >= 0.1")
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("r"), "event_id")))
-    return p.groupBy("candidate_id").agg(F.array_join(F.transform(ranked, lambda x: x["event_id"]), ",").alias("event_ids"), F.count("*").alias("n_events"))
+    matched = intervals.match_events_to_candidate(view(spark, sf, "fx_candidates"), view(spark, sf, "fx_gt"))
+    return matched.withColumn("event_ids", F.array_join("event_ids", ","))
 
 
 @query(""", p AS (SELECT event_id, candidate_id, t_start <= raw_end_s AND raw_start_s <= t_end raw, row_number() OVER (PARTITION BY event_id ORDER BY window_start_s, window_end_s, candidate_id) n FROM fx_gt g JOIN fx_candidates c ON c.clip_id = g.clip_id AND t_start <= window_end_s AND window_start_s <= t_end)
@@ -129,11 +111,11 @@ def proposal_recall(spark, sf):
     return intervals.proposal_recall(view(spark, sf, "fx_gt"), view(spark, sf, "fx_candidates"))
 
 
-@query(""", q AS (SELECT clip_id, sample_index + 0 qi, t_h + 0.7e0 qt FROM fx_obs WHERE sample_index % 3 = 0),
+@query(""", q AS (SELECT clip_id, sample_index + 0 qi, t_h + 0.7e0 qt FROM fx_obs),
  p AS (SELECT q.clip_id, qi, qt, t_h, wrist_x, row_number() OVER (PARTITION BY q.clip_id, qi ORDER BY abs(t_h - qt), t_h, wrist_x) n FROM q JOIN fx_pose o ON o.clip_id = q.clip_id AND abs(t_h - qt) <= 6)
  SELECT q.clip_id, q.qi, q.qt, p.t_h observed_at, p.wrist_x FROM q LEFT JOIN p ON p.clip_id = q.clip_id AND p.qi = q.qi AND n = 1""")
 def nearest_observation(spark, sf):
-    q = view(spark, sf, "fx_obs").filter("sample_index % 3 = 0").select("clip_id", F.col("sample_index").alias("qi"), (F.col("t_h") + 0.7).alias("qt"))
+    q = view(spark, sf, "fx_obs").select("clip_id", F.col("sample_index").alias("qi"), (F.col("t_h") + 0.7).alias("qt"))
     return intervals.nearest_observation(q, view(spark, sf, "fx_pose"), "clip_id", "qt", "t_h", 6.0, ["wrist_x"])
 
 
@@ -146,10 +128,7 @@ def _edges_sql() -> str:
  s AS (SELECT sample_index, clip_id, region_id, min(sqrt((x - ax - t * (cx - ax)) * (x - ax - t * (cx - ax)) + (y - ay - t * (cy - ay)) * (y - ay - t * (cy - ay)))) dist, count(*) FILTER (WHERE (ay > y) <> (cy > y) AND x < (cx - ax) * (y - ay) / CASE WHEN cy <> ay THEN cy - ay ELSE 1e-30 END + ax) % 2 = 1 odd FROM d GROUP BY ALL)
  SELECT sample_index, clip_id, region_id, odd OR dist <= 1e-9 AS inside, round(CASE WHEN odd OR dist <= 1e-9 THEN 0 ELSE dist END, 6) AS distance FROM s""")
 def pose_region(spark, sf):
-    # three polygons of a configuration table meet every observation
-    pairs = view(spark, sf, "fx_pose").crossJoin(F.broadcast(regions(spark)))
-    x, y, p = F.col("wrist_x"), F.col("wrist_y"), F.col("polygon")
-    return pairs.select("sample_index", "clip_id", "region_id", point_in_polygon(x, y, p).alias("inside"), F.round(point_polygon_distance(x, y, p), 6).alias("distance"))
+    return trajectories.pose_regions(view(spark, sf, "fx_pose"), regions(spark)).select("sample_index", "clip_id", "region_id", "inside", F.round("distance", 6).alias("distance"))
 
 
 @query(" SELECT g.event_id, p.pred_id, greatest(0e0, least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start)) / ((g.t_end - g.t_start) + (p.t_end - p.t_start) - greatest(0e0, least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start))) tiou, abs((g.t_start + g.t_end) / 2 - (p.t_start + p.t_end) / 2) midpoint FROM fx_gt g JOIN fx_pred p ON substr(g.event_id, 5) = substr(p.pred_id, 6)")
@@ -198,10 +177,14 @@ def smooth_scores(spark, sf):
     return out.withColumns({f"p_{c}": F.round(f"p_{c}", 9) for c in decode.CLASSES})
 
 
-@query(""", n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY k) rn FROM fx_window_scores), f AS (SELECT *, rn - row_number() OVER (PARTITION BY clip_id ORDER BY k) run FROM n WHERE p_pickup > 0.4e0)
- SELECT clip_id, min(window_start_s) t_start, max(window_end_s) t_end, max(p_pickup) peak, round(avg(p_pickup), 9) AS mean, count(*) n_windows, 'pickup' AS type FROM f GROUP BY clip_id, run""")
+@query(""", n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY k) rn FROM fx_window_scores),
+ u AS (SELECT clip_id, k, rn, window_start_s, window_end_s, 'pickup' AS type, p_pickup p FROM n UNION ALL SELECT clip_id, k, rn, window_start_s, window_end_s, 'putdown', p_putdown FROM n UNION ALL SELECT clip_id, k, rn, window_start_s, window_end_s, 'background', p_background FROM n),
+ f AS (SELECT *, rn - row_number() OVER (PARTITION BY clip_id, type ORDER BY k) run FROM u WHERE p > 0.4e0)
+ SELECT clip_id, min(window_start_s) t_start, max(window_end_s) t_end, max(p) peak, round(avg(p), 9) AS mean, count(*) n_windows, type FROM f GROUP BY clip_id, type, run""")
 def threshold_regions(spark, sf):
-    return decode.threshold_regions(view(spark, sf, "fx_window_scores"), "pickup", 0.4).withColumn("mean", F.round("mean", 9))
+    scores = view(spark, sf, "fx_window_scores")
+    parts = [decode.threshold_regions(scores, c, 0.4) for c in decode.CLASSES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("mean", F.round("mean", 9))
 
 
 @query(""", o AS (SELECT *, t_start < max(t_end) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR (t_start - lag(t_end) OVER w > 0 AND t_start - lag(t_end) OVER w <= 400) go FROM fx_pred WINDOW w AS (PARTITION BY clip_id, type ORDER BY t_start, t_end, pred_id)),
@@ -234,7 +217,7 @@ def metrics_at_thresholds(spark, sf):
     return evaluate.metrics_at(view(spark, sf, "fx_gt"), view(spark, sf, "fx_pred"), [0.3, 0.5, 0.7])
 
 
-@query(_MATCH + "SELECT type, count(*) FILTER (WHERE predicted = 'pickup') pickup, count(*) FILTER (WHERE predicted = 'putdown') putdown FROM x WHERE q >= 0.5 GROUP BY type")
+@query(_MATCH + "SELECT t.type, count(*) FILTER (WHERE predicted = 'pickup') pickup, count(*) FILTER (WHERE predicted = 'putdown') putdown FROM (SELECT unnest(['pickup', 'putdown']) AS type) t LEFT JOIN (SELECT * FROM x WHERE q >= 0.5) x ON x.type = t.type GROUP BY t.type")
 def evaluate_confusion(spark, sf):
     return evaluate.confusion(view(spark, sf, "fx_gt"), view(spark, sf, "fx_pred"))
 
@@ -270,7 +253,7 @@ def dataset_stats(spark, sf):
 
 @query(" SELECT coalesce(batch_id, 'unknown') AS batch_id, count(*) n FROM fx_features GROUP BY 1")
 def list_batches(spark, sf):
-    return view(spark, sf, "fx_features").groupBy(F.coalesce("batch_id", F.lit("unknown")).alias("batch_id")).agg(F.count("*").alias("n"))
+    return dataset.list_batches(view(spark, sf, "fx_features"))
 
 
 @query(", c AS (SELECT label, count(*) n FROM fx_features GROUP BY label) SELECT label, n, (SELECT sum(n) FROM c) / CAST((SELECT count(*) FROM c) * n AS DOUBLE) AS weight FROM c")
@@ -303,12 +286,12 @@ def ledger_reconcile(spark, sf):
 
 @query(" SELECT count(*) FILTER (WHERE downloaded) AS downloaded, count(*) FILTER (WHERE generated) AS generated, count(*) FILTER (WHERE uploaded) AS uploaded, count(*) AS total FROM fx_ledger")
 def ledger_counts(spark, sf):
-    return view(spark, sf, "fx_ledger").agg(*[F.count_if(F.col(c)).alias(c) for c in ("downloaded", "generated", "uploaded")], F.count("*").alias("total"))
+    return dataset.ledger_counts(view(spark, sf, "fx_ledger"))
 
 
 @query(" SELECT file_name FROM fx_ledger WHERE downloaded AND NOT generated ORDER BY file_name LIMIT 20")
 def select_ready(spark, sf):
-    return view(spark, sf, "fx_ledger").filter("downloaded and not generated").select("file_name").orderBy("file_name").limit(20)
+    return dataset.select_ready(view(spark, sf, "fx_ledger"), "generation", 20)
 
 
 @query(", r AS (SELECT *, row_number() OVER w rn, last_value(file_name) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) lst FROM (SELECT file_name, size FROM fx_listing) WINDOW w AS (PARTITION BY size ORDER BY file_name)) SELECT file_name, size, CASE WHEN lst <> file_name THEN lst END AS duplicate_of FROM r WHERE rn = 1")
@@ -318,20 +301,18 @@ def duplicate_sources(spark, sf):
 
 @query(" SELECT clip_id, replace(s3_key, 'videos/', '/data/videos/') AS path, CAST((length(s3_key) - length(replace(s3_key, 'videos/', ''))) / 7 AS INT) AS n_rewritten FROM fx_clips")
 def rewrite_paths(spark, sf):
-    old = F.lit("videos/")
-    return view(spark, sf, "fx_clips").select("clip_id", F.replace("s3_key", old, F.lit("/data/videos/")).alias("path"), ((F.length("s3_key") - F.length(F.replace("s3_key", old, F.lit("")))) / 7).cast("int").alias("n_rewritten"))
+    path, n = dataset.rewritten("s3_key", "videos/", "/data/videos/")
+    return view(spark, sf, "fx_clips").select("clip_id", path.alias("path"), n.alias("n_rewritten"))
 
 
 @query(" SELECT pred_id, concat('p_', substr(sha256(concat_ws('|', clip_id, type, CAST(CAST(round(t_start * 1000) AS BIGINT) AS VARCHAR), CAST(CAST(round(t_end * 1000) AS BIGINT) AS VARCHAR))), 1, 16)) AS stable_id FROM fx_pred")
 def prediction_ids(spark, sf):
-    ms = lambda c: F.round(F.col(c) * 1000).cast("long").cast("string")
-    return view(spark, sf, "fx_pred").select("pred_id", F.concat(F.lit("p_"), F.substring(F.sha2(F.concat_ws("|", "clip_id", "type", ms("t_start"), ms("t_end")), 256), 1, 16)).alias("stable_id"))
+    return view(spark, sf, "fx_pred").select("pred_id", dataset.stable_id("p_", 16, "clip_id", "type", dataset.milliseconds("t_start"), dataset.milliseconds("t_end")).alias("stable_id"))
 
 
 @query(" SELECT clip_id, bool_or(src = 'gt') AS in_gt, bool_or(src = 'pred') AS in_pred FROM (SELECT clip_id, 'gt' src FROM fx_gt UNION ALL SELECT clip_id, 'pred' FROM fx_pred) GROUP BY clip_id")
 def clip_universe(spark, sf):
-    both = view(spark, sf, "fx_gt").select("clip_id", F.lit("gt").alias("src")).unionByName(view(spark, sf, "fx_pred").select("clip_id", F.lit("pred").alias("src")))
-    return both.groupBy("clip_id").agg(F.bool_or(F.col("src") == "gt").alias("in_gt"), F.bool_or(F.col("src") == "pred").alias("in_pred"))
+    return dataset.clip_universe(view(spark, sf, "fx_gt"), view(spark, sf, "fx_pred"))
 
 
 _POSE = """, o AS (SELECT *, wrist_x < 700 AS inside FROM fx_pose) """
@@ -408,8 +389,8 @@ def filter_manifest(spark, sf):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
