@@ -21,14 +21,13 @@ _GENERATED = """, o AS (SELECT *, max(end_s) OVER (PARTITION BY clip_id, actor_i
  b AS (SELECT *, least(2e0, lo) db, least(2e0, greatest(0e0, 400e0 - hi)) da, greatest(0e0, 6e0 - (hi - lo)) budget FROM m),
  f AS (SELECT *, CASE WHEN da + db <= budget THEN db ELSE least(db, CASE WHEN da + db > 0 THEN budget * db / (da + db) ELSE 0 END) END fst FROM b)
  SELECT concat('cand_', substr(sha256(concat_ws(chr(31), clip_id, actor_id, hand_side, region_id, CAST(CAST(round_even(lo * 1000000, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(hi * 1000000, 0) AS BIGINT) AS VARCHAR))), 1, 12)) candidate_id, clip_id, actor_id, region_id,
- round(lo, 4) raw_start_s, round(hi, 4) raw_end_s, round(lo - fst, 3) window_start_s, round(hi + CASE WHEN da + db <= budget THEN da ELSE least(da, budget - fst) END, 3) window_end_s, n n_raw_interactions, d min_region_distance, c max_wrist_confidence, w total_dwell_duration_s FROM f"""
+ round(lo, 4) raw_start_s, round(hi, 4) raw_end_s, round_even((lo - fst) * 10000, 0) / 10000 window_start_s, round_even((hi + CASE WHEN da + db <= budget THEN da ELSE least(da, budget - fst) END) * 10000, 0) / 10000 window_end_s, n n_raw_interactions, d min_region_distance, c max_wrist_confidence, w total_dwell_duration_s FROM f"""
 
 
 @query(_GENERATED)
 def generate_candidates(spark, sf):
     clips = view(spark, sf, "fx_clips").withColumn("duration_s", F.lit(400.0))
-    out = candidates.generate_candidates(view(spark, sf, "fx_raw"), clips, cap=6.0).drop("hand_side", "proposal_score")
-    return out.withColumns({c: F.round(c, 3) for c in ("window_start_s", "window_end_s")})
+    return candidates.generate_candidates(view(spark, sf, "fx_raw"), clips, cap=6.0).drop("hand_side", "proposal_score")
 
 
 _TRAIL = """, k AS (SELECT candidate_id, clip_id, CASE WHEN raw_start_s % 30 = 0 THEN concat(actor_id, ':x') ELSE actor_id END actor_id, hand_side, window_start_s % 700 ws, window_start_s % 700 + 24 we FROM fx_candidates),
