@@ -26,7 +26,10 @@ def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, without the lines that fail. Null and empty texts go."""
-    return _with_text(line_rules.quality(docs).filter("kept").withColumn("text", F.col("cleaned")), docs)
+    judged = line_rules.quality(docs)
+    # a filter on the verdict would be pushed below and judge every text twice; an array of one or no text is judged once
+    verdict = F.filter(F.array(F.struct("kept", "cleaned")), lambda x: x["kept"])
+    return _with_text(judged.select(*[c for c in docs.columns if c != "text"], F.explode(verdict).alias("__v")).withColumn("text", F.col("__v.cleaned")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
