@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.intervals import bounded_context, midpoint_distance, tiou
 from eventloom.operators import dataset, decode, evaluate, intervals, precision, sampling, trajectories, windows
 from eventloom.plans import queries_data, queries_events  # noqa: F401
-from eventloom.plans.fixtures import REGIONS, regions, view
+from eventloom.plans.fixtures import REGIONS, view
 from eventloom.plans.registry import ORACLES, QUERIES, query
 from eventloom.sources import tables
 from eventloom.streaming.state_machine import interaction_events
@@ -128,7 +128,7 @@ def _edges_sql() -> str:
  s AS (SELECT sample_index, clip_id, region_id, min(sqrt((x - ax - t * (cx - ax)) * (x - ax - t * (cx - ax)) + (y - ay - t * (cy - ay)) * (y - ay - t * (cy - ay)))) dist, count(*) FILTER (WHERE (ay > y) <> (cy > y) AND x < (cx - ax) * (y - ay) / CASE WHEN cy <> ay THEN cy - ay ELSE 1e-30 END + ax) % 2 = 1 odd FROM d GROUP BY ALL)
  SELECT sample_index, clip_id, region_id, odd OR dist <= 1e-9 AS inside, round(CASE WHEN odd OR dist <= 1e-9 THEN 0 ELSE dist END, 6) AS distance FROM s""")
 def pose_region(spark, sf):
-    return trajectories.pose_regions(view(spark, sf, "fx_pose"), regions(spark)).select("sample_index", "clip_id", "region_id", "inside", F.round("distance", 6).alias("distance"))
+    return trajectories.pose_regions(view(spark, sf, "fx_pose"), REGIONS).select("sample_index", "clip_id", "region_id", "inside", F.round("distance", 6).alias("distance"))
 
 
 @query(" SELECT g.event_id, p.pred_id, greatest(0e0, least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start)) / ((g.t_end - g.t_start) + (p.t_end - p.t_start) - greatest(0e0, least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start))) tiou, abs((g.t_start + g.t_end) / 2 - (p.t_start + p.t_end) / 2) midpoint FROM fx_gt g JOIN fx_pred p ON substr(g.event_id, 5) = substr(p.pred_id, 6)")
