@@ -28,6 +28,9 @@ VIEWS = {
     "fx_boxes": "select concat('clip_', cast(user_id as string)) clip_id, event_id sample_index, cast(event_id % 5 as bigint) frame, ({US} - 1704067200000000) / 3.6e9 t_h, concat('actor_', cast(event_id % 3 as string)) actor_id, concat('person_', cast(event_id % 4 as string)) person_id, cast((event_id * 7919) % 1000 as double) x1, cast((event_id * 104729) % 1000 as double) y1, cast((event_id * 7919) % 1000 + 200 as double) x2, cast((event_id * 104729) % 1000 + 400 as double) y2 from {events}",
     "fx_raw": "select concat('clip_', cast(o_custkey as string)) clip_id, concat('actor_', cast(o_orderkey % 2 as string)) actor_id, 'left' hand_side, concat('region_', cast(o_orderkey % 2 as string)) region_id, cast(o_orderkey % 500 as double) + cast(o_orderkey % 4 as double) * 0.25e0 start_s, cast(o_orderkey % 500 as double) + cast(o_orderkey % 4 as double) * 0.25e0 + cast(o_orderkey % 9 as double) * 0.5e0 end_s, cast((o_orderkey * 53) % 1000 as double) / 1000e0 mean_confidence, cast((o_orderkey * 31) % 100 as double) / 4e0 mean_distance from {orders}",
     "fx_text": "select l_orderkey, l_linenumber, case l_orderkey % 5 when 0 then ' TRUE ' when 1 then 'no' when 2 then '1' when 3 then '' else null end flag, case l_orderkey % 4 when 0 then '0.0' when 1 then ' ' when 2 then 'x' else cast(l_linenumber as string) end amount, case l_orderkey % 6 when 0 then '2.0' when 1 then '2.5' when 2 then '0' when 3 then '-1' else '3' end items, case l_orderkey % 5 when 0 then '30000/1001' when 1 then '25/0' when 2 then '20' when 3 then 'x/y' else null end rate, case l_orderkey % 3 when 0 then concat('S2024', lpad(cast(l_linenumber as string), 2, '0'), '15_x') else concat('clip_', cast(l_linenumber as string)) end name from {lineitem}",
+    "fx_vectors": "select vec_id, case label % 3 when 0 then 'pickup' when 1 then 'putdown' else 'negative' end state, case when vec_id % 50 < 35 then 'train' else 'test' end split, embedding from {embeddings}",
+    # chr(123) and chr(125) are the braces of JSON, which the view text keeps for table names
+    "fx_responses": "select response_id, l_orderkey, l_linenumber, frame_count, case when l_orderkey % 11 = 0 then substr(body, 1, 20) when l_orderkey % 13 = 0 then concat('[', body, ']') when l_linenumber % 3 = 0 then concat('```json', chr(10), body, chr(10), '```') else body end content from (select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) response_id, l_orderkey, l_linenumber, case when l_orderkey % 2 = 0 then 11 else 0 end frame_count, concat(chr(123), '\"events\": [', chr(123), '\"label\": \"', case l_orderkey % 4 when 1 then ' PutDown ' when 3 then 'grab' else 'pickup' end, '\", \"start_frame\": ', cast(l_linenumber as string), ', \"end_frame\": ', case l_orderkey % 5 when 0 then '\"9\"' when 1 then '1' else '12.7' end, ', \"confidence\": \"medium\", \"hard_case\": ', case when l_orderkey % 6 = 0 then '\"yes\"' else 'true' end, chr(125), ']', chr(125)) body from {lineitem}) z",
 }
 REGIONS = {"region_0": [(100.0, 100.0), (500.0, 100.0), (500.0, 500.0), (100.0, 500.0)], "region_1": [(400.0, 400.0), (900.0, 450.0), (650.0, 900.0)], "region_2": [(50.0, 600.0), (300.0, 650.0), (200.0, 700.0), (320.0, 900.0), (60.0, 950.0)]}
 
@@ -54,3 +57,9 @@ def with_views(sql: str) -> str:
     """sql with every fx_ name in it defined by WITH."""
     names = dict.fromkeys(re.findall(r"\bfx_\w+", sql))
     return "WITH " + ", ".join(f"{n} AS {duck(n)}" for n in names) + sql if names else sql
+
+
+def edges_sql() -> str:
+    """The edges of REGIONS as a SQL table."""
+    rows = [(r, *p[i], *p[(i + 1) % len(p)]) for r, p in REGIONS.items() for i in range(len(p))]
+    return "(VALUES " + ", ".join(f"('{r}', {a}e0, {b}e0, {c}e0, {d}e0)" for r, a, b, c, d in rows) + ") e(region_id, ax, ay, cx, cy)"

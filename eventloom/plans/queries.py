@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.intervals import bounded_context, midpoint_distance, tiou
 from eventloom.operators import dataset, decode, evaluate, intervals, precision, sampling, trajectories, windows
-from eventloom.plans import queries_data, queries_events  # noqa: F401
-from eventloom.plans.fixtures import REGIONS, view
+from eventloom.plans import queries_data, queries_events, queries_models  # noqa: F401
+from eventloom.plans.fixtures import REGIONS, edges_sql, view
 from eventloom.plans.registry import ORACLES, QUERIES, query
 from eventloom.sources import tables
 from eventloom.streaming.state_machine import interaction_events
@@ -119,12 +119,7 @@ def nearest_observation(spark, sf):
     return intervals.nearest_observation(q, view(spark, sf, "fx_pose"), "clip_id", "qt", "t_h", 6.0, ["wrist_x"])
 
 
-def _edges_sql() -> str:
-    rows = [(r, *p[i], *p[(i + 1) % len(p)]) for r, p in REGIONS.items() for i in range(len(p))]
-    return "(VALUES " + ", ".join(f"('{r}', {a}e0, {b}e0, {c}e0, {d}e0)" for r, a, b, c, d in rows) + ") e(region_id, ax, ay, cx, cy)"
-
-
-@query(f""", d AS (SELECT sample_index, clip_id, region_id, wrist_x x, wrist_y y, ax, ay, cx, cy, greatest(0e0, least(1e0, ((wrist_x - ax) * (cx - ax) + (wrist_y - ay) * (cy - ay)) / ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)))) t FROM fx_pose, {_edges_sql()}),
+@query(f""", d AS (SELECT sample_index, clip_id, region_id, wrist_x x, wrist_y y, ax, ay, cx, cy, greatest(0e0, least(1e0, ((wrist_x - ax) * (cx - ax) + (wrist_y - ay) * (cy - ay)) / ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)))) t FROM fx_pose, {edges_sql()}),
  s AS (SELECT sample_index, clip_id, region_id, min(sqrt((x - ax - t * (cx - ax)) * (x - ax - t * (cx - ax)) + (y - ay - t * (cy - ay)) * (y - ay - t * (cy - ay)))) dist, count(*) FILTER (WHERE (ay > y) <> (cy > y) AND x < (cx - ax) * (y - ay) / CASE WHEN cy <> ay THEN cy - ay ELSE 1e-30 END + ax) % 2 = 1 odd FROM d GROUP BY ALL)
  SELECT sample_index, clip_id, region_id, odd OR dist <= 1e-9 AS inside, round(CASE WHEN odd OR dist <= 1e-9 THEN 0 ELSE dist END, 6) AS distance FROM s""")
 def pose_region(spark, sf):
