@@ -46,7 +46,7 @@ def read_export(texts: DataFrame, source: str = "source", text: str = "value") -
     flat = F.forall("__a", lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
     read = listed.withColumn("__ok", F.coalesce(F.startswith(F.schema_of_variant("__v"), F.lit("ARRAY")) & flat, F.lit(False)))
     wrong = violations(read, "source", {("export", "is not an array of objects"): ~F.col("__ok")})
-    items = read.filter("__ok").select("source", F.posexplode("__a").alias("item", "task"))
+    items = read.select("source", F.posexplode_outer(F.when(F.col("__ok"), F.col("__a"))).alias("item", "task")).filter("item is not null")
     t = F.col("task")
     task_id = F.coalesce(_first(_at(t, "$.task.id"), _at(t, "$.id")), F.concat(F.lit("item_"), F.col("item").cast("string")))
     tasks = items.select("source", "item", task_id.alias("task_id"), F.coalesce(_context(t, "clip_id"), F.lit("")).alias("clip_id"), F.coalesce(_context(t, "fps").try_cast("double"), F.lit(0.0)).alias("fps"), "task")
@@ -62,7 +62,7 @@ def expand_annotations(tasks: DataFrame) -> DataFrame:
     One shuffle, by annotation and region.
     """
     t = F.col("task")
-    each = tasks.select("source", "item", "task_id", "clip_id", "fps", "task", F.posexplode(_at(t, "$.annotations", "array<variant>")).alias("place", "__n"))
+    each = tasks.select("source", "item", "task_id", "clip_id", "fps", "task", F.posexplode_outer(_at(t, "$.annotations", "array<variant>")).alias("place", "__n")).filter("place is not null")
     n = F.col("__n")
     by = _at(n, "$.completed_by", "variant")
     scalar = F.when(~F.coalesce(F.rlike(F.schema_of_variant(by), F.lit("^(OBJECT|ARRAY)")), F.lit(True)), by.try_cast("string"))
@@ -72,7 +72,7 @@ def expand_annotations(tasks: DataFrame) -> DataFrame:
     context = F.coalesce(F.rlike(F.lower(F.trim(_context(t, REVIEWED))), F.lit("^(true|1|yes|confirmed)$")), F.lit(False))
     kept = each.filter(~F.coalesce(_at(n, "$.was_cancelled", "boolean"), F.lit(False)))
     rows = kept.select("source", "item", "task_id", "clip_id", "fps", "place", F.coalesce(_first(_at(n, "$.id")), F.lit("unknown_ann")).alias("annotation_id"), F.coalesce(annotator, F.lit("")).alias("annotator"),
-                       (F.coalesce(said, F.lit(False)) | F.coalesce(chosen, F.lit(False)) | context).alias("confirmed"), F.posexplode(_at(n, "$.result", "array<variant>")).alias("pos", "__r"))
+                       (F.coalesce(said, F.lit(False)) | F.coalesce(chosen, F.lit(False)) | context).alias("confirmed"), F.posexplode_outer(_at(n, "$.result", "array<variant>")).alias("pos", "__r")).filter("pos is not null")
     r, pos = F.col("__r"), F.col("pos")
     value = lambda path, kind="string": _at(r, f"$.value.{path}", kind)
     selected = _first(value("choices[0]"), value("checkboxes[0]"), value("choice"))

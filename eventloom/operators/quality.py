@@ -19,8 +19,9 @@ def blank(c: str) -> Column:
 
 def violations(df: DataFrame, source: str, rules: dict[tuple[str, str], Column]) -> DataFrame:
     """(source, field, message) for each broken rule of {(field, message): condition}, from one scan."""
+    # an outer explode: for an inner one Spark infers a filter on the array's size and evaluates all rules twice
     found = [F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"))) for (f, m), broken in rules.items()]
-    return df.select(F.col(source).cast("string").alias("source"), F.explode(F.array_compact(F.array(*found))).alias("v")).select("source", "v.field", "v.message")
+    return df.select(F.col(source).cast("string").alias("source"), F.explode_outer(F.array_compact(F.array(*found))).alias("v")).filter("v is not null").select("source", "v.field", "v.message")
 
 
 def repeated(df: DataFrame, key: str) -> DataFrame:

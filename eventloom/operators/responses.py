@@ -43,7 +43,7 @@ def model_events(responses: DataFrame, key: str = "response_id", text: str = "co
     whole = {("content", "is not JSON"): j.isNull(), ("content", "is not an object"): _kind(j) != "OBJECT"}
     listed, reason = F.try_variant_get(j, "$.events", "variant"), F.try_variant_get(j, "$.reasoning", "variant")
     whole |= {("events", "is not an array"): (_kind(j) == "OBJECT") & (F.coalesce(_kind(listed), F.lit("")) != "ARRAY"), ("reasoning", "is not a text"): reason.isNotNull() & (_kind(reason) != "STRING")}
-    one = v.select(key, frames, F.posexplode(F.try_variant_get(j, "$.events", "array<variant>")).alias("item", "__e"))
+    one = v.select(key, frames, F.posexplode_outer(F.try_variant_get(j, "$.events", "array<variant>")).alias("item", "__e")).filter("item is not null")
     e = F.col("__e")
     (start, no_start), (end, no_end), (count, no_count) = (_whole(e, f"$.{f}") for f in ("start_frame", "end_frame", "item_count"))
     given = F.try_variant_get(e, "$.item_count", "variant").isNotNull()
