@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, chroma, knn_quality, line_rules, lm, minmax, mixing, pii, substring, unigram
+from eventloom.llm import bpe, chroma, collocations, knn_quality, licenses, line_rules, lm, minmax, mixing, pii, substring, unigram, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_token_counts": unigram.op8_token_counts,
         "op9_quality_rules": line_rules.op9_quality_rules,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_license_scans": licenses.op12_license_scans,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_scoring": lm.ORACLE, "op9_quality_rules": line_rules.ORACLE, "op10_mix_sources": mixing.ORACLE}
+    return {"op2_lm_scoring": lm.ORACLE, "op9_quality_rules": line_rules.ORACLE, "op10_mix_sources": mixing.ORACLE, "op11_collocations": collocations.ORACLE}
