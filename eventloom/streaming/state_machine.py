@@ -7,10 +7,15 @@ the confidence. The state is a record of fixed size - phase, times, running sums
 
 from __future__ import annotations
 
+import pickle
+from collections import namedtuple
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 KEY = ["clip_id", "actor_id", "hand_side", "region_id"]
 OUT = "clip_id string, actor_id string, hand_side string, region_id string, cycle long, type string, t_start double, transfer_s double, t_end double, confidence double"
@@ -183,26 +188,94 @@ def interaction_events(obs: DataFrame, config: Config | None = None) -> DataFram
     return obs.groupBy(*KEY).applyInPandas(run, OUT)
 
 
-def stream_interactions(obs: DataFrame, config: Config | None = None) -> DataFrame:
-    """The same machine over a stream with a watermarked column event_time; state is a pickled record of fixed size.
+#: Events, and rows of type late with how many observations came too late for their stream.
+STREAM_OUT = OUT + ", n_late long"
+_FIELDS = ["timestamp_s", "inside_region", "distance_px", "trajectory_confidence", "hand_empty", "hand_carrying", "hand_uncertain", "shelf_removed", "shelf_placed", "shelf_uncertain"]
+_WAITING = "at_ms long, timestamp_s double, inside_region boolean, " + ", ".join(f"{c} double" for c in _FIELDS[2:])
 
-    Rows of a micro-batch are sorted per key; a row older than the key's last one is skipped.
+
+class Machines(StatefulProcessor):
+    """Per stream key: the machine's record, and in a list the rows that wait for the watermark, whose passing feeds them in time order.
+
+    Rows behind the watermark come too late and are counted. A key that had nothing to do for idle_ms of event time loses its state.
     """
-    import pickle
 
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    def __init__(self, config: Config, idle_ms: int):
+        self.config, self.idle_ms = config, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", "body binary, last_ms long")
+        self.waiting = handle.getListState("waiting", _WAITING)
+
+    def _wake(self, at_ms: int) -> None:
+        """The one timer of a key."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        late, first = 0, None
+        for df in rows:
+            ok = df["at_ms"] >= mark
+            late += int((~ok).sum())
+            fresh = df.loc[ok, ["at_ms", *_FIELDS]]
+            if len(fresh):
+                self.waiting.appendList(list(fresh.astype(object).where(fresh.notna(), None).itertuples(index=False, name=None)))
+                first = min(int(fresh["at_ms"].min()), first if first is not None else 1 << 62)
+        if first is not None:
+            self._wake(min([first, *(t for t in self.handle.listTimers() if not self._idle())]))
+        if late:
+            yield _named(key, [{"type": "late"}], late)
+
+    def _idle(self) -> bool:
+        """Whether the timer only waits for the state to expire."""
+        return self.record.exists() and self.record.get()[1] is not None
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((r for r in rows if r[0] < mark), key=lambda r: r[1])
+        rest = [r for r in rows if r[0] >= mark]
+        if not rows:
+            self.record.clear()
+            return
+        body = self.record.get()[0] if self.record.exists() else None
+        state = pickle.loads(body) if body else State()
+        found = [e for r in ready if (e := feed(state, _Row(*r[1:]), self.config))]
+        if rest:
+            self.waiting.put(rest)
+            self._wake(min(r[0] for r in rest))
+        else:
+            self.waiting.clear()
+            self._wake(max(r[0] for r in ready) + self.idle_ms)
+        self.record.update((pickle.dumps(state), None if rest else max(r[0] for r in ready)))
+        if found:
+            yield _named(key, found, 0)
 
-    c = config or Config()
+    def close(self) -> None:
+        pass
 
-    def run(key: tuple, batches, state: GroupState):
-        s = pickle.loads(state.get[0]) if state.exists else State()
-        rows = pd.concat(list(batches)).sort_values("timestamp_s", kind="stable")
-        rows = rows[rows["timestamp_s"] >= s.last_seen] if s.last_seen is not None else rows
-        found = [e for r in rows.itertuples(index=False) if (e := feed(s, r, c))]
-        state.update((pickle.dumps(s),))
-        out = pd.DataFrame(found, columns=["cycle", "type", "t_start", "transfer_s", "t_end", "confidence"])
-        for i, k in enumerate(KEY):
-            out.insert(i, k, key[i])
-        yield out
 
-    return obs.groupBy(*KEY).applyInPandasWithState(run, OUT, "record binary", "append", GroupStateTimeout.NoTimeout)
+_Row = namedtuple("_Row", _FIELDS)
+
+
+def _named(key: tuple, rows: list[dict], late: int) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["cycle", "type", "t_start", "transfer_s", "t_end", "confidence"])
+    out["cycle"] = out["cycle"].astype("Int64")
+    for i, k in enumerate(KEY):
+        out.insert(i, k, key[i])
+    out["n_late"] = late
+    return out
+
+
+def stream_interactions(obs: DataFrame, config: Config | None = None, time: str = "event_time", late: str = "10 seconds", idle_s: float = 60.0) -> DataFrame:
+    """The same machine over a stream of observations with an event time: events, and rows of type late that count what came behind the watermark.
+
+    Rows of a key may come in any order within `late`: they wait until the watermark passes them, so that micro-batches, however cut or shuffled, give the batch result.
+    The end of a stream stays open until the watermark moves on. Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`).
+    """
+    # late rows are counted by the processor, so that they reach it without the time column that Spark would drop them by
+    marked = obs.withWatermark(time, late).withColumn("at_ms", F.unix_millis(F.col(time))).select(*KEY, "at_ms", *[F.col(c).cast("boolean" if c == "inside_region" else "double").alias(c) for c in _FIELDS])
+    return marked.groupBy(*KEY).transformWithStateInPandas(Machines(config or Config(), int(idle_s * 1000)), STREAM_OUT, "Append", "EventTime")

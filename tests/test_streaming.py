@@ -1,13 +1,9 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
-from eventloom.plans.fixtures import view
 from eventloom.sources import tables
 from eventloom.streaming import observations
-from eventloom.streaming.state_machine import interaction_events, stream_interactions
-from tests.conftest import SF
 
 
 def streamed(spark, tmp_path, parts, build, schema):
@@ -20,15 +16,6 @@ def streamed(spark, tmp_path, parts, build, schema):
     return spark.table("out")
 
 
-def test_streamed_state_machine_equals_batch(spark, tmp_path):
-    obs = view(spark, SF, "fx_sm_obs").cache()
-    cut = obs.agg(F.max("timestamp_s")).first()[0] / 2
-    got = streamed(spark, tmp_path, [obs.filter(F.col("timestamp_s") <= cut), obs.filter(F.col("timestamp_s") > cut)], stream_interactions, obs.schema)
-    want = interaction_events(obs)
-    assert want.count() > 0
-    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
-
-
 @pytest.fixture
 def timed(spark):
     rows = [(c, i, datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(hours=h)) for i, (c, h) in enumerate([("a", 0), ("a", 1), ("a", 12), ("b", 2), ("b", 2), ("a", 90), ("b", 90)])]
