@@ -55,46 +55,59 @@ class Pieces:
             self.left[:-1] = np.where(same[:-1], np.minimum(self.left[1:] + 1, MOST), 1)
 
 
-def grown(g: np.ndarray, h: np.ndarray, m: int, at: np.ndarray) -> np.ndarray:
-    """Hashes of the m words from places at on, from those of their first m - 1 (g, by place)."""
-    return mix(g[at] * U(0x9E3779B97F4A7C15) + h[at + m - 1] + U(m))
-
-
 def levels(h: np.ndarray, left: np.ndarray, keep):
     """Per number of words, the places and hashes of phrases that keep(hashes) marks; longer ones only where both parts were kept."""
-    g, kept = h.copy(), np.ones(len(h), bool)
+    at, key = np.arange(len(h), dtype=np.int32), h
+    kept = np.zeros(len(h) + 1, bool)
     for m in range(1, MOST + 1):
-        at = np.arange(len(h)) if m == 1 else np.flatnonzero(kept[:-1] & kept[1:] & (left[:-1] >= m)) if len(h) > 1 else np.zeros(0, np.int64)
-        key = h if m == 1 else grown(g, h, m, at)
+        if m > 1:
+            kept[:] = False
+            kept[at] = True
+            grows = kept[at + 1] & (left[at] >= m)
+            at, key = at[grows], key[grows]
+            key = mix(key * U(0x9E3779B97F4A7C15) + h[at + (m - 1)] + U(m))
         good = keep(key)
         at, key = at[good], key[good]
-        kept = np.zeros(len(h), bool)
-        kept[at] = True
-        g[at] = key
         yield m, at, key
 
 
 def shards(batches, limit: int):
     """(hashes, words left, bytes, {lang hash: words}) of about `limit` bytes of text; a longer text is a shard of its own."""
     held, size, langs = [], 0, {}
-    for batch in slices(batches, "text"):
+
+    def joined():
+        h, left = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return h, left
+
+    for batch in slices(batches, "text", 2 << 20):
         p = Pieces(batch)
         held.append((p.hash, p.left))
         size += len(p.words.data)
         names, inverse = np.unique(p.lang, return_inverse=True)
         for name, n in zip(names.tolist(), np.bincount(inverse, p.words.count, len(names)).astype(np.int64).tolist(), strict=True):
             langs[name] = langs.get(name, 0) + n
+        del p
         if size >= limit:
-            yield *(np.concatenate(x) for x in zip(*held, strict=True)), size, langs
-            held, size, langs = [], 0, {}
+            yield *joined(), size, langs
+            size, langs = 0, {}
     if held:
-        yield *(np.concatenate(x) for x in zip(*held, strict=True)), size, langs
+        yield *joined(), size, langs
 
 
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c) for c in columns.values()], list(columns))
 
 
+def among(some: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys are in some, which is sorted; in blocks, to hold little besides."""
+    out = np.zeros(len(key), bool)
+    for i in range(0, len(key) if len(some) else 0, 1 << 19):
+        part = key[i : i + (1 << 19)]
+        out[i : i + len(part)] = some[np.minimum(np.searchsorted(some, part), len(some) - 1)] == part
+    return out
+
+
 def mined(batches, support: int, total: int, limit: int):
     """Hashes of what is frequent in each shard of this task."""
     for h, left, size, _ in shards(batches, limit):
@@ -103,8 +116,10 @@ def mined(batches, support: int, total: int, limit: int):
             least = -(-support * size // max(total, 1))
             if least <= 1 or not len(key):
                 return np.ones(len(key), bool)
-            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            return count[inverse] >= least
+            order = np.sort(key)
+            often = np.unique(order[: len(order) - least + 1][order[: len(order) - least + 1] == order[least - 1 :]]) if least <= len(order) else order[:0]
+            del order
+            return among(often, key)
 
         for _, _, key in levels(h, left, frequent):
             if len(key):
@@ -118,8 +133,11 @@ class Bits:
         self.packed = packed
 
     def has(self, key: np.ndarray) -> np.ndarray:
-        at = key & U(len(self.packed) * 8 - 1)
-        return (self.packed[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+        out = np.zeros(len(key), bool)
+        for i in range(0, len(key), 1 << 19):
+            at = key[i : i + (1 << 19)] & U(len(self.packed) * 8 - 1)
+            out[i : i + len(at)] = (self.packed[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+        return out
 
 
 def bits_of(hashes: DataFrame, n: int, most_bits: int, segments: int = 64) -> Bits:
@@ -153,7 +171,7 @@ def counted(batches, bits, limit: int):
 def named(batches, bits, known: int = 1 << 22):
     """(hash, lang, phrase) of phrases and langs with a set bit, each about once a task: up to `known` hashes are remembered."""
     seen = np.zeros(0, U)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 2 << 20):
         p = Pieces(batch)
         row = p.words.row_of_word()
         raw, start, end = p.words.data.tobytes(), p.words.start, p.words.end
@@ -173,7 +191,7 @@ def named(batches, bits, known: int = 1 << 22):
         yield pa.RecordBatch.from_arrays(columns, ["hash", "lang", "phrase"])
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 30, shard_bytes: int = 64 << 20, most_bits: int = 1 << 29) -> DataFrame:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 30, shard_bytes: int = 32 << 20, most_bits: int = 1 << 29) -> DataFrame:
     """(lang, phrase, words, f), in a written table: phrases of 1 to 4 words that occur `support` times or more, and per lang a row of 0 words with all its words."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
