@@ -1,14 +1,15 @@
-"""Phrase collocations by partitioned mining.
+"""Phrase collocations by partitioned mining, level by level.
 
-Texts fall into shards of bounded size. Each shard is mined completely, level by level, for phrases of 1 to 4 words whose local
-count reaches the shard's share of the support: count / support >= bytes of the shard / bytes of all texts. A phrase below that share in every shard is
-below the support, so the union of what shards report holds every frequent phrase. All of that union is then counted exactly, over all texts, and the
-phrases of `support` or more are scored with joins.
+Texts fall into shards of bounded size. For phrases of 2, 3 and 4 words in turn, each shard is mined completely for those that grow from frequent
+shorter ones and whose local count reaches the shard's share of the support: count / support >= bytes of the shard / bytes of all texts. A phrase below
+that share in every shard is below the support, so the union of what shards report holds every frequent phrase of the level. All of that union is then counted
+exactly over all texts, and the phrases of `support` or more, found exactly, are what the next level grows from. Single words are counted outright.
+Where the share leaves a local support of 1 (from some 30 shards on), every phrase of a shard is locally frequent; the union is then not written down, and
+all that grow from frequent ones are counted. This is linear: measured on 0.1 GB, half a (hash, count) row a word for all levels together.
 
-Phrases travel as 64-bit hashes of (lang, words). The union becomes a bit table of a bounded size (`most_bits`), in 16 bits a phrase; a phrase that meets a
-set bit by chance is counted as well, exactly, and dropped by the support. Shards send each distinct phrase once with its count, so a
-frequent phrase or a hot lang makes no long group. On many shards the local support falls to 1, and the bits then hold all phrases: counting stays exact and
-linear, and sends up to four (hash, count) rows a word and shard.
+Phrases travel as 64-bit hashes of (lang, words). A union or level is known to tasks as a bit table of a bounded size (`most_bits`), 16 bits a phrase; a
+phrase that meets a set bit by chance is counted as well, exactly, and dropped by the support. Shards send each distinct phrase once with its count, so
+that a frequent phrase or a hot lang makes no long group.
 
 Null texts have no words, a null lang is `und`. A lang without frequent phrases of 2 words has no rows; an empty table has none. Ids are not read. Repeated
 rows count each time. Other columns, whatever their names, stay out.
@@ -16,6 +17,8 @@ rows count each time. Other columns, whatever their names, stay out.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -55,20 +58,41 @@ class Pieces:
             self.left[:-1] = np.where(same[:-1], np.minimum(self.left[1:] + 1, MOST), 1)
 
 
-def levels(h: np.ndarray, left: np.ndarray, keep):
-    """Per number of words, the places and hashes of phrases that keep(hashes) marks; longer ones only where both parts were kept."""
+class Bits:
+    """A bit per hash value modulo a power of two; a set bit may belong to another hash."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), bool)
+        for i in range(0, len(key), 1 << 19):
+            at = key[i : i + (1 << 19)] & U(len(self.packed) * 8 - 1)
+            out[i : i + len(at)] = (self.packed[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def grown(h: np.ndarray, left: np.ndarray, levels: list[Bits]):
+    """(places, hashes) of phrases of 1, 2, ... len(levels) + 1 words: a longer one only where both shorter ones, from its first and second word on, are in their level."""
     at, key = np.arange(len(h), dtype=np.int32), h
-    kept = np.zeros(len(h) + 1, bool)
-    for m in range(1, MOST + 1):
-        if m > 1:
-            kept[:] = False
-            kept[at] = True
-            grows = kept[at + 1] & (left[at] >= m)
-            at, key = at[grows], key[grows]
-            key = mix(key * U(0x9E3779B97F4A7C15) + h[at + (m - 1)] + U(m))
-        good = keep(key)
+    yield at, key
+    for m, level in enumerate(levels, 1):
+        good = level.has(key)
         at, key = at[good], key[good]
-        yield m, at, key
+        kept = np.zeros(len(h) + 1, bool)
+        kept[at] = True
+        grows = kept[at + 1] & (left[at] > m)
+        at, key = at[grows], key[grows]
+        key = mix(key * U(0x9E3779B97F4A7C15) + h[at + m] + U(m + 1))
+        yield at, key
+
+
+def last(steps):
+    """The last of an iterator's values; earlier ones are let go."""
+    value = None
+    for value in steps:
+        pass
+    return value
 
 
 def shards(batches, limit: int):
@@ -99,45 +123,14 @@ def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c) for c in columns.values()], list(columns))
 
 
-def among(some: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Which keys are in some, which is sorted; in blocks, to hold little besides."""
-    out = np.zeros(len(key), bool)
-    for i in range(0, len(key) if len(some) else 0, 1 << 19):
-        part = key[i : i + (1 << 19)]
-        out[i : i + len(part)] = some[np.minimum(np.searchsorted(some, part), len(some) - 1)] == part
-    return out
-
-
-def mined(batches, support: int, total: int, limit: int):
-    """Hashes of what is frequent in each shard of this task."""
+def mined(batches, levels, support: int, total: int, limit: int):
+    """Hashes of the next level's phrases that are frequent in a shard of this task."""
     for h, left, size, _ in shards(batches, limit):
-
-        def frequent(key: np.ndarray, size: int = size) -> np.ndarray:
-            least = -(-support * size // max(total, 1))
-            if least <= 1 or not len(key):
-                return np.ones(len(key), bool)
-            order = np.sort(key)
-            often = np.unique(order[: len(order) - least + 1][order[: len(order) - least + 1] == order[least - 1 :]]) if least <= len(order) else order[:0]
-            del order
-            return among(often, key)
-
-        for _, _, key in levels(h, left, frequent):
-            if len(key):
-                yield _rows(hash=np.unique(key))
-
-
-class Bits:
-    """A bit per hash value modulo a power of two; a set bit may belong to another hash."""
-
-    def __init__(self, packed: np.ndarray):
-        self.packed = packed
-
-    def has(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key), bool)
-        for i in range(0, len(key), 1 << 19):
-            at = key[i : i + (1 << 19)] & U(len(self.packed) * 8 - 1)
-            out[i : i + len(at)] = (self.packed[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
-        return out
+        least = max(1, -(-support * size // max(total, 1)))
+        order = np.sort(last(grown(h, left, levels.value))[1])
+        if least <= len(order):
+            often = order[: len(order) - least + 1]
+            yield _rows(hash=np.unique(often[often == order[least - 1 :]]))
 
 
 def bits_of(hashes: DataFrame, n: int, most_bits: int, segments: int = 64) -> Bits:
@@ -158,18 +151,22 @@ def bits_of(hashes: DataFrame, n: int, most_bits: int, segments: int = 64) -> Bi
     return Bits(packed)
 
 
-def counted(batches, bits, limit: int):
-    """(hash, words, count) of each shard's phrases with a set bit; words is 0 for the words of a lang, whose hash is the lang's."""
+def counted(batches, levels, union, limit: int):
+    """(hash, words, count) of each shard's phrases of the next level, of those in the union if there is one. With single words, words 0 marks all
+    words of a lang, whose hash is the lang's."""
+    m = len(levels.value) + 1
     for h, left, _, langs in shards(batches, limit):
-        yield _rows(hash=np.array(list(langs), U), words=np.zeros(len(langs), np.int32), count=np.array(list(langs.values()), np.int64))
-        for m, _, key in levels(h, left, bits.value.has):
-            if len(key):
-                key, count = np.unique(key, return_counts=True)
-                yield _rows(hash=key, words=np.full(len(key), m, np.int32), count=count.astype(np.int64))
+        if m == 1:
+            yield _rows(hash=np.array(list(langs), U), words=np.zeros(len(langs), np.int32), count=np.array(list(langs.values()), np.int64))
+        key = last(grown(h, left, levels.value))[1]
+        if union is not None:
+            key = key[union.value.has(key)]
+        key, count = np.unique(key, return_counts=True)
+        yield _rows(hash=key, words=np.full(len(key), m, np.int32), count=count.astype(np.int64))
 
 
-def named(batches, bits, known: int = 1 << 22):
-    """(hash, lang, phrase) of phrases and langs with a set bit, each about once a task: up to `known` hashes are remembered."""
+def named(batches, levels, known: int = 1 << 22):
+    """(hash, lang, phrase) of langs and of phrases in their level, each about once a task: up to `known` hashes are remembered."""
     seen = np.zeros(0, U)
     for batch in slices(batches, "text", 2 << 20):
         p = Pieces(batch)
@@ -179,10 +176,11 @@ def named(batches, bits, known: int = 1 << 22):
         out_hash, out_row, out_phrase = [], [], []
         _, first = np.unique(p.lang, return_index=True)
         out_hash.append(p.lang[first]), out_row.append(first), out_phrase.extend([""] * len(first))
-        for m, at, key in levels(p.hash, p.left, bits.value.has):
-            key, one = np.unique(key, return_index=True)
+        for m, (at, key) in enumerate(grown(p.hash, p.left, levels.value[:-1]), 1):
+            good = levels.value[m - 1].has(key)
+            key, one = np.unique(key[good], return_index=True)
             new = ~np.isin(key, seen, assume_unique=True)
-            key, at = key[new], at[one[new]]
+            key, at = key[new], at[good][one[new]]
             if len(seen) + len(key) <= known:
                 seen = np.concatenate([seen, key])
             words = [[raw[a:b] for a, b in zip(start[at + i].tolist(), end[at + i].tolist(), strict=True)] for i in range(m)]
@@ -191,22 +189,30 @@ def named(batches, bits, known: int = 1 << 22):
         yield pa.RecordBatch.from_arrays(columns, ["hash", "lang", "phrase"])
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 30, shard_bytes: int = 32 << 20, most_bits: int = 1 << 29) -> DataFrame:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 30, shard_bytes: int = 32 << 20, most_bits: int = 1 << 28) -> DataFrame:
     """(lang, phrase, words, f), in a written table: phrases of 1 to 4 words that occur `support` times or more, and per lang a row of 0 words with all its words."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     total = text_total(docs, text)
-    union = written(rows.mapInArrow(lambda b: mined(b, support, total, shard_bytes), "hash long").distinct(), "union")
-    bits = spark.sparkContext.broadcast(bits_of(union, union.count(), most_bits))
-    counts = rows.mapInArrow(lambda b: counted(b, bits, shard_bytes), "hash long, words int, count long").groupBy("hash", "words").agg(F.sum("count").alias("f"))
-    frequent = written(counts.filter((F.col("f") >= support) | (F.col("words") == 0)), "frequent")
-    remove_written(spark, union)
-    bits.unpersist()
-    bits = spark.sparkContext.broadcast(bits_of(frequent, frequent.count(), most_bits))
-    names = rows.mapInArrow(lambda b: named(b, bits), "hash long, lang string, phrase string").join(frequent, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("lang", "phrase")).alias("p"))
-    out = written(frequent.join(names, "hash").select("p.lang", "p.phrase", "words", "f"), "phrases")
-    remove_written(spark, frequent)
-    bits.unpersist()
+    levels: list[Bits] = []
+    tables: list[DataFrame] = []
+    for words in range(1, MOST + 1):
+        sent = spark.sparkContext.broadcast(levels)
+        union = None
+        if words > 1 and support * shard_bytes > total:  # a full shard's local support is 2 or more
+            found = written(rows.mapInArrow(lambda b, sent=sent: mined(b, sent, support, total, shard_bytes), "hash long").distinct(), "union")
+            union = spark.sparkContext.broadcast(bits_of(found, found.count(), most_bits))
+            remove_written(spark, found)
+        counts = rows.mapInArrow(lambda b, sent=sent, union=union: counted(b, sent, union, shard_bytes), "hash long, words int, count long")
+        counts = counts.groupBy("hash", "words").agg(F.sum("count").alias("f"))
+        frequent = written(counts.filter((F.col("f") >= support) | (F.col("words") == 0)), "frequent")
+        levels = [*levels, bits_of(frequent.filter("words > 0"), frequent.count(), most_bits)]
+        tables.append(frequent)
+    sent = spark.sparkContext.broadcast(levels)
+    every = functools.reduce(DataFrame.unionByName, tables)
+    names = rows.mapInArrow(lambda b: named(b, sent), "hash long, lang string, phrase string").join(every, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("lang", "phrase")).alias("p"))
+    out = written(every.join(names, "hash").select("p.lang", "p.phrase", "words", "f"), "phrases")
+    remove_written(spark, *tables)
     return out
 
 

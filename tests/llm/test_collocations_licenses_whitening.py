@@ -50,6 +50,7 @@ def test_collocations_equal_loops(spark, shard, bits):
 
 def test_collocations_of_nothing_and_clashing_columns(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
+    assert collocations.collocations(spark.createDataFrame([(1, None, None, None), (2, "", "en", None)], DOCS)).count() == 0
     docs = spark.createDataFrame([("a b", None, 1, 2, 3)] * 40, "text string, lang string, hash int, words int, f int")
     assert [tuple(r) for r in collocations.collocations(docs).collect()] == [("und", 1, "a b", 40, 40, 40, 80, 1000000)]
 
