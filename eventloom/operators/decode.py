@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.intervals import tiou
+from eventloom.sources.shared import dropped, stored
 
 CLASSES = ("background", "pickup", "putdown")
 
@@ -30,26 +33,33 @@ def threshold_regions(scores: DataFrame, label: str, threshold: float, key: str
     return out.drop("__run").withColumn("type", F.lit(label))
 
 
-def merge_window_predictions(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Same-type predictions of a clip across windows: a group goes on while the next one starts before the running end, or
-    after the previous row's end by a positive gap of at most threshold (an exact touch breaks). Items and confidence are maxima."""
-    by = Window.partitionBy("clip_id", "type").orderBy("t_start", "t_end", "pred_id")
-    top = F.max("t_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.col("t_start") - F.lag("t_end").over(by)
-    goes_on = (F.col("t_start") < top) | ((gap > 0) & (gap <= threshold))
-    rows = rows.withColumn("__new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("__g", F.sum("__new").over(by))
-    return rows.groupBy("clip_id", "type", "__g").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max("score").alias("score"), F.array_sort(F.collect_set("pred_id")).alias("pred_ids"), *[F.max("items").alias("items")] * ("items" in rows.columns)).drop("__g")
-
-
-def greedy_keep(items: DataFrame, keys: list[str], fields: list[str], order: list, suppresses) -> DataFrame:
-    """Temporal non-maximum suppression: in order, a row is kept unless a kept row of its block suppresses it.
+def merge_window_predictions(rows: DataFrame, threshold: float = 1.0) -> DataFrame:
+    """Same-type predictions (clip_id, type, t_start, t_end, score, pred_id, optional items and window_id) of a clip across windows; no_event rows are left out.
 
-    Blocks are those of keys; the fold runs in the JVM over one block's sorted array.
+    A group goes on while the next row starts before the running end, or after the previous row's end by a positive gap of at most threshold (an exact touch
+    breaks). The union of its intervals, of which there may be several, are its predictions: all have the group's largest score and items, its
+    pred_ids, its window_ids where there are any, and a group_id of their own where items > 1, else an empty one.
     """
-    ranked = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*fields).alias("v")))).alias("a"))
-    empty = F.expr("cast(array() as array<struct<" + ",".join(f"{f}:{dict(items.dtypes)[f]}" for f in fields) + ">>)")
-    kept = F.aggregate(F.transform("a", lambda x: x["v"]), empty, lambda acc, x: F.when(F.exists(acc, lambda k: suppresses(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return ranked.select(*keys, F.explode(kept).alias("v")).select(*keys, "v.*")
+    order = ["t_start", "t_end", "pred_id"]
+    by = Window.partitionBy("clip_id", "type").orderBy(*order)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("t_start") - F.lag("t_end").over(by)
+    goes_on = (F.col("t_start") < F.max("t_end").over(before)) | ((gap > 0) & (gap <= threshold))
+    rows = rows.filter("type <> 'no_event'").withColumn("__new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("__g", F.sum("__new").over(by))
+    inside = Window.partitionBy("clip_id", "type", "__g").orderBy(*order)
+    top = F.max("t_end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__cut", F.when(top.isNull() | (F.col("t_start") > top), 1).otherwise(0)).withColumn("__piece", F.sum("__cut").over(inside))
+    ids = [c for c in ("pred_id", "window_id") if c in rows.columns]
+    pieces = rows.groupBy("clip_id", "type", "__g", "__piece").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max("score").alias("score"), *[F.collect_set(c).alias(f"{c}s") for c in ids], *[F.max("items").alias("items")] * ("items" in rows.columns))
+    whole = Window.partitionBy("clip_id", "type", "__g")
+    out = {"score": F.max("score").over(whole)} | {f"{c}s": F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{c}s").over(whole)))) for c in ids}
+    if "items" in rows.columns:
+        out["items"] = F.max("items").over(whole)
+    merged = pieces.withColumns(out)
+    name = F.concat(F.lit("l2_"), F.substring(F.md5(F.concat_ws("|", "clip_id", "type", F.format_string("%.3f", "t_start"), F.format_string("%.3f", "t_end"))), 1, 12))
+    if "items" in rows.columns:
+        merged = merged.withColumn("group_id", F.when(F.col("items") > 1, name).otherwise(""))
+    return merged.drop("__g", "__piece")
 
 
 def merge_same_type_regions(regions: DataFrame, gap: float = 0.75, least: float = 0.3, key: str = "clip_id") -> DataFrame:
@@ -75,22 +85,43 @@ def refine_boundaries(start: Column, end: Column, transfer: Column, window: tupl
 
 def temporal_nms(preds: DataFrame, keys: tuple[str, ...] = ("clip_id", "type"), threshold: float = 0.5, transfer: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(kept, audit) of predictions (keys, pred_id, t_start, t_end, transfer_s, score): best score first, one is dropped if a kept one of its keys overlaps it by
-    an IoU of threshold with a transfer at most `transfer` away. The audit names the first such kept one. Blocks are split into islands of overlapping intervals."""
-    by = Window.partitionBy(*keys).orderBy("t_start", "t_end", "pred_id")
-    top = F.max("t_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = preds.withColumn("__island", F.sum(F.when(top.isNull() | (F.col("t_start") > top), 1).otherwise(0)).over(by))
-
-    def hits(k: Column, x: Column) -> Column:
-        return (tiou(k["t_start"], k["t_end"], x["t_start"], x["t_end"]) >= threshold) & (F.abs(k["transfer_s"] - x["transfer_s"]) <= transfer)
-
-    block = [*keys, "__island"]
-    fields = ["t_start", "t_end", "transfer_s", "score", "pred_id"]
-    kept = greedy_keep(rows.select(*block, *fields), block, fields, [-F.col("score"), F.col("t_start"), F.col("pred_id")], hits)
-    k = kept.select(*block, F.struct(*fields).alias("k"))
-    lost = rows.select(*block, F.struct(*fields).alias("x")).join(kept.select("pred_id"), F.col("x.pred_id") == F.col("pred_id"), "left_anti")
-    pairs = lost.join(k, block).filter(hits(F.col("k"), F.col("x")))
-    audit = pairs.groupBy(F.col("x.pred_id").alias("dropped")).agg(F.min_by(F.col("k.pred_id"), F.struct(-F.col("k.score"), F.col("k.t_start"), F.col("k.pred_id"))).alias("kept"))
-    return preds.join(kept.select("pred_id"), "pred_id", "left_semi").select(*preds.columns), audit
+    an IoU of threshold with a transfer at most `transfer` away. The audit (dropped, kept) names the first such kept one.
+
+    Greedy suppression by parallel rounds, whatever the density: a row without a live rival ranked before it is kept, the rows that it suppresses leave, and so
+    on. Rivals come from one join on keys and a cell of the transfer time; equal intervals meet it as one row. pred_id is unique; threshold and transfer are positive.
+    """
+    rank = F.struct((-F.col("score")).alias("s"), "t_start", "pred_id")
+    row = preds.filter("t_end > t_start").select(*keys, "t_start", "t_end", "transfer_s", rank.alias("rank"))  # others overlap nothing
+    # of rows with equal times the best is kept or dropped, and all others are dropped, by whatever drops it or by it
+    same = [*keys, "t_start", "t_end", "transfer_s"]
+    best = row.groupBy(*same).agg(F.min("rank").alias("rank"))
+    cell = F.floor(F.col("transfer_s") / transfer)
+    a = best.withColumn("cell", cell)
+    b = best.select(*keys, *[F.col(c).alias(f"x_{c}") for c in ("t_start", "t_end", "transfer_s", "rank")], F.explode(F.array(*[cell + d for d in (-1, 0, 1)])).alias("cell"))
+    shared = tiou(F.col("t_start"), F.col("t_end"), F.col("x_t_start"), F.col("x_t_end")) >= threshold
+    rivals = a.join(b, [*keys, "cell"]).filter((F.col("rank") < F.col("x_rank")) & shared & (F.abs(F.col("transfer_s") - F.col("x_transfer_s")) <= transfer))
+    rivals = stored(rivals.select(F.col("rank").alias("k"), F.col("x_rank").alias("x")), "rivals")
+    live, lost, kept = rivals, [], []
+    while not live.isEmpty():
+        free = live.select("k").join(live.select(F.col("x").alias("k")), "k", "left_anti").distinct()
+        now = stored(free, "kept")
+        gone = stored(live.join(now, "k", "left_semi").select("x").distinct(), "lost")
+        kept.append(now)
+        lost.append(gone)
+        rest = live.join(now, "k", "left_anti").join(gone, "x", "left_anti").join(gone.select(F.col("x").alias("k")), "k", "left_anti").select("k", "x")
+        rest = stored(rest, "rivals")
+        if live is not rivals:
+            dropped(live)
+        live = rest
+    empty = rivals.select("k").limit(0)
+    fallen = functools.reduce(DataFrame.union, [g.select("x") for g in lost], empty).withColumnRenamed("k", "x")
+    # rows of a dropped rival are never kept, so that whoever drops a row stands in its pairs and fell to no one
+    first = rivals.join(fallen, "x", "left_semi").join(fallen.select(F.col("x").alias("k")), "k", "left_anti").groupBy("x").agg(F.min("k").alias("k"))
+    judged = row.join(best.select(*same, F.col("rank").alias("top")), same).join(first.select(F.col("x").alias("top"), "k"), "top", "left")
+    audit = judged.filter((F.col("rank") != F.col("top")) | F.col("k").isNotNull()).select(F.col("rank.pred_id").alias("dropped"), F.coalesce("k", "top").getField("pred_id").alias("kept"))
+    audit = stored(audit, "audit")
+    dropped(*kept, *lost)
+    return preds.join(audit.select(F.col("dropped").alias("pred_id")), "pred_id", "left_anti").select(*preds.columns), audit
 
 
 def decode_events(scores: DataFrame, threshold: float = 0.4, size: int = 3, gap: float = 0.75, least: float = 0.3) -> DataFrame:

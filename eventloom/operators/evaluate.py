@@ -1,7 +1,7 @@
 """Detection metrics: one-to-one matching of events and predictions, counts and rates.
 
-Accepted pairs come from one bucketed interval join. Pairs whose both ends have no other accepted pair match natively;
-the rest is solved per block (clip, type) and island of overlapping pairs in a grouped map by augmenting paths, count first.
+Accepted pairs come from one bucketed interval join and are stored. Pairs whose both ends have no other accepted pair match natively;
+the rest is solved per connected component in a grouped map by augmenting paths, count first.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.intervals import midpoint_distance, tiou
 from eventloom.operators.decode import merge_window_predictions
+from eventloom.operators.graphs import connected
 from eventloom.operators.intervals import drop_ignored, overlap_join
 from eventloom.operators.windows import expand_items
+from eventloom.sources.shared import stored
 
 TYPES = ("pickup", "putdown")
 
@@ -68,26 +70,45 @@ def solve(scores: np.ndarray) -> list[tuple[int, int]]:
     return [(p[j] - 1, j - 1) for j in range(1, n + 1) if p[j] <= scores.shape[0] and j <= scores.shape[1] and scores[p[j] - 1, j - 1] > 0]
 
 
-def match_one_to_one(pairs: DataFrame, on: list[str]) -> DataFrame:
-    """A largest one-to-one subset of accepted pairs per block, best total quality among those."""
+#: Pairs that one call of the solver's grouped map takes on, in components of any size.
+SOLVED_TOGETHER = 20_000
+
+
+def contested(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Accepted pairs, stored once, as (pairs whose ends have no other, the rest with the label of their connected component, or None where there is no rest)."""
     alone = (F.count("*").over(Window.partitionBy("event_id")) == 1) & (F.count("*").over(Window.partitionBy("pred_id")) == 1)
+    marked = stored(pairs.withColumn("alone", alone), "pairs")
+    rest = marked.filter("not alone").drop("alone")
+    if rest.isEmpty():
+        return marked.drop("alone"), None
+    # ids of both sides in one space of nodes
+    node = lambda side, c: F.concat(F.lit(f"{side}:"), F.col(c).cast("string"))
+    parts = connected(rest.select(node("e", "event_id").alias("u"), node("p", "pred_id").alias("v")))
+    return marked.filter("alone").drop("alone"), rest.withColumn("node", node("e", "event_id")).join(parts, "node").drop("node")
+
+
+def match_one_to_one(pairs: DataFrame, on: list[str]) -> DataFrame:
+    """(on..., event_id, pred_id, quality): a largest one-to-one subset of accepted pairs, best total quality among those.
+
+    Pairs without rivals need no solver. The rest splits into connected components, each solved on its own; many small ones share a call.
+    """
     cols = [*on, "event_id", "pred_id", "quality"]
-    # pairs that share a row overlap, so that islands of the pairs' hulls hold whole components of the block
-    by = Window.partitionBy(*on).orderBy("lo", "hi")
-    top = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    hull = pairs.select(*cols, F.least("t_start", "p_start").alias("lo"), F.greatest("t_end", "p_end").alias("hi")).withColumn("alone", alone)
-    marked = hull.withColumn("island", F.sum(F.when(top.isNull() | (F.col("lo") > top), 1).otherwise(0)).over(by)).drop("lo", "hi")
-
-    def block(df: pd.DataFrame) -> pd.DataFrame:
-        e, p = df["event_id"].unique(), df["pred_id"].unique()
-        m = np.zeros((len(e), len(p)))
-        m[pd.Index(e).get_indexer(df["event_id"]), pd.Index(p).get_indexer(df["pred_id"])] = np.maximum(df["quality"], 1e-12)
-        got = pd.DataFrame(solve(m), columns=["i", "j"])
-        got = pd.DataFrame({"event_id": e[got["i"]], "pred_id": p[got["j"]]})
-        return got.merge(df, on=["event_id", "pred_id"])[cols]
+    sure, placed = contested(pairs.select(*cols))
+    if placed is None:
+        return sure
 
-    rest = marked.filter("not alone").drop("alone")
-    return marked.filter("alone").select(*cols).unionByName(rest.groupBy(*on, "island").applyInPandas(block, rest.drop("island").schema))
+    def solved(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in df.groupby("label", sort=False):
+            e, p = part["event_id"].unique(), part["pred_id"].unique()
+            m = np.zeros((len(e), len(p)))
+            m[pd.Index(e).get_indexer(part["event_id"]), pd.Index(p).get_indexer(part["pred_id"])] = np.maximum(part["quality"], 1e-12)
+            got = pd.DataFrame(solve(m), columns=["i", "j"])
+            out.append(pd.DataFrame({"event_id": e[got["i"]], "pred_id": p[got["j"]]}).merge(part, on=["event_id", "pred_id"])[cols])
+        return pd.concat(out)
+
+    group = F.pmod(F.xxhash64("label"), F.lit(max(1, placed.count() // SOLVED_TOGETHER)))
+    return sure.unionByName(placed.groupBy(group.alias("group")).applyInPandas(solved, sure.schema))
 
 
 def class_aware(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, on: tuple[str, ...] = ("clip_id", "type"), criterion: str = "tiou", matcher: str = "best", ignores: DataFrame | None = None) -> DataFrame:
@@ -114,13 +135,14 @@ def checked(rows: DataFrame) -> DataFrame:
 def match_ranked(pairs: DataFrame, on: list[str]) -> DataFrame:
     """(event_id, pred_id): predictions by falling score (then start, end, id) each take the free event of highest quality, the first by (start, end, id) on ties.
 
-    The fold runs in the JVM over the contested predictions of one block.
+    Pairs without rivals match natively; the fold runs in the JVM over the predictions of one connected component.
     """
-    alone = (F.count("*").over(Window.partitionBy("event_id")) == 1) & (F.count("*").over(Window.partitionBy("pred_id")) == 1)
-    pairs = pairs.withColumn("alone", alone)
+    sure, placed = contested(pairs)
+    if placed is None:
+        return sure.select("event_id", "pred_id")
     events = F.array_sort(F.collect_list(F.struct((-F.col("quality")).alias("q"), "t_start", "t_end", "event_id")))
-    rest = pairs.filter("not alone").groupBy(*on, "pred_id").agg((-F.max("score")).alias("o"), F.min("p_start").alias("s"), F.min("p_end").alias("e"), events.alias("events"))
-    ranked = rest.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("o", "s", "e", "pred_id", "events"))).alias("a"))
+    rest = placed.groupBy("label", "pred_id").agg((-F.max("score")).alias("o"), F.min("p_start").alias("s"), F.min("p_end").alias("e"), events.alias("events"))
+    ranked = rest.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("o", "s", "e", "pred_id", "events"))).alias("a"))
     none = F.expr("cast(array() as array<struct<event_id:string,pred_id:string>>)")
 
     def take(acc, p):
@@ -128,7 +150,7 @@ def match_ranked(pairs: DataFrame, on: list[str]) -> DataFrame:
         return F.when(free.isNull(), acc).otherwise(F.array_append(acc, F.struct(free["event_id"].alias("event_id"), p["pred_id"].alias("pred_id"))))
 
     folded = ranked.select(F.explode(F.aggregate("a", none, take)).alias("k")).select("k.event_id", "k.pred_id")
-    return pairs.filter("alone").select("event_id", "pred_id").unionByName(folded)
+    return sure.select("event_id", "pred_id").unionByName(folded)
 
 
 def rates(tp, fp, fn) -> dict:
@@ -209,16 +231,81 @@ def multi_item_events(events: DataFrame, group: str = "event_group_id", overlap:
     return events.withColumn("__n", n).filter("__n > 1").drop("__n")
 
 
-def evaluate_merged(responses: DataFrame, gt: DataFrame, gap: float = 0.5, threshold: float = 0.5) -> DataFrame:
+def evaluate_merged(responses: DataFrame, gt: DataFrame, gap: float = 1.0, threshold: float = 0.5) -> DataFrame:
     """Rates (to 4 digits) per type of window responses (clip_id, type, t_start, t_end, score, pred_id, items): merged across windows, one prediction per item, matched."""
     merged = merge_window_predictions(responses, gap)
-    preds = merged.withColumn("pred_id", F.array_join("pred_ids", "+")).drop("pred_ids")
-    preds = expand_items(preds, "items", "pred_id") if "items" in responses.columns else preds
+    # pieces of a group share its pred_ids, so that their start is part of the name
+    preds = merged.withColumn("pred_id", F.concat_ws("@", F.array_join("pred_ids", "+"), F.col("t_start").cast("string"))).drop("pred_ids", "window_ids", "group_id")
+    preds = stored(expand_items(preds, "items", "pred_id") if "items" in responses.columns else preds, "merged")
     found = metrics_by_type(class_aware(gt, preds, threshold))
     every = gt.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TYPES))).alias("type"))
     return every.join(found, "type", "left").fillna(0).select("type", "tp", "fp", "fn", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def gallery(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, ignores: DataFrame | None = None) -> DataFrame:
+    """(category, clip_id, type, pred_type, event_id, pred_id, t_start, t_end, score) for review: false_positive and false_negative of the class-aware matching, and
+    type_confusion, pairs of different types in a matching per clip whatever the type. Both come from one pair join."""
+    gt, pred = (checked(x if ignores is None else drop_ignored(x, ignores)) for x in (gt, pred))
+    e, p = gt.withColumnRenamed("type", "e_type"), pred.withColumnRenamed("type", "p_type")
+    pairs = accepted_pairs(gt, pred, ["clip_id"], threshold).join(e.select("event_id", "e_type"), "event_id").join(p.select("pred_id", "p_type"), "pred_id")
+    pairs = stored(pairs.select("clip_id", "e_type", "p_type", "event_id", "pred_id", "quality"), "pairs")
+    own = match_one_to_one(pairs.filter("e_type = p_type").withColumnRenamed("e_type", "type"), ["clip_id", "type"]).select("event_id", "pred_id")
+    any_type = match_one_to_one(pairs, ["clip_id", "e_type", "p_type"]).filter("e_type <> p_type")
+    none = lambda kind: F.lit(None).cast(kind)
+    ids = dict(gt.dtypes)["event_id"], dict(pred.dtypes)["pred_id"]
+    missed = gt.join(own, "event_id", "left_anti").select(
+        F.lit("false_negative").alias("category"), "clip_id", "type", none("string").alias("pred_type"), "event_id", none(ids[1]).alias("pred_id"), "t_start", "t_end", none("double").alias("score")
+    )
+    wrong = pred.join(own, "pred_id", "left_anti").select(
+        F.lit("false_positive").alias("category"), "clip_id", none("string").alias("type"), F.col("type").alias("pred_type"), none(ids[0]).alias("event_id"), "pred_id", "t_start", "t_end", "score"
+    )
+    mixed = any_type.join(gt.select("event_id", "t_start", "t_end"), "event_id").select(
+        F.lit("type_confusion").alias("category"), "clip_id", F.col("e_type").alias("type"), F.col("p_type").alias("pred_type"), "event_id", "pred_id", "t_start", "t_end", none("double").alias("score")
+    )
+    return missed.unionByName(wrong).unionByName(mixed)
+
+
+def people_at(events: DataFrame, tracks: DataFrame, first: str = "first_seen", last: str = "last_seen", bucket: float = 600.0) -> DataFrame:
+    """events with n_person: how many tracks (clip_id, first, last; closed) are live at once at most during each.
+
+    A sweep: +1 at each start, -1 at each end, starts first; its running sum is the level until the next change. The sum runs inside time buckets of
+    a clip and begins with what the earlier buckets add up to, so that no clip is summed in one task.
+    """
+    ends = F.array(F.struct(F.col(first).alias("t"), F.lit(1).alias("d")), F.struct(F.col(last).alias("t"), F.lit(-1).alias("d")))
+    steps = tracks.filter(f"{first} <= {last}").select("clip_id", F.explode(ends).alias("s")).select("clip_id", "s.t", "s.d").withColumn("b", F.floor(F.col("t") / bucket))
+    sums = steps.groupBy("clip_id", "b").agg(F.sum("d").alias("n"), F.min("t").alias("from"))
+    buckets = Window.partitionBy("clip_id").orderBy("b")
+    base = sums.select("clip_id", "b", F.coalesce(F.sum("n").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("from").over(buckets).alias("after"))
+    by = Window.partitionBy("clip_id", "b").orderBy("t", F.desc("d"))
+    level = F.col("base") + F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    segments = steps.join(base, ["clip_id", "b"]).select("clip_id", F.col("t").alias("__s"), F.coalesce(F.lead("t").over(by), "after", "t").alias("__e"), level.alias("__n")).filter("__n > 0")
+    met = overlap_join(events.select("clip_id", "event_id", "t_start", "t_end"), segments, ["clip_id"], "t_start", "t_end", "__s", "__e", closed=True)
+    most = met.groupBy("event_id").agg(F.max("__n").alias("n_person"))
+    return events.join(most, "event_id", "left").fillna(0, ["n_person"]).select(*events.columns, "n_person")
+
+
+def slice_metrics(gt: DataFrame, pred: DataFrame, short: float = 1.0, threshold: float = 0.5, ignores: DataFrame | None = None) -> DataFrame:
+    """(slice, tp, fn, support, recall): each slice's events are matched on their own against all predictions, by one pair join.
+
+    Slices: short_events and long_events; with a column confidence, high_med_only and low_confidence; with hard_case, hard_cases; with n_person, multiple_person. Empty ones have no row.
+    """
+    gt, pred = (checked(x if ignores is None else drop_ignored(x, ignores)) for x in (gt, pred))
+    length, names = F.col("t_end") - F.col("t_start"), []
+    if "confidence" in gt.columns:
+        names.append(F.when(F.coalesce("confidence", F.lit("high")).isin("high", "med"), "high_med_only").when(F.col("confidence") == "low", "low_confidence"))
+    if "hard_case" in gt.columns:
+        names.append(F.when(F.col("hard_case"), "hard_cases"))
+    if "n_person" in gt.columns:
+        names.append(F.when(F.col("n_person") > 1, "multiple_person"))
+    names.append(F.when(length < short, "short_events").otherwise("long_events"))
+    sliced = gt.select("event_id", "clip_id", "type", "t_start", "t_end", F.explode(F.array_compact(F.array(*names))).alias("slice"))
+    pairs = accepted_pairs(gt, pred, ["clip_id", "type"], threshold).select("clip_id", "type", "event_id", "pred_id", "quality").join(sliced.select("event_id", "slice"), "event_id")
+    keyed = pairs.withColumns({c: F.concat_ws("@", c, "slice") for c in ("event_id", "pred_id")})
+    tp = match_one_to_one(keyed, ["clip_id", "type", "slice"]).groupBy("slice").agg(F.count("*").alias("tp"))
+    out = sliced.groupBy("slice").agg(F.count("*").alias("support")).join(tp, "slice", "left").fillna(0, ["tp"])
+    return out.select("slice", "tp", (F.col("support") - F.col("tp")).alias("fn"), "support", (F.col("tp") / F.col("support")).alias("recall"))
+
+
 def slice_recall(gt: DataFrame, matches: DataFrame, short: float = 1.0) -> DataFrame:
     """Recall by confidence, difficulty and length of the events."""
     e = gt.join(matches.filter("status <> 'fp'").select("event_id", "status"), "event_id")

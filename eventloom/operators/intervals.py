@@ -6,7 +6,7 @@ tasks. Inner joins: both sides are repeated for each bucket they touch, and a pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.intervals import overlap_seconds, overlaps
@@ -19,60 +19,65 @@ REACH = 64
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], ls: str, le: str, rs: str, re: str, closed: bool = False, bucket: float = 60.0) -> DataFrame:
     """Inner join where the intervals overlap; right's columns other than the key must have names of their own.
 
-    Two levels of buckets: pairs of which one is longer than REACH buckets meet in buckets REACH x REACH times as wide, so that no interval is repeated without bound.
+    One equality join on (key, kind, cell). Intervals of up to REACH buckets meet each other in cells of a bucket (kind 0); pairs with a longer one meet in
+    cells REACH x REACH times as wide (kind 1: left is long, kind 2: only right is), so that no interval is repeated without bound.
     """
+    wide = bucket * REACH * REACH
 
-    def cells(df: DataFrame, s: str, e: str, width: float) -> DataFrame:
-        return df.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.greatest(F.col(s), F.col(e)) / width))))
+    def cells(df: DataFrame, s: str, e: str, short: tuple[int, ...], far: tuple[int, ...]) -> DataFrame:
+        top = F.greatest(F.col(s), F.col(e))
 
-    def joined(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
-        hit = overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re), closed) & (F.floor(F.greatest(F.col(ls), F.col(rs)) / width) == F.col("__cell"))
-        return cells(a, ls, le, width).join(cells(b, rs, re, width), [*on, "__cell"]).filter(hit).drop("__cell")
+        def at(kind: int) -> Column:
+            width = bucket if kind == 0 else wide
+            return F.transform(F.sequence(F.floor(F.col(s) / width), F.floor(top / width)), lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("cell")))
 
-    long_left, long_right = (F.col(e) - F.col(s) > REACH * bucket for s, e in ((ls, le), (rs, re)))
-    near = joined(left.filter(~long_left), right.filter(~long_right), bucket)
-    wide = bucket * REACH * REACH
-    return near.unionByName(joined(left.filter(long_left), right, wide)).unionByName(joined(left.filter(~long_left), right.filter(long_right), wide))
+        several = lambda kinds: F.concat(*map(at, kinds)) if len(kinds) > 1 else at(kinds[0])
+        return df.withColumn("__c", F.explode(F.when(F.col(e) - F.col(s) > REACH * bucket, several(far)).otherwise(several(short))))
+
+    a, b = cells(left, ls, le, (0, 2), (1,)), cells(right, rs, re, (0, 1), (1, 2))
+    first = F.greatest(F.col(ls), F.col(rs)) / F.when(F.col("__c.kind") == 0, bucket).otherwise(wide)
+    hit = overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re), closed) & (F.floor(first) == F.col("__c.cell"))
+    return a.join(b, [*on, "__c"]).filter(hit).drop("__c")
 
 
 def overlap_filter(left: DataFrame, right: DataFrame, on: str, ls: str, le: str, rs: str, re: str, keep: bool, closed: bool = False, bucket: float = 60.0) -> DataFrame:
     """Semi (keep) or anti join on the key and an overlap; left rows are neither repeated nor named.
 
-    Right's intervals are merged first, so that those of a key are disjoint. A left row of up to one bucket touches two buckets at most and asks each with a
-    semi or anti join; right is repeated over the buckets it touches. Longer intervals of either side, few once merged, are compared by key alone.
+    Right's intervals are merged first, so that those of a key are disjoint. A left row asks, by its length, in cells of a bucket, of REACH or of REACH x REACH
+    buckets, where it touches two at most, with a semi or anti join each. Right is repeated over the cells it touches; a right interval that
+    touches more than REACH cells of a level, and left rows beyond all levels, are compared by key alone.
     """
     r = merge_intervals(right.select(F.col(on).alias("__k"), F.col(rs).alias("__s"), F.col(re).alias("__e")).filter(F.col("__s") <= F.col("__e")), ["__k"], "__s", "__e", touching=closed).select("__k", "__s", "__e")
-    far = F.col("__e") - F.col("__s") > REACH * bucket
-    cells = r.filter(~far).withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__s") / bucket), F.floor(F.col("__e") / bucket))))
     hit = (F.col(on) == F.col("__k")) & overlaps(F.col(ls), F.col(le), F.col("__s"), F.col("__e"), closed)
 
-    def without(rows: DataFrame, others: DataFrame, condition) -> DataFrame:
-        return rows.join(others, condition, "left_anti")
-
-    def within(rows: DataFrame, tests: list) -> DataFrame:
-        """Rows that pass any test: each test keeps its own and hands on the rest."""
-        found, rest = [], rows
-        for others, condition in tests:
-            found.append(rest.join(others, condition, "left_semi"))
-            rest = without(rest, others, condition)
-        return union(found)
-
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
-    short = F.coalesce(F.col(le) - F.col(ls) <= bucket, F.lit(True))
-    tests = [(r.filter(far), hit), *[(cells, hit & (F.floor(F.col(c) / bucket) == F.col("__cell"))) for c in dict.fromkeys((ls, le))]]
-    parts = []
-    for rows, own in ((left.filter(short), tests), (left.filter(~short), [(r, hit)])):
-        if keep:
-            parts.append(within(rows, own))
-        else:
-            for others, condition in own:
-                rows = without(rows, others, condition)
-            parts.append(rows)
+    def met(rows: DataFrame, tests: list) -> DataFrame:
+        """With keep, rows that pass any test (each keeps its own and hands on the rest); else those that pass none."""
+        found = []
+        for others, condition in tests:
+            if keep:
+                found.append(rows.join(others, condition, "left_semi"))
+            rows = rows.join(others, condition, "left_anti")
+        return union(found) if keep else rows
+
+    if ls == le:  # points touch one cell of a bucket
+        widths, ends = [bucket], [ls]
+    else:
+        widths, ends = [bucket, bucket * REACH, bucket * REACH * REACH], [ls, le]
+    length, parts, under = F.coalesce(F.col(le) - F.col(ls), F.lit(0.0)), [], None
+    for width in widths:
+        far = F.col("__e") - F.col("__s") > REACH * width
+        cells = r.filter(~far).withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__s") / width), F.floor(F.col("__e") / width))))
+        mine = left if ls == le else left.filter((length <= width) if under is None else ((length > under) & (length <= width)))
+        parts.append(met(mine, [(r.filter(far), hit), *[(cells, hit & (F.floor(F.col(c) / width) == F.col("__cell"))) for c in ends]]))
+        under = width
+    if ls != le:
+        parts.append(met(left.filter(length > under), [(r, hit)]))
     return union(parts)
 
 

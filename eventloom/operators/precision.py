@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.evaluate import accepted_pairs
+from eventloom.operators.evaluate import accepted_pairs, contested
+from eventloom.sources.shared import stored
 
 #: Score buckets per type.
 BUCKETS = 1000
@@ -17,12 +18,16 @@ BUCKETS = 1000
 
 def ranked_hits(gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
     """(pred_id) of hits: per (clip, type), best score first, each takes the free event of highest IoU, the last on ties."""
-    on = ["clip_id", "type"]
-    pairs = accepted_pairs(gt, pred, on, threshold)
-    alone = (F.count("*").over(Window.partitionBy("event_id")) == 1) & (F.count("*").over(Window.partitionBy("pred_id")) == 1)
-    pairs = pairs.withColumn("alone", alone)
-    rest = pairs.filter("not alone").groupBy(*on, "pred_id").agg((-F.max("score")).alias("o"), F.min("p_start").alias("s"), F.min("p_end").alias("e"), F.collect_list(F.struct("quality", "t_start", "t_end", "event_id")).alias("events"))
-    blocks = rest.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("o", "s", "e", "pred_id", "events"))).alias("ranked"))
+    return hits_of(accepted_pairs(gt, pred, ["clip_id", "type"], threshold))
+
+
+def hits_of(pairs: DataFrame) -> DataFrame:
+    """ranked_hits() of accepted pairs; the fold runs over one connected component of them."""
+    sure, placed = contested(pairs)
+    if placed is None:
+        return sure.select("pred_id")
+    rest = placed.groupBy("label", "pred_id").agg((-F.max("score")).alias("o"), F.min("p_start").alias("s"), F.min("p_end").alias("e"), F.collect_list(F.struct("quality", "t_start", "t_end", "event_id")).alias("events"))
+    blocks = rest.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("o", "s", "e", "pred_id", "events"))).alias("ranked"))
     kind = {c: dict(pairs.dtypes)[c] for c in ("event_id", "pred_id")}
     none = F.expr(f"named_struct('used', cast(array() as array<{kind['event_id']}>), 'hits', cast(array() as array<{kind['pred_id']}>))")
 
@@ -31,12 +36,12 @@ def ranked_hits(gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
         return F.when(best.isNull(), acc).otherwise(F.struct(F.concat(acc["used"], F.array(best["event_id"])).alias("used"), F.concat(acc["hits"], F.array(p["pred_id"])).alias("hits")))
 
     folded = blocks.select(F.explode(F.aggregate("ranked", none, take)["hits"]).alias("pred_id"))
-    return pairs.filter("alone").select("pred_id").unionByName(folded)
+    return sure.select("pred_id").unionByName(folded)
 
 
-def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(type, n_gt, n_pred, ap), all-points interpolation: ap is null without events, 0 without predictions."""
-    hits = ranked_hits(gt, pred, threshold).withColumn("hit", F.lit(1))
+def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
+    """(type, n_gt, n_pred, ap), all-points interpolation: ap is null without events, 0 without predictions. pairs: accepted ones, if they are there already."""
+    hits = (ranked_hits(gt, pred, threshold) if pairs is None else hits_of(pairs)).withColumn("hit", F.lit(1))
     rows = pred.select("type", "clip_id", "pred_id", "score", "t_start", "t_end").join(hits, "pred_id", "left").fillna(0, ["hit"])
     rows = rows.withColumn("bucket", F.floor(F.coalesce("score", F.lit(0.0)) * BUCKETS))
     totals = rows.groupBy("type", "bucket").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
@@ -56,7 +61,8 @@ def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) ->
 
 def mean_precision(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
     """(threshold, map): the mean over types with events; null where none has."""
-    parts = [average_precision(gt, pred, t).withColumn("threshold", F.lit(t)) for t in thresholds]
+    pairs = stored(accepted_pairs(gt, pred, ["clip_id", "type"], min(thresholds)), "pairs")
+    parts = [average_precision(gt, pred, t, pairs.filter(F.col("quality") >= t)).withColumn("threshold", F.lit(t)) for t in thresholds]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -55,9 +55,9 @@ def duck(name: str) -> str:
 
 
 def with_views(sql: str) -> str:
-    """sql with every fx_ name in it defined by WITH."""
+    """sql with every fx_ name in it defined by WITH; RECURSIVE where a comment in sql says so."""
     names = dict.fromkeys(re.findall(r"\bfx_\w+", sql))
-    return "WITH " + ", ".join(f"{n} AS {duck(n)}" for n in names) + sql if names else sql
+    return ("WITH RECURSIVE " if "/* recursive */" in sql else "WITH ") + ", ".join(f"{n} AS {duck(n)}" for n in names) + sql if names else sql
 
 
 def edges_sql() -> str:

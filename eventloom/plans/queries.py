@@ -182,11 +182,15 @@ def threshold_regions(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("mean", F.round("mean", 9))
 
 
-@query(""", o AS (SELECT *, t_start < max(t_end) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR (t_start - lag(t_end) OVER w > 0 AND t_start - lag(t_end) OVER w <= 400) go FROM fx_pred WINDOW w AS (PARTITION BY clip_id, type ORDER BY t_start, t_end, pred_id)),
- g AS (SELECT *, sum(CASE WHEN go THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id, type ORDER BY t_start, t_end, pred_id ROWS UNBOUNDED PRECEDING) gr FROM o)
- SELECT clip_id, type, min(t_start) t_start, max(t_end) t_end, max(score) score, string_agg(pred_id, ',' ORDER BY pred_id) pred_ids FROM g GROUP BY clip_id, type, gr""")
+@query(
+    queries_events.ITEMS
+    + queries_events.MERGED.format(gap=400, rows="items")
+    + """SELECT clip_id, type, t_start, t_end, score, pred_ids, items,
+   CASE WHEN items > 1 THEN concat('l2_', substr(md5(concat_ws('|', clip_id, type, printf('%.3f', t_start), printf('%.3f', t_end))), 1, 12)) ELSE '' END AS group_id FROM merged"""
+)
 def merge_window_predictions(spark, sf):
-    return decode.merge_window_predictions(view(spark, sf, "fx_pred"), 400.0).withColumn("pred_ids", F.array_join("pred_ids", ","))
+    merged = decode.merge_window_predictions(queries_events.with_items(spark, sf), 400.0)
+    return merged.withColumns({"pred_ids": F.array_join("pred_ids", ","), "items": F.col("items").cast("long")})
 
 
 _MATCH = """, x AS (SELECT g.clip_id, g.type, event_id, pred_id, p.type AS predicted, score, greatest(0e0, least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start)) / ((g.t_end - g.t_start) + (p.t_end - p.t_start) - greatest(0e0, least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start))) q FROM fx_gt g JOIN fx_pred p ON g.clip_id = p.clip_id AND g.t_start < p.t_end AND p.t_start < g.t_end),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions.geometry import expand_polygon
-from eventloom.operators import candidates, decode, evaluate, lookups, precision, windows
+from eventloom.operators import candidates, dataset, decode, evaluate, lookups, precision, windows
 from eventloom.plans.fixtures import view
 from eventloom.plans.registry import query
 
@@ -120,17 +120,34 @@ def refine_boundaries(spark, sf):
 
 def _crowded(spark, sf):
     p = view(spark, sf, "fx_pred_dense")
+    back = F.floor(F.col("t_start") / 24) * 24
+    p = p.withColumns({"t_start": F.col("t_start") - back, "t_end": F.col("t_end") - back})
     return p.withColumn("transfer_s", (F.col("t_start") + F.col("t_end")) / 2)
 
 
-@query()
+# the greedy rule row by row: r walks the ranks of a (clip, type) and carries the list of kept rows
+_NMS = """ /* recursive */, c AS (
+   SELECT pred_id, clip_id, type, score, t_start - floor(t_start / 24) * 24 AS s, t_end - floor(t_start / 24) * 24 AS e FROM fx_pred_dense),
+ n AS (
+   SELECT *, {'p': pred_id, 's': s, 'e': e} AS v, row_number() OVER (PARTITION BY clip_id, type ORDER BY score DESC, s, pred_id) AS rn FROM c),
+ r AS (
+   SELECT clip_id, type, rn, pred_id, s, e, score, CAST(NULL AS VARCHAR) AS killer, [v] AS kept FROM n WHERE rn = 1
+   UNION ALL
+   SELECT clip_id, type, rn, pred_id, s, e, score, killer, CASE WHEN killer IS NULL THEN list_append(kept, v) ELSE kept END FROM (
+     SELECT n.*, r.kept, list_filter(r.kept, lambda k: least(k.e, n.e) > greatest(k.s, n.s)
+       AND (least(k.e, n.e) - greatest(k.s, n.s)) / ((k.e - k.s) + (n.e - n.s) - (least(k.e, n.e) - greatest(k.s, n.s))) >= 0.5
+       AND abs((k.s + k.e) / 2 - (n.s + n.e) / 2) <= 0.5)[1].p AS killer
+     FROM r JOIN n ON n.clip_id = r.clip_id AND n.type = r.type AND n.rn = r.rn + 1)) """
+
+
+@query(_NMS + "SELECT pred_id, clip_id, type, s AS t_start, e AS t_end, score FROM r WHERE killer IS NULL")
 def temporal_nms(spark, sf):
-    return decode.temporal_nms(_crowded(spark, sf), ("type",))[0].select("pred_id", "type", "t_start", "t_end", "score")
+    return decode.temporal_nms(_crowded(spark, sf))[0].select("pred_id", "clip_id", "type", "t_start", "t_end", "score")
 
 
-@query()
+@query(_NMS + "SELECT pred_id AS dropped, killer AS kept FROM r WHERE killer IS NOT NULL")
 def nms_audit(spark, sf):
-    return decode.temporal_nms(_crowded(spark, sf), ("type",))[1]
+    return decode.temporal_nms(_crowded(spark, sf))[1]
 
 
 @query()
@@ -189,14 +206,102 @@ def multi_item_events(spark, sf):
     return evaluate.multi_item_events(e).select("event_id")
 
 
-@query(""", o AS (SELECT *, t_start < max(t_end) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR (t_start - lag(t_end) OVER w > 0 AND t_start - lag(t_end) OVER w <= 0.5) go FROM fx_pred WINDOW w AS (PARTITION BY clip_id, type ORDER BY t_start, t_end, pred_id)),
- g AS (SELECT *, sum(CASE WHEN go THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id, type ORDER BY t_start, t_end, pred_id ROWS UNBOUNDED PRECEDING) gr FROM o), p AS (SELECT clip_id, type, min(t_start) t_start, max(t_end) t_end, min(pred_id) pred_id, greatest(1, max(CAST(score * 100 AS BIGINT) % 3)) items FROM g GROUP BY clip_id, type, gr),
- m AS (SELECT DISTINCT e.event_id, e.type FROM fx_gt e JOIN p ON p.clip_id = e.clip_id AND p.type = e.type AND e.t_start < p.t_end AND p.t_start < e.t_end AND greatest(0e0, least(e.t_end, p.t_end) - greatest(e.t_start, p.t_start)) / ((e.t_end - e.t_start) + (p.t_end - p.t_start) - greatest(0e0, least(e.t_end, p.t_end) - greatest(e.t_start, p.t_start))) >= 0.5),
- c AS (SELECT t.type, (SELECT count(*) FROM m WHERE m.type = t.type) tp, (SELECT CAST(sum(items) AS BIGINT) FROM p WHERE p.type = t.type) np, (SELECT count(*) FROM fx_gt g WHERE g.type = t.type) ng FROM (SELECT unnest(['pickup', 'putdown']) AS type) t)
- SELECT type, tp, np - tp fp, ng - tp fn, round(tp / np, 4) AS precision, round(tp / ng, 4) AS recall, round(2 * tp / (np + ng), 4) f1 FROM c""")
+# groups: the next row starts before the running end or after the previous row's end by at most the gap; pieces: the union of a group's intervals
+MERGED = """, o AS (
+   SELECT *, t_start < max(t_end) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+     OR (t_start - lag(t_end) OVER w > 0 AND t_start - lag(t_end) OVER w <= {gap}) AS go
+   FROM {rows} WHERE type <> 'no_event' WINDOW w AS (PARTITION BY clip_id, type ORDER BY t_start, t_end, pred_id)),
+ g AS (
+   SELECT *, sum(CASE WHEN go THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id, type ORDER BY t_start, t_end, pred_id ROWS UNBOUNDED PRECEDING) AS gr FROM o),
+ e AS (
+   SELECT *, max(t_end) OVER (PARTITION BY clip_id, type, gr ORDER BY t_start, t_end, pred_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM g),
+ q AS (
+   SELECT *, sum(CASE WHEN so_far IS NULL OR t_start > so_far THEN 1 ELSE 0 END)
+     OVER (PARTITION BY clip_id, type, gr ORDER BY t_start, t_end, pred_id ROWS UNBOUNDED PRECEDING) AS piece FROM e),
+ whole AS (
+   SELECT clip_id, type, gr, max(score) AS score, string_agg(pred_id, ',' ORDER BY pred_id) AS pred_ids, max(items) AS items FROM g GROUP BY clip_id, type, gr),
+ pieces AS (SELECT clip_id, type, gr, piece, min(t_start) AS t_start, max(t_end) AS t_end FROM q GROUP BY clip_id, type, gr, piece),
+ merged AS (SELECT p.clip_id, p.type, p.t_start, p.t_end, w.score, w.pred_ids, w.items FROM pieces p JOIN whole w USING (clip_id, type, gr)) """
+ITEMS = ", items AS (SELECT *, greatest(1, CAST(score * 100 AS BIGINT) % 3) AS items FROM fx_pred)"
+
+
+def with_items(spark, sf):
+    items = F.greatest(F.lit(1), (F.bround(F.col("score") * 100).cast("long") % 3).cast("int"))
+    return view(spark, sf, "fx_pred").withColumn("items", items)
+
+
+@query(
+    ITEMS
+    + MERGED.format(gap=1, rows="items")
+    + """, m AS (
+   SELECT DISTINCT g.event_id, g.type FROM fx_gt g JOIN merged p ON p.clip_id = g.clip_id AND p.type = g.type AND g.t_start < p.t_end AND p.t_start < g.t_end
+   WHERE (least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start))
+     / ((g.t_end - g.t_start) + (p.t_end - p.t_start) - (least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start))) >= 0.5),
+ k AS (
+   SELECT t.type, (SELECT count(*) FROM m WHERE m.type = t.type) AS tp, (SELECT CAST(sum(items) AS BIGINT) FROM merged p WHERE p.type = t.type) AS np,
+     (SELECT count(*) FROM fx_gt g WHERE g.type = t.type) AS ng FROM (SELECT unnest(['pickup', 'putdown']) AS type) t)
+ SELECT type, tp, np - tp AS fp, ng - tp AS fn, round(tp / np, 4) AS precision, round(tp / ng, 4) AS recall, round(2 * tp / (np + ng), 4) AS f1 FROM k"""
+)
 def evaluate_merged(spark, sf):
-    r = view(spark, sf, "fx_pred").withColumn("items", F.greatest(F.lit(1), (F.bround(F.col("score") * 100).cast("long") % 3).cast("int")))
-    return evaluate.evaluate_merged(r, view(spark, sf, "fx_gt"))
+    return evaluate.evaluate_merged(with_items(spark, sf), view(spark, sf, "fx_gt"))
+
+
+_OVERLAP = "(least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start))"
+_ACCEPTED = f""", a AS (
+   SELECT g.event_id, p.pred_id, g.clip_id, g.type, p.type AS pred_type, g.t_start, g.t_end FROM fx_gt g JOIN fx_pred p ON g.clip_id = p.clip_id AND g.t_start < p.t_end AND p.t_start < g.t_end
+   WHERE {_OVERLAP} / ((g.t_end - g.t_start) + (p.t_end - p.t_start) - {_OVERLAP}) >= 0.5)"""
+
+
+@query(
+    _ACCEPTED
+    + """, own AS (SELECT * FROM a WHERE type = pred_type)
+ SELECT 'false_negative' AS category, clip_id, type, NULL AS pred_type, event_id, NULL AS pred_id, t_start, t_end, CAST(NULL AS DOUBLE) AS score
+   FROM fx_gt WHERE event_id NOT IN (SELECT event_id FROM own)
+ UNION ALL SELECT 'false_positive', clip_id, NULL, type, NULL, pred_id, t_start, t_end, score FROM fx_pred WHERE pred_id NOT IN (SELECT pred_id FROM own)
+ UNION ALL SELECT 'type_confusion', clip_id, type, pred_type, event_id, pred_id, t_start, t_end, NULL FROM a WHERE type <> pred_type"""
+)
+def gallery_with_confusions(spark, sf):
+    return evaluate.gallery(view(spark, sf, "fx_gt"), view(spark, sf, "fx_pred"))
+
+
+_PEOPLE = """, tg AS (SELECT *, t_h - lag(t_h) OVER (PARTITION BY clip_id, track_key ORDER BY t_h, sample_index) AS gap FROM fx_obs),
+ tr AS (SELECT *, sum(CASE WHEN gap > 48 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, track_key ORDER BY t_h, sample_index ROWS UNBOUNDED PRECEDING) AS run FROM tg),
+ tracks AS (SELECT clip_id, track_key, run, min(t_h) AS a, max(t_h) AS b FROM tr GROUP BY ALL),
+ ev AS (SELECT event_id, clip_id, t_start % 700 AS s, t_start % 700 + (t_end - t_start) AS e FROM fx_gt),
+ points AS (
+   SELECT event_id, clip_id, s AS t FROM ev
+   UNION SELECT event_id, ev.clip_id, a FROM ev JOIN tracks ON tracks.clip_id = ev.clip_id AND a BETWEEN s AND e),
+ live AS (SELECT event_id, t, count(*) AS n FROM points JOIN tracks ON tracks.clip_id = points.clip_id AND t BETWEEN a AND b GROUP BY ALL),
+ people AS (SELECT event_id, coalesce(max(n), 0) AS n_person FROM ev LEFT JOIN live USING (event_id) GROUP BY event_id)"""
+
+
+def _people(spark, sf):
+    tracks = dataset.track_summaries(view(spark, sf, "fx_obs"), 48.0, 2, 10.0, 0.2)
+    s = F.col("t_start") % 700
+    moved = view(spark, sf, "fx_gt").select("event_id", "clip_id", s.alias("t_start"), (s + (F.col("t_end") - F.col("t_start"))).alias("t_end"))
+    return evaluate.people_at(moved, tracks).select("event_id", "n_person")
+
+
+@query(_PEOPLE + " SELECT event_id, n_person FROM people")
+def people_at_events(spark, sf):
+    return _people(spark, sf)
+
+
+@query(
+    _ACCEPTED
+    + _PEOPLE
+    + """, z AS (
+   SELECT g.*, n_person, g.event_id IN (SELECT event_id FROM a WHERE type = pred_type) AS hit FROM fx_gt g JOIN people USING (event_id)),
+ y AS (
+   SELECT CASE WHEN confidence IN ('high', 'med') THEN 'high_med_only' ELSE 'low_confidence' END AS slice, hit FROM z
+   UNION ALL SELECT 'hard_cases', hit FROM z WHERE hard_case
+   UNION ALL SELECT CASE WHEN t_end - t_start < 2 THEN 'short_events' ELSE 'long_events' END, hit FROM z
+   UNION ALL SELECT 'multiple_person', hit FROM z WHERE n_person > 1)
+ SELECT slice, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fn, count(*) AS support, avg(CASE WHEN hit THEN 1e0 ELSE 0 END) AS recall FROM y GROUP BY slice"""
+)
+def slice_metrics(spark, sf):
+    gt = view(spark, sf, "fx_gt").join(_people(spark, sf), "event_id")
+    return evaluate.slice_metrics(gt, view(spark, sf, "fx_pred"), short=2.0)
 
 
 @query(", f AS (SELECT unnest(['false_positive', 'false_negative']) AS category) SELECT category, CASE WHEN category = 'false_positive' THEN (SELECT count(*) FROM fx_pred) - tp ELSE (SELECT count(*) FROM fx_gt) - tp END n FROM f, (SELECT count(*) tp FROM fx_gt g JOIN fx_pred p ON g.clip_id = p.clip_id AND g.type = p.type AND g.t_start < p.t_end AND p.t_start < g.t_end AND greatest(0e0, least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start)) / ((g.t_end - g.t_start) + (p.t_end - p.t_start) - greatest(0e0, least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start))) >= 0.5)")

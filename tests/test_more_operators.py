@@ -149,3 +149,55 @@ def test_pilot_takes_a_share_of_each_stratum(spark):
     got = [tuple(r) for r in lookups.pilot_select(rows, "k", ["t", "s"], 20).collect()]
     assert len(set(got)) == 20 and collections.Counter(s for _, s in got) == {"a": 18, "b": 2}
     assert sorted(got) == sorted(tuple(r) for r in lookups.pilot_select(rows.repartition(7), "k", ["t", "s"], 20).collect())
+
+
+def test_nms_in_one_dense_clip_equals_a_loop(spark):
+    rng = random.Random(7)
+    rows = [("c", "pickup", f"p{i}", s := rng.randint(0, 60) / 4, s + rng.randint(0, 9) / 4, s + rng.randint(0, 4) / 4, rng.randint(0, 20) / 20) for i in range(2500)]
+    kept, audit = decode.temporal_nms(spark.createDataFrame(rows, "clip_id string, type string, pred_id string, t_start double, t_end double, transfer_s double, score double"))
+    want, lost = [], {}
+    for r in sorted(rows, key=lambda r: (-r[6], r[3], r[2])):
+        by = next((k for k in want if iou(k[3:5], r[3:5]) >= 0.5 and abs(k[5] - r[5]) <= 0.5), None)
+        if by:
+            lost[r[2]] = by[2]
+        else:
+            want.append(r)
+    assert {r["pred_id"] for r in kept.collect()} == {r[2] for r in want}
+    assert {r["dropped"]: r["kept"] for r in audit.collect()} == lost
+
+
+def test_merged_windows_stay_apart_over_a_gap(spark):
+    rows = [("c", "pickup", "a", 0.0, 1.0, 0.4, 1, "w1"), ("c", "pickup", "b", 1.3, 2.0, 0.9, 2, "w2"), ("c", "no_event", "x", 0.5, 1.5, 1.0, 9, "w3"), ("c", "pickup", "d", 2.0, 3.0, 0.5, 1, "w4"), ("c", "pickup", "e", 2.5, 3.5, 0.6, 1, "w4")]
+    df = spark.createDataFrame(rows, "clip_id string, type string, pred_id string, t_start double, t_end double, score double, items int, window_id string")
+    got = sorted((r["t_start"], r["t_end"], r["score"], r["items"], r["pred_ids"], r["window_ids"], r["group_id"] != "") for r in decode.merge_window_predictions(df, 0.5).collect())
+    # a and b join over a positive gap but stay two intervals; d touches b exactly, which breaks
+    assert got == [(0.0, 1.0, 0.9, 2, ["a", "b"], ["w1", "w2"], True), (1.3, 2.0, 0.9, 2, ["a", "b"], ["w1", "w2"], True), (2.0, 3.5, 0.6, 1, ["d", "e"], ["w4"], False)]
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    from eventloom.operators.graphs import connected
+
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(500, 600)] + [(5, 5)]
+    got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(500, 600)]} | {5: 5}
+
+
+def test_people_sweep_equals_counting(spark):
+    rng = random.Random(9)
+    tracks = [(f"c{rng.randint(0, 2)}", float(s := rng.randint(0, 60)), float(s + rng.randint(0, 9))) for _ in range(120)] + [(None, 1.0, 2.0)]
+    events = [(i, f"c{rng.randint(0, 3)}", float(s := rng.randint(0, 60)), float(s + rng.randint(0, 5))) for i in range(100)]
+    out = evaluate.people_at(spark.createDataFrame(events, "event_id long, clip_id string, t_start double, t_end double"), spark.createDataFrame(tracks, "clip_id string, first_seen double, last_seen double"), bucket=7.0)
+
+    def most(e):
+        mine = [t for t in tracks if t[0] == e[1]]
+        return max((sum(a <= x <= b for _, a, b in mine) for x in [e[2], *(a for _, a, _ in mine if e[2] <= a <= e[3])]), default=0)
+
+    assert {r["event_id"]: r["n_person"] for r in out.collect()} == {e[0]: most(e) for e in events}
+
+
+def test_gallery_of_contested_types(spark):
+    g = spark.createDataFrame([("e1", "c", "pickup", 0.0, 2.0), ("e2", "c", "putdown", 0.2, 2.2), ("e3", "c", "pickup", 9.0, 9.5)], "event_id string, clip_id string, type string, t_start double, t_end double")
+    p = spark.createDataFrame([("p1", "c", "putdown", 0.0, 2.0, 0.5), ("p2", "c", "pickup", 0.1, 2.1, 0.4), ("p3", "d", "pickup", 0.0, 1.0, 0.3)], "pred_id string, clip_id string, type string, t_start double, t_end double, score double")
+    got = sorted((r["category"], r["event_id"] or "", r["pred_id"] or "") for r in evaluate.gallery(g, p).collect())
+    # by type, e1-p2 and e2-p1 match; whatever the type, e1-p1 and e2-p2 are the better pairs
+    assert got == [("false_negative", "e3", ""), ("false_positive", "", "p3"), ("type_confusion", "e1", "p1"), ("type_confusion", "e2", "p2")]

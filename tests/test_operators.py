@@ -48,24 +48,6 @@ def test_merge_touching_and_gap(spark):
     assert intervals.merge_intervals(df, ["k"], "s", "e", 1.5).count() == 2
 
 
-def test_nms_keeps_what_no_kept_row_suppresses(spark):
-    df = spark.createDataFrame([("c", 0.0, 2.0, 0.9), ("c", 0.5, 2.5, 0.8), ("c", 1.4, 3.4, 0.7), ("c", 9.0, 9.5, 0.1)], "clip_id string, s double, e double, score double")
-    iou = lambda a, b: (F.least(a["e"], b["e"]) - F.greatest(a["s"], b["s"])) / (F.greatest(a["e"], b["e"]) - F.least(a["s"], b["s"])) >= 0.5
-    kept = decode.greedy_keep(df, ["clip_id"], ["s", "e", "score"], [-F.col("score"), F.col("s")], iou)
-    assert sorted(r["score"] for r in kept.collect()) == [0.1, 0.7, 0.9]
-
-
-def observations(n, **change):
-    for k in range(n):
-        inside, empty, carry = 4 <= k <= 15, (0.9, 0.05)[k >= 9], (0.05, 0.9)[k >= 9]
-        yield pd.Series({"timestamp_s": k * 0.1, "inside_region": inside, "distance_px": 0.0 if inside else 30.0 if k in (2, 3) else 100.0, "trajectory_confidence": 0.8, "hand_empty": empty, "hand_carrying": carry, "hand_uncertain": 0.05, "shelf_removed": 0.8 if k >= 9 else 0.1, "shelf_placed": 0.1, "shelf_uncertain": 0.05} | change)
-
-
-def run(rows):
-    s = State()
-    return [e for r in rows if (e := feed(s, r, Config()))]
-
-
 def test_state_machine_cycle():
     (e,) = run(observations(20))
     assert (e["type"], e["cycle"]) == ("pickup", 0)
