@@ -4,7 +4,7 @@ Texts fall into shards of bounded size. For phrases of 2, 3 and 4 words in turn,
 shorter ones and whose local count reaches the shard's share of the support: count / support >= bytes of the shard / bytes of all texts. A phrase below
 that share in every shard is below the support, so the union of what shards report holds every frequent phrase of the level. All of that union is then counted
 exactly over all texts, and the phrases of `support` or more, found exactly, are what the next level grows from. Single words are counted outright.
-Where the share leaves a local support of 1 (from some 30 shards on), every phrase of a shard is locally frequent; the union is then not written down, and
+Where the share leaves a local support of 1 (at 15 shards or more it is under 2), every phrase of a shard is locally frequent; the union is then not written down, and
 all that grow from frequent ones are counted. This is linear: measured on 0.1 GB, half a (hash, count) row a word for all levels together.
 
 Phrases travel as 64-bit hashes of (lang, words). A union or level is known to tasks as a bit table of a bounded size (`most_bits`), 16 bits a phrase; a
@@ -104,7 +104,7 @@ def shards(batches, limit: int):
         held.clear()
         return h, left
 
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 20):
         p = Pieces(batch)
         held.append((p.hash, p.left))
         size += len(p.words.data)
@@ -165,10 +165,10 @@ def counted(batches, levels, union, limit: int):
         yield _rows(hash=key, words=np.full(len(key), m, np.int32), count=count.astype(np.int64))
 
 
-def named(batches, levels, known: int = 1 << 22):
+def named(batches, levels, known: int = 1 << 20):
     """(hash, lang, phrase) of langs and of phrases in their level, each about once a task: up to `known` hashes are remembered."""
     seen = np.zeros(0, U)
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 20):
         p = Pieces(batch)
         row = p.words.row_of_word()
         raw, start, end = p.words.data.tobytes(), p.words.start, p.words.end
@@ -179,17 +179,17 @@ def named(batches, levels, known: int = 1 << 22):
         for m, (at, key) in enumerate(grown(p.hash, p.left, levels.value[:-1]), 1):
             good = levels.value[m - 1].has(key)
             key, one = np.unique(key[good], return_index=True)
-            new = ~np.isin(key, seen, assume_unique=True)
+            new = ~(seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] == key) if len(seen) else np.ones(len(key), bool)
             key, at = key[new], at[good][one[new]]
             if len(seen) + len(key) <= known:
-                seen = np.concatenate([seen, key])
+                seen = np.sort(np.concatenate([seen, key]))
             words = [[raw[a:b] for a, b in zip(start[at + i].tolist(), end[at + i].tolist(), strict=True)] for i in range(m)]
             out_hash.append(key), out_row.append(row[at]), out_phrase.extend(b" ".join(w).decode() for w in zip(*words, strict=True))
         columns = [pa.array(np.concatenate(out_hash).view(np.int64)), langs.take(pa.array(np.concatenate(out_row))), pa.array(out_phrase, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, ["hash", "lang", "phrase"])
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 30, shard_bytes: int = 32 << 20, most_bits: int = 1 << 28) -> DataFrame:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 30, shard_bytes: int = 16 << 20, most_bits: int = 1 << 28) -> DataFrame:
     """(lang, phrase, words, f), in a written table: phrases of 1 to 4 words that occur `support` times or more, and per lang a row of 0 words with all its words."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
@@ -199,7 +199,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     for words in range(1, MOST + 1):
         sent = spark.sparkContext.broadcast(levels)
         union = None
-        if words > 1 and support * shard_bytes > total:  # a full shard's local support is 2 or more
+        if words > 1 and support * shard_bytes >= 2 * total:  # a full shard's local support is 2 or more
             found = written(rows.mapInArrow(lambda b, sent=sent: mined(b, sent, support, total, shard_bytes), "hash long").distinct(), "union")
             union = spark.sparkContext.broadcast(bits_of(found, found.count(), most_bits))
             remove_written(spark, found)
