@@ -32,6 +32,21 @@ VIEWS = {
     # chr(123) and chr(125) are the braces of JSON, which the view text keeps for table names
     "fx_responses": "select response_id, l_orderkey, l_linenumber, frame_count, case when l_orderkey % 11 = 0 then substr(body, 1, 20) when l_orderkey % 13 = 0 then concat('[', body, ']') when l_linenumber % 3 = 0 then concat('```json', chr(10), body, chr(10), '```') else body end content from (select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) response_id, l_orderkey, l_linenumber, case when l_orderkey % 2 = 0 then 11 else 0 end frame_count, concat(chr(123), '\"events\": [', chr(123), '\"label\": \"', case l_orderkey % 4 when 1 then ' PutDown ' when 3 then 'grab' else 'pickup' end, '\", \"start_frame\": ', cast(l_linenumber as string), ', \"end_frame\": ', case l_orderkey % 5 when 0 then '\"9\"' when 1 then '1' else '12.7' end, ', \"confidence\": \"medium\", \"hard_case\": ', case when l_orderkey % 6 = 0 then '\"yes\"' else 'true' end, chr(125), ']', chr(125)) body from {lineitem}) z",
     "fx_export": "select source, o_orderkey, clip_id, o_orderkey % 17 = 0 cut, case when o_orderkey % 17 = 0 then substr(body, 1, 30) else body end value from (select cast(o_orderkey as string) source, o_orderkey, concat('clip_', cast(o_custkey as string)) clip_id, concat('[', chr(123), '\"id\": ', cast(o_orderkey as string), ', \"data\": ', chr(123), '\"clip_id\": \"clip_', cast(o_custkey as string), '\", \"fps\": 20', chr(125), ', \"annotations\": [', chr(123), '\"id\": 1, \"who\": \"ann\", \"state\": [', case when o_orderkey % 7 = 0 then '' else concat(chr(123), '\"name\": \"complete_active_span_reviewed\", \"value\": true', chr(125)) end, '], \"result\": [', chr(123), '\"id\": \"r', cast(o_orderkey as string), '\", \"type\": \"timelinelabels\", \"value\": ', chr(123), '\"timelinelabels\": [\"', case o_orderkey % 4 when 0 then 'pickup' when 1 then 'putdown' when 2 then 'ignore' else 'grab' end, '\"], \"ranges\": [', chr(123), '\"start\": ', cast(o_orderkey % 100 + 10 as string), ', \"end\": ', cast(o_orderkey % 100 + 20 as string), chr(125), '], \"confidence\": \"high\", \"hard_case\": \"', case when o_orderkey % 5 = 0 then 'true' else 'false' end, '\"', case when o_orderkey % 4 < 2 and o_orderkey % 3 > 0 then concat(', \"item_count\": ', cast(o_orderkey % 3 as string)) else '' end, chr(125), chr(125), ']', chr(125), ']', chr(125), ']') body from {orders}) z",
+    # one JSON file an order: sources with two candidates (one id shared by two files), empty ones, arrays, single candidates and each kind of fault
+    "fx_metadata": (
+        "select concat('m/', lpad(cast(o_orderkey as string), 9, '0'), '.json') path, o_orderkey k, concat('clip_', cast(o_custkey as string)) clip, case o_orderkey % 10"
+        " when 0 then concat(chr(123), head, ', \"candidates\": [', chr(123), '\"candidate_id\": \"c', cast(o_orderkey - o_orderkey % 20 as string), '\", \"candidate_key\": \"x\", \"source_start_s\": ', cast(o_orderkey % 7 as string), ', \"source_end_s\": 9', chr(125), ', ',"
+        " chr(123), '\"candidate_id\": \"c', cast(o_orderkey as string), '_b\", \"candidate_key\": \"y\", \"clip_id\": \"own\", \"source_start_s\": \"1.5\", \"source_end_s\": 3', chr(125), ']', chr(125))"
+        " when 1 then concat(chr(123), head, ', \"candidates\": []', chr(125))"
+        " when 2 then concat('[', chr(123), '\"candidate_id\": \"f', cast(o_orderkey as string), '\", \"clip_id\": \"own\"', chr(125), ', 5]')"
+        " when 3 then concat(chr(123), '\"candidate_id\": \"f', cast(o_orderkey as string), '\", \"clip_id\": \"own\", \"source_start_s\": 2', chr(125))"
+        " when 4 then concat(chr(123), '\"candidates\": [')"
+        " when 5 then concat(chr(123), head, ', \"candidates\": \"none\"', chr(125))"
+        " when 6 then concat(chr(123), '\"candidates\": [', chr(123), '\"candidate_id\": \"z\"', chr(125), ']', chr(125))"
+        " when 7 then concat(chr(123), head, ', \"candidates\": [', chr(123), '\"candidate_id\": \"n', cast(o_orderkey as string), '\", \"candidate_key\": \"x\", \"source_start_s\": 1', chr(125), ', 7]', chr(125))"
+        " when 8 then concat(chr(123), head, ', \"candidates\": [', chr(123), '\"candidate_id\": \"t', cast(o_orderkey as string), '\", \"candidate_key\": \"x\", \"source_start_s\": 4, \"source_end_s\": ', cast(o_orderkey % 7 as string), chr(125), ']', chr(125))"
+        " else '42' end value from (select *, concat('\"source_video_id\": \"clip_', cast(o_custkey as string), '\", \"source_bucket\": \"bk\"') head from {orders}) z"
+    ),
 }
 REGIONS = {"region_0": [(100.0, 100.0), (500.0, 100.0), (500.0, 500.0), (100.0, 500.0)], "region_1": [(400.0, 400.0), (900.0, 450.0), (650.0, 900.0)], "region_2": [(50.0, 600.0), (300.0, 650.0), (200.0, 700.0), (320.0, 900.0), (60.0, 950.0)]}
 

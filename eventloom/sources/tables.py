@@ -6,7 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+
+_PLAIN: dict[str, DataType] = {"string": StringType(), "double": DoubleType(), "float": FloatType(), "int": IntegerType(), "long": LongType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def struct_of(columns: str) -> StructType:
+    """A schema from "name type, ..." of plain types and arrays of them; unlike StructType.fromDDL it needs no session."""
+    kind = lambda t: ArrayType(_PLAIN[t[6:-1]]) if t.startswith("array<") else _PLAIN[t]
+    return StructType([StructField(name, kind(t)) for name, t in (c.split() for c in columns.split(","))])
 
 
 def with_schema(df: DataFrame, schema: StructType) -> DataFrame:
