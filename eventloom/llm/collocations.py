@@ -210,7 +210,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
         tables.append(frequent)
     sent = spark.sparkContext.broadcast(levels)
     every = functools.reduce(DataFrame.unionByName, tables)
-    names = rows.mapInArrow(lambda b: named(b, sent), "hash long, lang string, phrase string").join(every, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("lang", "phrase")).alias("p"))
+    names = rows.mapInArrow(lambda b: named(b, sent), "hash long, lang string, phrase string").groupBy("hash").agg(F.min(F.struct("lang", "phrase")).alias("p"))
     out = written(every.join(names, "hash").select("p.lang", "p.phrase", "words", "f"), "phrases")
     remove_written(spark, *tables)
     return out
