@@ -40,7 +40,10 @@ def train_state_classifier(rows: DataFrame, classes: list[str], features: str =
         # balanced weights add up to n, and Spark divides the loss by their sum
         LogisticRegression(featuresCol="__scaled", labelCol="__class", weightCol="__weight", regParam=1.0 / n, standardization=False, maxIter=max_iter, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__prediction"),
     ]
-    return Pipeline(stages=stages).fit(_vectors(rows, features).select(label, "__vector", weight.alias("__weight")))
+    model = Pipeline(stages=stages).fit(_vectors(rows, features).select(label, "__vector", weight.alias("__weight")))
+    # its training summary holds the session, which tasks cannot take along once metrics are observed
+    model.stages[-1]._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def class_names(model: PipelineModel) -> list[str]:

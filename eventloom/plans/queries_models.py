@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import annotations, evidence, models, responses
+from eventloom.operators import annotations, evidence, models, pipelines, responses
 from eventloom.plans.fixtures import REGIONS, edges_sql, view
 from eventloom.plans.registry import query
 from eventloom.streaming.state_machine import KEY
@@ -84,3 +84,50 @@ def annotated_ignores(spark, sf):
 def annotation_errors(spark, sf):
     tasks, errors = annotations.read_export(view(spark, sf, "fx_export"))
     return errors.unionByName(annotations.convert_export(tasks)[2]).groupBy("field", "message").agg(F.count("*").alias("n"))
+
+
+def _track_inputs(spark, sf):
+    """Candidates, poses, features and labels that replay the rows of fx_sm_obs: one candidate a clip, a row each 0.1 s."""
+    at = F.round(F.col("timestamp_s") * 10).cast("int")
+    rows = view(spark, sf, "fx_sm_obs").withColumns({"k": at, "t": at / F.lit(10.0), "candidate_id": F.concat("clip_id", F.lit("/0"))})
+    who = ["candidate_id", *KEY]
+    candidates = rows.groupBy(*who).agg(F.lit(0.0).alias("raw_start_s"), F.max("t").alias("raw_end_s"), F.lit(0.0).alias("window_start_s"), F.max("t").alias("window_end_s"))
+    x = F.when(F.col("inside_region"), 300.0).otherwise(500.0 + F.col("distance_px"))
+    poses = rows.select("clip_id", "actor_id", "hand_side", F.col("t").alias("t_h"), x.alias("wrist_x"), F.lit(300.0).alias("wrist_y"), F.lit(0.8).alias("wrist_confidence"))
+    hand = F.when(F.col("hand_empty") > 0.5, "empty").otherwise("carrying")
+    shelf = F.when(F.col("shelf_removed") > 0.5, "removed").when(F.col("shelf_placed") > 0.5, "placed").otherwise("no_change")
+    near = lambda state, names: F.array(*[F.when(state == n, 1.0).otherwise(0.0) + (F.col("k") % 7) * 0.01 for n in names])
+    of = lambda kind, state, names: rows.select("candidate_id", F.col("t").alias("timestamp_s"), F.lit(kind).alias("crop_type"), near(state, names).alias("embedding"), state.alias("state"))
+    return candidates, poses, of("hand", hand, ["empty", "carrying"]), of("shelf", shelf, ["removed", "placed", "no_change"])
+
+
+@query(
+    """, n AS (SELECT clip_id, CAST(floor((count(*) + 8) / 20) AS BIGINT) AS n FROM fx_sm_obs GROUP BY clip_id)
+ SELECT clip_id, n AS n_events, CAST(ceil(n / 2) AS BIGINT) AS n_pickup FROM n WHERE n > 0"""
+)
+def track_a_predictions(spark, sf):
+    candidates, poses, hand, shelf = _track_inputs(spark, sf)
+    fitted = [models.train_state_classifier(rows, names) for rows, names in ((hand, ["empty", "carrying"]), (shelf, ["removed", "placed", "no_change"]))]
+    clips = view(spark, sf, "fx_clips").select("clip_id", "duration_s").unionByName(candidates.select("clip_id", F.lit(1e6).alias("duration_s")))
+    found = pipelines.track_a(candidates, clips, poses, REGIONS, hand.unionByName(shelf).drop("state"), *fitted)
+    return found.predictions.groupBy("clip_id").agg(F.count("*").alias("n_events"), F.count_if(F.col("type") == "pickup").alias("n_pickup"))
+
+
+def scaled_crops():
+    """An encoder of the crops' places, for tests."""
+    return lambda rows: rows[["geometry_x", "geometry_y", "timestamp_s"]].to_numpy() / 1000
+
+
+@query()
+def feature_dataset(spark, sf):
+    def folded(name, *times):
+        """A view with its times, in seconds of a long video, folded into the 700 hours of the poses."""
+        df = view(spark, sf, name)
+        back = F.floor(F.col(times[0]) / 700) * 700
+        return df.withColumns({t: F.col(t) - back for t in times})
+
+    k = folded("fx_candidates", "raw_start_s", "raw_end_s")
+    k = k.withColumns({"window_start_s": F.greatest(F.lit(0.0), F.col("raw_start_s") - 40), "window_end_s": F.col("raw_end_s") + 40})
+    ignores, events = folded("fx_ignore", "t_start", "t_end"), folded("fx_gt", "t_start", "t_end")
+    records, _ = pipelines.feature_dataset(k, view(spark, sf, "fx_clips"), ignores, view(spark, sf, "fx_pose"), REGIONS, events, scaled_crops, tolerance=24.0)
+    return records.drop("created_at", "batch_id")
