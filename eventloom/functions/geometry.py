@@ -48,15 +48,28 @@ def point_polygon_distance(x: Column, y: Column, polygon: Column) -> Column:
 
 
 def expand_polygon(polygon: Column, margin: float, width: float | None = None, height: float | None = None) -> Column:
-    """Every vertex moved away from the vertex mean by margin; with a frame size, vertices stay in the frame."""
+    """Every vertex moved away from the vertex mean by margin; with a frame size, vertices are held to its last pixels. A vertex at the mean stays."""
     n = F.size(polygon)
-    cx = F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p["x"]) / n
-    cy = F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p["y"]) / n
-    hold = lambda c, top: c if top is None else F.greatest(F.lit(0.0), F.least(c, F.lit(float(top))))
-
-    def moved(p: Column) -> Column:
-        d = F.sqrt((p["x"] - cx) * (p["x"] - cx) + (p["y"] - cy) * (p["y"] - cy))
-        f = F.when(d > 0, (d + margin) / d).otherwise(1.0)
-        return F.struct(hold(cx + (p["x"] - cx) * f, width).alias("x"), hold(cy + (p["y"] - cy) * f, height).alias("y"))
-
-    return F.transform(polygon, moved)
+    mean = F.struct((F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p["x"]) / n).alias("x"), (F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p["y"]) / n).alias("y"))
+    hold = lambda c, top: c if top is None else F.greatest(F.lit(0.0), F.least(c, F.lit(float(top) - 1)))
+
+    def moved(p: Column, c: Column) -> Column:
+        dx, dy = p["x"] - c["x"], p["y"] - c["y"]
+        d = F.sqrt(dx * dx + dy * dy)
+        f = (d + margin) / d
+        return F.when(d < 1e-9, F.struct(p["x"].alias("x"), p["y"].alias("y"))).otherwise(F.struct(hold(c["x"] + dx * f, width).alias("x"), hold(c["y"] + dy * f, height).alias("y")))
+
+    # a lambda over the mean binds it once
+    return F.transform(F.array(mean), lambda c: F.transform(polygon, lambda p: moved(p, c)))[0]
+
+
+def expanded_points(points: list[tuple[float, float]], margin: float, width: float | None = None, height: float | None = None) -> list[tuple[float, float]]:
+    """expand_polygon() of a configured polygon."""
+    cx, cy = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+    hold = lambda c, top: c if top is None else max(0.0, min(c, float(top) - 1))
+    out = []
+    for x, y in points:
+        d = ((x - cx) ** 2 + (y - cy) ** 2) ** 0.5
+        f = (d + margin) / d if d >= 1e-9 else 1.0
+        out.append((x, y) if d < 1e-9 else (hold(cx + (x - cx) * f, width), hold(cy + (y - cy) * f, height)))
+    return out

@@ -25,6 +25,12 @@ def dataset_stats(records: DataFrame) -> DataFrame:
     return records.select(F.explode(names).alias("g")).groupBy("g.dimension", "g.value").agg(F.count("*").alias("n"))
 
 
+def manifest_stats(records: DataFrame) -> DataFrame:
+    """dataset_stats() and, as one more row, how many distinct batches there are; a null batch is none."""
+    batches = records.agg(F.count_distinct("batch_id").alias("n")).select(F.lit("batches").alias("dimension"), F.lit("distinct").alias("value"), "n")
+    return dataset_stats(records).unionByName(batches)
+
+
 def class_weights(records: DataFrame, label: str = "label") -> DataFrame:
     """n / (k x count) per label."""
     c = records.groupBy(label).agg(F.count("*").alias("n"))
@@ -62,6 +68,46 @@ def ledger_reconcile(ledger: DataFrame, listing: DataFrame) -> DataFrame:
     return both.select("file_name", outcome.alias("outcome"))
 
 
+def read_ledger(rows: DataFrame) -> DataFrame:
+    """A ledger of today's columns from text columns of either header: file_name and processed (then generated and uploaded are what processed was, and
+    nothing counts as downloaded), or file_name with a flag each. Rows without a name are left out, of repeated names the last in text order stays."""
+    yes = lambda c: F.coalesce(F.lower(F.trim(c)).isin("true", "1", "yes"), F.lit(False))
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) if c in rows.columns else F.lit("").alias(c)
+    legacy = "processed" in rows.columns and len(rows.columns) == 2
+    flags = {"downloaded": F.lit(False), "generated": yes("processed"), "uploaded": yes("processed")} if legacy else {c: yes(c) if c in rows.columns else F.lit(False) for c in ("downloaded", "generated", "uploaded")}
+    named = rows.withColumn("file_name", F.trim("file_name")).filter("file_name <> ''")
+    out = named.select("file_name", *[v.alias(k) for k, v in flags.items()], *map(text, ("local_source_path", "source_etag", "source_size_bytes", "last_error")))
+    rest = [c for c in out.columns if c != "file_name"]
+    return out.groupBy("file_name").agg(F.max(F.struct(*rest)).alias("s")).select("file_name", "s.*")
+
+
+def reconcile(ledger: DataFrame, disk: DataFrame, listing: DataFrame, refresh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ledger, warnings) after a look at disk (file_name, size), the files at a row's path, and at listing (file_name, etag, size), the source.
+
+    A downloaded row whose file is missing is no longer downloaded. One whose source has another etag, or with equal or unknown etags another size, has changed: it is no longer
+    downloaded, with source_changed as its error, unless refresh is on. A row with a path that is not downloaded is adopted, with the source's etag and size, if its file has the source's size. warnings: (file_name, warning).
+    """
+    d = disk.select("file_name", F.col("size").cast("string").alias("__disk"))
+    s = listing.select("file_name", F.col("etag").cast("string").alias("__etag"), F.col("size").cast("string").alias("__size"))
+    rows = ledger.join(d, "file_name", "left").join(s, "file_name", "left")
+    known = lambda a, b: (F.coalesce(F.col(a), F.lit("")) != "") & (F.coalesce(F.col(b), F.lit("")) != "")
+    etag = known("__etag", "source_etag") & (F.col("__etag") != F.col("source_etag"))
+    size = known("__size", "source_size_bytes") & (F.col("__size") != F.col("source_size_bytes"))
+    lost = F.col("downloaded") & F.col("__disk").isNull()
+    warning = F.when(lost, "file is missing").when(F.col("downloaded") & etag, "source has another etag").when(F.col("downloaded") & size, "source has another size")
+    adopted = ~F.col("downloaded") & (F.coalesce("local_source_path", F.lit("")) != "") & F.coalesce(F.col("__disk") == F.col("__size"), F.lit(False))
+    rows = rows.withColumns({"__w": warning, "__a": adopted})
+    changed = F.col("__w").startswith("source") & F.lit(not refresh)
+    new = {
+        "downloaded": F.when(F.col("__a"), True).when((F.col("__w") == "file is missing") | changed, False).otherwise(F.col("downloaded")),
+        "last_error": F.when(F.coalesce(changed, F.lit(False)), "source_changed").otherwise(F.col("last_error")),
+        "source_etag": F.when(F.col("__a"), F.coalesce("__etag", "source_etag")).otherwise(F.col("source_etag")),
+        "source_size_bytes": F.when(F.col("__a"), F.col("__size")).otherwise(F.col("source_size_bytes")),
+    }
+    out = rows.select(*[new.get(c, F.col(c)).alias(c) for c in ledger.columns])
+    return out, rows.filter("__w is not null").select("file_name", F.col("__w").alias("warning"))
+
+
 def duplicate_sources(listing: DataFrame, keys: list[str], name: str) -> DataFrame:
     """The first row per key is kept and linked to the last row dropped for it; null keys compare as ''."""
     k = [F.coalesce(c, F.lit("")) for c in keys]
@@ -141,4 +187,4 @@ def confusion_counts(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 def row_weights(records: DataFrame, label: str = "label", confidence: str = "confidence") -> DataFrame:
     """records with weight: its label's class weight times 1 for high and med, 0.5 for low confidence."""
     w = class_weights(records, label).select(label, F.col("weight").alias("__w"))
-    return records.join(F.broadcast(w), label).withColumn("weight", F.col("__w") * F.when(F.col(confidence) == "low", 0.5).otherwise(1.0)).drop("__w")
+    return records.join(w, label).withColumn("weight", F.col("__w") * F.when(F.col(confidence) == "low", 0.5).otherwise(1.0)).drop("__w")

@@ -139,6 +139,43 @@ def proposal_recall(events: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("event_id", F.col("c").isNotNull().alias("covered"), F.coalesce(F.col("c.raw"), F.lit(False)).alias("raw_covered"), F.col("c.candidate_id").alias("candidate_id"))
 
 
+def proposal_matches(events: DataFrame, candidates: DataFrame, actors: bool = False, regions: bool = False) -> DataFrame:
+    """(event_id, covered, method, candidate_id, actor_match, region_match): proposal_recall() with candidates held to the event's actor_id and region_id, where it has one.
+
+    The first candidate in canonical order that fits and touches the event covers it, by its raw interval or else the padded one. Without one, actor_match says whether the clip's last candidate had the actor
+    (false in a clip without any), and region_match whether the last with the actor had the region (null if none had). Both are null where they are not asked for.
+    """
+    canon = F.struct("window_start_s", "window_end_s", "candidate_id")
+    c = candidates.select("clip_id", "candidate_id", F.col("actor_id").alias("__actor"), F.col("region_id").alias("__region"), "raw_start_s", "raw_end_s", "window_start_s", "window_end_s")
+    lo, hi = F.least("raw_start_s", "window_start_s"), F.greatest("raw_end_s", "window_end_s")
+    e = events.select("clip_id", "event_id", "actor_id", "region_id", "t_start", "t_end")
+    pairs = overlap_join(e, c.withColumns({"__lo": lo, "__hi": hi}), ["clip_id"], "t_start", "t_end", "__lo", "__hi", closed=True)
+    touch = {n: overlaps(F.col("t_start"), F.col("t_end"), F.col(f"{p}_start_s"), F.col(f"{p}_end_s"), closed=True) for n, p in (("raw", "raw"), ("padded", "window"))}
+    fits = F.lit(True)
+    for on, mine, its in ((actors, "actor_id", "__actor"), (regions, "region_id", "__region")):
+        if on:
+            fits &= F.col(mine).isNull() | F.coalesce(F.col(its) == F.col(mine), F.lit(False))
+    method = F.when(touch["raw"], "raw").when(touch["padded"], "padded")
+    first = pairs.withColumn("method", method).filter(fits & F.col("method").isNotNull()).groupBy("event_id").agg(F.min_by(F.struct("candidate_id", "method"), canon).alias("c"))
+    # what the last candidate of the clip, and the last one with the event's actor, would have said
+    last = c.groupBy("clip_id").agg(F.max_by(F.struct("__actor", "__region"), canon).alias("any"))
+    own = c.groupBy("clip_id", F.col("__actor").alias("actor_id")).agg(F.max_by(F.struct("__region"), canon).alias("own"))
+    out = e.join(first, "event_id", "left").join(last, "clip_id", "left").join(own, ["clip_id", "actor_id"], "left")
+    hit, same = F.col("c").isNotNull(), lambda a, b: F.coalesce(a == b, F.lit(False))
+    whose = F.when(F.col("actor_id").isNull() | F.lit(not actors), F.col("any.__region")).otherwise(F.col("own.__region"))
+    seen = F.when(F.col("actor_id").isNull() | F.lit(not actors), F.col("any").isNotNull()).otherwise(F.col("own").isNotNull())
+    actor = F.when(hit, True).otherwise(F.col("any").isNotNull() & (F.col("actor_id").isNull() | same(F.col("any.__actor"), F.col("actor_id"))))
+    region = F.when(hit, True).when(seen, F.col("region_id").isNull() | same(whose, F.col("region_id")))
+    none = F.lit(None).cast("boolean")
+    return out.select("event_id", hit.alias("covered"), F.col("c.method").alias("method"), F.col("c.candidate_id").alias("candidate_id"), (actor if actors else none).alias("actor_match"), (region if regions else none).alias("region_match"))
+
+
+def frames_in_ranges(frames: DataFrame, ranges: DataFrame, frame: str = "frame") -> DataFrame:
+    """Rows whose frame number lies in a half-open range (clip_id, start_frame, end_frame) of their clip."""
+    closed = ranges.filter("start_frame < end_frame").select("clip_id", F.col("start_frame").alias("__first"), (F.col("end_frame") - 1).alias("__last"))
+    return overlap_filter(frames, closed, "clip_id", frame, frame, "__first", "__last", keep=True, closed=True, bucket=1000.0)
+
+
 def nearest_observation(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, tolerance: float, values: list[str]) -> DataFrame:
     """Two-sided as-of join within tolerance; ties go to the earliest observation.
 

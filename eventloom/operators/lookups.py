@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.intervals import match_events_to_candidate
+
 VIDEO = ("mp4", "mov", "avi", "mkv")
 
 
@@ -68,6 +70,23 @@ def resolve_examples(reviews: DataFrame, metadata: DataFrame, events: DataFrame)
     return rows.select("candidate_id", outcome.alias("outcome"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
+def reviewed_examples(reviews: DataFrame, metadata: DataFrame, reviewed: DataFrame, events: DataFrame, ratio: float = 0.1) -> DataFrame:
+    """(candidate_id, clip_id, outcome, label, event_ids): what each review (candidate_id, clip_id, reviewed) says of its candidate.
+
+    excluded_unreviewed, or excluded_no_match without metadata (candidate_id, source_start_s, source_end_s) or without a reviewed file (candidate_id, labels array); else negative without
+    labels, or positive with the first label, and the clip's events that overlap the candidate by ratio of their own length, the best first.
+    """
+    rows = reviews.join(metadata.select("candidate_id", "source_start_s", "source_end_s"), "candidate_id", "left").join(reviewed.select("candidate_id", "labels"), "candidate_id", "left")
+    first = F.get("labels", F.lit(0))
+    outcome = F.when(~F.coalesce("reviewed", F.lit(False)), "excluded_unreviewed").when(F.col("source_start_s").isNull() | F.col("labels").isNull(), "excluded_no_match").when(first.isNull(), "negative").otherwise("positive")
+    rows = rows.withColumn("outcome", outcome)
+    spans = rows.filter("outcome = 'positive'").select("candidate_id", "clip_id", F.col("source_start_s").alias("raw_start_s"), F.col("source_end_s").alias("raw_end_s"))
+    met = match_events_to_candidate(spans, events, ratio).select("candidate_id", "event_ids")
+    out = rows.join(met, "candidate_id", "left")
+    label = F.when(F.col("outcome") == "positive", first).when(F.col("outcome") == "negative", "negative")
+    return out.select("candidate_id", "clip_id", "outcome", label.alias("label"), F.coalesce("event_ids", F.array().cast("array<string>")).alias("event_ids"))
+
+
 def update_clips(clips: DataFrame, updates: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """clips with the columns of matching updates; clips that only updates has become rows with nothing else."""
     u = updates.select("clip_id", F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in columns])

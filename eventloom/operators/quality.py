@@ -106,6 +106,18 @@ def check_order(events: DataFrame, position: str) -> DataFrame:
     return events.withColumn("__bad", before > key).filter("__bad").select("clip_id", position)
 
 
+def check_global_order(events: DataFrame, position: str) -> DataFrame:
+    """(position, event_id), at most one row: the first of all rows that comes before its predecessor in (clip_id, t_start, type, event_id).
+
+    position numbers the rows without gaps; rows meet their predecessor by it, so that no task orders them all.
+    """
+    key = F.struct("clip_id", "t_start", "type", "event_id")
+    rows = events.select(F.col(position).alias("position"), key.alias("key"))
+    pairs = rows.join(rows.select((F.col("position") + 1).alias("position"), F.col("key").alias("before")), "position").filter("before > key")
+    first = pairs.agg(F.min(F.struct("position", F.col("key.event_id").alias("event_id"))).alias("f")).filter("f is not null")
+    return first.select("f.position", "f.event_id")
+
+
 def check_candidate_metadata(rows: DataFrame) -> DataFrame:
     rules = {(c, "is missing or empty"): blank(c) for c in ("candidate_id", "clip_id", "source_start_s", "source_end_s")}
     s, e = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("source_start_s", "source_end_s"))
@@ -131,10 +143,10 @@ def relative_time_error(start: Column, end: Column, offset: Column, source_start
 
 
 def collinear(polygon: Column) -> Column:
-    """Whether all points lie on one line with the first two distinct ones (cross products within 1e-9)."""
+    """Whether all points lie on the line through the first two (cross products within 1e-6)."""
     p = lambda i: F.get(polygon, F.lit(i))
     dx, dy = p(1)["x"] - p(0)["x"], p(1)["y"] - p(0)["y"]
-    return F.forall(polygon, lambda q: F.abs(dx * (q["y"] - p(0)["y"]) - dy * (q["x"] - p(0)["x"])) <= 1e-9)
+    return F.forall(polygon, lambda q: F.abs(dx * (q["y"] - p(0)["y"]) - dy * (q["x"] - p(0)["x"])) <= 1e-6)
 
 
 def check_regions(regions: DataFrame, width: int, height: int, key: str = "region_id") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.geometry import segment_distance
+from eventloom.functions.geometry import expanded_points, segment_distance
 
 
 def region_measurements(obs: DataFrame, keys: list[str], time: str = "t_h", x: str = "wrist_x", y: str = "wrist_y", inside: str = "inside", order: str = "sample_index", reach: int = 2, cosine: float = 0.5) -> DataFrame:
@@ -70,21 +70,32 @@ def contact_time(obs: DataFrame, keys: list[str], time: str = "t_h", order: str
     return rows.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__enters"), t)), F.min(F.when(F.col("inside"), t)), near, (F.min(t) + F.max(t)) / 2).alias("contact_s"))
 
 
-def pose_regions(poses: DataFrame, polygons: dict[str, list[tuple[float, float]]], x: str = "wrist_x", y: str = "wrist_y") -> DataFrame:
-    """Every observation with every region: region_id, inside (the boundary within 1e-9 too) and distance, 0 inside.
+def pose_regions(poses: DataFrame, polygons: dict[str, list[tuple[float, float]]], x: str = "wrist_x", y: str = "wrist_y", margin: float | None = None, frame: tuple[float, float] | None = None) -> DataFrame:
+    """Every observation with every region: region_id, inside (the boundary within 1e-9 too) and distance, 0 inside; with a margin also inside_expanded, for
+    the polygon expanded by it and held to the frame.
 
     Polygons of 3 or more vertices are a camera's configuration; their edges become plain code-generated columns, so that nothing is joined or shuffled.
     """
     px, py = F.col(x), F.col(y)
     rows, found = poses, []
-    for i, (name, points) in enumerate(polygons.items()):
+
+    def against(points: list[tuple[float, float]]) -> tuple[Column, Column]:
         edges = list(zip(points, [*points[1:], points[0]], strict=True))
         near = F.least(*[segment_distance(px, py, *map(F.lit, (*a, *b))) for a, b in edges])
         odd = F.lit(False)
         for (ax, ay), (bx, by) in edges:
             if ay != by:
                 odd = odd != (((F.lit(ay) > py) != (F.lit(by) > py)) & (px < F.lit(bx - ax) * (py - ay) / F.lit(by - ay) + ax))
+        return near, odd
+
+    for i, (name, points) in enumerate(polygons.items()):
+        near, odd = against(points)
         rows = rows.withColumns({f"__d{i}": near, f"__o{i}": odd})
         inside = F.col(f"__o{i}") | (F.col(f"__d{i}") <= 1e-9)
-        found.append(F.struct(F.lit(name).alias("region_id"), inside.alias("inside"), F.when(inside, 0.0).otherwise(F.col(f"__d{i}")).alias("distance")))
+        fields = [F.lit(name).alias("region_id"), inside.alias("inside"), F.when(inside, 0.0).otherwise(F.col(f"__d{i}")).alias("distance")]
+        if margin is not None:
+            near, odd = against(expanded_points(points, margin, *(frame or (None, None))))
+            rows = rows.withColumns({f"__e{i}": near, f"__f{i}": odd})
+            fields.append((F.col(f"__f{i}") | (F.col(f"__e{i}") <= 1e-9)).alias("inside_expanded"))
+        found.append(F.struct(*fields))
     return rows.select(*poses.columns, F.explode(F.array(*found)).alias("m")).select(*poses.columns, "m.*")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.intervals import center_not_ignored, frames_in_ranges, overlap_join
+from eventloom.operators.lookups import numbered
+
 
 def sliding_windows(start: Column, end: Column, duration: float = 2.5, stride: float = 0.5) -> Column:
     """Array of (s, e): fixed stride, one centred window for a short interval, an end-aligned last one when 0.1 s is left over."""
@@ -36,6 +39,50 @@ def window_manifest(candidates: DataFrame, events: DataFrame, duration: float =
     return w.join(first, ["candidate_id", "k"], "left").withColumn("label", F.coalesce("label", F.lit("background")))
 
 
+def inference_windows(candidates: DataFrame, least: float = 0.5, duration: float = 2.5, stride: float = 0.5) -> DataFrame:
+    """(candidate_id, clip_id, k, window_start_s, window_end_s, center) of sliding windows; candidates whose window is shorter than `least` have none."""
+    s, e = F.col("window_start_s"), F.col("window_end_s")
+    w = candidates.filter(e - s >= least).select("candidate_id", "clip_id", F.posexplode(sliding_windows(s, e, duration, stride)).alias("k", "w"))
+    return w.select("candidate_id", "clip_id", "k", F.col("w.s").alias("window_start_s"), F.col("w.e").alias("window_end_s"), ((F.col("w.s") + F.col("w.e")) / 2).alias("center"))
+
+
+def window_samples(candidates: DataFrame, events: DataFrame, ignores: DataFrame, clips: DataFrame, split: str | None = None, least: float = 0.5, duration: float = 2.5, stride: float = 0.5, weights: tuple[float, float, float] = (1.0, 1.0, 0.5)) -> DataFrame:
+    """(sample_id, candidate_id, clip_id, k, window_start_s, window_end_s, label, event_id, event_confidence, weight, split): inference_windows() whose centre no closed ignore interval holds.
+
+    The first event of the two types, by (t_start, event_id), whose closed interval holds the centre labels a window, else background; high, med and low confidence have weights, all else the first.
+    Samples are numbered in the order of (candidate_id, k), inside key ranges and not in one task. With a split, only its clips.
+    """
+    of = clips.groupBy("clip_id").agg(F.min("split").alias("split"))
+    if split is not None:
+        candidates = candidates.join(of.filter(F.col("split") == split), "clip_id", "left_semi")
+    w = center_not_ignored(inference_windows(candidates, least, duration, stride), ignores, "center")
+    w = w.withColumn("__key", F.concat("candidate_id", F.lit(" "), F.lpad(F.col("k").cast("string"), 8, "0")))
+    e = events.filter(F.col("type").isin("pickup", "putdown")).select("clip_id", "event_id", "type", F.col("confidence").alias("__sure"), "t_start", "t_end")
+    hit = overlap_join(w.select("__key", "clip_id", "center"), e, ["clip_id"], "center", "center", "t_start", "t_end", closed=True)
+    first = hit.groupBy("__key").agg(F.min_by(F.struct("type", "event_id", "__sure"), F.struct("t_start", "event_id")).alias("v"))
+    rows = numbered(w, "__key", 12).join(first, "__key", "left").join(of, "clip_id", "left")
+    c = F.col("v.__sure")
+    weight = F.when(c == "med", weights[1]).when(c == "low", weights[2]).otherwise(weights[0])
+    name = F.concat(F.lit("b1_"), F.format_string("%06d", "n"))
+    return rows.select(name.alias("sample_id"), "candidate_id", "clip_id", "k", "window_start_s", "window_end_s", F.coalesce("v.type", F.lit("background")).alias("label"), F.col("v.event_id").alias("event_id"), c.alias("event_confidence"), weight.alias("weight"), "split")
+
+
+def preview_frames(ranges: DataFrame, observations: DataFrame, clips: DataFrame, preview_fps: float) -> DataFrame:
+    """(clip_id, frame), each once: of half-open ranges (clip_id, start_frame, end_frame) every step-th frame and the last one, and the frames of observations (clip_id, frame) in them.
+
+    clips has fps and total_frames; the step is their ratio to preview_fps, rounded half to even, at least 1. Frames outside a clip's total are left out.
+    """
+    r = ranges.join(clips.select("clip_id", "fps", "total_frames"), "clip_id")
+    total = F.col("total_frames").cast("long")
+    a = F.least(F.greatest(F.lit(0), F.col("start_frame")), total).cast("long")
+    b = F.least(F.greatest(a, F.col("end_frame")), total).cast("long")
+    step = F.greatest(F.lit(1), F.bround(F.col("fps") / F.least(F.lit(float(preview_fps)), F.col("fps")))).cast("long")
+    r = r.select("clip_id", a.alias("start_frame"), b.alias("end_frame"), step.alias("step")).filter("start_frame < end_frame")
+    grid = r.select("clip_id", F.explode(F.concat(F.sequence(F.col("start_frame"), F.col("end_frame") - 1, F.col("step")), F.array(F.col("end_frame") - 1))).alias("frame"))
+    seen = frames_in_ranges(observations.select("clip_id", F.col("frame").cast("long").alias("frame")), r)
+    return grid.union(seen).distinct()
+
+
 def span_windows(start: Column, end: Column, duration: float = 10.0, step: float = 5.0, least: float = 2.0, cap: int = 50) -> Column:
     """Array of (s, e): overlapping windows of a span. Where the last one would be shorter than `least`, the one before is cut to `least` and
     a window from there to the end follows; none for a span under `least`, at most cap."""

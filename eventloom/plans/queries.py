@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.intervals import bounded_context, midpoint_distance, tiou
 from eventloom.operators import dataset, decode, evaluate, intervals, precision, sampling, trajectories, windows
-from eventloom.plans import queries_data, queries_events, queries_models, queries_sources  # noqa: F401
+from eventloom.plans import queries_data, queries_events, queries_models, queries_sources, queries_windows  # noqa: F401
 from eventloom.plans.fixtures import REGIONS, edges_sql, view
 from eventloom.plans.registry import ORACLES, QUERIES, query
 from eventloom.sources import tables

@@ -73,7 +73,7 @@ def crop_boxes(spark, sf):
     return candidates.crop_boxes(k, poses, bounds, 1000, 1200)
 
 
-@query(", e AS (SELECT sample_index, 200 / CAST(1 AS DOUBLE) w, x1, y1, x2, y2, (x1 + x2 + x2) / 3 cx, (y1 + y1 + y2) / 3 cy FROM fx_boxes), d AS (SELECT *, sqrt((x2 - cx) * (x2 - cx) + (y2 - cy) * (y2 - cy)) r FROM e) SELECT sample_index, round(greatest(0e0, least(1100e0, cx + (x2 - cx) * ((r + 25) / r))), 6) x, round(greatest(0e0, least(1300e0, cy + (y2 - cy) * ((r + 25) / r))), 6) y FROM d")
+@query(", e AS (SELECT sample_index, 200 / CAST(1 AS DOUBLE) w, x1, y1, x2, y2, (x1 + x2 + x2) / 3 cx, (y1 + y1 + y2) / 3 cy FROM fx_boxes), d AS (SELECT *, sqrt((x2 - cx) * (x2 - cx) + (y2 - cy) * (y2 - cy)) r FROM e) SELECT sample_index, round(greatest(0e0, least(1099e0, cx + (x2 - cx) * ((r + 25) / r))), 6) x, round(greatest(0e0, least(1299e0, cy + (y2 - cy) * ((r + 25) / r))), 6) y FROM d")
 def expand_polygons(spark, sf):
     at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     moved = expand_polygon(F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2")), 25.0, 1100.0, 1300.0)

@@ -201,3 +201,34 @@ def test_gallery_of_contested_types(spark):
     got = sorted((r["category"], r["event_id"] or "", r["pred_id"] or "") for r in evaluate.gallery(g, p).collect())
     # by type, e1-p2 and e2-p1 match; whatever the type, e1-p1 and e2-p2 are the better pairs
     assert got == [("false_negative", "e3", ""), ("false_positive", "", "p3"), ("type_confusion", "e1", "p1"), ("type_confusion", "e2", "p2")]
+
+
+def test_canonical_order_puts_nulls_first(spark):
+    rows = spark.createDataFrame([("b", 1.0, None), (None, 2.0, "x"), ("a", 3.0, "y"), ("a", 1.0, "z"), ("a", 1.0, None)], "clip_id string, t double, id string")
+    assert [tuple(r) for r in candidates.canonical_order(rows, "clip_id", "t", "id").collect()] == [(None, 2.0, "x"), ("a", 1.0, None), ("a", 1.0, "z"), ("a", 3.0, "y"), ("b", 1.0, None)]
+
+
+def test_stride_of_frames_and_listing_without_marks(spark):
+    out = spark.createDataFrame([(7, 3), (0, 3), (1, 5)], "total int, step int").select(windows.frames_by_stride(F.col("total"), 3).alias("f")).collect()
+    assert [r["f"] for r in out] == [[0, 3, 6], [], [0]]
+    objects = spark.createDataFrame([("pre/a.mp4", 1), ("pre/b/", 0), ("other/c.mp4", 2)], "key string, size long")
+    assert sorted(map(tuple, lookups.inventory(objects, "pre/").collect())) == [("a.mp4", 1), ("other/c.mp4", 2)]
+
+
+def test_ledger_of_todays_header_keeps_the_last_row_of_a_name(spark):
+    from eventloom.operators import dataset
+
+    rows = spark.createDataFrame([("a", "true", "1", "no", " /d/a "), ("a", "true", "1", "yes", ""), (" ", "true", "", "", ""), ("b", "x", None, "", None)], "file_name string, downloaded string, generated string, uploaded string, local_source_path string")
+    got = sorted(map(tuple, dataset.read_ledger(rows).select("file_name", "downloaded", "generated", "uploaded", "local_source_path", "last_error").collect()))
+    assert got == [("a", True, True, True, "", ""), ("b", False, False, False, "", "")]
+
+
+def test_polygons_expand_alike_in_columns_and_in_plain_points(spark):
+    from eventloom.functions.geometry import expand_polygon, expanded_points
+
+    points = [(10.0, 10.0), (90.0, 20.0), (50.0, 50.0), (50.0, 95.0), (50.0, 75.0)]
+    points[2] = (sum(p[0] for p in points if p != points[2]) / 4, sum(p[1] for p in points if p != points[2]) / 4)  # a vertex at the mean
+    df = spark.createDataFrame([([{"x": x, "y": y} for x, y in points],)], "p array<struct<x:double,y:double>>")
+    got = df.select(expand_polygon(F.col("p"), 15.0, 100, 100).alias("q")).first()["q"]
+    want = expanded_points(points, 15.0, 100, 100)
+    assert all(abs(a["x"] - b[0]) < 1e-9 and abs(a["y"] - b[1]) < 1e-9 for a, b in zip(got, want, strict=True)) and want[2] == points[2] and max(y for _, y in want) == 99.0
