@@ -98,14 +98,21 @@ def match_one_to_one(pairs: DataFrame, on: list[str]) -> DataFrame:
         return sure
 
     def solved(df: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in df.groupby("label", sort=False):
-            e, p = part["event_id"].unique(), part["pred_id"].unique()
-            m = np.zeros((len(e), len(p)))
-            m[pd.Index(e).get_indexer(part["event_id"]), pd.Index(p).get_indexer(part["pred_id"])] = np.maximum(part["quality"], 1e-12)
-            got = pd.DataFrame(solve(m), columns=["i", "j"])
-            out.append(pd.DataFrame({"event_id": e[got["i"]], "pred_id": p[got["j"]]}).merge(part, on=["event_id", "pred_id"])[cols])
-        return pd.concat(out)
+        df = df.sort_values(["label", "quality"], ascending=[True, False], kind="stable").reset_index(drop=True)
+        q = np.maximum(df["quality"].to_numpy(), 1e-12)
+        (part, parts), (e, _), (p, _) = (pd.factorize(df[c]) for c in ("label", "event_id", "pred_id"))
+        several = np.ones(len(parts), bool)
+        for side in (e, p):  # components with one event or one prediction give their best pair
+            several &= np.bincount(part[~pd.DataFrame({"l": part, "s": side}).duplicated().to_numpy()], minlength=len(parts)) > 1
+        first = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        chosen = first[:-1][~several].tolist()
+        for k in np.flatnonzero(several):
+            at = np.arange(first[k], first[k + 1])
+            (rows, i), (columns, j) = (np.unique(side[at], return_inverse=True) for side in (e, p))
+            m, place = np.zeros((len(rows), len(columns))), np.zeros((len(rows), len(columns)), np.int64)
+            m[i, j], place[i, j] = q[at], at
+            chosen.extend(int(place[x]) for x in solve(m))
+        return df.iloc[chosen][cols]
 
     group = F.pmod(F.xxhash64("label"), F.lit(max(1, placed.count() // SOLVED_TOGETHER)))
     return sure.unionByName(placed.groupBy(group.alias("group")).applyInPandas(solved, sure.schema))

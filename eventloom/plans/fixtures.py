@@ -57,6 +57,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"\{(\w+)\}", sql)})
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores: the driver's tables are single row groups, which one task reads, and parsing JSON costs far more than moving it."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def regions(spark: SparkSession) -> DataFrame:
     """(region_id, polygon): a configuration table of three polygons."""
     rows = [(r, [{"x": x, "y": y} for x, y in p]) for r, p in REGIONS.items()]
