@@ -8,7 +8,7 @@ position are met in order of their start. Work is linear in the text. A characte
 unknown, at the smallest score of the vocabulary less 10; neighbouring unknowns fuse into one, which is then
 written as its bytes where the vocabulary has all of them.
 
-Null and empty texts count 0. Counts of a cut are kept in a bounded table of the worker. Rows are
+Null and empty texts count 0. Counts of short cuts are kept in a table of the worker that is bounded in entries and in characters. Rows are
 counted one by one; columns besides id and text stay out of the result.
 """
 
@@ -41,6 +41,10 @@ def read_pieces(path: str) -> tuple[list[tuple[str, float]], int]:
     return [(sp.id_to_piece(i), float(np.float64(sp.get_score(i)))) for i in range(sp.get_piece_size())], sp.unk_id()
 
 
+#: Characters of the longest cut whose count is kept; in scripts without spaces a cut may be a whole text.
+LONGEST_KEPT = 48
+
+
 class UnigramCounter:
     def __init__(self, pieces: list[tuple[str, float]], unk: int, cached: int = 1 << 19):
         import ahocorasick
@@ -104,9 +108,11 @@ class UnigramCounter:
         for cut in (head, *rest):
             c = kept.get(cut)
             if c is None:
-                if len(kept) >= self.cached:
-                    kept.clear()
-                c = kept[cut] = self.count(MARK + cut)
+                c = self.count(MARK + cut)
+                if len(cut) <= LONGEST_KEPT:
+                    if len(kept) >= self.cached:
+                        kept.clear()
+                    kept[cut] = c
             n += c
         return n
 

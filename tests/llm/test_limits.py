@@ -136,3 +136,11 @@ def test_pipeline_edges(spark):
     seen, out = run_stages(spark, docs.limit(0))
     assert out == [] and all(d.columns == docs.columns for d in seen)
     common.remove_written(spark)
+
+
+def test_counts_of_long_cuts_are_not_kept():
+    c = unigram.UnigramCounter(*unigram.read_pieces(unigram.default_vocabulary()), cached=100)
+    long = "字" * 3000
+    want = c.count(unigram.MARK + long)
+    assert c.total(long) == want == c.total(long) and not c.kept
+    assert c.total(" ".join(f"w{i}" for i in range(1000))) > 1000 and len(c.kept) <= 100 and max(map(len, c.kept)) <= unigram.LONGEST_KEPT
