@@ -19,6 +19,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 KEY = ["clip_id", "actor_id", "hand_side", "region_id"]
 OUT = "clip_id string, actor_id string, hand_side string, region_id string, cycle long, type string, t_start double, transfer_s double, t_end double, confidence double"
+#: What the machine reads of an observation besides its key.
+_FIELDS = ["timestamp_s", "inside_region", "distance_px", "trajectory_confidence", "hand_empty", "hand_carrying", "hand_uncertain", "shelf_removed", "shelf_placed", "shelf_uncertain"]
 EPS = 1e-9
 #: The two transfers: hand before, hand after, shelf change.
 TRANSFERS = {"pickup": ("empty", "carrying", "removed"), "putdown": ("carrying", "empty", "placed")}
@@ -174,23 +176,28 @@ def feed(s: State, r, c: Config) -> dict | None:
 
 
 def interaction_events(obs: DataFrame, config: Config | None = None) -> DataFrame:
-    """Events of every stream key in a bounded table; a key's rows meet in one task, in time order."""
+    """Events of every stream key in a bounded table. Rows are dealt by key and sorted by time inside partitions; a task walks them once and holds one
+    record and one batch of rows, however many rows a key has."""
     c = config or Config()
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        s = State()
-        found = [e for r in df.sort_values("timestamp_s", kind="stable").itertuples(index=False) if (e := feed(s, r, c))]
-        out = pd.DataFrame(found, columns=["cycle", "type", "t_start", "transfer_s", "t_end", "confidence"])
-        for i, k in enumerate(KEY):
-            out.insert(i, k, df[k].iloc[0])
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, State()
+        for df in batches:
+            found = []
+            for r in df.itertuples(index=False):
+                if r[:4] != key:
+                    key, state = r[:4], State()
+                if e := feed(state, r, c):
+                    found.append((*key, *e.values()))
+            if found:
+                yield pd.DataFrame(found, columns=[*KEY, "cycle", "type", "t_start", "transfer_s", "t_end", "confidence"])
 
-    return obs.groupBy(*KEY).applyInPandas(run, OUT)
+    rows = obs.select(*KEY, *_FIELDS)
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "timestamp_s").mapInPandas(run, OUT)
 
 
 #: Events, and rows of type late with how many observations came too late for their stream.
 STREAM_OUT = OUT + ", n_late long"
-_FIELDS = ["timestamp_s", "inside_region", "distance_px", "trajectory_confidence", "hand_empty", "hand_carrying", "hand_uncertain", "shelf_removed", "shelf_placed", "shelf_uncertain"]
 _WAITING = "at_ms long, timestamp_s double, inside_region boolean, " + ", ".join(f"{c} double" for c in _FIELDS[2:])
 
 

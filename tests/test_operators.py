@@ -48,6 +48,17 @@ def test_merge_touching_and_gap(spark):
     assert intervals.merge_intervals(df, ["k"], "s", "e", 1.5).count() == 2
 
 
+def observations(n, **change):
+    for k in range(n):
+        inside, empty, carry = 4 <= k <= 15, (0.9, 0.05)[k >= 9], (0.05, 0.9)[k >= 9]
+        yield pd.Series({"timestamp_s": k * 0.1, "inside_region": inside, "distance_px": 0.0 if inside else 30.0 if k in (2, 3) else 100.0, "trajectory_confidence": 0.8, "hand_empty": empty, "hand_carrying": carry, "hand_uncertain": 0.05, "shelf_removed": 0.8 if k >= 9 else 0.1, "shelf_placed": 0.1, "shelf_uncertain": 0.05} | change)
+
+
+def run(rows):
+    s = State()
+    return [e for r in rows if (e := feed(s, r, Config()))]
+
+
 def test_state_machine_cycle():
     (e,) = run(observations(20))
     assert (e["type"], e["cycle"]) == ("pickup", 0)
