@@ -9,11 +9,12 @@ are joined to them and their scores are summed per document:
 Counts leave out the scored document's own occurrences (otherwise no n-gram would ever back off); copies
 elsewhere count. A document's first words have shorter contexts. c(context) counts the context as an n-gram.
 
-To keep rows few, a block of documents sends each distinct n-gram once per block with its count there (map-side combine), packed by hash
-shard; a shard adds the counts of all blocks and answers in the same order. Longer n-grams follow once pairs are
-counted: one that holds a word pair no other document has cannot occur elsewhere, its count is 0 and is not asked for. Frequent
-n-grams cost one entry per block. N-grams are compared by hashes of 28 bits more than the number of words has, 64 at most: up to 2^36 words
-one shares its hash with another with a chance of under 1e-8, at 2^44 words (about 100 TB) of 1e-6. Null and empty texts have no words, log score 0 and a null mean. Rows are scored one by
+A row of the exploded table is a distinct n-gram of a block of documents with its count there: a frequent n-gram has one row a block,
+however hot it is. The count table is their sum by key; the exploded rows are joined to it in the same partitioning, and what
+lives in several blocks comes back to them with its total (an n-gram without a row lives in its block alone, which knows its count).
+Words and pairs come first: a longer n-gram that holds a word pair no other document has cannot occur elsewhere, its count is 0 and it has no row.
+N-grams are compared by hashes of 30 bits more than the number of words has, 64 at most: up to 2^34 words
+one shares its hash with another with a chance of under 1e-8, at 2^44 words (about 100 TB) of 1e-5. Null and empty texts have no words, log score 0 and a null mean. Rows are scored one by
 one; repeated rows are documents of their own (each counts for the others), columns besides id and text stay out.
 """
 
@@ -21,14 +22,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import integer_id, pieces, words_of
-from eventloom.llm.packing import narrow, pack, planes, shard_cuts, unpack, unplanes
 from eventloom.llm.words import U, Words, grams
 
+#: Rows of the exploded tables.
+EXPLODED = "block long not null, key long not null, count long not null"
+#: Partitions of an exchange at most; beyond, partitions grow and spill.
+PARTITIONS = 100_000
 
 class Grams:
     """N-grams of a block for some orders: where each starts, its number among the block's distinct ones, and their keys."""
@@ -44,45 +47,42 @@ class Grams:
             key, number = np.unique(grams(hashes, n)[at] >> U(64 - bits), return_inverse=True)
             self.at[n], self.key[n], self.number[n] = at, key, number.astype(np.int32)
 
-    def messages(self, block: int, shards: int) -> pa.Table:
-        """Distinct keys with their counts here, one row per order and shard (a range of hashes)."""
-        out: dict[str, list] = {"shard": [], "order": [], "block": [], "body": []}
-        for n, key in self.key.items():
-            cut, count = shard_cuts(key, shards, self.bits), np.bincount(self.number[n], minlength=len(key))
-            for s in np.flatnonzero(np.diff(cut)).tolist():
-                part = slice(cut[s], cut[s + 1])
-                for name, x in zip(out, (s, n, block, pack(planes(key[part]), narrow(count[part]))), strict=True):
-                    out[name].append(x)
-        return pa.table({"shard": pa.array(out["shard"], pa.int64()), "order": pa.array(out["order"], pa.int32()), "block": pa.array(out["block"], pa.int64()), "body": pa.array(out["body"], pa.binary())})
+    def rows(self, block: int) -> pa.Table:
+        """The distinct n-grams of all orders with their counts here."""
+        key = np.concatenate([*self.key.values(), np.zeros(0, U)])
+        count = np.concatenate([self.count(n) for n in self.key] or [np.zeros(0, np.int64)])
+        return pa.table({"block": pa.array(np.full(len(key), block, np.int64)), "key": pa.array(key.view(np.int64)), "count": pa.array(count)})
 
+    def count(self, n: int) -> np.ndarray:
+        return np.bincount(self.number[n], minlength=len(self.key[n])).astype(np.int64)
 
-def send_low(table: pa.Table, shards: int, bits: int) -> pa.Table:
-    """Words and word pairs of a block."""
-    w = Words(table.column("text"))
-    return Grams(w, w.hashes(), (1, 2), bits).messages(table.column("block")[0].as_py(), shards)
 
+class Totals:
+    """Counts in the whole corpus of those n-grams of a block that other blocks have too."""
+
+    def __init__(self, table: pa.Table):
+        key = table.column("key").to_numpy().view(U)
+        order = np.argsort(key)
+        self.key, self.total = key[order], table.column("total").to_numpy()[order]
 
-def count(table: pa.Table) -> pa.Table:
-    """One order of a shard: adds each n-gram's counts and answers every block with the sums, in the order it asked."""
-    parts = [unpack(x.as_py()) for x in table.column("body")]
-    keys = [unplanes(x[0]) for x in parts]
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([x[1] for x in parts]).astype(np.float64)).astype(np.int64)[inverse]
-    body = [pack(narrow(x)) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]
-    return pa.table({"shard": table.column("shard"), "order": table.column("order"), "block": table.column("block"), "body": pa.array(body, pa.binary())})
+    def elsewhere(self, g: Grams, words: Words, n: int) -> np.ndarray:
+        """For each word place, how often the n-gram that starts there occurs in other documents (0 where none starts)."""
+        key, total = g.key[n], g.count(n)
+        full = np.zeros(len(words.start), np.int64)
+        if len(key):
+            if len(self.key):
+                at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                total = np.where(self.key[at] == key, self.total[at], total)
+            pair = words.row_of_word()[g.at[n]] * len(key) + g.number[n]
+            _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
+            full[g.at[n]] = total[g.number[n]] - own[inverse]
+        return full
 
 
-def elsewhere(g: Grams, words: Words, answers: pa.Table, n: int) -> np.ndarray:
-    """For each word place, how often the n-gram that starts there occurs in other documents (0 where none starts)."""
-    mine = answers.filter(pc.equal(answers.column("order"), n))
-    got = [unpack(x.as_py())[0] for _, x in sorted(zip(mine.column("shard").to_pylist(), mine.column("body"), strict=True), key=lambda p: p[0])]
-    full = np.zeros(len(words.start), np.int64)
-    if got:
-        total = np.concatenate(got).astype(np.int64)
-        pair = words.row_of_word()[g.at[n]] * len(g.key[n]) + g.number[n]
-        _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
-        full[g.at[n]] = total[g.number[n]] - own[inverse]
-    return full
+def explode_low(table: pa.Table, bits: int) -> pa.Table:
+    """Words and word pairs of a block."""
+    w = Words(table.column("text"))
+    return Grams(w, w.hashes(), (1, 2), bits).rows(table.column("block")[0].as_py())
 
 
 def possible(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -95,30 +95,28 @@ def possible(pairs: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def send_high(table: pa.Table, answers: pa.Table, order: int, shards: int, bits: int) -> pa.Table:
+def explode_high(table: pa.Table, totals: pa.Table, order: int, bits: int) -> pa.Table:
     """Longer n-grams of a block, without those that hold a word pair no other document has: they cannot occur elsewhere."""
-    parts = []
-    if table.num_rows:
-        w = Words(table.column("text"))
-        h = w.hashes()
-        pairs = elsewhere(Grams(w, h, (2,), bits), w, answers, 2)
-        parts = [Grams(w, h, (n,), bits, possible(pairs, n)).messages(table.column("block")[0].as_py(), shards) for n in range(3, order + 1)]
-    return pa.concat_tables(parts) if parts else pa.table({"shard": pa.array([], pa.int64()), "order": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
+    w = Words(table.column("text"))
+    h = w.hashes()
+    pairs = Totals(totals).elsewhere(Grams(w, h, (2,), bits), w, 2)
+    parts = [Grams(w, h, (n,), bits, possible(pairs, n)).rows(table.column("block")[0].as_py()) for n in range(3, order + 1)]
+    return pa.concat_tables(parts) if parts else Grams(w, h, (), bits).rows(0)
 
 
-def score(table: pa.Table, answers: pa.Table, order: int, alpha: float, bits: int) -> pa.Table:
+def score(table: pa.Table, totals: pa.Table, order: int, alpha: float, bits: int) -> pa.Table:
     w = Words(table.column("text"))
     h, n_words, row = w.hashes(), w.count, w.row_of_word()
     everything = int(table.column("n")[0].as_py() or 0)
     rest = (everything - n_words)[row]
-    g = Grams(w, h, (1,), bits)
-    context = elsewhere(g, w, answers, 1)
+    known_totals = Totals(totals)
+    context = known_totals.elsewhere(Grams(w, h, (1,), bits), w, 1)
     value = np.where(context > 0, context / np.maximum(rest, 1), 1.0 / (rest + 1.0))
     place = np.arange(len(row)) - w.first[:-1][row]
     # from single words up: the longest context whose n-gram is known decides
     pairs = None
     for n in range(2, order + 1):
-        whole = elsewhere(Grams(w, h, (n,), bits, None if n == 2 else possible(pairs, n)), w, answers, n)
+        whole = known_totals.elsewhere(Grams(w, h, (n,), bits, None if n == 2 else possible(pairs, n)), w, n)
         pairs = whole if n == 2 else pairs
         can = np.flatnonzero(place >= n - 1)
         start = can - (n - 1)
@@ -130,20 +128,36 @@ def score(table: pa.Table, answers: pa.Table, order: int, alpha: float, bits: in
     return pa.table({"id": pa.array(table.column("id").to_numpy(), mask=~known), "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(logs), "mean_log_score": mean})
 
 
+def with_totals(exploded: DataFrame, shards: int) -> DataFrame:
+    """(block, key, total) of the n-grams that several blocks have: exploded rows (block, key, count) joined to their count table.
+
+    Both sides read one exchange by key; it is reused because both need all three columns of it.
+    """
+    spread = exploded.repartition(shards, "key")
+    counts = spread.groupBy("key").agg(F.sum("count").alias("total"), F.min("block").alias("first"), F.max("block").alias("last"))
+    shared = counts.filter("first < last").select("key", "total")
+    return spread.join(shared, "key").filter("count < total").select("block", "key", "total")
+
+
 def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score), natural logarithms; counts come from all of docs."""
+    """(doc_id, n_words, log_score, mean_log_score), natural logarithms; counts come from all of docs.
+
+    block_bytes of text are exploded together, the count tables have a partition for each shard_bytes of text (PARTITIONS at most).
+    """
     kind = integer_id(docs, doc_id)
     sums = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.sum(F.size(words_of(F.col(text))).cast("long")).alias("n")).first()
     total, n = sums["b"] or 0, sums["n"] or 0
-    bits = min(64, n.bit_length() + 28)
-    blocks, shards = pieces(total, block_bytes), pieces(total, shard_bytes)
+    bits = min(64, n.bit_length() + 30)
+    blocks, shards = pieces(total, block_bytes), min(PARTITIONS, pieces(total, shard_bytes))
+    spread = min(PARTITIONS, blocks)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"), F.lit(n).cast("long").alias("n"))
-    rows = rows.withColumn("block", F.pmod(F.when(F.col("known"), F.xxhash64("id")).otherwise(F.xxhash64("text")), F.lit(blocks)))
-    message = "shard long, order int, block long, body binary"
-    low = rows.groupBy("block").applyInArrow(lambda t: send_low(t, shards, bits), message).groupBy("shard", "order").applyInArrow(count, message)
-    high = rows.groupBy("block").cogroup(low.groupBy("block")).applyInArrow(lambda t, a: send_high(t, a, order, shards, bits), message)
-    answers = low.unionByName(high.groupBy("shard", "order").applyInArrow(count, message))
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: score(t, a, order, alpha, bits), "id long, n_words long, log_score double, mean_log_score double")
+    rows = rows.withColumn("block", F.pmod(F.when(F.col("known"), F.xxhash64("id")).otherwise(F.xxhash64("text")), F.lit(blocks))).repartition(spread, "block")
+    low = with_totals(rows.groupBy("block").applyInArrow(lambda t: explode_low(t, bits), EXPLODED), shards).repartition(spread, "block")
+    totals = low
+    if order > 2:
+        high = rows.groupBy("block").cogroup(low.groupBy("block")).applyInArrow(lambda t, a: explode_high(t, a, order, bits), EXPLODED)
+        totals = low.unionByName(with_totals(high, shards).repartition(spread, "block"))
+    out = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(lambda t, a: score(t, a, order, alpha, bits), "id long, n_words long, log_score double, mean_log_score double")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)
 
 

@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -79,6 +80,35 @@ def test_lm_blocks_do_not_change_scores(docs, nothing):
     assert lm.stupid_backoff(nothing).collect() == []
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_equals_a_loop(spark, docs, order):
+    """Nulls, empty texts, repeated rows and a long text of one word, against counts in dictionaries."""
+    rows = made()
+    counts = [collections.Counter(tuple(w[a : a + n]) for n in range(1, order + 1) for a in range(len(w) - n + 1)) for w in (words(t) for _, t, *_ in rows)]
+    everywhere = sum(counts, collections.Counter())
+    n_words = sum(len(words(t)) for _, t, *_ in rows)
+    want = []
+    for (i, t, *_), own in zip(rows, counts, strict=True):
+        w, rest, log = words(t), n_words - len(words(t)), 0.0
+        for at in range(len(w)):
+            factor = 1.0
+            for n in range(min(order, at + 1), 0, -1):
+                gram = tuple(w[at - n + 1 : at + 1])
+                c = everywhere[gram] - own[gram]
+                if c:
+                    value = factor * c / (rest if n == 1 else everywhere[gram[:-1]] - own[gram[:-1]])
+                    break
+                factor *= 0.4 if n > 1 else 1.0
+            else:
+                value = factor / (rest + 1)
+            log += math.log(value)
+        want.append((-1 if i is None else i, len(w), log, log / len(w) if w else None))
+    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in lm.stupid_backoff(docs, order=order, block_bytes=4000, shard_bytes=3000).collect()]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=lambda r: r[:3]), sorted(want, key=lambda r: r[:3]), strict=True):
+        assert a[:2] == b[:2] and (a[3] is None) == (b[3] is None) and (a[2], a[3] or 0) == pytest.approx((b[2], b[3] or 0), rel=1e-9)
+
+
 def components(rows, percent, k=5):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
