@@ -40,29 +40,43 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """text: symbols 1.. with a 0 after each sequence. Suffixes are sorted by their first `depth` symbols,
-    which is enough for patterns of up to that length (ranges, not single suffixes, are counted)."""
+    """text: symbols 1.. with a 0 after each sequence; owner: a number for each symbol of text.
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.text, n = text, len(text)
+    Suffixes are sorted by their first `depth` symbols, which is enough for patterns of up to that length (ranges, not
+    single suffixes, are counted). The suffix order is not kept: of each range of two or more suffixes with
+    equal first `depth` symbols, the index keeps where it begins and the smallest owner of its suffixes.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, owner: np.ndarray):
+        n = len(text)
+        self.text = text.astype(np.uint32)
         sigma = int(text.max()) + 1 if n else 1
-        rank, span = text.astype(np.uint64), 1
-        order = np.argsort(rank, kind="stable") if depth <= 1 else None
+        rank, span = self.text.astype(U), 1
+        order = np.argsort(rank)
+        new = np.ones(n, bool)
+        new[1:] = np.diff(rank[order]) != 0
         while span < depth:
+            # the first `span` symbols here and those `step` further on are the first span + step
+            step = min(span, depth - span)
             key = rank << U(32)
-            key[: n - span] |= rank[span:] + U(1)
+            key[: n - step] |= rank[step:] + U(1)
             order = np.argsort(key)
             s = key[order]
-            new = np.zeros(n, np.int64)
             new[1:] = s[1:] != s[:-1]
-            rank = np.empty(n, U)
             rank[order] = np.cumsum(new).astype(U)
-            span *= 2
-        self.order = order
-        self.wavelet = WaveletMatrix(text[order - 1], sigma)
+            span += step
+        first = np.flatnonzero(new)
+        repeated = np.diff(np.append(first, n)) > 1
+        self.first = first[repeated].astype(np.uint32)
+        self.least = np.minimum.reduceat(owner[order], first)[repeated] if n else owner
+        self.wavelet = WaveletMatrix(self.text[order - 1], sigma)
         self.below = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.below[1:])
 
+    def least_owner(self, low: np.ndarray) -> np.ndarray:
+        """The smallest owner in ranges of patterns of `depth` symbols that occur twice or more, by where they begin."""
+        return self.least[np.searchsorted(self.first, low.astype(np.uint32))]
+
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges of symbol + pattern, from those of the pattern."""
         both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
@@ -84,7 +98,7 @@ def shared_windows(index: FmIndex, start: np.ndarray, end: np.ndarray, k: int) -
     depth = np.zeros(len(who), np.int64)
     low, high = np.zeros(len(who), np.int64), np.full(len(who), len(index.text), np.int64)
     while len(who):
-        low, high = index.extend(index.text[at - depth], low, high)
+        low, high = index.extend(index.text[at - depth].astype(np.int64), low, high)
         depth += 1
         stop = high - low <= 1
         full = ~stop & (depth == k)

@@ -10,8 +10,8 @@ is linear in the input: no document is matched against every shard. Blocks first
 other blocks; runs that share theirs with no other run are not sent. Equal runs of a block travel once, with the smallest
 and largest id that hold them, so a passage shared by a third of all documents is sent at most once per block.
 
-A shard drops runs whose minimizer nothing else shares, indexes the distinct rest (BWT of word numbers, wavelet
-matrix, smallest document per suffix range) and streams the runs through backward search. Windows that match are
+A shard drops runs whose minimizer nothing else shares, indexes the distinct rest (wavelet matrix over the BWT of word numbers,
+smallest document of each range of equal windows; the suffix order is not kept) and streams the runs through backward search. Windows that match are
 reported with the smallest id that holds them. Blocks get back what concerns their runs and mark words.
 
 Words are compared by 64-bit hashes. Null and empty texts have no words. Documents with fewer than k words keep all.
@@ -150,19 +150,14 @@ def search(table: pa.Table, k: int, seed: int) -> pa.Table:
     at = np.cumsum(length + 1) - length - 1
     text[spread(at, length)] = np.unique(h[spread(start[of], length)], return_inverse=True)[1] + 1
     del h
-    index = FmIndex(text, k)
-    holder = np.repeat(least_id, length + 1)[index.order]
-    who, end, lo, hi = shared_windows(index, at, at + length, k)
-    # the smallest id of each matched range; ranges of k words are disjoint
-    ranges, which = np.unique(lo, return_inverse=True)
-    until = np.zeros(len(ranges), np.int64)
-    until[which] = hi
-    smallest = np.minimum.reduceat(np.append(holder, LAST), np.stack([ranges, until], 1).ravel())[::2] if len(ranges) else holder[:0]
+    index = FmIndex(text, k, np.repeat(least_id, length + 1))
+    del text
+    who, end, low_rank, _ = shared_windows(index, at, at + length, k)
     windows = length - k + 1
     first = np.cumsum(windows) - windows
     best = np.repeat(least_id, windows)
     place = first[who] + end - at[who] - (k - 1)
-    best[place] = np.minimum(best[place], smallest[which])
+    best[place] = np.minimum(best[place], index.least_owner(low_rank))
     # only runs with a window that concerns one of their documents go back
     useful = np.minimum.reduceat(best, first)[number] < high[live]
     back, run = live[useful], number[useful]

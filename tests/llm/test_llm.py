@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from eventloom.llm import bpe, chroma, entry, knn_quality, line_rules, lm, minmax, mixing, pii, substring, unigram
+from eventloom.llm import bpe, chroma, entry, fm_index, knn_quality, line_rules, lm, minmax, mixing, pii, substring, unigram
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +72,28 @@ def test_substring_equals_brute_force(docs, nothing):
     assert substring.substring_dedup(nothing).collect() == []
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 8, 13])
+def test_fm_index_ranges_and_owners(depth):
+    """Ranges of all patterns of `depth` symbols, and their smallest owners, against a plain search."""
+    rng = random.Random(depth)
+    runs = [[rng.randint(1, 2 + depth // 3) for _ in range(rng.randint(depth, 40))] for _ in range(12)]
+    runs += [runs[0][:depth] * 3, runs[1], [7] * depth]
+    text = np.array([x for r in runs for x in (*r, 0)], np.int64)
+    owner = np.repeat([rng.randint(0, 99) for _ in runs], [len(r) + 1 for r in runs])
+    holders = collections.defaultdict(list)
+    for a in range(len(text) - depth + 1):
+        if text[a : a + depth].all():
+            holders[tuple(text[a : a + depth].tolist())].append(int(owner[a]))
+    index = fm_index.FmIndex(text, depth, owner)
+    for pattern, have in holders.items():
+        low, high = np.array([0]), np.array([len(text)])
+        for symbol in reversed(pattern):
+            low, high = index.extend(np.array([symbol]), low, high)
+        assert high[0] - low[0] == len(have)
+        if len(have) > 1:
+            assert index.least_owner(low)[0] == min(have)
+
+
 def test_lm_blocks_do_not_change_scores(docs, nothing):
     one = sorted(map(repr, lm.stupid_backoff(docs).collect()))
     assert [r["n_words"] for r in lm.stupid_backoff(docs).filter("doc_id is null").orderBy("n_words").collect()] == [0, 3]
