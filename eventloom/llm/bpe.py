@@ -28,6 +28,8 @@ NONE = np.int32(1 << 30)  # the rank of what is no token
 _EMPTY = np.int64(-1)
 #: Bytes of the longest row of a matrix.
 LONG = 1 << 12
+#: Pieces of more characters do not stay in the table of a worker.
+KEPT = 64
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -195,7 +197,12 @@ class ByteBpe:
             new.update(x)
         self.learn([p for p in new if p not in self.kept])
         get = self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in found]
+        out = [np.frombuffer(b"".join(map(get, x)), "<u4") for x in found]
+        # in scripts without spaces a piece may be a whole text: these are encoded again rather than kept
+        for p in new:
+            if len(p) > KEPT:
+                del self.kept[p]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))

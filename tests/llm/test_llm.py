@@ -225,6 +225,27 @@ def test_bpe_equals_tiktoken_and_decodes(docs, nothing):
     assert bpe.encode(nothing).collect() == [] and bpe.digests(docs).count() == docs.count()
 
 
+def test_byte_bpe_query_equals_tiktoken(spark):
+    """The registered query over all documents: counts and both hashes; long pieces are not kept."""
+    import tiktoken
+
+    path, pattern = bpe.default_vocabulary()
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ref = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = ref.encode_ordinary(r["text"] or "")
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+    got = bpe.op7_byte_bpe(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    coder = bpe.ByteBpe(path, pattern)
+    texts = ["日本語" * 3000, "z" * 65 + " short", "z" * 9000, "日本語" * 3000]
+    for _ in range(2):
+        assert [x.tolist() for x in coder.encode(texts)] == [ref.encode_ordinary(t) for t in texts]
+        assert all(len(p) <= bpe.KEPT for p in coder.kept)
+
+
 def test_token_counts_equal_unigram_library(docs):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
