@@ -53,7 +53,9 @@ def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, pa
     curve = curve.withColumn("precision", found / rank)
     later = Window.partitionBy("type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = curve.groupBy("type", "bucket").agg(F.max("precision").alias("top")).select("type", "bucket", F.max("top").over(later).alias("beyond"))
-    envelope = F.greatest(F.max("precision").over(inner.rowsBetween(0, Window.unboundedFollowing)), F.coalesce("beyond", F.lit(0.0)))
+    # the order is total, so that the rows from here to the bucket's end are those up to here in the reverse order, where a running maximum reads each row once
+    back = Window.partitionBy("type", "bucket").orderBy("score", F.desc("t_start"), F.desc("t_end"), F.desc("clip_id"), F.desc("pred_id"))
+    envelope = F.greatest(F.max("precision").over(back.rowsBetween(Window.unboundedPreceding, 0)), F.coalesce("beyond", F.lit(0.0)))
     area = curve.join(F.broadcast(tops), ["type", "bucket"]).withColumn("envelope", envelope).groupBy("type").agg(F.sum(F.when(F.col("hit") == 1, F.col("envelope")).otherwise(0.0)).alias("area"), F.count("*").alias("n_pred"))
     out = gt.groupBy("type").agg(F.count("*").alias("n_gt")).join(area, "type", "full_outer").fillna(0, ["n_gt", "n_pred", "area"])
     return out.select("type", "n_gt", "n_pred", F.when(F.col("n_gt") > 0, F.col("area") / F.col("n_gt")).alias("ap"))
