@@ -44,18 +44,18 @@ def model_events(responses: DataFrame, key: str = "response_id", text: str = "co
     j, reason = F.col("__j"), F.col("__j.reasoning")
     whole = {("content", "is not JSON"): F.col("__v").isNull(), ("content", "is not an object"): F.col("__v").isNotNull() & j.isNull()}
     whole |= {("events", "is not an array"): j.isNotNull() & F.col("__a").isNull(), ("reasoning", "is not a text"): reason.isNotNull() & (_kind(reason) != "STRING")}
-    one = v.select(key, frames, F.posexplode_outer("__a").alias("item", "__e")).filter("item is not null")
+    one = v.select(key, frames, *[c.alias(f"__w{i}") for i, c in enumerate(whole.values())], F.posexplode_outer("__a").alias("item", "__e"))
     one = one.withColumn("e", fields(F.col("__e"), "label", "start_frame", "end_frame", "item_count", "confidence", "hard_case", "notes"))
     given, hard = F.col("e.item_count").isNotNull(), F.col("e.hard_case")
     level = _word(F.col("e.confidence"), "med")
     rows = one.select(
-        key, "item", frames, F.col("e").isNotNull().alias("__object"), _word(F.col("e.label"), "").alias("label"), _whole(F.col("e.start_frame")).alias("start_frame"), _whole(F.col("e.end_frame")).alias("end_frame"),
+        key, "item", frames, *[f"__w{i}" for i in range(len(whole))], F.col("e").isNotNull().alias("__object"), _word(F.col("e.label"), "").alias("label"), _whole(F.col("e.start_frame")).alias("start_frame"), _whole(F.col("e.end_frame")).alias("end_frame"),
         F.when(given, _whole(F.col("e.item_count"))).otherwise(1).alias("item_count"), F.when(level == "medium", "med").otherwise(level).alias("confidence"),
         F.when(hard.isNull(), False).otherwise(F.when(_kind(hard) == "BOOLEAN", F.try_variant_get(hard, "$", "boolean"))).alias("hard_case"), F.trim(F.coalesce(F.try_variant_get(F.col("e.notes"), "$", "string"), F.lit(""))).alias("notes"),
     )
-    # walked once: what is wrong with a response and its items are plain columns from here on
-    checked = stored(v.select(key, *[c.alias(f"__w{i}") for i, c in enumerate(whole.values())]), "responses")
-    rows = stored(rows.withColumn("__count", F.col("item_count").isNull()), "items")
+    # parsed and walked once: what is wrong with a response and its items are plain columns from here on; a response without items has one row, without item
+    read = stored(rows.withColumn("__count", F.col("item_count").isNull()), "items")
+    checked, rows = read.filter("coalesce(item, 0) = 0"), read.filter("item is not null")
     o, s, t, n = F.col("__object"), F.col("start_frame"), F.col("end_frame"), F.col(frames)
     rules = {("events", "is not an object"): ~o, ("label", "is not an event type"): o & ~F.col("label").isin("pickup", "putdown"), ("start_frame", "is not a whole number"): o & s.isNull(), ("end_frame", "is not a whole number"): o & t.isNull(), ("item_count", "is not a whole number"): o & F.col("__count"),
              ("start_frame", "is negative"): s < 0, ("end_frame", "is before start_frame"): t < s, ("end_frame", "is outside the frames"): (n > 0) & ((s >= n) | (t >= n)), ("item_count", "is under 1"): F.col("item_count") < 1,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.operators import annotations, evidence, models, pipelines, responses
-from eventloom.plans.fixtures import REGIONS, edges_sql, spread, view
+from eventloom.plans.fixtures import REGIONS, edges_sql, view
 from eventloom.plans.registry import query
 from eventloom.streaming.state_machine import KEY
 
@@ -56,12 +56,12 @@ _WRONG = [("label", "is not an event type", "l_orderkey % 4 = 3"), ("end_frame",
 
 @query(_READ + " SELECT response_id, 0 AS item, CASE WHEN l_orderkey % 4 = 1 THEN 'putdown' ELSE 'pickup' END AS label, CAST(l_linenumber AS BIGINT) start_frame, CAST(last AS BIGINT) end_frame, CAST(1 AS BIGINT) AS item_count, 'med' confidence, true hard_case, '' notes FROM r WHERE NOT cut AND NOT listed AND NOT (" + " OR ".join(f"({c})" for *_, c in _WRONG) + ")")
 def model_events(spark, sf):
-    return responses.model_events(spread(view(spark, sf, "fx_responses")))[0]
+    return responses.model_events(view(spark, sf, "fx_responses", "l_orderkey"))[0]
 
 
 @query(_READ + " SELECT field, message, count(*) n FROM (SELECT 'content' field, 'is not JSON' message FROM r WHERE cut UNION ALL SELECT 'content', 'is not an object' FROM r WHERE listed" + "".join(f" UNION ALL SELECT '{f}', '{m}' FROM r WHERE NOT cut AND NOT listed AND ({c})" for f, m, c in _WRONG) + ") GROUP BY 1, 2")
 def model_response_errors(spark, sf):
-    return responses.model_events(spread(view(spark, sf, "fx_responses")))[1].groupBy("field", "message").agg(F.count("*").alias("n"))
+    return responses.model_events(view(spark, sf, "fx_responses", "l_orderkey"))[1].groupBy("field", "message").agg(F.count("*").alias("n"))
 
 
 _REGION = ", r AS (SELECT *, o_orderkey % 100 + 20 AS last, CASE o_orderkey % 4 WHEN 0 THEN 'pickup' WHEN 1 THEN 'putdown' WHEN 2 THEN 'ignore' ELSE 'grab' END AS label, o_orderkey % 4 < 2 AND o_orderkey % 3 = 0 AS no_count, o_orderkey % 7 = 0 AS unseen FROM fx_export)"
@@ -71,18 +71,18 @@ _GOOD = "label <> 'grab' AND NOT no_count AND NOT unseen AND NOT cut"
 @query(_REGION + f""", g AS (SELECT *, concat('group_', substr(sha256(concat(clip_id, ':r', o_orderkey)), 1, 12)) event_group_id FROM r WHERE {_GOOD} AND label <> 'ignore')
  SELECT concat('evt_', substr(md5(concat_ws(':', clip_id, label, event_group_id, n)), 1, 12)) event_id, clip_id, label AS type, (last - 10) / 20e0 t_start, last / 20e0 t_end, o_orderkey % 5 = 0 AS hard_case, 'ann' AS annotator, 'high' AS confidence, NULL::VARCHAR AS notes, event_group_id FROM g, (VALUES (0), (1)) v(n) WHERE n <= o_orderkey % 3 - 1""")
 def annotated_events(spark, sf):
-    return annotations.convert_export(annotations.read_export(spread(view(spark, sf, "fx_export")))[0])[0]
+    return annotations.convert_export(annotations.read_export(view(spark, sf, "fx_export", "o_orderkey"))[0])[0]
 
 
 @query(_REGION + f" SELECT concat('ign_', substr(md5(concat(clip_id, ':ignore:r', o_orderkey)), 1, 12)) ignore_id, clip_id, (last - 10) / 20e0 t_start, last / 20e0 t_end, 'ACTION_OCCLUDED' AS reason, 'ann' AS annotator, NULL::VARCHAR AS notes FROM r WHERE {_GOOD} AND label = 'ignore'")
 def annotated_ignores(spark, sf):
-    return annotations.convert_export(annotations.read_export(spread(view(spark, sf, "fx_export")))[0])[1]
+    return annotations.convert_export(annotations.read_export(view(spark, sf, "fx_export", "o_orderkey"))[0])[1]
 
 
 @query(_REGION + """ SELECT field, message, count(*) n FROM (SELECT 'export' AS field, 'is not an array of objects' AS message FROM r WHERE cut UNION ALL SELECT 'label', 'is unknown' FROM r WHERE NOT cut AND label = 'grab'
  UNION ALL SELECT 'item_count', 'is required' FROM r WHERE NOT cut AND no_count UNION ALL SELECT 'complete_active_span_reviewed', 'is not confirmed' FROM r WHERE NOT cut AND unseen) GROUP BY 1, 2""")
 def annotation_errors(spark, sf):
-    tasks, errors = annotations.read_export(spread(view(spark, sf, "fx_export")))
+    tasks, errors = annotations.read_export(view(spark, sf, "fx_export", "o_orderkey"))
     return errors.unionByName(annotations.convert_export(tasks)[2]).groupBy("field", "message").agg(F.count("*").alias("n"))
 
 

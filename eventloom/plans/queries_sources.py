@@ -21,7 +21,7 @@ _TIMES = "CAST(k % 7 AS DOUBLE)"
  UNION ALL SELECT path, 0, concat('t', k), clip, 'bk', 4, {_TIMES} FROM fx_metadata WHERE k % 10 = 8 AND k % 7 > 4"""
 )
 def candidate_metadata(spark, sf):
-    found = metadata.parse_candidate_metadata(view(spark, sf, "fx_metadata").select("path", "value"))
+    found = metadata.parse_candidate_metadata(view(spark, sf, "fx_metadata", "o_orderkey").select("path", "value"))
     return found.candidates.select("path", "position", "candidate_id", "clip_id", "source_bucket", "source_start_s", "source_end_s")
 
 
@@ -34,14 +34,14 @@ def candidate_metadata(spark, sf):
  UNION ALL SELECT path, 0, 'duplicate candidate_id' FROM fx_metadata m WHERE k % 20 = 10 AND EXISTS (SELECT 1 FROM fx_metadata o WHERE o.k = m.k - 10)"""
 )
 def candidate_metadata_errors(spark, sf):
-    return metadata.parse_candidate_metadata(view(spark, sf, "fx_metadata").select("path", "value")).errors.select("path", "position", "problem")
+    return metadata.parse_candidate_metadata(view(spark, sf, "fx_metadata", "o_orderkey").select("path", "value")).errors.select("path", "position", "problem")
 
 
 @query(
     """ SELECT count(*) AS source_files_scanned, count(*) FILTER (WHERE k % 10 = 1) AS zero_candidate_sources, count(*) FILTER (WHERE k % 10 IN (4, 5, 6, 9)) AS files_with_errors FROM fx_metadata"""
 )
 def candidate_metadata_stats(spark, sf):
-    return metadata.parse_candidate_metadata(view(spark, sf, "fx_metadata").select("path", "value")).stats
+    return metadata.parse_candidate_metadata(view(spark, sf, "fx_metadata", "o_orderkey").select("path", "value")).stats
 
 
 @query(""" SELECT crop_id, clip_id, label, split, 'b1' AS batch_id, epoch_us(TIMESTAMP '2024-05-01 00:00:00') AS created_us FROM fx_features""")

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.sources.shared import stored
+
 #: What is read of a candidate, as text; numbers are typed once a record has passed.
 FIELDS = ("candidate_id", "candidate_key", "clip_id", "source_bucket", "source_key", "source_start_s", "source_end_s", "actor_id", "hand_side", "region_id")
 
@@ -34,6 +36,7 @@ def parse_candidate_metadata(files: DataFrame) -> Metadata:
     An object with `candidates` is a source: its candidates take clip_id (from source_video_id), source_bucket and source_key from it where they have none of their
     own; each needs candidate_id, candidate_key and times with 0 <= start < end. Any other object is a candidate, an array a list of them (what is no object in it is passed over). Of candidates
     of sources with one id the first by (path, position) stays. Faulty files and records become errors; sources without candidates are counted. A NaN is no time.
+    The texts are parsed once, into a stored table.
     """
     parsed = files.select("path", F.try_parse_json("value").alias("v"))
     kind = F.when(F.col("v").isNull(), "malformed").otherwise(F.substring_index(F.schema_of_variant("v"), "<", 1))
@@ -49,14 +52,14 @@ def parse_candidate_metadata(files: DataFrame) -> Metadata:
         .when(source & (F.col("n_items") > 0) & _empty(F.col("v"), "$.source_video_id"), "missing source_video_id")
     )
     parsed = parsed.withColumn("problem", problem)
-    of_files = parsed.filter("problem is not null").select("path", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("candidate_id"), "problem")
     parent = F.when(F.col("is_source"), F.named_struct(F.lit("id"), _text(F.col("v"), "$.source_video_id"), F.lit("bucket"), F.nullif(_text(F.col("v"), "$.source_bucket"), F.lit("")), F.lit("key"), F.nullif(_text(F.col("v"), "$.source_key"), F.lit(""))))
-    rows = parsed.filter("problem is null").select("path", "is_source", parent.alias("parent"), F.posexplode("items").alias("position", "item"))
+    none = F.col("is_source") & (F.col("nested_kind") == "ARRAY") & (F.col("n_items") == 0)
+    rows = parsed.select("path", "is_source", "problem", none.alias("none"), parent.alias("parent"), F.posexplode_outer(F.when(F.col("problem").isNull(), F.col("items"))).alias("position", "item"))
     whole = F.substring_index(F.schema_of_variant("item"), "<", 1) == "OBJECT"
-    rows = rows.filter(F.col("is_source") | whole).withColumns({"object": whole, "record": F.to_json("item")})
+    rows = rows.withColumns({"object": whole, "record": F.to_json("item")})
     # one pass over a record's text gives all fields
     rows = rows.withColumn("c", F.from_json("record", ", ".join(f"{f} string" for f in FIELDS)))
-    own_clip = F.try_variant_get("item", "$.clip_id", "variant").isNotNull()
+    rows = rows.withColumn("own_clip", F.try_variant_get("item", "$.clip_id", "variant").isNotNull()).drop("item")
     s, e = (F.col(f"c.source_{x}_s").try_cast("double") for x in ("start", "end"))
     absent = lambda f: F.coalesce(F.col(f"c.{f}"), F.lit("")) == ""
     missing = [F.when(F.col(f"c.source_{x}_s").isNull(), f"missing source_{x}_s") for x in ("start", "end")]
@@ -65,7 +68,10 @@ def parse_candidate_metadata(files: DataFrame) -> Metadata:
     late = F.array_compact(F.when(missing[0].isNull() & missing[1].isNull(), F.array(times)).otherwise(F.array(*missing)))
     first = F.when(~F.col("object"), "no JSON object").when(absent("candidate_id"), "missing candidate_id").when(absent("candidate_key"), "missing candidate_key")
     wrong = F.when(~F.col("is_source"), F.array().cast("array<string>")).when(first.isNotNull(), F.array(first)).otherwise(late)
-    rows = rows.withColumn("wrong", wrong)
+    read = stored(rows.withColumn("wrong", wrong), "metadata")
+    files = read.filter("coalesce(position, 0) = 0")  # a file without items has one row, without position
+    of_files = files.filter("problem is not null").select("path", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("candidate_id"), "problem")
+    rows = read.filter("position is not null and (is_source or object)")
     faulty = rows.filter(F.size("wrong") > 0).select("path", "position", F.col("c.candidate_id").alias("candidate_id"), F.explode("wrong").alias("problem"))
     fine = rows.filter(F.size("wrong") == 0)
     place = F.struct("path", "position")
@@ -73,10 +79,10 @@ def parse_candidate_metadata(files: DataFrame) -> Metadata:
     met = fine.join(kept, F.col("is_source") & (F.col("c.candidate_id") == F.col("id")), "left").withColumn("again", F.coalesce(F.col("first") != place, F.lit(False)))
     twice = met.filter("again").select("path", "position", F.col("c.candidate_id").alias("candidate_id"), F.lit("duplicate candidate_id").alias("problem"))
     own = {f: F.col(f"c.{f}") for f in FIELDS}
-    own |= {"clip_id": F.when(own_clip, own["clip_id"]).otherwise(F.col("parent.id")), "source_start_s": s, "source_end_s": e}
+    own |= {"clip_id": F.when(F.col("own_clip"), own["clip_id"]).otherwise(F.col("parent.id")), "source_start_s": s, "source_end_s": e}
     own |= {f"source_{x}": F.coalesce(own[f"source_{x}"], F.col(f"parent.{x}")) for x in ("bucket", "key")}
     candidates = met.filter("not again").select("path", "position", *[own[f].alias(f) for f in FIELDS], "record")
-    stats = parsed.agg(F.count("*").alias("source_files_scanned"), F.count_if(F.col("is_source") & (F.col("nested_kind") == "ARRAY") & (F.col("n_items") == 0)).alias("zero_candidate_sources"), F.count_if(F.col("problem").isNotNull()).alias("files_with_errors"))
+    stats = files.agg(F.count("*").alias("source_files_scanned"), F.count_if("none").alias("zero_candidate_sources"), F.count_if(F.col("problem").isNotNull()).alias("files_with_errors"))
     return Metadata(candidates, of_files.unionByName(faulty).unionByName(twice), stats)
 
 

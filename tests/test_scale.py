@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import intervals, lookups, precision
+from eventloom.operators import intervals, lookups, precision, responses
+from eventloom.plans.fixtures import view
+from eventloom.sources import metadata
+from tests.conftest import SF
 
 
 def plan(df):
@@ -30,3 +33,20 @@ def test_envelope_reads_each_row_once_and_equals_a_loop(spark):
     curve = [sum(hits[: i + 1]) / (i + 1) for i in range(len(hits))]
     want = sum(max(curve[i:]) for i, h in enumerate(hits) if h) / 60
     assert out.first()["ap"] == pytest.approx(want, abs=1e-12)
+
+
+def test_json_is_parsed_once_into_a_stored_table(spark):
+    files = spark.createDataFrame([("a", '[{"candidate_id": "x", "clip_id": "c"}]'), ("b", "{")], "path string, value string")
+    found = metadata.parse_candidate_metadata(files)
+    answers = spark.createDataFrame([("r", '{"events": []}', 0), ("s", "{", 0), ("t", '{"events": [5]}', 0)], "response_id string, content string, frame_count int")
+    events, errors = responses.model_events(answers)
+    for df in (*found, events, errors):
+        assert "parse_json" not in plan(df).lower()
+    assert [tuple(r) for r in found.errors.select("path", "problem").collect()] == [("b", "malformed JSON")]
+    assert sorted((r["source"], r["message"]) for r in errors.collect()) == [("s", "is not JSON"), ("t", "is not an object")]
+    assert found.stats.first()[0] == 2
+
+
+def test_views_are_dealt_by_a_key(spark):
+    df = view(spark, SF, "fx_export", "o_orderkey")
+    assert "RepartitionByExpression [o_orderkey" in plan(df) and df.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
