@@ -1,11 +1,12 @@
 """Plans and forms that keep their cost in proportion to the input."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import intervals, lookups, precision, responses
+from eventloom.operators import intervals, lookups, precision, responses, windows
 from eventloom.plans.fixtures import view
 from eventloom.sources import metadata
 from tests.conftest import SF
@@ -50,3 +51,28 @@ def test_json_is_parsed_once_into_a_stored_table(spark):
 def test_views_are_dealt_by_a_key(spark):
     df = view(spark, SF, "fx_export", "o_orderkey")
     assert "RepartitionByExpression [o_orderkey" in plan(df) and df.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+
+
+def test_windows_meet_events_in_runs_and_equal_a_loop(spark):
+    rng = random.Random(9)
+    spans = [(f"k{i}", "c", s := rng.randint(0, 400) / 4, s + rng.choice((1.0, 3.3, 20.0, 200.0))) for i in range(12)]
+    events = [(f"e{i}", "c", rng.choice(("pickup", "putdown")), s := rng.randint(0, 1200) / 4, s + rng.randint(0, 20) / 4) for i in range(60)]
+    out = windows.window_manifest(spark.createDataFrame(spans, "candidate_id string, clip_id string, window_start_s double, window_end_s double"), spark.createDataFrame(events, "event_id string, clip_id string, type string, t_start double, t_end double"))
+    assert out.columns == ["candidate_id", "k", "clip_id", "window_start_s", "window_end_s", "center", "label"]
+    got = out.collect()
+    for key, _, s, e in spans:
+        mine = sorted((r for r in got if r["candidate_id"] == key), key=lambda r: r["k"])
+        assert [r["k"] for r in mine] == list(range(len(mine))) and len(mine) >= int((e - s - 2.5) / 0.5) + 1
+        assert mine[-1]["window_end_s"] == pytest.approx(e, abs=0.1) and mine[0]["window_start_s"] == pytest.approx(s)
+    for r in got:
+        held = sorted((t, name, kind) for name, _, kind, t, u in events if t <= r["center"] <= u)
+        assert r["label"] == (held[0][2] if held else "background")
+    assert "hashpartitioning(candidate_id" in plan(out) and not re.search(r"hashpartitioning\(candidate_id#\d+, k#", plan(out))
+
+
+def test_interval_filter_asks_once_a_level(spark):
+    rows = spark.createDataFrame([(i, "c", float(i * 7), float(i * 7 + n)) for i, n in enumerate((3, 60, 200, 1, 59, 5000) * 8)], "i long, clip_id string, t_start double, t_end double")
+    ignores = [(20.0, 25.0), (59.5, 61.0), (119.0, 120.0), (299.0, 330.0)]
+    out = intervals.drop_ignored(rows, spark.createDataFrame([("c", *x) for x in ignores], "clip_id string, t_start double, t_end double"))
+    assert plan(out).split("== Physical Plan ==")[1].count("LeftAnti") == 7
+    assert {r["i"] for r in out.collect()} == {r["i"] for r in rows.collect() if not any(r["t_start"] < b and a < r["t_end"] for a, b in ignores)}
