@@ -56,7 +56,7 @@ def trajectory_for_candidate(candidates: DataFrame, poses: DataFrame, time: str
     cells = F.explode(F.sequence(F.floor(F.col("window_start_s") / bucket), F.floor(F.col("window_end_s") / bucket)))
     c = candidates.select("candidate_id", "clip_id", F.col("actor_id").alias("__actor"), "hand_side", "window_start_s", "window_end_s", cells.alias("__cell"))
     p = poses.withColumn("__cell", F.floor(F.col(time) / bucket))
-    near = c.join(p, ["clip_id", "hand_side", "__cell"]).filter(F.col(time).between(F.col("window_start_s"), F.col("window_end_s")))
+    near = c.hint("merge").join(p.hint("merge"), ["clip_id", "hand_side", "__cell"]).filter(F.col(time).between(F.col("window_start_s"), F.col("window_end_s")))
     own = F.col("__actor") == F.col("actor_id")
     exact = near.filter(own)
     late = near.filter(F.col("__actor").contains(":")).join(exact.select("candidate_id").distinct(), "candidate_id", "left_anti")

@@ -106,7 +106,7 @@ def track_a(candidates: DataFrame, clips: DataFrame, poses: DataFrame, polygons:
     times = live.select(*evidence.STREAM, F.explode(sample_times(F.col("window_start_s"), F.col("window_end_s"), c.fps)).alias("timestamp_s"))
     near = intervals.nearest_observation(times, trajectory, "candidate_id", "timestamp_s", time, c.tolerance_s, ["wrist_x"])
     samples = near.filter("observed_at is not null").select(*times.columns)
-    crops = samples.join(features.select("candidate_id", "timestamp_s", "crop_type", "embedding"), ["candidate_id", "timestamp_s"])
+    crops = samples.hint("merge").join(features.select("candidate_id", "timestamp_s", "crop_type", "embedding").hint("merge"), ["candidate_id", "timestamp_s"])
     crops, counts = observed(crops, "crops", {"hand_evidence": F.count_if(F.col("crop_type") == "hand"), "shelf_evidence": F.count_if(F.col("crop_type") == "shelf")})
     held = state_evidence(hand, crops.filter("crop_type = 'hand'"), {"empty": "hand_empty", "carrying": "hand_carrying"}, "hand_uncertain")
     kept = state_evidence(shelf, crops.filter("crop_type = 'shelf'"), {"removed": "shelf_removed", "placed": "shelf_placed", "no_change": "shelf_unchanged"}, "shelf_uncertain")

@@ -19,7 +19,8 @@ def plan(df):
 def test_growing_sides_are_not_broadcast(spark):
     rows = spark.createDataFrame([(f"k{i}", "c", float(i), float(i + 3)) for i in range(20)], "key string, clip_id string, s double, e double")
     pairs = intervals.overlap_join(rows, rows.select("clip_id", F.col("s").alias("rs"), F.col("e").alias("re")), ["clip_id"], "s", "e", "rs", "re")
-    for df in (pairs, lookups.numbered(rows, "key", 3)):
+    near = intervals.nearest_observation(rows.select("clip_id", "s"), rows.select("clip_id", "e", "key"), "clip_id", "s", "e", 2.0, ["key"])
+    for df in (pairs, near, lookups.numbered(rows, "key", 3)):
         assert "BroadcastHashJoin" not in plan(df)
     assert sorted((r["key"], r["n"]) for r in lookups.numbered(rows, "key", 3).collect()) == [(k, i) for i, k in enumerate(sorted(f"k{i}" for i in range(20)))]
 
