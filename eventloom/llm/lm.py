@@ -10,7 +10,7 @@ Counts leave out the scored document's own occurrences (otherwise no n-gram woul
 elsewhere count. A document's first words have shorter contexts. c(context) counts the context as an n-gram.
 
 A row of the exploded table is a distinct n-gram of a block of documents with its count there: a frequent n-gram has one row a block,
-however hot it is. The count table is their sum by key; the exploded rows are joined to it in the same partitioning, and what
+however hot it is. The counts are their sums by key, which the exploded rows meet in the same partitioning (a window by key), and what
 lives in several blocks comes back to them with its total (an n-gram without a row lives in its block alone, which knows its count).
 Words and pairs come first: a longer n-gram that holds a word pair no other document has cannot occur elsewhere, its count is 0 and it has no row.
 N-grams are compared by hashes of 30 bits more than the number of words has, 64 at most: up to 2^34 words
@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import integer_id, pieces, words_of
-from eventloom.llm.words import U, Words, grams
+from eventloom.llm.common import integer_id, pieces
+from eventloom.llm.words import U, Words, grams, slices
 
 #: Rows of the exploded tables.
 EXPLODED = "block long not null, key long not null, count long not null"
@@ -67,18 +67,27 @@ class Totals:
 
     def elsewhere(self, g: Grams, words: Words, n: int) -> np.ndarray:
         """For each word place, how often the n-gram that starts there occurs in other documents (0 where none starts)."""
-        key, total = g.key[n], g.count(n)
-        full = np.zeros(len(words.start), np.int64)
+        key, number, here = g.key[n], g.number[n], g.count(n)
+        total, full = here, np.zeros(len(words.start), np.int64)
         if len(key):
             if len(self.key):
                 at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-                total = np.where(self.key[at] == key, self.total[at], total)
-            pair = words.row_of_word()[g.at[n]] * len(key) + g.number[n]
+                total = np.where(self.key[at] == key, self.total[at], here)
+            full[g.at[n]] = total[number] - 1
+            several = np.flatnonzero(here[number] > 1)  # the others occur once in the block, so once in their document
+            pair = words.row_of_word()[g.at[n][several]] * len(key) + number[several]
             _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
-            full[g.at[n]] = total[g.number[n]] - own[inverse]
+            full[g.at[n][several]] -= own[inverse] - 1
         return full
 
 
+def sizes(batches):
+    """Bytes and words of slices of texts."""
+    for b in slices(batches, "text", 1 << 20):
+        w = Words(b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([len(w.data)], pa.int64()), pa.array([len(w.start)], pa.int64())], ["b", "n"])
+
+
 def explode_low(table: pa.Table, bits: int) -> pa.Table:
     """Words and word pairs of a block."""
     w = Words(table.column("text"))
@@ -129,14 +138,12 @@ def score(table: pa.Table, totals: pa.Table, order: int, alpha: float, bits: int
 
 
 def with_totals(exploded: DataFrame, shards: int) -> DataFrame:
-    """(block, key, total) of the n-grams that several blocks have: exploded rows (block, key, count) joined to their count table.
+    """(block, key, total) of the n-grams that several blocks have: exploded rows (block, key, count) with the sum of the counts of their key.
 
-    Both sides read one exchange by key; it is reused because both need all three columns of it.
+    The sum is a window by key, which reads and sorts the exchange by key once; a count table joined to the rows it came from reads it twice and sorts both sides.
     """
-    spread = exploded.repartition(shards, "key")
-    counts = spread.groupBy("key").agg(F.sum("count").alias("total"), F.min("block").alias("first"), F.max("block").alias("last"))
-    shared = counts.filter("first < last").select("key", "total")
-    return spread.join(shared, "key").filter("count < total").select("block", "key", "total")
+    total = F.sum("count").over(Window.partitionBy("key"))
+    return exploded.repartition(shards, "key").withColumn("total", total).filter("count < total").select("block", "key", "total")
 
 
 def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
@@ -145,7 +152,7 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     block_bytes of text are exploded together, the count tables have a partition for each shard_bytes of text (PARTITIONS at most).
     """
     kind = integer_id(docs, doc_id)
-    sums = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.sum(F.size(words_of(F.col(text))).cast("long")).alias("n")).first()
+    sums = docs.select(F.col(text).alias("text")).mapInArrow(sizes, "b long, n long").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
     total, n = sums["b"] or 0, sums["n"] or 0
     bits = min(64, n.bit_length() + 30)
     blocks, shards = pieces(total, block_bytes), min(PARTITIONS, pieces(total, shard_bytes))

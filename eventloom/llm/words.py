@@ -90,8 +90,15 @@ class Words:
         self.first = np.searchsorted(self.start, self.rows)
         self.count = np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE[self.data], self.start, self.end)
+    def hashes(self, limit: int = 1 << 20) -> np.ndarray:
+        """A hash of each word, made for runs of words over about `limit` bytes: span_hashes needs 24 bytes for each byte of its values."""
+        out, at = np.empty(len(self.start), U), 0
+        while at < len(out):
+            base = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, base + limit, side="right")))
+            out[at:to] = span_hashes(_BYTE[self.data[base : self.end[to - 1]]], self.start[at:to] - base, self.end[at:to] - base)
+            at = to
+        return out
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

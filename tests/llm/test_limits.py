@@ -3,12 +3,15 @@
 import collections
 import itertools
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from eventloom.llm import bpe, common, knn_quality, line_rules, minmax, mixing, pii, substring, unigram
+from eventloom.llm.words import Words
 from tests.conftest import SF
 from tests.llm.test_llm import SCHEMA, made
 
@@ -144,3 +147,14 @@ def test_counts_of_long_cuts_are_not_kept():
     want = c.count(unigram.MARK + long)
     assert c.total(long) == want == c.total(long) and not c.kept
     assert c.total(" ".join(f"w{i}" for i in range(1000))) > 1000 and len(c.kept) <= 100 and max(map(len, c.kept)) <= unigram.LONGEST_KEPT
+
+
+def test_word_hashes_take_bounded_memory():
+    """Besides the hashes themselves; a word longer than a run is hashed whole."""
+    w = Words(pa.array(["ab cde " * 600_000, None, "x" * 50, "ab"]))
+    tracemalloc.start()
+    h = w.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(h) + (64 << 20)
+    assert len(set(h.tolist())) == 3 and h[0] == h[-1] and (w.hashes(7) == h).all()
