@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from eventloom.llm import bpe, common, knn_quality, line_rules, minmax, mixing, pii, substring, unigram
+from eventloom.llm import bpe, chroma, common, knn_quality, line_rules, minmax, mixing, pii, substring, unigram
 from eventloom.llm.words import Words
 from tests.conftest import SF
 from tests.llm.test_llm import SCHEMA, made
@@ -158,3 +158,11 @@ def test_word_hashes_take_bounded_memory():
     tracemalloc.stop()
     assert peak < 8 * len(h) + (64 << 20)
     assert len(set(h.tolist())) == 3 and h[0] == h[-1] and (w.hashes(7) == h).all()
+
+
+def test_varying_bits_are_counted_over_all_recordings(spark):
+    """Bit 7 is set in those recordings alone that a sample by hash would leave out."""
+    out = common.F.pmod(common.F.xxhash64("class_id"), common.F.lit(2)) == 1
+    one = spark.range(4400).select(common.F.col("id").alias("class_id")).withColumn("fp", common.F.array(common.F.when(out, 128).otherwise(0), common.F.lit(0)))
+    assert chroma.varying_bits(one) == [7]
+    assert chroma.varying_bits(one.limit(0)) == list(range(32))
