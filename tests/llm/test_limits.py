@@ -166,3 +166,21 @@ def test_varying_bits_are_counted_over_all_recordings(spark):
     one = spark.range(4400).select(common.F.col("id").alias("class_id")).withColumn("fp", common.F.array(common.F.when(out, 128).otherwise(0), common.F.lit(0)))
     assert chroma.varying_bits(one) == [7]
     assert chroma.varying_bits(one.limit(0)) == list(range(32))
+
+
+@pytest.mark.parametrize("pending", [1, 40, 1 << 21])
+def test_alike_windows_equal_all_pairs(pending):
+    rng = np.random.default_rng(4)
+    flat = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    near = [np.where(rng.random(60) < 0.5, flat ^ (np.uint32(1) << rng.integers(0, 32, 60).astype(np.uint32)), flat).astype(np.uint32) for _ in range(4)]
+    q, d = chroma.Windows([flat, flat[:5], near[0]]), chroma.Windows([*near[1:], flat[10:30], flat[20:]])
+    masks = chroma.landmark_masks(list(range(32)), 8, 12)
+    turn = (q.key >> np.uint64(40)).astype(int) % chroma.TURNS
+    want = set()
+    for i, j in itertools.product(range(len(q.key)), range(len(d.key))):
+        x, y = ([int(s[k]) for s in w.seen] for w, k in ((q, i), (d, j)))
+        landmark = any(all((x[s] ^ y[s]) & int(m) == 0 for s, m in zip(chroma.STEPS, mask, strict=True)) for t, mask in enumerate(masks) if t % chroma.TURNS == turn[i])
+        if x == y or (landmark and sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) <= 12):
+            want.add((i, j))
+    a, b = chroma.alike_windows(q, d, masks, 12, pending)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == sorted(want) and len(want) > 60
