@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -38,12 +39,11 @@ def observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[Data
 def resolved(candidates: DataFrame, clips: DataFrame, trajectory: DataFrame, polygons: dict, ignores: DataFrame | None, split: bool) -> tuple[DataFrame, dict]:
     """candidates with skip_reason, the first of REASONS that applies or null, and split where it is asked for; with counts by reason."""
     there = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
-    rows = candidates.join(there(clips, "clip_id", "__video"), "clip_id", "left").join(there(trajectory, "candidate_id", "__pose"), "candidate_id", "left")
+    videos = clips.groupBy("clip_id").agg(F.lit(True).alias("__video"), *[F.first("split").alias("__split")] * split)
+    rows = candidates.join(videos, "clip_id", "left").join(there(trajectory, "candidate_id", "__pose"), "candidate_id", "left")
     if ignores is not None:
         clear = intervals.drop_ignored(candidates, ignores, "raw_start_s", "raw_end_s").select("candidate_id", F.lit(True).alias("__clear"))
         rows = rows.join(clear, "candidate_id", "left")
-    if split:
-        rows = rows.join(clips.select("clip_id", F.col("split").alias("__split")).dropDuplicates(["clip_id"]), "clip_id", "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     tests = {
         "ignored": F.col("__clear").isNull() if ignores is not None else F.lit(False),
@@ -144,18 +144,28 @@ def track_a(candidates: DataFrame, clips: DataFrame, poses: DataFrame, polygons:
 Encoder = Callable[[pd.DataFrame], np.ndarray]
 
 
-def encoded(crops: DataFrame, make_encoder: Callable[[], Encoder], batch: int = 256) -> DataFrame:
-    """crops with embedding by a user's encoder, in batches of at most `batch` rows; the encoder is made once for all batches of a task."""
+def embeddings(parts: Iterator[pa.Array], make_encoder: Callable[[], Encoder], batch: int) -> Iterator[pa.Array]:
+    """Embeddings of arrays of crops: one array for each that came in, in which the encoder is called for at most `batch` crops at a time."""
+    encode = None
+    for part in parts:
+        encode = encode or make_encoder()
+        rows = pa.RecordBatch.from_struct_array(part).to_pandas()
+        found = [np.asarray(encode(rows.iloc[at : at + batch]), np.float32) for at in range(0, len(rows), batch)]
+        ends = np.cumsum(np.concatenate([[0], *[np.full(len(v), v.shape[1]) for v in found]]))
+        flat = np.concatenate([v.ravel() for v in found] or [np.zeros(0, np.float32)])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = None
-        for part in parts:
-            encode = encode or make_encoder()
-            for at in range(0, len(part), batch):
-                rows = part.iloc[at : at + batch]
-                yield rows.assign(embedding=[np.asarray(v, np.float32) for v in encode(rows)])
 
-    return crops.mapInPandas(run, f"{', '.join(f'{n} {t}' for n, t in crops.dtypes)}, embedding array<float>")
+def encoded(crops: DataFrame, make_encoder: Callable[[], Encoder], batch: int = 256, columns: list[str] | None = None) -> DataFrame:
+    """crops with embedding by a user's encoder, in calls of at most `batch` rows; the encoder is made once for all calls of a task and sees `columns` (all by default).
+
+    Only these go to Python, in Arrow batches of Spark's size, and only embeddings come back.
+    """
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return embeddings(parts, make_encoder, batch)
+
+    return crops.withColumn("embedding", F.arrow_udf(run, "array<float>")(F.struct(*(columns or crops.columns))))
 
 
 def feature_dataset(
@@ -170,19 +180,26 @@ def feature_dataset(
     trajectory = stored(trajectory_for_candidate(candidates, poses, time), "trajectory")
     known, skipped = resolved(candidates, clips, trajectory, polygons, ignores, True)
     live = known.filter("skip_reason is null").drop("skip_reason")
-    own = pose_regions(trajectory.join(live.select("candidate_id", F.col("region_id").alias("__own")), "candidate_id"), polygons).filter("__own = region_id")
-    contact = contact_time(own, ["candidate_id"], time)
-    points = live.join(contact, "candidate_id").select("candidate_id", "clip_id", "actor_id", "hand_side", "region_id", "split", F.posexplode(adaptive_times(F.col("raw_start_s"), F.col("raw_end_s"), F.col("contact_s"), most)).alias("n", "p"))
-    points = points.select("candidate_id", "clip_id", "actor_id", "hand_side", "region_id", "split", F.col("p.t").alias("timestamp_s"), F.col("p.position").alias("sample_position"))
+    near_own = pose_regions(trajectory.join(live.select("candidate_id", F.col("region_id").alias("__own")), "candidate_id"), polygons).filter("__own = region_id")
+    contact = contact_time(near_own, ["candidate_id"], time)
+    labels = intervals.assign_label(live, events, values=[c for c in ("confidence", "hard_case") if c in events.columns])
+    # labels belong to candidates: they come before the samples, which are many
+    own = ["candidate_id", "clip_id", "actor_id", "hand_side", "region_id", "split"]
+    more = [c for c in labels.columns if c != "candidate_id"]
+    points = live.join(contact, "candidate_id").join(labels, "candidate_id").select(*own, *more, F.explode(adaptive_times(F.col("raw_start_s"), F.col("raw_end_s"), F.col("contact_s"), most)).alias("p"))
+    points = points.select(*own, *more, F.col("p.t").alias("timestamp_s"), F.col("p.position").alias("sample_position"))
     near = intervals.nearest_observation(points, trajectory, "candidate_id", "timestamp_s", time, tolerance, ["wrist_x", "wrist_y"]).filter("observed_at is not null")
     middle = {r: (sum(f(x for x, _ in p) for f in (min, max)) / 2, sum(f(y for _, y in p) for f in (min, max)) / 2) for r, p in polygons.items()}
     centre = [F.coalesce(*[F.when(F.col("region_id") == r, F.lit(float(m[i]))) for r, m in middle.items()]) for i in (0, 1)]
-    square = lambda kind, x, y: F.struct(F.lit(kind).alias("crop_type"), crop_square(x, y, F.lit(None).cast("double"), *frame).alias("g"))
-    crops = near.withColumn("__c", F.explode(F.array(square("hand", F.col("wrist_x"), F.col("wrist_y")), square("shelf", *centre))))
-    crops = crops.select(*points.columns, "__c.crop_type", *[F.col(f"__c.g.{g}").alias(f"geometry_{g}") for g in ("x", "y", "width", "height")])
-    labels = intervals.assign_label(live, events).join(events.select("event_id", *[c for c in ("confidence", "hard_case") if c in events.columns]), "event_id", "left")
-    name = stable_id("crop_", 16, "candidate_id", "crop_type", F.format_string("%.6f", "timestamp_s"))
-    rows = encoded(crops, make_encoder, batch).join(labels, "candidate_id").withColumns({"crop_id": name, "encoder_name": F.lit(encoder[0]), "encoder_version": F.lit(encoder[1])})
+    # one square a row, after the explode: inside it two, each with its middle repeated, made the largest generated method of the query
+    around = lambda kind, x, y: F.struct(F.lit(kind).alias("crop_type"), x.alias("x"), y.alias("y"))
+    near = near.withColumn("__at", F.format_string("%.6f", "timestamp_s"))
+    crops = near.select(*points.columns, "__at", F.explode(F.array(around("hand", F.col("wrist_x"), F.col("wrist_y")), around("shelf", *centre))).alias("__c"))
+    crops = crops.withColumn("__g", crop_square(F.col("__c.x"), F.col("__c.y"), F.lit(None).cast("double"), *frame))
+    crops = crops.select(*points.columns, "__at", "__c.crop_type", *[F.col(f"__g.{g}").alias(f"geometry_{g}") for g in ("x", "y", "width", "height")])
+    name = stable_id("crop_", 16, "candidate_id", "crop_type", "__at")
+    seen = [c for c in crops.columns if c not in (*more, "__at")]
+    rows = encoded(crops, make_encoder, batch, seen).withColumns({"crop_id": name, "encoder_name": F.lit(encoder[0]), "encoder_version": F.lit(encoder[1])})
     counts = {"records": F.count(F.lit(1))} | {f"label={x}": F.count_if(F.col("label") == x) for x in ("pickup", "putdown", "negative")} | {f"split={x}": F.count_if(F.col("split") == x) for x in ("train", "val", "test")}
     records, stats = observed(with_schema(rows, MANIFEST), "features", counts)
     return records, {**skipped, **stats}

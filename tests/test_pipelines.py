@@ -1,5 +1,6 @@
 import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,25 @@ def test_encoder_is_made_once_a_task(spark):
     assert len({r["embedding"][0] for r in rows}) == 1 and max(r["embedding"][1] for r in rows) == 64 and [r["geometry_x"] for r in rows] == [int(r["embedding"][2]) for r in rows]
 
 
+def test_encoder_sees_its_columns_in_calls_of_a_batch_and_answers_once_an_arrow_batch(spark):
+    calls = []
+
+    def make():
+        def encode(rows):
+            calls.append((len(rows), list(rows.columns)))
+            return [[x, x + 1] for x in rows["geometry_x"]]
+
+        return encode
+
+    part = lambda n: pa.StructArray.from_arrays([pa.array(range(n), pa.int32())], ["geometry_x"])
+    out = list(pipelines.embeddings(iter([part(100), part(0), part(5)]), make, 64))
+    assert [len(x) for x in out] == [100, 0, 5] and out[0].to_pylist()[99] == [99.0, 100.0]
+    assert calls == [(64, ["geometry_x"]), (36, ["geometry_x"]), (5, ["geometry_x"])]
+    crops = spark.range(0, 10, 1, 1).selectExpr("cast(id as int) geometry_x", "'a' label")
+    rows = pipelines.encoded(crops, lambda: lambda rows: [[float(len(rows.columns)), x] for x in rows["geometry_x"]], 4, ["geometry_x"]).collect()
+    assert [(r["label"], r["embedding"]) for r in rows] == [("a", [1.0, float(r["geometry_x"])]) for r in rows] and len(rows) == 10
+
+
 def test_failed_keys_come_back_after_a_pause_and_are_given_up(spark, tmp_path):
     name = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

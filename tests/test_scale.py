@@ -25,6 +25,25 @@ def test_growing_sides_are_not_broadcast(spark):
     assert sorted((r["key"], r["n"]) for r in lookups.numbered(rows, "key", 3).collect()) == [(k, i) for i, k in enumerate(sorted(f"k{i}" for i in range(20)))]
 
 
+def test_nearest_shuffles_the_left_side_once_and_equals_a_loop(spark):
+    rng = random.Random(3)
+    left = [("ab"[i % 2], rng.randrange(200) / 4) for i in range(60)]
+    right = [("ab"[i % 2], rng.randrange(200) / 4, rng.randrange(5)) for i in range(60)]
+    a, b = spark.createDataFrame(left, "k string, t double"), spark.createDataFrame(right, "k string, u double, v int")
+    near = intervals.nearest_observation(a, b, "k", "t", "u", 0.5, ["v"])
+    # one exchange a side; the left one was grouped by all its columns before and after the join
+    assert len(re.findall(r"Exchange hashpartitioning", plan(near.select("*")).split("== Physical Plan ==")[1])) == 2
+    best = lambda k, t: min(((abs(u - t), u, v) for rk, u, v in right if rk == k and abs(u - t) <= 0.5), default=(None, None, None))[1:]
+    assert sorted(map(repr, map(tuple, near.collect()))) == sorted(repr((k, t, *best(k, t))) for k, t in left)
+
+
+def test_labels_bring_more_columns_of_their_event(spark):
+    c = spark.createDataFrame([("c1", "v", 0.0, 2.0), ("c2", "v", 9.0, 11.0), ("c3", "w", 0.0, 2.0)], "candidate_id string, clip_id string, raw_start_s double, raw_end_s double")
+    e = spark.createDataFrame([("e1", "v", "pickup", 0.0, 1.5, "med"), ("e2", "v", "putdown", 1.5, 2.0, "high"), ("e3", "v", "pickup", 10.5, 12.0, "low")], "event_id string, clip_id string, type string, t_start double, t_end double, confidence string")
+    found = intervals.assign_label(c, e, values=["confidence"])
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [("c1", "pickup", "e1", "med"), ("c2", "negative", None, None), ("c3", "negative", None, None)]))
+
+
 def test_envelope_reads_each_row_once_and_equals_a_loop(spark):
     rng = random.Random(5)
     gt = [(f"e{i}", "c", "pickup", 10.0 * i, 10.0 * i + 4) for i in range(60)]
