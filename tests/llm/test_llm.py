@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -356,6 +357,23 @@ def test_chroma_recall_against_all_offsets(spark):
     assert found == {k: v for k, v in got.items() if k[0] in fifty} and sum(r["match_id"] is None for r in rows) == len(of)
 
 
+def test_chroma_candidates_do_not_wait():
+    """Of 2.2 million candidates (a landmark without bits) only close pairs are kept, also close ones of several landmarks once."""
+    rng = np.random.default_rng(7)
+    q = rng.integers(0, 1 << 32, 1500, dtype=np.uint32)
+    d = rng.integers(0, 1 << 32, 1500, dtype=np.uint32)
+    d[100:200] = q[300:400] ^ np.uint32(3)
+    a, b = chroma.Windows([q]), chroma.Windows([d])
+    masks = np.zeros((4, len(chroma.STEPS)), np.uint32)
+    tracemalloc.start()
+    i, j = chroma.alike_windows(a, b, masks, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    errors = sum(np.bitwise_count(a.seen[s][:, None] ^ b.seen[s][None]).astype(int) for s in range(chroma.WINDOW))
+    assert len(i) == 94 and sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, np.argwhere(errors <= 24).tolist()))
+    assert peak < 16 << 20
+
+
 def test_fingerprints_do_not_depend_on_the_batch():
     rng = np.random.default_rng(5)
     audio = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 255, 256, 479, 480, 700, 5000)] + [b"\x90" * 2000]
