@@ -12,7 +12,8 @@ elsewhere count. A document's first words have shorter contexts. c(context) coun
 A row of the exploded table is a distinct n-gram of a block of documents with its count there: a frequent n-gram has one row a block,
 however hot it is. The counts are their sums by key, which the exploded rows meet in the same partitioning (a window by key), and what
 lives in several blocks comes back to them with its total (an n-gram without a row lives in its block alone, which knows its count).
-Words and pairs come first: a longer n-gram that holds a word pair no other document has cannot occur elsewhere, its count is 0 and it has no row.
+Words and pairs come first: a longer n-gram that holds a word pair no other block has lives in its block alone and has no row.
+Documents that have much in common, as those of a language, can share blocks: then fewer n-grams live in several.
 N-grams are compared by hashes of 30 bits more than the number of words has, 64 at most: up to 2^34 words
 one shares its hash with another with a chance of under 1e-8, at 2^44 words (about 100 TB) of 1e-5. Null and empty texts have no words, log score 0 and a null mean. Rows are scored one by
 one; repeated rows are documents of their own (each counts for the others), columns besides id and text stay out.
@@ -32,6 +33,9 @@ from eventloom.llm.words import U, Words, grams, slices
 EXPLODED = "block long not null, key long not null, count long not null"
 #: Partitions of an exchange at most; beyond, partitions grow and spill.
 PARTITIONS = 100_000
+#: Classes of documents that share blocks, at most.
+CLASSES = 64
+
 
 class Grams:
     """N-grams of a block for some orders: where each starts, its number among the block's distinct ones, and their keys."""
@@ -65,6 +69,14 @@ class Totals:
         order = np.argsort(key)
         self.key, self.total = key[order], table.column("total").to_numpy()[order]
 
+    def abroad(self, g: Grams, words: Words, n: int) -> np.ndarray:
+        """For each word place, whether other blocks have the n-gram that starts there."""
+        out = np.zeros(len(words.start), bool)
+        if len(self.key) and len(g.key[n]):
+            at = np.minimum(np.searchsorted(self.key, g.key[n]), len(self.key) - 1)
+            out[g.at[n]] = (self.key[at] == g.key[n])[g.number[n]]
+        return out
+
     def elsewhere(self, g: Grams, words: Words, n: int) -> np.ndarray:
         """For each word place, how often the n-gram that starts there occurs in other documents (0 where none starts)."""
         key, number, here = g.key[n], g.number[n], g.count(n)
@@ -82,10 +94,11 @@ class Totals:
 
 
 def sizes(batches):
-    """Bytes and words of slices of texts."""
+    """Bytes and words of slices of texts, by class."""
     for b in slices(batches, "text", 1 << 20):
-        w = Words(b.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([len(w.data)], pa.int64()), pa.array([len(w.start)], pa.int64())], ["b", "n"])
+        w, k = Words(b.column(1)), b.column(0).to_numpy()
+        parts = [pa.array(np.bincount(k, x, CLASSES).astype(np.int64)) for x in (np.diff(w.rows), w.count)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), *parts], ["k", "b", "n"])
 
 
 def explode_low(table: pa.Table, bits: int) -> pa.Table:
@@ -94,9 +107,8 @@ def explode_low(table: pa.Table, bits: int) -> pa.Table:
     return Grams(w, w.hashes(), (1, 2), bits).rows(table.column("block")[0].as_py())
 
 
-def possible(pairs: np.ndarray, n: int) -> np.ndarray:
+def possible(ok: np.ndarray, n: int) -> np.ndarray:
     """Places where an n-gram may occur elsewhere: all its word pairs do."""
-    ok = pairs > 0
     out = ok.copy()
     for j in range(1, n - 1):
         out[: len(ok) - j] &= ok[j:]
@@ -105,10 +117,10 @@ def possible(pairs: np.ndarray, n: int) -> np.ndarray:
 
 
 def explode_high(table: pa.Table, totals: pa.Table, order: int, bits: int) -> pa.Table:
-    """Longer n-grams of a block, without those that hold a word pair no other document has: they cannot occur elsewhere."""
+    """Longer n-grams of a block, without those that hold a word pair no other block has: their count here is their total."""
     w = Words(table.column("text"))
     h = w.hashes()
-    pairs = Totals(totals).elsewhere(Grams(w, h, (2,), bits), w, 2)
+    pairs = Totals(totals).abroad(Grams(w, h, (2,), bits), w, 2)
     parts = [Grams(w, h, (n,), bits, possible(pairs, n)).rows(table.column("block")[0].as_py()) for n in range(3, order + 1)]
     return pa.concat_tables(parts) if parts else Grams(w, h, (), bits).rows(0)
 
@@ -126,7 +138,7 @@ def score(table: pa.Table, totals: pa.Table, order: int, alpha: float, bits: int
     pairs = None
     for n in range(2, order + 1):
         whole = known_totals.elsewhere(Grams(w, h, (n,), bits, None if n == 2 else possible(pairs, n)), w, n)
-        pairs = whole if n == 2 else pairs
+        pairs = whole > 0 if n == 2 else pairs
         can = np.flatnonzero(place >= n - 1)
         start = can - (n - 1)
         value[can] = np.where(whole[start] > 0, whole[start] / np.maximum(context[start], 1), alpha * value[can])
@@ -146,19 +158,26 @@ def with_totals(exploded: DataFrame, shards: int) -> DataFrame:
     return exploded.repartition(shards, "key").withColumn("total", total).filter("count < total").select("block", "key", "total")
 
 
-def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, alike: str | None = None) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score), natural logarithms; counts come from all of docs.
 
     block_bytes of text are exploded together, the count tables have a partition for each shard_bytes of text (PARTITIONS at most).
+    alike: a column; documents with the same value share blocks (values in CLASSES classes by hash). It changes how many rows are exchanged, never a score.
     """
     kind = integer_id(docs, doc_id)
-    sums = docs.select(F.col(text).alias("text")).mapInArrow(sizes, "b long, n long").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
-    total, n = sums["b"] or 0, sums["n"] or 0
+    group = F.pmod(F.xxhash64(F.col(alike)), F.lit(CLASSES)).cast("int") if alike else F.lit(0)
+    sums = docs.select(group.alias("k"), F.col(text).alias("text")).mapInArrow(sizes, "k long, b long, n long").groupBy("k").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()
+    total, n = sum(r["b"] for r in sums), sum(r["n"] for r in sums)
     bits = min(64, n.bit_length() + 30)
-    blocks, shards = pieces(total, block_bytes), min(PARTITIONS, pieces(total, shard_bytes))
-    spread = min(PARTITIONS, blocks)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"), F.lit(n).cast("long").alias("n"))
-    rows = rows.withColumn("block", F.pmod(F.when(F.col("known"), F.xxhash64("id")).otherwise(F.xxhash64("text")), F.lit(blocks))).repartition(spread, "block")
+    each = np.ones(CLASSES, np.int64)  # blocks of each class, numbered one class after the other
+    for r in sums:
+        each[r["k"]] = pieces(r["b"], block_bytes)
+    first = np.cumsum(each) - each
+    shards = min(PARTITIONS, pieces(total, shard_bytes))
+    spread = min(PARTITIONS, sum(pieces(r["b"], block_bytes) for r in sums if r["b"]) or 1)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"), F.lit(n).cast("long").alias("n"), group.alias("k"))
+    of = lambda x: F.array(*map(F.lit, x.tolist()))[F.col("k")]
+    rows = rows.withColumn("block", of(first) + F.pmod(F.when(F.col("known"), F.xxhash64("id")).otherwise(F.xxhash64("text")), of(each))).drop("k").repartition(spread, "block")
     low = with_totals(rows.groupBy("block").applyInArrow(lambda t: explode_low(t, bits), EXPLODED), shards).repartition(spread, "block")
     totals = low
     if order > 2:
@@ -169,7 +188,7 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    out = stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet"), alike="lang")
     return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 

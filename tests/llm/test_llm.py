@@ -132,6 +132,19 @@ def test_lm_equals_a_loop(spark, docs, order):
         assert a[:2] == b[:2] and (a[3] is None) == (b[3] is None) and (a[2], a[3] or 0) == pytest.approx((b[2], b[3] or 0), rel=1e-9)
 
 
+def test_lm_blocks_of_a_class_keep_what_only_they_have(spark, docs):
+    """Scores stay when documents with the same value share blocks; trigrams whose pairs live in one block have no row."""
+    one, two = (sorted(map(repr, lm.stupid_backoff(docs, block_bytes=3000, shard_bytes=2000, alike=a).collect())) for a in (None, "source"))
+    assert one == two
+    table = pa.table({"text": ["a b c d", "a b c d", "x b c y"], "block": [5] * 3})
+    w = lm.Words(table.column("text"))
+    grams = lm.Grams(w, w.hashes(), (2,), 60)
+    key = grams.key[2][grams.number[2][[1, 2]]]  # "b c" and "c d" are known in other blocks, "a b" is not
+    totals = pa.table({"key": pa.array(key.view(np.int64)), "total": [9, 9]})
+    got = lm.explode_high(table, totals, 3, 60)
+    assert got.column("count").to_pylist() == [2] and got.column("block").to_pylist() == [5]
+
+
 def components(rows, percent, k=5):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
