@@ -162,6 +162,25 @@ def numbered(rows: DataFrame, key: str, prefix: int = 9) -> DataFrame:
     return rows.hint("merge").join(earlier.hint("merge"), "__b").withColumn("n", inner + F.col("__before")).drop("__b", "__before")
 
 
+def key_ranges(rows: DataFrame, key: str, each: int = 1 << 17) -> Column:
+    """The range, from 0, that a string key lies in: ranges follow the keys' order and hold about `each` rows, 1,024 ranges at most; nulls are in the last.
+
+    Limits are taken from a hashed part of the keys, so that ranges differ a little in size; which order the ranges give does not depend on them.
+    """
+    n = rows.count()
+    depth = min(10, max(0, -(-n // each) - 1).bit_length())
+    if not depth:
+        return F.lit(0)
+    part = rows.select(key).filter(F.pmod(F.xxhash64(key), F.lit(max(1, n >> (depth + 4)))) == 0).distinct()
+    keys = sorted((r[0] for r in part.collect() if r[0] is not None), key=str.encode)
+    limits = [keys[len(keys) * i >> depth] for i in range(1, 1 << depth)] if keys else [""] * ((1 << depth) - 1)
+    # a binary search: limits in the order of a heap, one step a level
+    tree = [limits[((2 * (i - (1 << (d := (i + 1).bit_length() - 1)) + 1) + 1) << (depth - 1 - d)) - 1] for i in range(len(limits))]
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda at, _: at * 2 + 1 + (F.col(key) >= F.get(F.array(*map(F.lit, tree)), at)).cast("int"))
+    last = (1 << depth) - 1
+    return F.coalesce(found - last, F.lit(last))
+
+
 def pilot_select(rows: DataFrame, key: str, strata: list[str], limit: int, seed: int = 42) -> DataFrame:
     """(key, stratum): `limit` keys, stratified by the first field that every row has; each stratum gets its share (at least 1), the rest is filled in hash order."""
     filled = rows.agg(*[F.min((F.coalesce(F.col(f).cast("string"), F.lit("")) != "").cast("int")).alias(f) for f in strata]).first()

@@ -96,3 +96,55 @@ def test_interval_filter_asks_once_a_level(spark):
     out = intervals.drop_ignored(rows, spark.createDataFrame([("c", *x) for x in ignores], "clip_id string, t_start double, t_end double"))
     assert plan(out).split("== Physical Plan ==")[1].count("LeftAnti") == 7
     assert {r["i"] for r in out.collect()} == {r["i"] for r in rows.collect() if not any(r["t_start"] < b and a < r["t_end"] for a, b in ignores)}
+
+
+def test_key_ranges_follow_the_order_of_keys(spark):
+    rng = random.Random(4)
+    keys = [f"k_{rng.randrange(10**6)}" for _ in range(3000)] + ["é", None]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = df.select("key", lookups.key_ranges(df, "key", 200).alias("b")).collect()
+    b = [r["b"] for r in sorted(got, key=lambda r: (r["key"] is None, (r["key"] or "").encode()))]
+    assert b == sorted(b) and set(b) == set(range(16)) and max(map(b.count, set(b))) < 600
+    assert {r[0] for r in df.select(lookups.key_ranges(df, "key")).collect()} == {0}
+
+
+def test_samples_are_taken_out_of_stored_runs_and_equal_a_loop(spark):
+    rng = random.Random(11)
+    spans = [(f"k{i}", rng.choice("cd"), s := rng.randint(0, 2400) / 4, s + rng.choice((0.3, 1.0, 2.5, 3.3, 20.0, 200.0))) for i in range(40)]
+    spans += [("k0", "c", 50.0, 54.0), ("k5", "e", 7.0, 70.7), ("k7", None, 3.0, 9.0), (None, "c", 100.0, 103.0), (None, "d", 59.0, 63.0)]
+    events = [(f"e{i}", rng.choice("cd"), rng.choice(("pickup", "putdown", "other")), s := rng.randint(0, 3200) / 4, s + rng.randint(0, 20) / 4, rng.choice(("low", "med", "high"))) for i in range(120)]
+    events += [("far", "c", "pickup", 300.0, 9000.0, "low"), ("back", "c", "pickup", 60.0, 50.0, "low"), ("none", "d", "pickup", None, 50.0, "low")]
+    ignores = [(rng.choice("cd"), s := rng.randint(0, 3200) / 4, s + rng.choice((0.0, 3.0))) for _ in range(40)] + [("d", 500.0, 30000.0)]
+    out = windows.window_samples(
+        spark.createDataFrame(spans, "candidate_id string, clip_id string, window_start_s double, window_end_s double"),
+        spark.createDataFrame(events, "event_id string, clip_id string, type string, t_start double, t_end double, confidence string"),
+        spark.createDataFrame(ignores, "clip_id string, t_start double, t_end double"),
+        spark.createDataFrame([("c", "train"), ("d", "val")], "clip_id string, split string"),
+    )
+    want = []
+    for key, clip, s, e in spans:
+        n = int((e - s - 2.5) / 0.5 + 1e-9) if e - s > 2.5 else 0
+        cut = [(s + i * 0.5, s + i * 0.5 + 2.5) for i in range(n + 1)] if e - s > 2.5 else [(max(s, (s + e) / 2 - 1.25), min(e, (s + e) / 2 + 1.25))]
+        if e - s > 2.5 and s + n * 0.5 + 2.5 < e - 0.1:
+            cut.append((e - 2.5, e))
+        for k, (a, b) in enumerate(cut if e - s >= 0.5 else []):
+            m = (a + b) / 2
+            if not any(c == clip and x <= m <= y for c, x, y in ignores):
+                held = [(t, name, kind, sure) for name, c, kind, t, u, sure in events if c == clip and kind != "other" and t is not None and t <= m <= u]
+                want.append((key, k, clip, a, b, held))
+    labels = {}
+    for key, k, *_, held in want:
+        labels.setdefault((key, k), []).extend(held if key is not None else [])
+    got = out.collect()
+    assert sorted(r["sample_id"] for r in got) == [f"b1_{i:06d}" for i in range(len(want))]
+    first = lambda key, k: min(labels[key, k], default=(None, None, "background", None))
+    split = {"c": "train", "d": "val"}
+    rows = [(key, k, clip, a, b, *(f := first(key, k))[2:0:-1], f[3], 0.5 if f[3] == "low" else 1.0, split.get(clip)) for key, k, clip, a, b, _ in want]
+    names = ("candidate_id", "k", "clip_id", "window_start_s", "window_end_s", "label", "event_id", "event_confidence", "weight", "split")
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r[c] for c in names)) for r in got)
+    assert "far" in {r["event_id"] for r in got} and len(want) > 500
+    order = [(r["candidate_id"] is None, r["candidate_id"] or "", r["k"]) for r in sorted(got, key=lambda r: r["sample_id"])]
+    assert order == sorted(order)
+    # candidates of ids of their own: what is left to do after the stored runs has no exchange
+    one = windows.window_samples(*[spark.createDataFrame(rows, kind) for rows, kind in ((spans[:9], "candidate_id string, clip_id string, window_start_s double, window_end_s double"), (events, "event_id string, clip_id string, type string, t_start double, t_end double, confidence string"), (ignores, "clip_id string, t_start double, t_end double"), ([("c", "train")], "clip_id string, split string"))], split="train")
+    assert "Exchange" not in plan(one).split("== Physical Plan ==")[1] and {r["clip_id"] for r in one.collect()} == {"c"}
