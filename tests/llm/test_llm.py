@@ -387,6 +387,34 @@ def test_chroma_candidates_do_not_wait():
     assert peak < 16 << 20
 
 
+def test_chroma_pairs_are_put_together_in_ranges():
+    """2.25 million pairs, all close under every landmark, take 18 MB; putting new ones to all known ones at once took 92 MB."""
+    rng = np.random.default_rng(3)
+    q, d = (chroma.Windows([np.uint32(1) << rng.integers(0, 32, 1506).astype(np.uint32)]) for _ in range(2))
+    masks = np.zeros((8, len(chroma.STEPS)), np.uint32)
+    tracemalloc.start()
+    i, j = chroma.alike_windows(q, d, masks, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == len(q.key) * len(d.key) and (np.diff(i.astype(np.int64) << 32 | j) > 0).all()
+    assert peak < 72 << 20
+
+
+def test_chroma_classes_in_parts_equal_all_at_once():
+    """Queries meet classes in parts of any size; overlaps of all bits, and the ends of recordings, are counted as a loop counts them."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    qs = [noise(n) for n in (12, 13, 40, 90)]
+    ds = [np.append(noise(5), qs[0]), qs[1] ^ np.uint32(4), ~qs[2], qs[2][20:], np.append(qs[3][70:], noise(9)), noise(30), qs[3][:50] ^ np.uint32(1)]
+    masks = chroma.landmark_masks(list(range(32)), 16, 24)
+    q = chroma.Windows(qs)
+    whole = chroma.best_alignments(q, ds, masks, 12, 0.1)
+    parts = [(i, j + k, *rest) for k in range(len(ds)) for i, j, *rest in chroma.best_alignments(q, ds[k : k + 1], masks, 12, 0.1)]
+    assert sorted(whole) == sorted(parts) == [(0, 0, 5, 12, 0), (1, 1, 0, 13, 13), (2, 3, -20, 20, 0), (3, 4, -70, 20, 0), (3, 6, 0, 50, 50)]
+    all_bits = chroma.passing(q, chroma.Windows([~x for x in qs]), *np.array([[k, k, 0, 9] for k in range(4)]).T, 12, 1.0)
+    assert all_bits[:, 4].tolist() == [32 * len(x) for x in qs]
+
+
 def test_fingerprints_do_not_depend_on_the_batch():
     rng = np.random.default_rng(5)
     audio = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 255, 256, 479, 480, 700, 5000)] + [b"\x90" * 2000]
